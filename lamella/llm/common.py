@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one NumPy step works on; a single longer text is a step of its own.
@@ -21,7 +22,7 @@ def slices(batches, column: str, step_bytes: int = STEP_BYTES) -> Iterator[pa.Re
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        ends = np.cumsum([0 if v is None else v for v in pa.compute.binary_length(batch.column(column)).to_pylist()])
+        ends = np.cumsum([0 if v is None else v for v in pc.binary_length(batch.column(column)).to_pylist()])
         at, base = 0, 0
         while at < batch.num_rows:
             to = max(int(np.searchsorted(ends, base + step_bytes, "right")), at + 1)
