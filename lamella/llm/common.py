@@ -67,13 +67,19 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 to base ** (n - 1), modulo 2 ** 64."""
-    out = np.ones(max(n, 1), np.uint64)
-    if n > 1:
-        out[1:] = base
-        np.multiply.accumulate(out, out=out)
-    return out[:n]
+    """base ** 0 to base ** (n - 1), modulo 2 ** 64; a worker keeps what a step needs."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(max(n, STEP_BYTES + 1), base, np.uint64)
+        known[0] = 1
+        np.multiply.accumulate(known, out=known)
+        if n <= 2 * STEP_BYTES:
+            _POWERS[int(base)] = known
+    return known[:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

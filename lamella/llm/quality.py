@@ -23,6 +23,10 @@ SAMPLE = 8000
 BUCKETS = 1 << 18
 GRADES = 3
 SHAPES = 8
+#: Bytes of a longer word's head, which is a feature beside the word.
+HEAD = 5
+#: A bucket is used from this z-score on of its association with a grade.
+LEAST_Z = 5.0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MARK = np.zeros(256, bool)
@@ -32,11 +36,11 @@ _UPPER[65:91] = True
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document's place, bucket) of the distinct hashed words of each text, and SHAPES shape features a text.
+    """(document's place, bucket) of the distinct hashed words and heads of each text, and SHAPES shape features.
 
     Words are in lower case without marks at their ends; a word of marks only stays. Shapes: shares of words that
     repeat the word before, of words with two or more end marks, of words of marks only, of words in capitals, of
-    words with digits; the mean word length over 20; 1; and the log of the count of words over 10.
+    words with digits, each times 8 up to 1; the mean word length over 20; 1; the log of the count of words over 10.
     """
     flat, bounds = raw(column)
     starts, ends, before = word_bounds(flat, bounds)
@@ -64,20 +68,31 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     counts = np.maximum(np.diff(before), 1)
     columns = (same, tail >= 2, empty, (upper[b] - upper[a]) >= np.maximum(b - a, 2), digit[b] > digit[a], np.minimum(ends - starts, 40) / 20)
     for j, values in enumerate(columns):
-        shapes[:, j] = np.bincount(doc, values.astype(float), n_docs) / counts
+        share = np.bincount(doc, values.astype(float), n_docs) / counts
+        shapes[:, j] = np.minimum(share * 8, 1) if j < 5 else share
     shapes[:, 6] = 1
     shapes[:, 7] = np.log1p(np.diff(before)) / 10
-    pairs = np.unique(doc * BUCKETS + (words % np.uint64(BUCKETS)).astype(np.int64))
+    heads = span_hashes(low, a, np.minimum(a + HEAD, b), salt=1)
+    long = b - a > HEAD
+    buckets = np.concatenate((words, heads[long])) % np.uint64(BUCKETS)
+    pairs = np.unique(np.concatenate((doc, doc[long])) * BUCKETS + buckets.astype(np.int64))
     return pairs // BUCKETS, pairs % BUCKETS, shapes
 
 
 class Model:
     """weights by bucket, shape weights and thresholds; fitted by Adam on the ordinal log-likelihood."""
 
-    def __init__(self, doc: np.ndarray, bucket: np.ndarray, shapes: np.ndarray, grade: np.ndarray, rounds: int = 300, ridge: float = 3e-5, seen: int = 4):
+    def __init__(self, doc: np.ndarray, bucket: np.ndarray, shapes: np.ndarray, grade: np.ndarray, rounds: int = 500, ridge: float = 1e-4, seen: int = 4):
         n = len(grade)
-        common = np.bincount(bucket, minlength=BUCKETS) >= seen
-        keep = common[bucket]
+        # Only buckets that go with a grade: by the z-score of a grade's share among the texts that have the bucket.
+        total = np.bincount(bucket, minlength=BUCKETS).astype(float)
+        telling = np.zeros(BUCKETS, bool)
+        for k in range(GRADES):
+            share = (grade == k).mean()
+            got = np.bincount(bucket, (grade[doc] == k).astype(float), BUCKETS)
+            z = (got - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
+            telling |= (total >= seen) & (np.abs(z) > LEAST_Z)
+        keep = telling[bucket]
         doc, bucket = doc[keep], bucket[keep]
         names, at = np.unique(bucket, return_inverse=True)
         k = GRADES - 1
@@ -105,7 +120,7 @@ class Model:
             g_raw = np.concatenate(([g_theta.sum()], [g_theta[j:].sum() * np.exp(raw_theta[j]) for j in range(1, k)]))
             g = np.concatenate((np.bincount(at, gs[doc], size) + ridge * w, shapes.T @ gs + ridge * u, g_raw))
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            p = p - 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            p = p - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         self.weights = np.zeros(BUCKETS, np.float32)
         self.weights[names] = p[:size]
         self.shapes, raw_theta = p[size : size + SHAPES], p[size + SHAPES :]
