@@ -51,9 +51,14 @@ def normalised(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def grams(low: np.ndarray, q: int = Q) -> np.ndarray:
     """The q bytes from each place on as one number (q is at most 8)."""
-    out = np.zeros(max(len(low) - q + 1, 0), np.uint64)
+    n = max(len(low) - q + 1, 0)
+    if q == 8 and n:
+        two = (low[:-1].astype(np.uint16) << np.uint16(8)) | low[1:]
+        four = (two[:-2].astype(np.uint32) << np.uint32(16)) | two[2:]
+        return (four[:-4].astype(np.uint64) << np.uint64(32)) | four[4:]
+    out = np.zeros(n, np.uint64)
     for k in range(q):
-        out = (out << np.uint64(8)) | low[k : k + len(out)].astype(np.uint64)
+        out = (out << np.uint64(8)) | low[k : k + n].astype(np.uint64)
     return out
 
 
@@ -66,6 +71,10 @@ def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int)
 
     A path starts anywhere on the band's top row; None if it takes more than `most` edits.
     """
+    a, b = max(low, 0), max(high + len(item), 0)
+    exact = text[a:b].tobytes().find(item.tobytes())
+    if exact >= 0:
+        return 0, a + exact, a + exact + len(item)
     width, far = high - low + 1, np.int32(1 << 20)
     diagonal = np.arange(low, high + 1)
     cost = np.where((diagonal >= 0) & (diagonal <= len(text)), 0, far).astype(np.int32)
@@ -109,8 +118,19 @@ class Index:
         # The lemma needs m + 1 - q - k * q > 0; shorter items get fewer edits.
         self.most = [max(0, min(int(len(t) * edits), (len(t) - q) // q)) for t in self.texts]
         parts = [(grams(t, q), np.full(max(len(t) - q + 1, 0), j), np.arange(max(len(t) - q + 1, 0))) for j, t in enumerate(self.texts) if len(t) >= q]
+        self.need = np.ones(len(self.texts), np.int64)
         if parts:
             g, j, p = (np.concatenate(x) for x in zip(*parts, strict=True))
+            # k edits spoil k * q of any chosen q-grams; of each item those that are rare in the block are enough.
+            _, name, count = np.unique(g, return_inverse=True, return_counts=True)
+            order = np.lexsort((p, count[name], j))
+            lost = np.array(self.most) * q
+            n = np.bincount(j, minlength=len(self.texts))
+            used = np.minimum(n, lost + np.maximum(8, (n - lost + 1) // 2))
+            self.need = np.maximum(1, used - lost)
+            rank = np.arange(len(order)) - (np.cumsum(n) - n)[j[order]]
+            order = order[rank < used[j[order]]]
+            g, j, p = g[order], j[order], p[order]
             order = np.argsort(g, kind="stable")
             self.grams, self.item, self.place = g[order], j[order], p[order]
         else:
@@ -119,11 +139,6 @@ class Index:
         self.bitmap[_filter_hash(self.grams)] = True
         self.short = [j for j, t in enumerate(self.texts) if len(t) < q]
 
-    def search(self, low: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(item's place, start, end, edits) in the normalised text; overlapping finds of one item give the best."""
-        g = grams(low, self.q)
-        return self._verify(low, *self._hits(g, np.flatnonzero(self.bitmap[_filter_hash(g)])))
-
     def _hits(self, g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the text, item, place in the item) of every q-gram that the two share."""
         a, b = np.searchsorted(self.grams, g[at], "left"), np.searchsorted(self.grams, g[at], "right")
@@ -132,54 +147,64 @@ class Index:
         rows = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(at, n), self.item[rows], self.place[rows]
 
-    def _verify(self, low: np.ndarray, text_at: np.ndarray, item: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int, int]]:
-        out = []
-        for j in self.short:
-            data, find = low.tobytes(), self.texts[j].tobytes()
-            at = data.find(find)
-            while at >= 0:
-                out.append((j, at, at + len(find), 0))
-                at = data.find(find, at + len(find))
-        if not len(text_at):
-            return out
-        for j in np.unique(item).tolist():
-            own = item == j
-            diagonal, k, m = text_at[own] - place[own], self.most[j], len(self.texts[j])
-            span = k + 1
-            cell = diagonal // span
-            # Band c covers the cells c and c + 1: 2k + 2 diagonals, half of them shared with the next band.
-            band = np.concatenate((cell, cell - 1))
-            pair = np.unique(np.stack((band, np.tile(place[own], 2))), axis=1)[0]  # an item's q-gram counts once
-            names, counts = np.unique(pair, return_counts=True)
-            found: list[tuple[int, int, int]] = []
-            for c in names[counts >= max(1, m + 1 - self.q - k * self.q)].tolist():
-                got = aligned(self.texts[j], low, c * span, (c + 2) * span - 1, k)
-                if got:
-                    found.append(got)
-            taken: list[tuple[int, int]] = []
-            for edits, start, end in sorted(found):
-                if all(end <= a or start >= b for a, b in taken):
-                    taken.append((start, end))
-                    out.append((j, start, end, edits))
-        return out
+    def _bands(self, row: np.ndarray, text_at: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """(row, item, band) of the bands that reach the lemma's bound; text_at counts from the row's start."""
+        span = np.array(self.most)[item] + 1
+        cell = (text_at - place) // span
+        # Band c covers the cells c and c + 1: 2k + 2 diagonals, half of them shared with the next band.
+        out = np.stack((np.tile(row, 2), np.tile(item, 2), np.concatenate((cell, cell - 1)), np.tile(place, 2)))
+        order = np.lexsort(out[::-1])
+        out, least = out[:, order], np.tile(self.need[item], 2)[order]
+        new = np.ones(out.shape[1], bool)
+        new[1:] = (out[:3, 1:] != out[:3, :-1]).any(axis=0)
+        once = np.ones(out.shape[1], bool)  # an item's q-gram counts once in a band
+        once[1:] = new[1:] | (out[3, 1:] != out[3, :-1])
+        head = np.flatnonzero(new)
+        counts = np.add.reduceat(once, head, dtype=np.int64)
+        return out[:3, head[counts >= least[head]]].T
 
     def scan(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
-        """(row, item_id, start, end, edits) over a column; start and end in bytes of the text as it is."""
+        """(row, item_id, start, end, edits) over a column; start and end in bytes of the text as it is.
+
+        Of overlapping finds of one item the one with the fewest edits stays.
+        """
         flat, bounds = raw(column)
         low, origin = normalised(flat)
         g = grams(low, self.q)
-        at = np.flatnonzero(self.bitmap[_filter_hash(g)])
         cuts = np.searchsorted(origin, bounds)
-        rows = np.arange(len(bounds) - 1) if self.short else np.unique(np.searchsorted(cuts, at, "right") - 1)
-        for row in rows.tolist():
-            a, b = int(cuts[row]), int(cuts[row + 1])
-            if a == b:
-                continue
-            own = at[np.searchsorted(at, a) : np.searchsorted(at, b - self.q + 1)]
-            text_at, item, place = self._hits(g, own)
-            for j, start, end, edits in self._verify(low[a:b], text_at - a, item, place):
-                base = int(bounds[row])
-                yield row, self.ids[j], int(origin[a + start]) - base, int(origin[min(a + end, b) - 1]) + 1 - base, edits
+        text_at, item, place = self._hits(g, np.flatnonzero(self.bitmap[_filter_hash(g)]))
+        row = np.searchsorted(cuts, text_at, "right") - 1
+        inside = text_at + self.q <= cuts[row + 1]
+        row, text_at, item, place = row[inside], text_at[inside], item[inside], place[inside]
+        # Hits with an item in a text at all bound the hits of every band.
+        if len(row):
+            _, pair, total = np.unique(row * len(self.ids) + item, return_inverse=True, return_counts=True)
+            enough = total[pair] >= self.need[item]
+            row, text_at, item, place = row[enough], text_at[enough], item[enough], place[enough]
+        found: list[tuple[int, int, int, int, int]] = []
+        if len(row):
+            for r, j, band in self._bands(row, text_at - cuts[row], item, place).tolist():
+                span = self.most[j] + 1
+                got = aligned(self.texts[j], low[cuts[r] : cuts[r + 1]], band * span, (band + 2) * span - 1, self.most[j])
+                if got:
+                    found.append((r, j, *got))
+        for j in self.short:
+            data, find = low.tobytes(), self.texts[j].tobytes()
+            at = data.find(find)
+            while at >= 0:
+                r = int(np.searchsorted(cuts, at, "right")) - 1
+                if at + len(find) <= cuts[r + 1]:
+                    found.append((r, j, 0, at - int(cuts[r]), at - int(cuts[r]) + len(find)))
+                at = data.find(find, at + 1)
+        taken: list[tuple[int, int]] = []
+        before = None
+        for r, j, edits, start, end in sorted(found):
+            if (r, j) != before:
+                taken, before = [], (r, j)
+            if all(end <= a or start >= b for a, b in taken):
+                taken.append((start, end))
+                a, b, base = int(cuts[r]), int(cuts[r + 1]), int(bounds[r])
+                yield r, self.ids[j], int(origin[a + start]) - base, int(origin[min(a + end, b) - 1]) + 1 - base, edits
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
