@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import langid, packing, pii, quality, simhash, substring_dedup
+from lamella.llm import ann, decontaminate, html_wrap, langid, packing, pii, quality, simhash, substring_dedup
 from lamella.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=13)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -30,11 +34,19 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrap.main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, width=4)
     return rows.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_packing, op3_substring_dedup, op5_pii, op6_quality, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_packing, op3_substring_dedup, op4_decontaminate, op5_pii, op6_quality, op7_html, op8_ann, op9_simhash)}
 
 ORACLE_SQL: dict[str, str] = {}
