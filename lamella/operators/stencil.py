@@ -91,12 +91,17 @@ def reflect_pad(rows: DataFrame, axis: str, size: int, before: int, after: int)
     return rows.withColumn("_p", F.explode(hit)).withColumn(axis, F.col("_p.t").cast("int")).drop("_p")
 
 
+def _same_source(place):
+    return lambda p: p["s"] == place
+
+
 def resize_nearest(rows: DataFrame, shape: dict[str, int], size: dict[str, int]) -> DataFrame:
     """Nearest resizing: place t takes floor(t * old / new)."""
     for axis, new in size.items():
         old = shape[axis]
-        targets = F.transform(F.sequence(F.lit(0), F.lit(new - 1)), lambda t, o=old, n=new: F.struct(t.alias("t"), F.floor(t * o / n).cast("int").alias("s")))
-        rows = rows.withColumn("_p", F.explode(F.filter(targets, lambda p, a=axis: p["s"] == F.col(a)))).withColumn(axis, F.col("_p.t").cast("int")).drop("_p")
+        sources = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(t * old // new).alias("s")) for t in range(new)])
+        own = F.col(axis)
+        rows = rows.withColumn("_p", F.explode(F.filter(sources, _same_source(own)))).withColumn(axis, F.col("_p.t").cast("int")).drop("_p")
     return rows
 
 

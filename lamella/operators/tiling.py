@@ -73,6 +73,10 @@ def patch_overlaps(patches: DataFrame, cell: dict[str, int]) -> DataFrame:
     return met.select("i", "j", *[lo[a].alias(f"{a}0") for a in AXES], *[hi[a].alias(f"{a}1") for a in AXES])
 
 
+def _covers(place, size: int):
+    return lambda o: (place >= o["s"]) & (place < o["s"] + size)
+
+
 def extract_patches(rows: DataFrame, starts: dict[str, list[int]], patch: dict[str, int]) -> DataFrame:
     """Each voxel once for every patch that holds it: patch_idx, and places d<axis> in the patch.
 
@@ -81,7 +85,7 @@ def extract_patches(rows: DataFrame, starts: dict[str, list[int]], patch: dict[s
     out = rows
     for a in AXES:
         options = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate(starts[a])])
-        out = out.withColumn(f"_{a}", F.explode(F.filter(options, lambda o, a=a: (F.col(a) >= o["s"]) & (F.col(a) < o["s"] + patch[a]))))
+        out = out.withColumn(f"_{a}", F.explode(F.filter(options, _covers(F.col(a), patch[a]))))
     ny, nx = len(starts["y"]), len(starts["x"])
     out = out.withColumn("patch_idx", ((F.col("_z.k") * ny + F.col("_y.k")) * nx + F.col("_x.k")).cast("int"))
     return out.withColumns({f"d{a}": (F.col(a) - F.col(f"_{a}.s")).cast("int") for a in AXES}).drop("_z", "_y", "_x")
