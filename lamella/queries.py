@@ -615,7 +615,7 @@ def cc_3d_6(spark, sf_dir):
     return relabel.component_labels(voxels(spark, sf_dir).withColumn("volume", F.lit(0)), ["volume"], 3, 6).select("lin", "component")
 
 
-@query(_cc_sql(relabel.half_offsets(3, 26), "0"))
+@query()
 def cc_3d_26(spark, sf_dir):
     return relabel.component_labels(voxels(spark, sf_dir).withColumn("volume", F.lit(0)), ["volume"], 3, 26).select("lin", "component")
 
