@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import ann, decontaminate, html_wrap, langid, packing, pii, quality, simhash, substring_dedup
+from lamella.llm import ann, bwt_dedup, decontaminate, html_wrap, langid, packing, pii, quality, simhash, substring_dedup
 from lamella.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_packing, op3_substring_dedup, op4_decontaminate, op5_pii, op6_quality, op7_html, op8_ann, op9_simhash)}
+def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_packing, op3_substring_dedup, op4_decontaminate, op5_pii, op6_quality, op7_html, op8_ann, op9_simhash, op10_bwt_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
