@@ -26,9 +26,10 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the smallest doc_id, of equal rows one.
 
-    A row with a null doc_id stays only if its class has no doc_id at all. Texts without words form a class.
+    Near duplicates have five-word shingles with a similarity of about 0.8 or more. A row with a null doc_id stays
+    only if its class has no doc_id at all; of all such rows one stays. Texts without words form a class.
     """
-    classes = simhash.near_duplicates(docs, distance=4, width=4)
+    classes = simhash.similar(docs, width=5)
     first = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi")
     return kept.dropDuplicates(["doc_id"])

@@ -26,7 +26,7 @@ from lamella.session import cut
 BLOCK = 20_000
 
 
-def fingerprint(text: str | bytes | None, width: int = 4) -> int:
+def fingerprint(text: str | bytes | None, width: int = 4, seed: int = 42) -> int:
     """SimHash of the width-word shingles, repeats included; a bit is 1 if over half the hashes have it."""
     data = text.encode() if isinstance(text, str) else text or b""
     words = data.lower().split()
@@ -40,7 +40,7 @@ def fingerprint(text: str | bytes | None, width: int = 4) -> int:
     else:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype="<u8")
+    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype="<u8")
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -98,81 +98,86 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
-def _links(keys: np.ndarray, fps: np.ndarray, sides: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between equal keys at the distance or less, as a forest. sides: 0 for all pairs, 1 and 2 pair across."""
-    order = np.lexsort((fps, keys))
-    keys, fps, sides = keys[order], fps[order], sides[order]
+def _near(words: np.ndarray, i, j) -> np.ndarray:
+    """Bits in which fingerprints i and j differ; words has a row for each 64 bits of a fingerprint."""
+    return sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
+
+
+def _linked(keys: np.ndarray, words: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of ids with equal keys and fingerprints at the distance or less, as a forest; keys are sorted."""
+    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    size = np.diff(np.append(head, len(keys)))
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    held, at, lag = 0, np.arange(len(keys)), 1
-    while True:
-        at = at[at + lag < len(keys)]
-        at = at[keys[at] == keys[at + lag]]
-        if not len(at):
-            break
-        near = at[np.bitwise_count(fps[at] ^ fps[at + lag]) <= distance]
-        near = near[(sides[near] == 0) | (sides[near] != sides[near + lag])]
-        if len(near):
-            found.append((fps[near], fps[near + lag]))
-            held += len(near)
-        if held > 1 << 20:
-            found = [forest(*(np.concatenate(x) for x in zip(*found, strict=True)))]
-            held = len(found[0][0])
+    # Small buckets: every member with the one `lag` places on, all buckets at once.
+    small = np.repeat(size <= 64, size)
+    left = np.repeat(head + size, size) - np.arange(len(keys))
+    at = np.flatnonzero(small)
+    lag = 1
+    while len(at := at[left[at] > lag]):
+        near = at[_near(words, at, at + lag) <= distance]
+        found.append((ids[near], ids[near + lag]))
         lag += 1
+    # Large ones: whoever is reached looks only at those not yet reached, so a tight group costs about its size.
+    for k in np.flatnonzero(size > 64).tolist():
+        rest = np.arange(head[k], head[k] + size[k])
+        while len(rest) > 1:
+            front, rest = [rest[0]], rest[1:]
+            while front and len(rest):
+                x = front.pop()
+                hit = _near(words, x, rest) <= distance
+                if hit.any():
+                    got = rest[hit]
+                    found.append((np.full(len(got), ids[x]), ids[got]))
+                    front += got.tolist()
+                    rest = rest[~hit]
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return ids[:0], ids[:0]
     return forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-def links(fps: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
-    """(src, dst) links between distinct fingerprints (column fp) at the distance or less.
+def _bucket_links(rows: DataFrame, words: list[str], distance: int, block: int) -> DataFrame:
+    """(src, dst) of ids that share a key. rows: key, id and the fingerprint's words.
 
-    Links within a bucket are given as a spanning forest: no component is lost, and the rows stay fewer than the
-    bucket's members. A bucket above `block` members is cut into blocks, and each pair of blocks is a task's work.
+    Links within a bucket are a spanning forest: no component is lost, and the rows stay fewer than the bucket's
+    members. A bucket above `block` members is cut into blocks, and each pair of blocks is a bucket of its own.
     """
-    rows = fps.select("fp", F.explode(variants(F.col("fp"), distance)).alias("key"))
     large = cut(rows.groupBy("key").count().where(F.col("count") > block))
-    if large.isEmpty():
-        dealt = rows.select("fp", "key", F.lit(0).cast("int").alias("side"))
-    else:
+    if not large.isEmpty():
         sized = rows.join(large, "key", "left").withColumn("n", F.ceil(F.coalesce("count", F.lit(0)) / block).cast("int"))
-        mine = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-        small = sized.where("n = 0").select("fp", "key", F.lit(0).cast("int").alias("side"))
-        split = (
-            sized.where("n > 0")
-            .withColumn("mine", mine)
-            .select("fp", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-            .select(
-                "fp",
-                F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"), F.lit("pair")).alias("key"),
-                F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-            )
-        )
-        dealt = small.unionByName(split)
+        whole = sized.where("n = 0").select("key", "id", *words)
+        split = sized.where("n > 0").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"), F.lit("pair"))
+        rows = whole.unionByName(split.select(pair.alias("key"), "id", *words))
 
     def run(batches):
-        kept: list[tuple[np.ndarray, ...]] = []
+        kept: list[list[np.ndarray]] = []
         count = 0
 
         def flush(final: bool):
             nonlocal kept, count
-            columns = [np.concatenate(x) for x in zip(*kept, strict=True)]
-            end = len(columns[0])
-            if not final:  # the last key may go on in the next batch
-                end = int(np.searchsorted(columns[0], columns[0][-1], "left"))
-            kept, count = [tuple(c[end:] for c in columns)], len(columns[0]) - end
+            keys, ids, *own = (np.concatenate(x) for x in zip(*kept, strict=True))
+            end = len(keys) if final else int(np.searchsorted(keys, keys[-1], "left"))  # the last key may go on
+            kept, count = [[c[end:] for c in (keys, ids, *own)]], len(keys) - end
             if end:
-                a, b = _links(columns[0][:end], columns[1][:end].view(np.uint64), columns[2][:end], distance)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(signed(b))], names=["src", "dst"])
+                a, b = _linked(keys[:end], np.array([w[:end].view(np.uint64) for w in own]), ids[:end], distance)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
 
         for batch in batches:
-            kept.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "side")))
+            kept.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", *words)])
             count += batch.num_rows
             if count > 500_000:
                 yield from flush(False)
         if count:
             yield from flush(True)
 
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "src long, dst long")
+    return rows.select("key", "id", *words).repartition("key").sortWithinPartitions("key").mapInArrow(run, "src long, dst long")
+
+
+def links(fps: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
+    """(src, dst) links between distinct fingerprints (column fp) at the distance or less, as forests of buckets."""
+    rows = fps.select(F.explode(variants(F.col("fp"), distance)).alias("key"), F.col("fp").alias("id"), F.col("fp").alias("w0"))
+    return _bucket_links(rows, ["w0"], distance, block)
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
@@ -186,5 +191,60 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataF
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Two seeds make a fingerprint of 128 bits. SIMILAR is the distance up to which two of them count as near copies:
+#: sets of shingles with a Jaccard similarity of 0.8 differ in 19 of 128 bits on average (four either way), unrelated
+#: ones in 64.
+SEEDS = (42, 1729)
+SIMILAR = 24
+SEGMENT_BITS = 16
+
+
+def wide_variants(a: Column, b: Column) -> Column:
+    """One-wildcard variants of twelve segments of 16 bits: eight side by side, four of every fourth bit.
+
+    Texts at a similarity of 0.8 share a variant of one segment with a probability of 0.28, of some with 0.98.
+    """
+    keys = []
+    quads = []
+    for k, word in enumerate((a, b)):
+        for part in range(4):
+            keys.append((k * 4 + part, F.shiftrightunsigned(word, 16 * part).bitwiseAND(F.lit(0xFFFF))))
+        every = word.bitwiseAND(F.lit(0x1111111111111111))  # bits 0, 4, 8, ...
+        third = F.shiftrightunsigned(word, 2).bitwiseAND(F.lit(0x1111111111111111))
+        quads += [every, third]
+    for k, value in enumerate(quads):  # gather every fourth bit into the low 16
+        for shift, mask in ((3, 0x0303030303030303), (6, 0x000F000F000F000F), (12, 0x000000FF000000FF), (24, 0x000000000000FFFF)):
+            value = value.bitwiseOR(F.shiftrightunsigned(value, shift)).bitwiseAND(F.lit(mask))
+        keys.append((8 + k, value))
+    out = []
+    for s, value in keys:
+        for i in range(SEGMENT_BITS):
+            high = F.shiftleft(F.shiftrightunsigned(value, i + 1), i)
+            out.append(high.bitwiseOR(value.bitwiseAND(F.lit((1 << i) - 1))).bitwiseOR(F.lit((s * 64 + i) << 32)))
+    return F.array(*out)
+
+
+def similar(docs: DataFrame, width: int = 5, distance: int = SIMILAR) -> DataFrame:
+    """(doc_id, component_id) of texts whose `width`-word shingles are alike (Jaccard similarity about 0.8 and more).
+
+    As near_duplicates, with fingerprints of 128 bits. Rows with a null doc_id are classed by the doc_ids they
+    reach, and have a null component_id if there is none.
+    """
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            texts = batch.column("text").to_pylist()
+            own = [pa.array(signed(np.array([fingerprint(t, width, seed) for t in texts], dtype=np.uint64))) for seed in SEEDS]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *own], names=["doc_id", "w0", "w1"])
+
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = cut(docs.mapInArrow(run, "doc_id long, w0 long, w1 long"))
+    distinct = cut(rows.groupBy("w0", "w1").agg(F.min("doc_id").alias("id")))
+    known = distinct.where("id is not null")
+    parts = connected_components(_bucket_links(known.select(F.explode(wide_variants(F.col("w0"), F.col("w1"))).alias("key"), "id", "w0", "w1"), ["w0", "w1"], distance, BLOCK))
+    named = distinct.join(parts, distinct.id == parts.node, "left").select("w0", "w1", F.coalesce("component", "id").alias("component_id"))
+    return rows.join(named, ["w0", "w1"]).select("doc_id", "component_id")
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
