@@ -14,7 +14,7 @@ from lamella.session import cut
 def _collected(rows: DataFrame, embedding: str, n: int, seed: int, key: str) -> np.ndarray:
     """At most n vectors, the first by a hash of the key: deterministic seeds."""
     got = rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n).select(embedding).collect()
-    return np.array([r[0] for r in got], float).reshape(len(got), -1)
+    return np.array([r[0] for r in got], float) if got else np.zeros((0, 1))
 
 
 def _shift(rows: DataFrame, embedding: str, modes: np.ndarray, kernel) -> np.ndarray:

@@ -1,11 +1,13 @@
 """Spark data source `volume`: voxel rows of array files, one input partition for a slab of sections.
 
     spark.dataSource.register(VolumeSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.read.format("volume").option("slab", 16).load(path)      # z, y, x, value
     df.write.format("volume").option("shape", "4,8,8").mode("overwrite").save(folder)
 
-Predicates on z prune slabs before anything is read. Executors open the path themselves: it has to be on storage
-that all of them mount.
+The options z0 and z1 (half-open) prune slabs before anything is read; they are options and not pushed filters,
+since a session keeps a pushed reader for later scans of the same relation. Executors open the path themselves: it
+has to be on storage that all of them mount.
 """
 
 from __future__ import annotations
@@ -20,12 +22,7 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
     DataSourceWriter,
-    EqualTo,
-    GreaterThan,
-    GreaterThanOrEqual,
     InputPartition,
-    LessThan,
-    LessThanOrEqual,
     WriterCommitMessage,
 )
 
@@ -46,23 +43,8 @@ class VolumeReader(DataSourceReader):
         shape = format_of(self.path).shape(self.path, self.key)
         self.shape = tuple(shape) if len(shape) == 3 else (1, *shape) if len(shape) == 2 else tuple(shape)
         self.flat = len(shape) == 2
-        self.low, self.high = 0, self.shape[0]
-
-    def pushFilters(self, filters):
-        for f in filters:
-            on_z = getattr(f, "attribute", None) == ("z",)
-            if on_z and isinstance(f, EqualTo):
-                self.low, self.high = max(self.low, f.value), min(self.high, f.value + 1)
-            elif on_z and isinstance(f, GreaterThanOrEqual):
-                self.low = max(self.low, f.value)
-            elif on_z and isinstance(f, GreaterThan):
-                self.low = max(self.low, f.value + 1)
-            elif on_z and isinstance(f, LessThan):
-                self.high = min(self.high, f.value)
-            elif on_z and isinstance(f, LessThanOrEqual):
-                self.high = min(self.high, f.value + 1)
-            else:
-                yield f
+        self.low = max(0, int(options.get("z0", "0")))
+        self.high = min(self.shape[0], int(options.get("z1", str(self.shape[0]))))
 
     def partitions(self):
         starts = range(self.low, self.high, self.slab)
@@ -134,10 +116,12 @@ class VolumeSource(DataSource):
         return VolumeWriter(self.options)
 
 
-def read_volume(spark: SparkSession, path: str, key: str | None = None, slab: int = 16) -> DataFrame:
+def read_volume(spark: SparkSession, path: str, key: str | None = None, slab: int = 16, z: tuple[int, int] | None = None) -> DataFrame:
     format_of(path)
     spark.dataSource.register(VolumeSource)
     reader = spark.read.format("volume").option("slab", slab)
+    if z:
+        reader = reader.option("z0", z[0]).option("z1", z[1])
     return (reader.option("key", key) if key else reader).load(path)
 
 
