@@ -53,4 +53,16 @@ def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_langid, op2_packing, op3_substring_dedup, op4_decontaminate, op5_pii, op6_quality, op7_html, op8_ann, op9_simhash, op10_bwt_dedup)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i+12], ' ') AS g FROM p),
+f AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
+r AS (SELECT DISTINCT doc_id, i + k AS j FROM g JOIN f USING (g), (SELECT unnest(range(13)) AS k) WHERE least < doc_id),
+a AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM w),
+k AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY a.j) AS kept FROM a LEFT JOIN r ON r.doc_id = a.doc_id AND r.j = a.j WHERE r.j IS NULL GROUP BY a.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id""",
+}
