@@ -104,3 +104,15 @@ class Catalog:
 
     def ids(self) -> list[str]:
         return sorted(self._volumes)
+
+
+def canvas_scale(canvas: tuple[float, float], extents: list[tuple[float, float]]) -> float:
+    """One scale for all views: the largest at which every (width, height) in physical units fits the canvas."""
+    return min(min(canvas[0] / w, canvas[1] / h) for w, h in extents)
+
+
+def canvas_to_voxel(point: tuple[float, float], offset: tuple[float, float], scale: float, spacing: tuple[float, float], size: tuple[int, int]) -> tuple[int, int] | None:
+    """The (row, col) under a canvas point, or None outside the slice. spacing and size are (row, col)."""
+    col, row = ((point[0] - offset[0]) / (scale * spacing[1]), (point[1] - offset[1]) / (scale * spacing[0]))
+    inside = 0 <= row < size[0] and 0 <= col < size[1]
+    return (int(row), int(col)) if inside else None
