@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm import decontaminate, packing, pii, quality, simhash
-from lamella.llm.common import table
+from lamella.llm.common import small_batches, table
 from lamella.session import shared_dir
 
 
@@ -29,6 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near duplicates have five-word shingles with a similarity of about 0.8 or more. A row with a null doc_id stays
     only if its class has no doc_id at all; of all such rows one stays. Texts without words form a class.
     """
+    small_batches(spark)
     classes = simhash.similar(docs, width=5)
     first = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi")
@@ -42,12 +43,14 @@ def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in text replaced by its kind in angle brackets; n_chars follows."""
+    small_batches(spark)
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
