@@ -199,29 +199,32 @@ SIMILAR = 24
 SEGMENT_BITS = 16
 
 
-def wide_variants(a: Column, b: Column) -> Column:
-    """One-wildcard variants of twelve segments of 16 bits: eight side by side, four of every fourth bit.
+def wide_variants(words: list[np.ndarray]) -> np.ndarray:
+    """One-wildcard variants (a row for each fingerprint) of twelve segments of 16 bits: eight side by side, four of
+    every fourth bit.
 
     Texts at a similarity of 0.8 share a variant of one segment with a probability of 0.28, of some with 0.98.
     """
-    keys = []
-    quads = []
-    for k, word in enumerate((a, b)):
-        for part in range(4):
-            keys.append((k * 4 + part, F.shiftrightunsigned(word, 16 * part).bitwiseAND(F.lit(0xFFFF))))
-        every = word.bitwiseAND(F.lit(0x1111111111111111))  # bits 0, 4, 8, ...
-        third = F.shiftrightunsigned(word, 2).bitwiseAND(F.lit(0x1111111111111111))
-        quads += [every, third]
-    for k, value in enumerate(quads):  # gather every fourth bit into the low 16
-        for shift, mask in ((3, 0x0303030303030303), (6, 0x000F000F000F000F), (12, 0x000000FF000000FF), (24, 0x000000000000FFFF)):
-            value = value.bitwiseOR(F.shiftrightunsigned(value, shift)).bitwiseAND(F.lit(mask))
-        keys.append((8 + k, value))
-    out = []
-    for s, value in keys:
+    segments = [(w >> np.uint64(16 * part)) & np.uint64(0xFFFF) for w in words for part in range(4)]
+    for w in words:
+        for first in (0, 2):
+            segments.append(sum(((w >> np.uint64(4 * k + first)) & np.uint64(1)) << np.uint64(k) for k in range(SEGMENT_BITS)))
+    out = np.empty((len(words[0]), len(segments) * SEGMENT_BITS), np.int64)
+    for s, value in enumerate(segments):
         for i in range(SEGMENT_BITS):
-            high = F.shiftleft(F.shiftrightunsigned(value, i + 1), i)
-            out.append(high.bitwiseOR(value.bitwiseAND(F.lit((1 << i) - 1))).bitwiseOR(F.lit((s * 64 + i) << 32)))
-    return F.array(*out)
+            low = np.uint64((1 << i) - 1)
+            out[:, s * SEGMENT_BITS + i] = (((value >> np.uint64(i + 1)) << np.uint64(i)) | (value & low) | np.uint64((s * 64 + i) << 32)).astype(np.int64)
+    return out
+
+
+def _wide_rows(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            words = [part.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("w0", "w1")]
+            keys = wide_variants(words)
+            row = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(part.column(c).take(row) for c in ("id", "w0", "w1"))], names=["key", "id", "w0", "w1"])
 
 
 def similar(docs: DataFrame, width: int = 5, distance: int = SIMILAR) -> DataFrame:
@@ -241,7 +244,7 @@ def similar(docs: DataFrame, width: int = 5, distance: int = SIMILAR) -> DataFra
     rows = cut(docs.mapInArrow(run, "doc_id long, w0 long, w1 long"))
     distinct = cut(rows.groupBy("w0", "w1").agg(F.min("doc_id").alias("id")))
     known = distinct.where("id is not null")
-    parts = connected_components(_bucket_links(known.select(F.explode(wide_variants(F.col("w0"), F.col("w1"))).alias("key"), "id", "w0", "w1"), ["w0", "w1"], distance, BLOCK))
+    parts = connected_components(_bucket_links(known.select("id", "w0", "w1").mapInArrow(_wide_rows, "key long, id long, w0 long, w1 long"), ["w0", "w1"], distance, BLOCK))
     named = distinct.join(parts, distinct.id == parts.node, "left").select("w0", "w1", F.coalesce("component", "id").alias("component_id"))
     return rows.join(named, ["w0", "w1"]).select("doc_id", "component_id")
 
