@@ -36,7 +36,7 @@ from lamella.llm.common import _BASE, _INVERSE, _MIX, covered, mixed, powers, ra
 from lamella.llm.substring_dedup import BLOB, _blobs, pack_bytes, unpack_bytes
 
 #: Text bytes of a batch, of one NumPy step, and of a group of anchors (text bytes that it stands for).
-BATCH_BYTES, STEP, GROUP_BYTES = 6 << 20, 2 << 20, 8 << 20
+BATCH_BYTES, STEP, GROUP_BYTES = 6 << 20, 1 << 18, 8 << 20
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -82,13 +82,13 @@ def contexts(flat: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndar
 def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Suffix array of strings one after another by prefix doubling; ends marks terminators, which differ by place."""
     n = len(symbols)
-    rank = np.unique(np.where(ends, np.cumsum(ends) - 1, symbols.astype(np.int64) + int(ends.sum())), return_inverse=True)[1]
+    rank = np.where(ends, np.cumsum(ends) - 1, symbols.astype(np.int64) + int(ends.sum()))
     step = 1
     while True:
         ahead = np.zeros(n, np.int64)
         ahead[: n - step] = rank[step:] + 1
-        key = rank * np.int64(n + 1) + ahead
-        order = np.argsort(key, kind="stable")
+        key = rank * np.int64(max(n, int(rank.max())) + 2) + ahead
+        order = np.argsort(key)
         sorted_key = key[order]
         new = np.concatenate(([0], np.cumsum(sorted_key[1:] != sorted_key[:-1])))
         rank = np.empty(n, np.int64)
@@ -99,29 +99,32 @@ def suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def merge_transforms(shards: list[np.ndarray], steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shard, interval) of each merged suffix, ordered by its first `steps` symbols, from the shards' transforms.
+    """(suffix, interval): the suffixes that share their first `steps` symbols with another one, from the transforms.
 
-    Symbol 0 ends a string. The interleave starts as one shard after the other; each step sorts it stably by the
-    symbols before its suffixes. Two neighbours are in one interval as long as all their symbols were the same.
+    A suffix is a row of the shards' transforms, counted through; symbol 0 ends a string. The interleave starts as
+    one shard after the other. Each step sorts it stably by the symbols before its suffixes, which is the interleave
+    by one more symbol. Two neighbours are in one interval as long as all their symbols were the same; a suffix that
+    is alone in its interval has its place in the merged order and is refined no further, and so is one that has
+    come to the end of its string.
     """
     symbols = np.concatenate(shards)
-    dtype = np.uint16 if len(shards) < 1 << 16 else np.int64
-    shard = np.repeat(np.arange(len(shards)), [len(s) for s in shards]).astype(dtype)
-    strings = [int((s == 0).sum()) for s in shards]
-    total = sum(strings)
-    terminators = np.repeat(np.arange(len(shards)), strings).astype(dtype)
-    interval = np.zeros(len(symbols), np.int32)
+    back = np.empty(len(symbols), np.int64)  # the row of the suffix that is one symbol longer
+    base = 0
+    for s in shards:
+        back[base + np.argsort(s, kind="stable")] = base + np.arange(len(s))
+        base += len(s)
+    row, interval = np.arange(len(symbols)), np.zeros(len(symbols), np.int32)
     for _ in range(steps):
-        before = np.empty(len(symbols), symbols.dtype)
-        before[np.argsort(shard, kind="stable")] = symbols
+        before = symbols[row]
+        inner = before != 0
+        row, before, interval = row[inner], before[inner], interval[inner]
         order = np.argsort(before, kind="stable")
-        shard, first, rest = shard[order], before[order], interval[order]
-        shard[:total] = terminators  # ends of strings stand by shard and string, each for itself
-        new = np.ones(len(symbols), bool)
-        new[1:] = (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])
-        new[: total + 1] = True
-        interval = np.cumsum(new, dtype=np.int32) - 1
-    return shard, interval
+        first, rest, row = before[order], interval[order], back[row[order]]
+        new = np.ones(len(row) + 1, bool)
+        new[1:-1] = (first[1:] != first[:-1]) | (rest[1:] != rest[:-1])
+        shared = ~(new[:-1] & new[1:])
+        interval, row = (np.cumsum(new[:-1], dtype=np.int32) - 1)[shared], row[shared]
+    return row, interval
 
 
 class Batch:
@@ -277,11 +280,10 @@ def remove_repeats(docs: DataFrame, length: int = 200, batch_bytes: int = BATCH_
             named = symbols >= 257
             symbols[named] = 257 + np.searchsorted(every, own[symbols[named] - 257])
             shards.append(symbols.astype(dtype))
-        shard, interval = merge_transforms(shards, steps)
-        place = np.argsort(shard, kind="stable")
-        weight = np.empty(len(shard))
-        weight[place] = np.concatenate([np.frombuffer(p[1], np.uint8) for p in sent])
-        hit = (np.bincount(interval, weight) >= 2)[interval][place]
+        row, interval = merge_transforms(shards, steps)
+        weight = np.concatenate([np.frombuffer(p[1], np.uint8) for p in sent])
+        hit = np.zeros(len(weight), bool)
+        hit[row[(np.bincount(interval, weight[row]) >= 2)[interval]]] = True
         out, at = [], 0
         for batch, n in zip(table["batch"].to_pylist(), table["n"].to_pylist(), strict=True):
             out.append((key[0].as_py(), batch, n, np.packbits(hit[at : at + n]).tobytes()))
