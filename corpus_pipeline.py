@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import decontaminate, packing, pii, quality, simhash
+from lamella.llm import decontaminate, packing, pii, quality, setjoin
 from lamella.llm.common import small_batches, table
 from lamella.session import shared_dir
 
@@ -26,14 +26,15 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the smallest doc_id, of equal rows one.
 
-    Near duplicates have five-word shingles with a similarity of about 0.8 or more. A row with a null doc_id stays
-    only if its class has no doc_id at all; of all such rows one stays. Texts without words form a class.
+    Near duplicates have sets of five-word shingles with a Jaccard similarity of 0.8 or more; a class is what chains
+    of them join. Rows with a null doc_id, or with different texts under one doc_id, are judged by their texts like all
+    others; a null doc_id comes after all others in a class. Texts without words form a class.
     """
     small_batches(spark)
-    classes = simhash.similar(docs, width=5)
-    first = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    first = setjoin.kept(docs, width=5)
+    t0, t1 = setjoin.row_hashes(docs)
+    rows = docs.join(first, (t0 == first["kept_0"]) & (t1 == first["kept_1"]))
+    return rows.dropDuplicates(["kept_0", "kept_1"]).drop("kept_id", "kept_0", "kept_1")
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
