@@ -1,9 +1,11 @@
 """Near duplicates by exact set similarity against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lamella.llm import setjoin
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
@@ -60,6 +62,25 @@ def test_below_the_threshold_stays_and_none_is_missed(spark):
         assert kept(spark, rows) == survivors(rows)
 
 
+@pytest.mark.parametrize(("block", "marked"), [(20_000, 1 << 17), (7, 0)])
+def test_large_buckets(spark, block, marked, monkeypatch):
+    monkeypatch.setattr(setjoin, "MARKED", marked)
+    rows = varied(3)
+    docs = frame(spark, rows)
+    got = sorted((r["kept_id"] is None, r["kept_id"] or 0) for r in setjoin.kept(docs, star=3, block=block).collect())
+    assert got == survivors(rows)
+
+
+def test_parity_bounds_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 64, 65, 300, 1000):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for b in (a, a[: n * 4 // 5], np.append(a[n // 4 :], rng.integers(0, 1 << 63, n).astype(np.uint64))):
+            apart = len(np.setxor1d(a, b))
+            assert setjoin.parted(setjoin.parity(a), setjoin.parity(b)) <= apart
+            assert setjoin.parted(setjoin.parity(b), setjoin.parity(a)) % 2 == apart % 2
+
+
 def test_corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
