@@ -81,6 +81,16 @@ def test_parity_bounds_the_difference():
             assert setjoin.parted(setjoin.parity(b), setjoin.parity(a)) % 2 == apart % 2
 
 
+def test_rows_without_own_id(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(5)]
+    near = texts[0].rsplit(" ", 1)[0] + " other"
+    rows = [(1, texts[0]), (None, near), (None, texts[1]), (None, texts[2]), (None, texts[2] + " more"), (9, texts[3]), (9, texts[4])]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), SF).collect()]
+    assert len(got) == 5 and {(1, texts[0]), (None, texts[1]), (9, texts[3]), (9, texts[4])} < set(got)
+    assert [t for i, t in got if i is None and t.startswith(texts[2])]
+
+
 def test_corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
