@@ -47,7 +47,7 @@ CUES = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "anruf", "móvil"),
     "secret": ("token", "password", "secret", "key", "credential"),
 }
-INTERESTING = re.compile(r"[0-9@=:]")
+INTERESTING = re.compile(r"[0-9@=:]|[\[(](?i:at)[\])]|AKIA")
 
 
 def luhn(digits: str) -> bool:
