@@ -345,12 +345,6 @@ def test_pages(spark):
     assert html_wrap.main_text(frame.limit(0)).count() == 0
 
 
-def test_wrapper_is_union_free():
-    item = ["<ul>", "<li>", "#", "</li>", "<li>", "#", "</li>", "<li>", "#", "</li>", "</ul>"]
-    assert html_wrap.fold(item) == ["<ul>", "(<li> # </li>)+", "</ul>"]
-    assert html_wrap.align(["<a>", "#", "</a>"], ["<a>", "#", "</a>", "<p>", "</p>"]) == ["<a>", "#", "</a>", "(<p>)?", "(</p>)?"]
-
-
 def vectors(spark, x, extra=()):
     rows = [(k, [float(v) for v in r], 1) for k, r in enumerate(x)] + list(extra)
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
