@@ -1,20 +1,25 @@
 """Removal of word windows that an earlier document has, by prefix-partitioned suffix trees.
 
 The strings are documents as sequences of words, the suffixes start at words, and the trees are cut off at the
-window's depth: an internal node there is a word sequence that occurs more than once, its leaves are the
-occurrences, and neighbouring nodes' occurrences join into maximal repeats.
+window's depth: a node that deep is a word sequence that occurs more than once, and its leaves are the occurrences.
+Consecutive windows at such nodes join into the repeats.
 
-1. A census counts suffixes by prefixes of one, two and four words (in hashed classes of fixed number).
-   A prefix with too many suffixes for a subtree's memory is lengthened, up to the whole window; the prefixes
-   are then packed into groups of about the same size. This is the vertical partitioning.
+1. Vertical partitioning. A census counts words (in hashed classes of fixed number). A suffix's prefix has as many
+   words as it takes until the product of their shares is below a quarter of a group's share: one or two rare words,
+   several frequent ones, at most the window. No two prefixes start alike, so every suffix has exactly one; prefixes
+   are dealt to the groups by hash. The rule needs the census only, however many groups there are.
 2. Every batch of documents sends each group the keys of its suffixes, each once, sorted and delta-coded. A key
-   that no other batch has is a leaf of its own: its suffixes go no further.
-3. The rest go to their group's subtree with a 128-bit key and the smallest document they start in; the nodes
-   with several leaves yield the smallest document of all, and the batches learn which nodes have a smaller one.
-
-A batch sends a word sequence once however often it occurs, so a passage that a third of all documents share costs
-a row per batch. Batches and groups grow in number with the data, not in size. Documents are shuffled once; the
-later passes reuse that exchange.
+   that no other batch has is a leaf of its own: its suffix goes no further.
+3. The rest go to their group, sorted and front-coded: the length of the prefix shared with the suffix before, then
+   the words that follow, with the smallest document they start in. The group merges them into the suffix array of
+   its subtree with the lengths of common prefixes, which is the tree; neighbours that share the window's depth
+   stand below one deep internal node. Each node yields its smallest document, and the batches learn which of their
+   leaves stand below a node with a smaller one.
+
+A word is its 64-bit hash in the trees, in their order; two words of equal hashes would be taken for one. A batch
+sends a word sequence once however often it occurs, so a passage that a third of all documents share costs a row
+per batch. A batch writes rows for the groups that it has suffixes of, so their number is bounded by the suffixes,
+not by batches times groups. Documents are shuffled once; the later passes reuse that exchange.
 
 Null text has no words. A null doc_id counts as larger than every other and null ids do not repeat each other;
 rows with the same doc_id do not repeat each other. Every input row gives one row. Extra columns are ignored.
@@ -32,12 +37,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import covered, mixed, raw, run_hashes, slices, span_hashes, word_bounds
+from lamella.llm.common import _BASE, _INVERSE, covered, mixed, powers, raw, run_hashes, slices, span_hashes, word_bounds
 
-#: Text bytes of a batch, suffixes of a subtree, and hashed prefix classes for each prefix length.
+#: Text bytes of a batch, suffixes of a subtree, and hashed classes of words in the census.
 BATCH_BYTES = 6 << 20
 SUBTREE = 2_000_000
-CLASSES = {1: 4096, 2: 8192, 4: 8192}
+CLASSES = 1 << 16
 #: Bits of the key of the first exchange, besides the group.
 KEY_BITS = 34
 LAST = np.int64(2**63 - 1)
@@ -65,10 +70,6 @@ def window_starts(bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarr
     return np.arange(len(doc)) - first[doc] + bounds[:-1][doc], doc
 
 
-def prefix_classes(words: np.ndarray, starts: np.ndarray) -> dict[int, np.ndarray]:
-    return {n: (run_hashes(words, n, n)[starts] % np.uint64(k)).astype(np.int64) for n, k in CLASSES.items()} if len(starts) else {n: np.zeros(0, np.int64) for n in CLASSES}
-
-
 def pack_bytes(x: np.ndarray) -> bytes:
     """Bytes by significance, compressed."""
     return zstandard.compress(x.view(np.uint8).reshape(len(x), -1).T.tobytes(), 1)
@@ -80,89 +81,157 @@ def unpack_bytes(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(width, -1).T).view(dtype).ravel()
 
 
-def census(docs: DataFrame, window: int) -> dict[int, np.ndarray]:
-    """Suffix counts by prefix length and class over all documents; and under 0 the text bytes."""
+def census(docs: DataFrame, window: int) -> tuple[np.ndarray, int, int]:
+    """Word counts by class over all documents, the count of windows, and the text bytes."""
 
     def run(batches):
-        counts = {n: np.zeros(k, np.int64) for n, k in CLASSES.items()}
-        size = 0
+        counts = np.zeros(CLASSES, np.int64)
+        windows = size = 0
         for batch in slices(batches, "text"):
             words, bounds = word_hashes(batch.column("text"))
-            starts, _ = window_starts(bounds, window)
-            for n, c in prefix_classes(words, starts).items():
-                counts[n] += np.bincount(c, minlength=CLASSES[n])
+            counts += np.bincount((words % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES)
+            windows += int(np.maximum(np.diff(bounds) - window + 1, 0).sum())
             size += len(raw(batch.column("text"))[0])
-        counts[0] = np.array([size])
-        for n, c in counts.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int32)), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["n", "class", "count"])
-
-    out = {n: np.zeros(k, np.int64) for n, k in CLASSES.items()} | {0: np.zeros(1, np.int64)}
-    found = docs.select("text").mapInArrow(run, "n int, class int, count long").groupBy("n", "class").agg(F.sum("count").alias("count"))
-    for row in found.collect():  # at most the fixed number of classes
-        out[row["n"]][row["class"]] = row["count"]
-    return out
-
-
-def vertical_partitions(counts: dict[int, np.ndarray], groups: int) -> dict[int, np.ndarray]:
-    """For each prefix length the group of each class, or -1 where the prefix has to be longer."""
-    most = max(1, int(counts[1].sum()) // groups // 4)
-    load, out = np.zeros(groups, np.int64), {}
-    for n in CLASSES:
-        out[n] = np.full(CLASSES[n], -1, np.int64)
-        for c in np.argsort(-counts[n], kind="stable"):
-            if counts[n][c] <= most:
-                out[n][c] = g = int(np.argmin(load)) if n == 1 else int(c) % groups
-                load[g] += counts[n][c] if n == 1 else 0
-    return out
+        at = np.append(np.flatnonzero(counts), [CLASSES, CLASSES + 1])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.append(counts, [windows, size])[at])], names=["class", "count"])
+
+    out = np.zeros(CLASSES + 2, np.int64)
+    for row in docs.select("text").mapInArrow(run, "class int, count long").groupBy("class").agg(F.sum("count").alias("count")).collect():
+        out[row["class"]] = row["count"]  # at most the fixed number of classes
+    return out[:CLASSES], int(out[CLASSES]), int(out[CLASSES + 1])
+
+
+class Partitions:
+    """The vertical partitioning: a suffix's variable-length prefix, and the group of the prefix."""
+
+    def __init__(self, counts: np.ndarray, groups: int, window: int):
+        share = np.maximum(counts, 1) / max(int(counts.sum()), 1)
+        self.bits = np.round(-np.log2(np.minimum(share, 0.999)) * 1024).astype(np.int64) + 1
+        self.need, self.groups, self.window = int(math.ceil(math.log2(4 * groups) * 1024)), groups, window
+
+    def lengths(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Words of the prefix of each suffix, from one to the window."""
+        sums = np.concatenate(([0], np.cumsum(self.bits[(words % np.uint64(CLASSES)).astype(np.int64)])))
+        return np.clip(np.searchsorted(sums, sums[starts] + self.need, "left") - starts, 1, self.window)
+
+    def of(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The group of each suffix."""
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        n = self.lengths(words, starts)
+        up, down = powers(_BASE, len(words) + 1), powers(_INVERSE, len(words) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[:-1], dtype=np.uint64)))
+        return (mixed((sums[starts + n] - sums[starts]) * down[starts] + n.astype(np.uint64)) % np.uint64(self.groups)).astype(np.int64)
+
+
+def sort_suffixes(rows: np.ndarray, size: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes given as rows of symbols below `size` (by `first`, if given, before all), and for each in that
+    order the symbols it shares with the one before; -1 where `first` differs.
+    """
+    n, window = rows.shape
+    bits = max(int(size - 1).bit_length(), 1)
+    per = 63 // bits
+    keys = []
+    for a in range(0, window, per):
+        packed = np.zeros(n, np.int64)
+        for c in range(a, min(a + per, window)):
+            packed = (packed << bits) | rows[:, c]
+        keys.append(packed)
+    order = np.lexsort((*keys[::-1], *(() if first is None else (first,))))
+    rows = rows[order]
+    common = np.zeros(n, np.int8)
+    alive = np.ones(max(n - 1, 0), bool)
+    for c in range(window):
+        alive &= rows[1:, c] == rows[:-1, c]
+        common[1:] += alive
+    if n:
+        common[0] = -1
+    if first is not None:
+        common[1:][first[order][1:] != first[order][:-1]] = -1
+    return order, common
+
+
+def front_coded(rows: np.ndarray, common: np.ndarray, names: np.ndarray, docs: np.ndarray) -> bytes:
+    """Sorted suffixes of one group (symbols are places in names), each with a document."""
+    own, at = np.unique(rows, return_inverse=True)
+    rest = at.reshape(rows.shape)[np.arange(rows.shape[1])[None, :] >= common[:, None]]
+    ids, doc = np.unique(docs, return_inverse=True)
+    pieces = [pack_bytes(np.diff(names[own], prepend=np.uint64(0))), pack_bytes(common), pack_bytes(rest.astype(np.uint32)), pack_bytes(ids), pack_bytes(doc.astype(np.uint32))]
+    return b"".join(len(p).to_bytes(8, "little") + p for p in pieces)
+
+
+def front_decoded(data: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, rows of places in names, documents) as they were coded."""
+    pieces, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        pieces.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    names = np.cumsum(unpack_bytes(pieces[0], np.uint64), dtype=np.uint64)
+    common = unpack_bytes(pieces[1], np.int8)
+    told = np.arange(window)[None, :] >= common[:, None]
+    rows = np.zeros(told.shape, np.int64)
+    rows[told] = unpack_bytes(pieces[2], np.uint32)
+    source = np.where(told, np.arange(len(common))[:, None], 0)
+    rows = np.take_along_axis(rows, np.maximum.accumulate(source, axis=0), axis=0)
+    return names, rows, unpack_bytes(pieces[3], np.int64)[unpack_bytes(pieces[4], np.uint32)]
+
+
+def deep_nodes(common: np.ndarray, window: int) -> np.ndarray:
+    """The deep internal node above each leaf of a subtree, numbered in order: leaves that share `window` symbols."""
+    return np.cumsum(common < window) - 1
 
 
 class Batch:
     """The suffixes of one batch of documents, with their groups and keys."""
 
-    def __init__(self, table: pa.Table, window: int, parts: dict[int, np.ndarray], groups: int):
-        self.table = table
+    def __init__(self, table: pa.Table, window: int, parts: Partitions):
+        self.table, self.window = table, window
         self.text = pa.concat_arrays(table.column("text").chunks)
         self.ids = np.array([LAST if x is None else x for x in self.table.column("doc_id").to_pylist()], np.int64)
-        words, self.bounds = word_hashes(self.text)
+        self.words, self.bounds = word_hashes(self.text)
         self.starts, place = window_starts(self.bounds, window)
         self.doc = self.ids[place]
-        self.first = run_hashes(words, window, window)[self.starts] if len(self.starts) else np.zeros(0, np.uint64)
-        self.second = run_hashes(mixed(words + np.uint64(77)), window, window + 5)[self.starts] if len(self.starts) else np.zeros(0, np.uint64)
-        self.group = (self.second % np.uint64(groups)).astype(np.int64)
-        classes = prefix_classes(words, self.starts)
-        for n in sorted(CLASSES, reverse=True):
-            if len(self.starts):
-                g = parts[n][classes[n]]
-                self.group = np.where(g >= 0, g, self.group)
-        key = (self.group.astype(np.uint64) << np.uint64(KEY_BITS)) | (self.first >> np.uint64(64 - KEY_BITS))
-        self.keys, self.of_key = np.unique(key, return_inverse=True)
-        self.groups = groups
+        first = run_hashes(self.words, window, window)[self.starts] if len(self.starts) else np.zeros(0, np.uint64)
+        self.group = parts.of(self.words, self.starts)
+        key = (self.group.astype(np.uint64) << np.uint64(KEY_BITS)) | (first >> np.uint64(64 - KEY_BITS))
+        self.keys, self.of_key, self.times = np.unique(key, return_inverse=True, return_counts=True)
 
     def key_parts(self):
-        """(group, its keys) in the order of self.keys."""
-        of = (self.keys >> np.uint64(KEY_BITS)).astype(np.int64)
-        cuts = np.searchsorted(of, np.arange(self.groups + 1))
-        for g in range(self.groups):
-            if cuts[g] < cuts[g + 1]:
-                yield g, self.keys[cuts[g] : cuts[g + 1]] & np.uint64((1 << KEY_BITS) - 1)
-
-    def nodes(self, shared: np.ndarray | None):
-        """Numbers the distinct windows whose key another batch has (all if None): sets node (-1: none) and their groups,
-        128-bit keys and smallest documents."""
-        at = np.flatnonzero(shared[self.of_key]) if shared is not None else np.arange(len(self.starts))
-        order = at[np.lexsort((self.doc[at], self.second[at], self.first[at], self.group[at]))]
-        new = np.ones(len(order), bool)
-        if len(order):
-            a, b = order[1:], order[:-1]
-            new[1:] = (self.first[a] != self.first[b]) | (self.second[a] != self.second[b]) | (self.group[a] != self.group[b])
+        """(group, its keys) in the order of self.keys, for the groups that the batch has."""
+        for g, a, b in runs((self.keys >> np.uint64(KEY_BITS)).astype(np.int64)):
+            yield g, self.keys[a:b] & np.uint64((1 << KEY_BITS) - 1)
+
+    def sort(self, which: np.ndarray) -> None:
+        """Sort the suffixes at these places by group and words; distinct ones are numbered in node (-1: not asked for)."""
+        at = np.flatnonzero(which)
+        used = np.zeros(len(self.words) + 1, np.int64)
+        np.add.at(used, self.starts[at], 1)
+        np.add.at(used, self.starts[at] + self.window, -1)
+        inside = np.cumsum(used[:-1]) > 0
+        self.names, name = np.unique(self.words[inside], return_inverse=True)
+        symbols = np.zeros(len(self.words), np.int64)
+        symbols[inside] = name
+        rows = symbols[self.starts[at][:, None] + np.arange(self.window)[None, :]].astype(np.int32)
+        order, common = sort_suffixes(rows, max(len(self.names), 1), self.group[at])
+        node = deep_nodes(common, self.window)
         self.node = np.full(len(self.starts), -1, np.int64)
-        self.node[order] = np.cumsum(new) - 1
-        head = order[new]
-        return self.group[head], self.first[head], self.second[head], self.doc[head]
+        self.node[at[order]] = node
+        head = np.flatnonzero(common < self.window)
+        self.rows, self.common = rows[order[head]], common[head]
+        self.node_group = self.group[at[order[head]]]
+        self.least = np.minimum.reduceat(self.doc[at[order]], head) if len(head) else np.zeros(0, np.int64)
 
 
-def bits(rows: pa.Table, groups: int) -> dict[int, np.ndarray]:
+def runs(sorted_values: np.ndarray):
+    """(value, start, end) of the runs of equal values."""
+    if not len(sorted_values):
+        return
+    cuts = np.flatnonzero(np.concatenate(([True], sorted_values[1:] != sorted_values[:-1])))
+    yield from zip(sorted_values[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(sorted_values)).tolist(), strict=True)
+
+
+def bits(rows: pa.Table) -> dict[int, np.ndarray]:
     return {g: np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for g, b, n in zip(rows["g"].to_pylist(), rows["data"].to_pylist(), rows["n"].to_pylist(), strict=True)}
 
 
@@ -177,20 +246,15 @@ def _blobs(rows: list[tuple]) -> pa.Table:
 def remove_repeats(docs: DataFrame, window: int = 13, batch_bytes: int = BATCH_BYTES, subtree: int = SUBTREE) -> DataFrame:
     """For each row: doc_id, n_words, n_removed and the hash of the kept words joined by a space."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = census(docs, window)
-    n_batches = max(1, math.ceil(int(counts[0][0]) / batch_bytes))
-    groups = max(1, math.ceil(int(counts[1].sum()) / subtree))
-    parts = vertical_partitions(counts, groups)
+    counts, windows, size = census(docs, window)
+    n_batches = max(1, math.ceil(size / batch_bytes))
+    parts = Partitions(counts, max(1, math.ceil(windows / subtree)), window)
     keyed = docs.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_batches)))
 
-    def of(table: pa.Table) -> Batch:
-        return Batch(table, window, parts, groups)
-
     def send_keys(key, table):
         rows = []
-        for g, keys in of(table).key_parts():
-            steps = np.diff(keys, prepend=np.uint64(0))
-            rows.append((g, key[0].as_py(), len(keys), pack_bytes(steps)))
+        for g, keys in Batch(table, window, parts).key_parts():
+            rows.append((g, key[0].as_py(), len(keys), pack_bytes(np.diff(keys, prepend=np.uint64(0)))))
         return _blobs(rows)
 
     def meet_keys(key, table):
@@ -207,40 +271,28 @@ def remove_repeats(docs: DataFrame, window: int = 13, batch_bytes: int = BATCH_B
         return _blobs(out)
 
     def shared(batch: Batch, replies: pa.Table) -> np.ndarray:
-        by = bits(replies, groups)
+        by = bits(replies)
         return np.concatenate([by[g] for g, _ in batch.key_parts()]) if len(batch.keys) else np.zeros(0, bool)
 
-    def send_nodes(key, table, replies):
+    def send_suffixes(key, table, replies):
         if not table.num_rows:
             return _blobs([])
-        batch = of(table)
-        group, first, second, doc = batch.nodes(shared(batch, replies))
-        cuts = np.searchsorted(group, np.arange(groups + 1))
-        ids = np.unique(doc)
+        batch = Batch(table, window, parts)
+        batch.sort(shared(batch, replies)[batch.of_key])
         rows = []
-        for g in range(groups):
-            a, b = int(cuts[g]), int(cuts[g + 1])
-            if a < b:
-                pieces = [pack_bytes(np.diff(first[a:b], prepend=np.uint64(0))), pack_bytes(second[a:b]), pack_bytes(np.searchsorted(ids, doc[a:b]).astype(np.uint32)), pack_bytes(ids)]
-                rows.append((g, key[0].as_py(), b - a, b"".join(len(p).to_bytes(8, "little") + p for p in pieces)))
+        for g, a, b in runs(batch.node_group):
+            rows.append((g, key[0].as_py(), b - a, front_coded(batch.rows[a:b], batch.common[a:b], batch.names, batch.least[a:b])))
         return _blobs(rows)
 
-    def subtree_nodes(key, table):
-        """The subtree of a group: leaves sorted by their window, nodes by runs of equal windows."""
-        sent = []
-        for data in table["data"].to_pylist():
-            pieces, at = [], 0
-            while at < len(data):
-                n = int.from_bytes(data[at : at + 8], "little")
-                pieces.append(data[at + 8 : at + 8 + n])
-                at += 8 + n
-            ids = unpack_bytes(pieces[3], np.int64)
-            sent.append((np.cumsum(unpack_bytes(pieces[0], np.uint64), dtype=np.uint64), unpack_bytes(pieces[1], np.uint64), ids[unpack_bytes(pieces[2], np.uint32)]))
-        first, second, doc = (np.concatenate(x) for x in zip(*sent, strict=True))
-        order = np.lexsort((second, first))
-        new = np.ones(len(order), bool)
-        new[1:] = (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
-        least = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    def subtree_leaves(key, table):
+        """The subtree of a group; which leaves of each batch stand below a deep node with a smaller document."""
+        names, rows, docs_ = zip(*(front_decoded(data, window) for data in table["data"].to_pylist()), strict=True)
+        every = np.unique(np.concatenate(names))
+        rows = np.concatenate([np.searchsorted(every, own).astype(np.int32)[r] for own, r in zip(names, rows, strict=True)])
+        doc = np.concatenate(docs_)
+        order, common = sort_suffixes(rows, len(every))
+        node = deep_nodes(common, window)
+        least = np.minimum.reduceat(doc[order], np.flatnonzero(common < window))[node]
         smaller = np.empty(len(order), bool)
         smaller[order] = least < doc[order]
         out, at = [], 0
@@ -252,18 +304,17 @@ def remove_repeats(docs: DataFrame, window: int = 13, batch_bytes: int = BATCH_B
     def apply(key, table, replies):
         if not table.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string())})
-        batch = of(table)
-        sent = replies.filter(pc.equal(replies["kind"], 1))
-        group, first, second, doc = batch.nodes(shared(batch, replies.filter(pc.equal(replies["kind"], 0))))
-        by = bits(sent, groups)
-        smaller = np.concatenate([by[g] for g in np.unique(group)]) if len(group) else np.zeros(0, bool)
+        batch = Batch(table, window, parts)
+        sent = shared(batch, replies.filter(pc.equal(replies["kind"], 0)))[batch.of_key]
         gone = np.zeros(len(batch.starts), bool)
-        known = batch.node >= 0
-        gone[known] = smaller[batch.node[known]]
-        # Within the batch: a window whose smallest document in the batch is another, smaller one.
-        _, _, _, least = batch.nodes(None)
-        if len(least):
-            gone |= batch.doc > least[batch.node]
+        batch.sort(sent)
+        by = bits(replies.filter(pc.equal(replies["kind"], 1)))
+        smaller = np.concatenate([by[g] for g, _, _ in runs(batch.node_group)]) if len(batch.node_group) else np.zeros(0, bool)
+        gone[sent] = smaller[batch.node[sent]] | (batch.doc[sent] > batch.least[batch.node[sent]])
+        # Windows that no other batch has, but this one more than once.
+        own = ~sent & (batch.times > 1)[batch.of_key]
+        batch.sort(own)
+        gone[own] = batch.doc[own] > batch.least[batch.node[own]]
         n = int(batch.bounds[-1])
         removed = covered(n, batch.starts[gone], window)
         totals = np.concatenate(([0], np.cumsum(removed)))
@@ -277,7 +328,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, batch_bytes: int = BATCH_B
         return pa.table([batch.table["doc_id"], pa.array(np.diff(batch.bounds)), pa.array(np.diff(totals[batch.bounds])), pa.array(hashes)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     met = keyed.groupBy("batch").applyInArrow(send_keys, BLOB).groupBy("g").applyInArrow(meet_keys, BLOB)
-    nodes = keyed.groupBy("batch").cogroup(met.groupBy("batch")).applyInArrow(send_nodes, BLOB)
-    trees = nodes.groupBy("g").applyInArrow(subtree_nodes, BLOB)
+    suffixes = keyed.groupBy("batch").cogroup(met.groupBy("batch")).applyInArrow(send_suffixes, BLOB)
+    trees = suffixes.groupBy("g").applyInArrow(subtree_leaves, BLOB)
     replies = met.withColumn("kind", F.lit(0)).unionByName(trees.withColumn("kind", F.lit(1)))
     return keyed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(apply, RESULT)
