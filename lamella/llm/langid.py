@@ -4,8 +4,10 @@ A text's features are the shares of its hashed byte trigrams, lower case for A-Z
 one against one, separate the families; others, one against one again, separate the languages of each family. A
 prediction reads each byte of the whole text once and needs only a sum of weights.
 
-Training uses a bounded sample (PER_LANGUAGE texts a language at most, chosen by hash) of the labelled rows that
-it is given. Families come from FAMILIES; a language that is not listed is a family of its own.
+Training uses a bounded sample of the labelled rows that it is given: PER_LANGUAGE texts a language, fewer where
+there are so many languages that this exceeds SAMPLE texts, chosen by hash. Every language of those rows is learned,
+in any script. Texts are turned into features where they are read; the driver gets the trigram classes that each
+sampled text has and their counts. Families come from FAMILIES; a language that is not listed is a family of its own.
 
 Null text, or text without a letter: `und` with score 0. Without any labelled text everything is `und`. Every row
 gives a row, repeated rows and null ids too; extra columns are ignored.
@@ -13,14 +15,18 @@ gives a row, repeated rows and null ids too; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.llm.common import raw, slices
 
 PER_LANGUAGE = 400
+#: Texts of all languages together that the fit takes.
+SAMPLE = 12_000
 BITS = 12
 #: ISO 639-1 codes by family (fixed values).
 FAMILIES = {
@@ -51,10 +57,10 @@ def trigrams(flat: np.ndarray) -> np.ndarray:
     return ((mixed * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64)
 
 
-def profile(text: bytes) -> np.ndarray:
-    """Shares of the trigram classes, over the text between two spaces so that short texts have some."""
-    classes = trigrams(np.frombuffer(b" " + text + b" ", np.uint8))
-    return (np.bincount(classes, minlength=1 << BITS) / max(len(classes), 1)).astype(np.float32)
+def profile(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Trigram classes and their counts, over the text between two spaces so that short texts have some."""
+    classes, counts = np.unique(trigrams(np.frombuffer(b" " + text + b" ", np.uint8)), return_counts=True)
+    return classes.astype(np.uint16), counts.astype(np.uint32)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 120) -> tuple[np.ndarray, float]:
@@ -132,26 +138,36 @@ class Model:
         return out.tolist(), np.clip(score, 0, 1)
 
 
-def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Model | None:
+def train(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE, sample: int = SAMPLE) -> Model | None:
     """Fit on a bounded, hash-chosen sample of the rows for which `learn` holds and text and lang are set."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike("[^\\W\\d_]"))
-    counts = rows.groupBy("lang").count()
-    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in counts.orderBy(F.desc("count"), "lang").limit(500).collect()}
-    if not share:
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    counts = rows.groupBy("lang").count().collect()  # a row a language
+    if not counts:
         return None
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    bound = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, v)])[F.col("lang")]
-    picked = rows.where(place < bound).select("lang", F.col("text").cast("string").alias("text")).limit(2 * per_language * len(share))
+    per_language = max(1, min(per_language, sample // len(counts)))
+    # By hash a few more than wanted, so that a language hardly ever falls short; the first of them are taken.
+    most = per_language + 5 * math.sqrt(per_language) + 10
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, most / r["count"])) for r in counts], "lang string, share double")
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    picked = rows.join(F.broadcast(share), "lang").withColumn("place", place).where("place < share").select("lang", "place", F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for batch in slices(batches, "text"):
-            data = [profile((t or "").encode()).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(data, pa.binary())], names=["lang", "x"])
-
-    found = sorted((r["lang"], bytes(r["x"])) for r in picked.mapInArrow(run, "lang string, x binary").collect())
+            found = [profile((t or "").encode()) for t in batch.column("text").to_pylist()]
+            columns = [pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), *columns], names=["lang", "place", "classes", "counts"])
+
+    by = Window.partitionBy("lang").orderBy("place", "classes", "counts")
+    found = picked.mapInArrow(run, "lang string, place double, classes binary, counts binary").withColumn("rank", F.row_number().over(by))
+    found = found.where(F.col("rank") <= per_language).collect()
+    found = sorted((r["lang"], bytes(r["classes"]), bytes(r["counts"])) for r in found)
     if not found:
         return None
-    return Model(np.array([np.frombuffer(x, np.float32) for _, x in found]).astype(np.float64), [k for k, _ in found])
+    x = np.zeros((len(found), 1 << BITS), np.float32)
+    for k, (_, classes, n) in enumerate(found):
+        n = np.frombuffer(n, np.uint32)
+        x[k, np.frombuffer(classes, np.uint16)] = n / max(int(n.sum()), 1)
+    return Model(x, [lang for lang, *_ in found])
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

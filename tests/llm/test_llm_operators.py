@@ -295,6 +295,33 @@ def test_language_identification(spark):
     assert {r["lang_pred"] for r in langid.identify_held_out(frame.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_languages_of_other_scripts(spark):
+    rng = np.random.default_rng(12)
+    vocabulary = {
+        "ru": "это и не на что как дом река".split(),
+        "uk": "це і не на що як дім ріка".split(),
+        "zh": "我们 不是 这个 山水 今天 可以".split(),
+        "ar": "هذا من على البيت كان يوم".split(),
+        "en": "this is not on the house river".split(),
+    }
+    names = sorted(vocabulary)
+    rows = [(k, " ".join(rng.choice(vocabulary[names[k % 5]], 25)), names[k % 5], "x", True) for k in range(500)]
+    rows += [(1000, "это и не на что " * 200_000, "ru", "x", True), *rows[:5]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, held_out boolean")
+    got = langid.identify_held_out(frame).collect()
+    assert len(got) == len(rows)
+    assert all(r["lang_pred"] == (names[r["doc_id"] % 5] if r["doc_id"] < 1000 else "ru") for r in got)
+    model = langid.train(frame, F.lit(True), per_language=3)
+    assert model.langs == names and len(langid.train(frame, F.lit(True), sample=5).langs) == 5
+    # Margins against a plain sum over the text's trigrams.
+    text = rows[7][1].encode()
+    classes = langid.trigrams(np.frombuffer(b" " + text + b" ", np.uint8))
+    plain = model.weights.astype(float)[classes].mean(0) + model.bias
+    name, score = model.predict(plain[None])
+    shown = langid.identify(spark.createDataFrame([rows[7]], frame.schema), model).first()
+    assert (shown["lang_pred"], shown["score"]) == (name[0], pytest.approx(score[0], abs=1e-9))
+
+
 def test_quality(spark):
     rng = np.random.default_rng(8)
     words = [f"w{k}" for k in range(300)]
