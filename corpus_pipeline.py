@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import decontaminate, packing, pii, quality, setjoin
+from lamella.llm import decontaminate, packing, pii, quality, setjoin, simhash
 from lamella.llm.common import small_batches, table
 from lamella.session import shared_dir
 
@@ -26,15 +26,18 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the smallest doc_id, of equal rows one.
 
+    SimHash fingerprints give the first links, an exact join of the sets what they cannot reach (simhash.near_copies).
     Near duplicates have sets of five-word shingles with a Jaccard similarity of 0.8 or more; a class is what chains
     of them join. Rows with a null doc_id, or with different texts under one doc_id, are judged by their texts like all
     others; a null doc_id comes after all others in a class. Texts without words form a class.
     """
     small_batches(spark)
-    first = setjoin.kept(docs, width=5)
+    first = simhash.near_copies(docs, width=5)
     t0, t1 = setjoin.row_hashes(docs)
-    rows = docs.join(first, (t0 == first["kept_0"]) & (t1 == first["kept_1"]))
-    return rows.dropDuplicates(["kept_0", "kept_1"]).drop("kept_id", "kept_0", "kept_1")
+    own = "row" + "_" * max(map(len, docs.columns))  # no column's name
+    rows = docs.withColumns({own + "0": t0, own + "1": t1})
+    rows = rows.join(first.select(F.col("kept_0").alias(own + "0"), F.col("kept_1").alias(own + "1")), [own + "0", own + "1"], "left_semi")
+    return rows.dropDuplicates([own + "0", own + "1"]).select(*docs.columns)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

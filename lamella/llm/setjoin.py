@@ -1,4 +1,4 @@
-"""Near duplicates by the Jaccard similarity of shingle sets, found by prefixes and decided exactly.
+"""What near-duplicate search on shingle sets shares: the sets, their verification, and an exact join by prefixes.
 
 Every text is the set of its shingles (hashed to 64 bits). With all sets in one order, two sets A and B at a
 similarity of 4/5 or more share a shingle among the first |A| // 5 + 1 and |B| // 5 + 1 of theirs, so that an equality
@@ -131,8 +131,26 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, t0, t1, w0, w1, n, bits, prefix): hashes of row and set, the set's size, parity and prefix for each row."""
+def set_fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """SimHash of each set: a bit is 1 if over half of its shingles' hashes have it."""
+    half = np.diff(bounds)
+    out = np.zeros(len(half), np.uint64)
+    for bit in range(64):
+        sums = np.append(0, np.cumsum((hashes >> np.uint64(bit)) & np.uint64(1), dtype=np.int64))
+        out |= (2 * (sums[bounds[1:]] - sums[bounds[:-1]]) > half).astype(np.uint64) << np.uint64(bit)
+    return out
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, t0, t1): the rows with their hashes."""
+    t0, t1 = row_hashes(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), t0.alias("t0"), t1.alias("t1"))
+
+
+def distinct_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(id, w0, w1, n, best, fp, bits, prefix) for each distinct set of keyed rows: hashes and size of the set, the
+    least row that has it, its SimHash, parity and prefix.
+    """
     keys, counts = _frequent(docs, width)
 
     def run(batches):
@@ -145,10 +163,14 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             first, ends = prefixes(hashes, bounds, keys, counts)
             prefix = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed(first)))
             bits = pa.array([parity(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
-            size = pa.array(np.diff(bounds).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "t0", "t1")), *own, size, bits, prefix], names=["doc_id", "t0", "t1", "w0", "w1", "n", "bits", "prefix"])
+            size, fp = pa.array(np.diff(bounds).astype(np.int32)), pa.array(signed(set_fingerprints(hashes, bounds)))
+            columns = [*(batch.column(c) for c in ("doc_id", "t0", "t1")), *own, size, fp, bits, prefix]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t0", "t1", "w0", "w1", "n", "fp", "bits", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, t0 long, t1 long, w0 long, w1 long, n int, bits binary, prefix array<long>")
+    rows = docs.mapInArrow(run, "doc_id long, t0 long, t1 long, w0 long, w1 long, n int, fp long, bits binary, prefix array<long>")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t0", "t1")).alias("best")
+    sets = _settled(rows).groupBy("w0", "w1", "n").agg(best, *(F.first(c).alias(c) for c in ("fp", "bits", "prefix")))
+    return _settled(sets.withColumn("id", F.monotonically_increasing_id()))
 
 
 def _dealt(rows: DataFrame, block: int) -> DataFrame:
@@ -207,7 +229,7 @@ def _bucket_pairs(rows: DataFrame) -> DataFrame:
     return rows.repartition(F.xxhash64("key")).sortWithinPartitions("key").mapInArrow(run, "src long, dst long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """The pairs whose sets are alike: parities leave out what cannot be, texts decide the rest."""
 
     def near(batches):
@@ -232,12 +254,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int) ->
     return _settled(both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long"))
 
 
-def links(sets: DataFrame, docs: DataFrame, width: int, star: int = STAR, block: int = BLOCK) -> DataFrame:
-    """(src, dst) of ids with alike sets; each pair of alike sets is one of them or joined by a chain of them."""
+def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one class of parts."""
+    for end in ("src", "dst"):
+        pairs = pairs.join(parts.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part")), end, "left")
+    return pairs.where(F.coalesce("src_part", "src") != F.coalesce("dst_part", "dst")).select("src", "dst")
+
+
+def links(sets: DataFrame, docs: DataFrame, width: int, parts: DataFrame | None = None, star: int = STAR, block: int = BLOCK) -> DataFrame:
+    """(src, dst) of ids with alike sets; each pair of alike sets is one of them or joined by a chain of them and of parts.
+
+    parts: (node, component) of sets that are known to be of one class, if any.
+    """
     entries = sets.where("n > 0").select("id", "n", F.posexplode("prefix").alias("pos", "key")).withColumn("part", F.col("id"))
+    across = (lambda pairs: _across(pairs, parts)) if parts is not None else (lambda pairs: pairs)
     large = cut(entries.groupBy("key").count().where(F.col("count") > star).select("key"))
     if large.isEmpty():
-        return _verified(_bucket_pairs(entries), sets, docs, width)
+        return verified(across(_bucket_pairs(entries)), sets, docs, width)
     large = F.broadcast(large) if large.count() <= MARKED else large
     small = entries.join(large, "key", "left_anti")
     rows = cut(entries.join(large, "key"))
@@ -246,27 +279,13 @@ def links(sets: DataFrame, docs: DataFrame, width: int, star: int = STAR, block:
     need = F.expr("(4 * (n + c.n) + 8) div 9")
     can = (F.least("n", "c.n") >= need) & (F.least("pos", "c.pos") + 1 + F.least(F.expr("n - pos - 1"), F.expr("c.n - c.pos - 1")) >= need)
     first = rows.join(centre, "key").where((F.col("id") != F.col("c.id")) & can).select(F.col("c.id").alias("src"), F.col("id").alias("dst"))
-    near = _verified(_bucket_pairs(small).unionByName(first).distinct(), sets, docs, width)
-    parts = connected_components(near).withColumnRenamed("node", "id")
-    rows = rows.drop("part").join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    near = verified(across(_bucket_pairs(small).unionByName(first).distinct()), sets, docs, width)
+    known = near if parts is None else near.unionByName(parts.select(F.col("component").alias("src"), F.col("node").alias("dst")).where("src != dst"))
+    joined = connected_components(known).withColumnRenamed("node", "id")
+    rows = rows.drop("part").join(joined, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     open_ = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
     rest = cut(rows.join(open_, "key"))
-    return near.unionByName(_verified(_bucket_pairs(_dealt(rest, block)), sets, docs, width))
-
-
-def kept(docs: DataFrame, width: int = 5, star: int = STAR, block: int = BLOCK) -> DataFrame:
-    """(kept_id, kept_0, kept_1) for each class of texts joined by chains of alike sets: doc_id and row hashes of the
-    row that stays. That is the one with the least doc_id (null after all others), then the least row hashes.
-    """
-    t0, t1 = row_hashes(docs)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), t0.alias("t0"), t1.alias("t1"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t0", "t1")).alias("best")
-    sets = _settled(_sets(docs, width)).groupBy("w0", "w1", "n").agg(best, F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
-    sets = _settled(sets.withColumn("id", F.monotonically_increasing_id()))
-    parts = connected_components(links(sets, docs, width, star, block))
-    named = sets.join(parts, sets["id"] == parts["node"], "left").select("best", F.coalesce("component", "id").alias("class"))
-    least = named.groupBy("class").agg(F.min("best").alias("best"))
-    return least.select(F.col("best.doc_id").alias("kept_id"), F.col("best.t0").alias("kept_0"), F.col("best.t1").alias("kept_1"))
+    return near.unionByName(verified(_bucket_pairs(_dealt(rest, block)), sets, docs, width))
 
 
 def row_hashes(docs: DataFrame) -> tuple[Column, Column]:

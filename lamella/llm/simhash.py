@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamella.llm import setjoin
 from lamella.llm.common import signed, slices
 from lamella.plans.graph import connected_components
 from lamella.session import cut
@@ -98,13 +99,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
-def _near(words: np.ndarray, i, j) -> np.ndarray:
-    """Bits in which fingerprints i and j differ; words has a row for each 64 bits of a fingerprint."""
-    return sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words)
-
-
-def _linked(keys: np.ndarray, words: np.ndarray, ids: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of ids with equal keys and fingerprints at the distance or less, as a forest; keys are sorted."""
+def _linked(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of fingerprints with equal keys at the distance or less, as a forest; keys are sorted."""
     head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     size = np.diff(np.append(head, len(keys)))
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -114,8 +110,8 @@ def _linked(keys: np.ndarray, words: np.ndarray, ids: np.ndarray, distance: int)
     at = np.flatnonzero(small)
     lag = 1
     while len(at := at[left[at] > lag]):
-        near = at[_near(words, at, at + lag) <= distance]
-        found.append((ids[near], ids[near + lag]))
+        near = at[np.bitwise_count(fps[at] ^ fps[at + lag]) <= distance]
+        found.append((near, near + lag))
         lag += 1
     # Large ones: whoever is reached looks only at those not yet reached, so a tight group costs about its size.
     for k in np.flatnonzero(size > 64).tolist():
@@ -124,60 +120,57 @@ def _linked(keys: np.ndarray, words: np.ndarray, ids: np.ndarray, distance: int)
             front, rest = [rest[0]], rest[1:]
             while front and len(rest):
                 x = front.pop()
-                hit = _near(words, x, rest) <= distance
+                hit = np.bitwise_count(fps[x] ^ fps[rest]) <= distance
                 if hit.any():
                     got = rest[hit]
-                    found.append((np.full(len(got), ids[x]), ids[got]))
+                    found.append((np.full(len(got), x), got))
                     front += got.tolist()
                     rest = rest[~hit]
     if not found:
-        return ids[:0], ids[:0]
-    return forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        return fps[:0], fps[:0]
+    a, b = (fps[np.concatenate(x)] for x in zip(*found, strict=True))
+    return forest(a, b)
 
 
-def _bucket_links(rows: DataFrame, words: list[str], distance: int, block: int) -> DataFrame:
-    """(src, dst) of ids that share a key. rows: key, id and the fingerprint's words.
+def links(fps: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
+    """(src, dst) links between distinct fingerprints (column fp) at the distance or less, as forests of buckets.
 
     Links within a bucket are a spanning forest: no component is lost, and the rows stay fewer than the bucket's
-    members. A bucket above `block` members is cut into blocks, and each pair of blocks is a bucket of its own.
+    members. A bucket above `block` members is cut into blocks, and each pair of blocks is a bucket of its own. At a
+    distance of 4 a variant has 20 or 21 bits, so a fingerprint meets about a 2 ** -20th of all others in each of its
+    64 variants: that is what the cut into few segments costs, whatever the number of tasks.
     """
+    rows = fps.select(F.explode(variants(F.col("fp"), distance)).alias("key"), "fp")
     large = cut(rows.groupBy("key").count().where(F.col("count") > block))
     if not large.isEmpty():
         sized = rows.join(large, "key", "left").withColumn("n", F.ceil(F.coalesce("count", F.lit(0)) / block).cast("int"))
-        whole = sized.where("n = 0").select("key", "id", *words)
-        split = sized.where("n > 0").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+        split = sized.where("n > 0").withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
         split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"), F.lit("pair"))
-        rows = whole.unionByName(split.select(pair.alias("key"), "id", *words))
+        rows = sized.where("n = 0").select("key", "fp").unionByName(split.select(pair.alias("key"), "fp"))
 
     def run(batches):
-        kept: list[list[np.ndarray]] = []
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
         count = 0
 
         def flush(final: bool):
             nonlocal kept, count
-            keys, ids, *own = (np.concatenate(x) for x in zip(*kept, strict=True))
+            keys, own = (np.concatenate(x) for x in zip(*kept, strict=True))
             end = len(keys) if final else int(np.searchsorted(keys, keys[-1], "left"))  # the last key may go on
-            kept, count = [[c[end:] for c in (keys, ids, *own)]], len(keys) - end
+            kept, count = [(keys[end:], own[end:])], len(keys) - end
             if end:
-                a, b = _linked(keys[:end], np.array([w[:end].view(np.uint64) for w in own]), ids[:end], distance)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
+                a, b = _linked(keys[:end], own[:end].view(np.uint64), distance)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(signed(b))], names=["src", "dst"])
 
         for batch in batches:
-            kept.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", *words)])
+            kept.append((batch.column("key").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False)))
             count += batch.num_rows
             if count > 500_000:
                 yield from flush(False)
         if count:
             yield from flush(True)
 
-    return rows.select("key", "id", *words).repartition("key").sortWithinPartitions("key").mapInArrow(run, "src long, dst long")
-
-
-def links(fps: DataFrame, distance: int = 4, block: int = BLOCK) -> DataFrame:
-    """(src, dst) links between distinct fingerprints (column fp) at the distance or less, as forests of buckets."""
-    rows = fps.select(F.explode(variants(F.col("fp"), distance)).alias("key"), F.col("fp").alias("id"), F.col("fp").alias("w0"))
-    return _bucket_links(rows, ["w0"], distance, block)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
@@ -191,62 +184,30 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataF
     return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Two seeds make a fingerprint of 128 bits. SIMILAR is the distance up to which two of them count as near copies:
-#: sets of shingles with a Jaccard similarity of 0.8 differ in 19 of 128 bits on average (four either way), unrelated
-#: ones in 64.
-SEEDS = (42, 1729)
-SIMILAR = 24
-SEGMENT_BITS = 16
-
+def near_copies(docs: DataFrame, width: int = 5, distance: int = 4, star: int = setjoin.STAR, block: int = setjoin.BLOCK) -> DataFrame:
+    """(kept_id, kept_0, kept_1): for each class of near copies the doc_id and row hashes (row_hashes) of the row that stays.
 
-def wide_variants(words: list[np.ndarray]) -> np.ndarray:
-    """One-wildcard variants (a row for each fingerprint) of twelve segments of 16 bits: eight side by side, four of
-    every fourth bit.
+    Near copies are texts whose sets of `width`-word shingles have a Jaccard similarity of 0.8 or more; a class is what
+    chains of them join. The fingerprints of the sets, found to be near by their variants, give the first links; each
+    is verified on the sets themselves, and what they join is one class from then on. At a similarity of 0.8 the
+    fingerprints of two sets differ in ten of 64 bits on average, more than variants can find, so the rest is an exact
+    join of the sets by prefixes (setjoin), which compares only sets of different classes. No link is lost.
 
-    Texts at a similarity of 0.8 share a variant of one segment with a probability of 0.28, of some with 0.98.
+    The row that stays has the least doc_id of its class (null after all others), then the least row hashes.
     """
-    segments = [(w >> np.uint64(16 * part)) & np.uint64(0xFFFF) for w in words for part in range(4)]
-    for w in words:
-        for first in (0, 2):
-            segments.append(sum(((w >> np.uint64(4 * k + first)) & np.uint64(1)) << np.uint64(k) for k in range(SEGMENT_BITS)))
-    out = np.empty((len(words[0]), len(segments) * SEGMENT_BITS), np.int64)
-    for s, value in enumerate(segments):
-        for i in range(SEGMENT_BITS):
-            low = np.uint64((1 << i) - 1)
-            out[:, s * SEGMENT_BITS + i] = (((value >> np.uint64(i + 1)) << np.uint64(i)) | (value & low) | np.uint64((s * 64 + i) << 32)).astype(np.int64)
-    return out
-
-
-def _wide_rows(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            words = [part.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("w0", "w1")]
-            keys = wide_variants(words)
-            row = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(part.column(c).take(row) for c in ("id", "w0", "w1"))], names=["key", "id", "w0", "w1"])
-
-
-def similar(docs: DataFrame, width: int = 5, distance: int = SIMILAR) -> DataFrame:
-    """(doc_id, component_id) of texts whose `width`-word shingles are alike (Jaccard similarity about 0.8 and more).
-
-    As near_duplicates, with fingerprints of 128 bits. Rows with a null doc_id are classed by the doc_ids they
-    reach, and have a null component_id if there is none.
-    """
-
-    def run(batches):
-        for batch in slices(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            own = [pa.array(signed(np.array([fingerprint(t, width, seed) for t in texts], dtype=np.uint64))) for seed in SEEDS]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *own], names=["doc_id", "w0", "w1"])
-
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut(docs.mapInArrow(run, "doc_id long, w0 long, w1 long"))
-    distinct = cut(rows.groupBy("w0", "w1").agg(F.min("doc_id").alias("id")))
-    known = distinct.where("id is not null")
-    parts = connected_components(_bucket_links(known.select("id", "w0", "w1").mapInArrow(_wide_rows, "key long, id long, w0 long, w1 long"), ["w0", "w1"], distance, BLOCK))
-    named = distinct.join(parts, distinct.id == parts.node, "left").select("w0", "w1", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(named, ["w0", "w1"]).select("doc_id", "component_id")
+    docs = setjoin.keyed(docs)
+    sets = setjoin.distinct_sets(docs, width)
+    named = cut(sets.where("n > 0").groupBy("fp").agg(F.min("id").alias("first")))
+    same = sets.where("n > 0").select("id", "fp").join(named, "fp").where("id != first").select(F.col("first").alias("src"), F.col("id").alias("dst"))
+    near = links(named.select("fp"), distance).join(named.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src")
+    near = near.join(named.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst")
+    pairs = same.unionByName(near.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))).distinct()
+    first = setjoin.verified(pairs, sets, docs, width)
+    rest = setjoin.links(sets, docs, width, connected_components(first), star, block)
+    parts = connected_components(first.unionByName(rest))
+    classes = sets.join(parts, sets["id"] == parts["node"], "left").select("best", F.coalesce("component", "id").alias("class"))
+    least = classes.groupBy("class").agg(F.min("best").alias("best"))
+    return least.select(F.col("best.doc_id").alias("kept_id"), F.col("best.t0").alias("kept_0"), F.col("best.t1").alias("kept_1"))
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lamella.llm import setjoin
+from lamella.llm import setjoin, simhash
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
@@ -67,10 +67,17 @@ def test_large_buckets(spark, block, marked, monkeypatch):
     monkeypatch.setattr(setjoin, "MARKED", marked)
     rows = varied(3)
     docs = frame(spark, rows)
-    got = sorted((r["kept_id"] is None, r["kept_id"] or 0) for r in setjoin.kept(docs, star=3, block=block).collect())
+    got = sorted((r["kept_id"] is None, r["kept_id"] or 0) for r in simhash.near_copies(docs, star=3, block=block).collect())
     assert got == survivors(rows)
 
 
+def test_fingerprints_of_sets():
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (0, 1, 2, 50)]
+    got = setjoin.set_fingerprints(np.concatenate(sets), np.cumsum([0, 0, 1, 2, 50]))
+    assert got.tolist() == [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s)) for s in sets]
+
+
 def test_parity_bounds_the_difference():
     rng = np.random.default_rng(5)
     for n in (0, 1, 64, 65, 300, 1000):
@@ -94,6 +101,6 @@ def test_rows_without_own_id(spark):
 def test_corpus(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
-    got = corpus_pipeline.near_dedup(spark, docs.withColumn("t0", F.lit(1)), SF)
-    assert got.columns == [*docs.columns, "t0"]
+    got = corpus_pipeline.near_dedup(spark, docs.withColumns({"t0": F.lit(1), "kept_0": F.lit(2), "fp": F.lit(3)}), SF)
+    assert got.columns == [*docs.columns, "t0", "kept_0", "fp"]
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == survivors(rows)
