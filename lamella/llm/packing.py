@@ -1,10 +1,13 @@
 """Harmonic packing of tokenised documents into sequences of a fixed capacity.
 
-Lengths fall into reciprocal-capacity classes: a piece of class k fills 1 / k of a sequence, and a bin of class k
-holds exactly k pieces. Which bin a piece goes to depends only on how many pieces of its class its own task has
-seen, so every task packs for itself and nothing is shuffled. With k = 1, 2, 4, ... and documents that may be cut,
-a document is its whole sequences and one piece for each binary digit of the rest: every bin is full. What a task
-has left of a class at its end makes bins of a power of two tokens, which need no padding either.
+Lengths fall into reciprocal-capacity classes: a document of class k is longer than 1 / (k + 1) of a sequence and not
+longer than 1 / k, and a bin of class k holds exactly k documents, whole. Which bin a document goes to depends only on
+what its own task has seen, so every task packs for itself and nothing is shuffled.
+
+A document longer than a sequence is cut into whole sequences and a tail. What k documents leave free of their bin is
+filled with pieces of such tails, or, where there is none, of the next document; free space below a 64th of the
+capacity stays. At its end a task strings together what waits in incomplete bins and cuts it into sequences, the last
+of them into powers of two, which need no padding.
 
 Null text is an empty text, which is one end token. Null doc_ids and repeated rows are packed like any other row.
 Extra columns are ignored; an empty table gives no pieces.
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -80,37 +84,113 @@ def encoder(tokenizer: str | None = None, ranks: str | None = None, pattern: str
     return _ENCODERS[key]
 
 
-def cuts(n: int, capacity: int) -> list[int]:
-    """Piece lengths of a document of n tokens: whole capacities, then the binary digits of the rest, largest first."""
-    whole, rest = divmod(n, capacity)
-    return [capacity] * whole + [1 << b for b in range(capacity.bit_length() - 2, -1, -1) if rest >> b & 1]
+class Piece:
+    """Tokens of a document from `start` on: four bytes each in data, of `total` in the document."""
+
+    def __init__(self, doc_id, start: int, data: bytes, total: int):
+        self.doc_id, self.start, self.data, self.total = doc_id, start, data, total
+
+    def __len__(self) -> int:
+        return len(self.data) // 4
+
+    def head(self, n: int) -> Piece:
+        """Take n tokens off the start."""
+        out = Piece(self.doc_id, self.start, self.data[: 4 * n], self.total)
+        self.start, self.data = self.start + n, self.data[4 * n :]
+        return out
 
 
 class Bins:
-    """The open bin of each class of one task; rows come out when their bin's length is known."""
+    """The open bins of one task; finished ones come out of add() and rest() as rows."""
+
+    #: Tails that wait as filling; older ones are classed as documents.
+    WAITING = 64
 
     def __init__(self, first_id: int, capacity: int):
-        self.next_id, self.capacity, self.open = first_id, capacity, {}
+        self.next_id, self.capacity, self.least = first_id, capacity, max(1, capacity // 64)
+        self.classes: dict[int, list[Piece]] = {}
+        self.filling: deque[Piece] = deque()
+        self.gaps: deque[list[Piece]] = deque()  # bins with their k documents and free space
+
+    def _row(self, pieces: list[Piece]) -> list[tuple]:
+        out, offset = [], 0
+        for p in pieces:
+            out.append((p.doc_id, p.start, len(p), zlib.crc32(p.data), p.total, self.next_id, offset))
+            offset += len(p)
+        self.next_id += 1
+        return out
 
-    def add(self, size: int, row: tuple) -> list[tuple]:
-        waiting = self.open.setdefault(size, [])
-        waiting.append(row)
-        return self._close(waiting, size) if len(waiting) * size == self.capacity else []
+    def _class(self, piece: Piece) -> list[tuple]:
+        k = self.capacity // len(piece)
+        waiting = self.classes.setdefault(k, [])
+        waiting.append(piece)
+        if len(waiting) < k:
+            return []
+        self.classes[k] = []
+        if self.capacity - sum(map(len, waiting)) < self.least:
+            return self._row(waiting)
+        self.gaps.append(waiting)
+        return []
+
+    def _fill(self) -> list[tuple]:
+        """Fill bins as long as there is filling; no piece of less than the least length is cut off or left."""
+        out = []
+        while self.gaps and self.filling:
+            pieces = self.gaps.popleft()
+            free = self.capacity - sum(map(len, pieces))
+            while free >= self.least and self.filling:
+                piece = self.filling[0]
+                n = len(piece)
+                if n > free:
+                    n = free if n - free >= self.least else n - self.least
+                    if n < self.least:
+                        out += self._class(self.filling.popleft())
+                        continue
+                    pieces.append(piece.head(n))
+                else:
+                    pieces.append(self.filling.popleft())
+                free -= n
+            if free < self.least:
+                out += self._row(pieces)
+            else:
+                self.gaps.append(pieces)
+        return out
 
-    def _close(self, waiting: list[tuple], size: int) -> list[tuple]:
-        out = [(*row, self.next_id, k * size) for k, row in enumerate(waiting)]
-        self.next_id += 1
-        waiting.clear()
+    def add(self, doc_id, data: bytes) -> list[tuple]:
+        out, piece = [], Piece(doc_id, 0, data, len(data) // 4)
+        while len(piece) >= self.capacity:
+            out += self._row([piece.head(self.capacity)])
+        if len(piece):
+            if piece.start or self.gaps:
+                self.filling.append(piece)
+            else:
+                out += self._class(piece)
+            out += self._fill()
+            if len(self.filling) > self.WAITING:
+                out += self._class(self.filling.popleft())
         return out
 
     def rest(self) -> list[tuple]:
-        """What is left, in bins of a power of two pieces."""
-        out = []
-        for size, waiting in self.open.items():
-            while waiting:
-                n = 1 << (len(waiting).bit_length() - 1)
-                part, waiting = waiting[:n], waiting[n:]
-                out += self._close(part, size)
+        """What waits, in whole sequences and at last powers of two."""
+        self.filling.extend(p for k in sorted(self.classes) for p in self.classes[k])
+        self.classes = {}
+        out = self._fill()
+        for k in sorted(self.classes):  # what was too short to be cut
+            self.filling.extend(self.classes[k])
+        for pieces in self.gaps:
+            self.filling.extend(pieces)
+        left = sum(map(len, self.filling))
+        while left:
+            size = min(self.capacity, 1 << (left.bit_length() - 1))
+            pieces, free = [], size
+            while free:
+                n = min(free, len(self.filling[0]))
+                pieces.append(self.filling[0].head(n))
+                if not len(self.filling[0]):
+                    self.filling.popleft()
+                free -= n
+            out += self._row(pieces)
+            left -= size
         return out
 
 
@@ -133,11 +213,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, tokenizer: str
         for batch in slices(batches, "text"):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = ids_of(text or "").tobytes() + end
-                total, at = len(data) // 4, 0
-                for size in cuts(total, capacity):
-                    rows += bins.add(size, (doc_id, at, size, zlib.crc32(data[4 * at : 4 * (at + size)]), total))
-                    at += size
+                rows += bins.add(doc_id, ids_of(text or "").tobytes() + end)
             if rows:
                 yield batch_of(rows)
         if rows := bins.rest():
