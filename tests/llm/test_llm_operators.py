@@ -411,6 +411,50 @@ def test_neighbours(spark):
     assert ann.search(frame.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def recall(got, x, queries):
+    found = collections.defaultdict(set)
+    for r in got:
+        found[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for q in queries:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len(found[q] & set(np.lexsort((np.arange(len(x)), d))[:10].tolist()))
+    return hit / (10 * len(queries))
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_recall_on_the_corpus(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
+    x = np.array([r["embedding"] for r in rows.orderBy("vec_id").collect()], float)
+    got = ann.search(rows, F.col("vec_id") % 100 == 0).collect()
+    assert ann.PER_PARTITION < len(x) / 1.9  # more than one partition
+    assert len(got) == len(x) // 100 * 10 and recall(got, x, range(0, len(x), 100)) >= 0.9
+
+
+def test_levels_of_partitions(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MOST", 6)
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((40, 6))[rng.integers(0, 40, 3000)] * 5 + rng.standard_normal((3000, 6))
+    got = ann.search(vectors(spark, x), F.col("vec_id") % 100 == 0, sample=600, per_partition=90, chunk=200, most=6).collect()
+    assert len(got) == 300 and recall(got, x.astype("f4").astype(float), range(0, 3000, 100)) >= 0.9
+
+
+def test_huge_and_tiny_components_and_shared_ids(spark):
+    rng = np.random.default_rng(11)
+    for scale in (1e160, 1e-170):
+        x = rng.standard_normal((60, 4)) * scale
+        frame = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+        got = ann.search(frame, F.col("vec_id") == 0).orderBy("rank").collect()
+        d = np.array([np.sqrt((((v - x[0]) / scale) ** 2).sum()) for v in x])
+        d[0] = np.inf
+        assert [r["vec_id"] for r in got] == np.argsort(d)[:10].tolist()
+        assert got[0]["score"] == pytest.approx(d.min() * scale)
+    rows = [(0, [1.0, 0.0]), (0, [5.0, 5.0]), (1, [1.0, 1.0]), (2, [9.0, 9.0]), (2, [1.0, 0.5])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(2, 0.5), (1, 1.0), (2, pytest.approx(145**0.5))]
+
+
 def test_partition_is_balanced():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((600, 4))
