@@ -11,12 +11,15 @@ Consecutive windows at such nodes join into the repeats.
 2. Every batch of documents sends each group the keys of its suffixes, each once, sorted and delta-coded. A key
    that no other batch has is a leaf of its own: its suffix goes no further.
 3. The rest go to their group, sorted and front-coded: the length of the prefix shared with the suffix before, then
-   the words that follow, with the smallest document they start in. The group merges them into the suffix array of
-   its subtree with the lengths of common prefixes, which is the tree; neighbours that share the window's depth
-   stand below one deep internal node. Each node yields its smallest document, and the batches learn which of their
-   leaves stand below a node with a smaller one.
-
-A word is its 64-bit hash in the trees, in their order; two words of equal hashes would be taken for one. A batch
+   the words that follow, with the smallest document they start in. Beyond the first HEAD words a path is compact:
+   the nodes there that are less deep than the window give no repeat of its length, so the edge over them is one
+   symbol, a 64-bit fingerprint of its words. The group merges the suffixes into the suffix array of its subtree with
+   the lengths of common prefixes, which is the tree; neighbours that share the window's depth stand below one deep
+   internal node. Each node yields its smallest document, and the batches learn which of their leaves stand below a
+   node with a smaller one.
+
+A word is 40 bits of its hash in the trees, in their order. For different windows to be taken for one, the keys of 34
+bits, the words of the head and the fingerprint of the rest have to agree at once. A batch
 sends a word sequence once however often it occurs, so a passage that a third of all documents share costs a row
 per batch. A batch writes rows for the groups that it has suffixes of, so their number is bounded by the suffixes,
 not by batches times groups. Documents are shuffled once; the later passes reuse that exchange.
@@ -45,6 +48,8 @@ SUBTREE = 2_000_000
 CLASSES = 1 << 16
 #: Bits of the key of the first exchange, besides the group.
 KEY_BITS = 34
+#: Words of a suffix that are symbols of their own, and bits of a word's hash that the symbol keeps.
+HEAD, WORD_BITS = 3, 40
 LAST = np.int64(2**63 - 1)
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -124,26 +129,28 @@ class Partitions:
         return (mixed((sums[starts + n] - sums[starts]) * down[starts] + n.astype(np.uint64)) % np.uint64(self.groups)).astype(np.int64)
 
 
-def sort_suffixes(rows: np.ndarray, size: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Order of suffixes given as rows of symbols below `size` (by `first`, if given, before all), and for each in that
-    order the symbols it shares with the one before; -1 where `first` differs.
+def sort_suffixes(heads: np.ndarray, tails: np.ndarray, window: int, size: int, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes given as rows of symbols below `size` and the fingerprint of what follows up to the window, and
+    the symbols that each in that order shares with the one before (all of the window with the fingerprint). With
+    `first`, that comes before all in the order, and suffixes that differ in it share -1.
     """
-    n, window = rows.shape
+    n, head = heads.shape
     bits = max(int(size - 1).bit_length(), 1)
     per = 63 // bits
     keys = []
-    for a in range(0, window, per):
+    for a in range(0, head, per):
         packed = np.zeros(n, np.int64)
-        for c in range(a, min(a + per, window)):
-            packed = (packed << bits) | rows[:, c]
+        for c in range(a, min(a + per, head)):
+            packed = (packed << bits) | heads[:, c]
         keys.append(packed)
-    order = np.lexsort((*keys[::-1], *(() if first is None else (first,))))
-    rows = rows[order]
+    order = np.lexsort((tails, *keys[::-1], *(() if first is None else (first,))))
+    heads, tails = heads[order], tails[order]
     common = np.zeros(n, np.int8)
     alive = np.ones(max(n - 1, 0), bool)
-    for c in range(window):
-        alive &= rows[1:, c] == rows[:-1, c]
+    for c in range(head):
+        alive &= heads[1:, c] == heads[:-1, c]
         common[1:] += alive
+    common[1:][alive & (tails[1:] == tails[:-1])] = window
     if n:
         common[0] = -1
     if first is not None:
@@ -151,17 +158,17 @@ def sort_suffixes(rows: np.ndarray, size: int, first: np.ndarray | None = None)
     return order, common
 
 
-def front_coded(rows: np.ndarray, common: np.ndarray, names: np.ndarray, docs: np.ndarray) -> bytes:
+def front_coded(heads: np.ndarray, tails: np.ndarray, common: np.ndarray, names: np.ndarray, docs: np.ndarray) -> bytes:
     """Sorted suffixes of one group (symbols are places in names), each with a document."""
-    own, at = np.unique(rows, return_inverse=True)
-    rest = at.reshape(rows.shape)[np.arange(rows.shape[1])[None, :] >= common[:, None]]
+    own, at = np.unique(heads, return_inverse=True)
+    rest = at.reshape(heads.shape)[np.arange(heads.shape[1])[None, :] >= common[:, None]]
     ids, doc = np.unique(docs, return_inverse=True)
-    pieces = [pack_bytes(np.diff(names[own], prepend=np.uint64(0))), pack_bytes(common), pack_bytes(rest.astype(np.uint32)), pack_bytes(ids), pack_bytes(doc.astype(np.uint32))]
+    pieces = [pack_bytes(np.diff(names[own], prepend=np.uint64(0))), pack_bytes(common), pack_bytes(rest.astype(np.uint32)), tails.tobytes(), pack_bytes(ids), pack_bytes(doc.astype(np.uint32))]
     return b"".join(len(p).to_bytes(8, "little") + p for p in pieces)
 
 
-def front_decoded(data: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names, rows of places in names, documents) as they were coded."""
+def front_decoded(data: bytes, head: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(names, rows of places in names, fingerprints, documents) as they were coded."""
     pieces, at = [], 0
     while at < len(data):
         n = int.from_bytes(data[at : at + 8], "little")
@@ -169,12 +176,12 @@ def front_decoded(data: bytes, window: int) -> tuple[np.ndarray, np.ndarray, np.
         at += 8 + n
     names = np.cumsum(unpack_bytes(pieces[0], np.uint64), dtype=np.uint64)
     common = unpack_bytes(pieces[1], np.int8)
-    told = np.arange(window)[None, :] >= common[:, None]
+    told = np.arange(head)[None, :] >= common[:, None]
     rows = np.zeros(told.shape, np.int64)
     rows[told] = unpack_bytes(pieces[2], np.uint32)
     source = np.where(told, np.arange(len(common))[:, None], 0)
     rows = np.take_along_axis(rows, np.maximum.accumulate(source, axis=0), axis=0)
-    return names, rows, unpack_bytes(pieces[3], np.int64)[unpack_bytes(pieces[4], np.uint32)]
+    return names, rows, np.frombuffer(pieces[3], np.uint64), unpack_bytes(pieces[4], np.int64)[unpack_bytes(pieces[5], np.uint32)]
 
 
 def deep_nodes(common: np.ndarray, window: int) -> np.ndarray:
@@ -205,22 +212,23 @@ class Batch:
     def sort(self, which: np.ndarray) -> None:
         """Sort the suffixes at these places by group and words; distinct ones are numbered in node (-1: not asked for)."""
         at = np.flatnonzero(which)
-        used = np.zeros(len(self.words) + 1, np.int64)
-        np.add.at(used, self.starts[at], 1)
-        np.add.at(used, self.starts[at] + self.window, -1)
-        inside = np.cumsum(used[:-1]) > 0
-        self.names, name = np.unique(self.words[inside], return_inverse=True)
-        symbols = np.zeros(len(self.words), np.int64)
+        head = min(HEAD, self.window - 1)
+        places = self.starts[at][:, None] + np.arange(head)[None, :]
+        inside = np.zeros(len(self.words), bool)
+        inside[places] = True
+        self.names, name = np.unique(self.words[inside] >> np.uint64(64 - WORD_BITS), return_inverse=True)
+        symbols = np.zeros(len(self.words), np.int32)
         symbols[inside] = name
-        rows = symbols[self.starts[at][:, None] + np.arange(self.window)[None, :]].astype(np.int32)
-        order, common = sort_suffixes(rows, max(len(self.names), 1), self.group[at])
+        rows = symbols[places]
+        tails = run_hashes(self.words, self.window - head, 21)[self.starts[at] + head] if len(at) else np.zeros(0, np.uint64)
+        order, common = sort_suffixes(rows, tails, self.window, max(len(self.names), 1), self.group[at])
         node = deep_nodes(common, self.window)
         self.node = np.full(len(self.starts), -1, np.int64)
         self.node[at[order]] = node
-        head = np.flatnonzero(common < self.window)
-        self.rows, self.common = rows[order[head]], common[head]
-        self.node_group = self.group[at[order[head]]]
-        self.least = np.minimum.reduceat(self.doc[at[order]], head) if len(head) else np.zeros(0, np.int64)
+        own = np.flatnonzero(common < self.window)
+        self.rows, self.tails, self.common = rows[order[own]], tails[order[own]], common[own]
+        self.node_group = self.group[at[order[own]]]
+        self.least = np.minimum.reduceat(self.doc[at[order]], own) if len(own) else np.zeros(0, np.int64)
 
 
 def runs(sorted_values: np.ndarray):
@@ -281,16 +289,16 @@ def remove_repeats(docs: DataFrame, window: int = 13, batch_bytes: int = BATCH_B
         batch.sort(shared(batch, replies)[batch.of_key])
         rows = []
         for g, a, b in runs(batch.node_group):
-            rows.append((g, key[0].as_py(), b - a, front_coded(batch.rows[a:b], batch.common[a:b], batch.names, batch.least[a:b])))
+            rows.append((g, key[0].as_py(), b - a, front_coded(batch.rows[a:b], batch.tails[a:b], batch.common[a:b], batch.names, batch.least[a:b])))
         return _blobs(rows)
 
     def subtree_leaves(key, table):
         """The subtree of a group; which leaves of each batch stand below a deep node with a smaller document."""
-        names, rows, docs_ = zip(*(front_decoded(data, window) for data in table["data"].to_pylist()), strict=True)
+        names, rows, tails, docs_ = zip(*(front_decoded(data, min(HEAD, window - 1)) for data in table["data"].to_pylist()), strict=True)
         every = np.unique(np.concatenate(names))
         rows = np.concatenate([np.searchsorted(every, own).astype(np.int32)[r] for own, r in zip(names, rows, strict=True)])
         doc = np.concatenate(docs_)
-        order, common = sort_suffixes(rows, len(every))
+        order, common = sort_suffixes(rows, np.concatenate(tails), window, len(every))
         node = deep_nodes(common, window)
         least = np.minimum.reduceat(doc[order], np.flatnonzero(common < window))[node]
         smaller = np.empty(len(order), bool)

@@ -32,16 +32,16 @@ def test_every_suffix_has_one_prefix_group(groups):
 
 def test_front_coding_and_nodes():
     rng = np.random.default_rng(2)
-    rows = rng.integers(0, 3, (500, 6))
-    names = np.sort(rng.integers(0, 2**63, 3, dtype=np.uint64))
+    heads, tails = rng.integers(0, 3, (500, 3)), rng.integers(0, 2**63, 2, dtype=np.uint64)[rng.integers(0, 2, 500)]
+    names = np.sort(rng.integers(0, 2**40, 3, dtype=np.uint64))
     docs = rng.integers(-5, 5, 500)
-    order, common = trees.sort_suffixes(rows.astype(np.int32), 3)
-    want = sorted(range(500), key=lambda k: (rows[k].tolist(), k))
-    assert order.tolist() == want
+    order, common = trees.sort_suffixes(heads.astype(np.int32), tails, 13, 3)
+    rows = [(*h, int(t)) for h, t in zip(heads.tolist(), tails.tolist(), strict=True)]
+    assert order.tolist() == sorted(range(500), key=lambda k: (rows[k], k))
     for k in range(1, 500):
         a, b = rows[order[k - 1]], rows[order[k]]
-        assert common[k] == (6 if (a == b).all() else int(np.argmax(a != b)))
-    back = trees.front_decoded(trees.front_coded(rows[order], common, names, docs[order]), 6)
-    assert np.array_equal(names[rows[order]], back[0][back[1]]) and np.array_equal(back[2], docs[order])
-    node = trees.deep_nodes(common, 6)
-    assert node[-1] + 1 == len({tuple(r) for r in rows.tolist()})
+        assert common[k] == (13 if a == b else next((c for c in range(3) if a[c] != b[c]), 3))
+    back = trees.front_decoded(trees.front_coded(heads[order], tails[order], common, names, docs[order]), 3)
+    assert np.array_equal(names[heads[order]], back[0][back[1]]) and np.array_equal(back[2], tails[order]) and np.array_equal(back[3], docs[order])
+    node = trees.deep_nodes(common, 13)
+    assert node[-1] + 1 == len(set(rows))
