@@ -16,7 +16,7 @@ import gc
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.llm.common import mixed, raw, run_hashes, signed, slices, span_hashes, word_bounds
@@ -26,9 +26,11 @@ from lamella.session import cut
 #: One text in SAMPLED counts for the order of shingles; the FREQUENT most frequent of them come last.
 SAMPLED = 8
 FREQUENT = 1 << 18
-#: Buckets above STAR members are compared with one of them first, then only across the classes found; those above
-#: BLOCK are dealt as pairs of blocks. Up to MARKED large buckets are told to the tasks, more are joined.
+#: Buckets above STAR members are compared with some of them first, CENTRES in two rounds, then only across the classes
+#: found; those above BLOCK are dealt as pairs of blocks. Up to MARKED large buckets are told to the tasks, more are
+#: joined.
 STAR = 64
+CENTRES = (8, 64)
 BLOCK = 20_000
 MARKED = 1 << 17
 
@@ -97,9 +99,13 @@ def _possible(n, m, p, q):
     return (np.minimum(n, m) >= need) & (np.minimum(p, q) + 1 + np.minimum(n - p - 1, m - q - 1) >= need)
 
 
-def parity(hashes: np.ndarray) -> bytes:
+#: Bits of the parity that every set has beside its own.
+SKETCH = 512
+
+
+def parity(hashes: np.ndarray, bits: int | None = None) -> bytes:
     """The parity of a set in as many bits as it has shingles, up to a power of two; 64 at least."""
-    bits = max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64
+    bits = bits or (max(64, 1 << (len(hashes) - 1).bit_length()) if len(hashes) else 64)
     return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
@@ -148,8 +154,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def distinct_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, w0, w1, n, best, fp, bits, prefix) for each distinct set of keyed rows: hashes and size of the set, the
-    least row that has it, its SimHash, parity and prefix.
+    """(id, w0, w1, n, best, fp, bits, sketch, prefix) for each distinct set of keyed rows: hashes and size of the set,
+    the least row that has it, its SimHash, parities and prefix.
     """
     keys, counts = _frequent(docs, width)
 
@@ -162,14 +168,15 @@ def distinct_sets(docs: DataFrame, width: int) -> DataFrame:
                 own.append(pa.array(signed(sums[bounds[1:]] - sums[bounds[:-1]])))
             first, ends = prefixes(hashes, bounds, keys, counts)
             prefix = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(signed(first)))
-            bits = pa.array([parity(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+            cut_ = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            bits, sketch = pa.array([parity(h) for h in cut_], pa.binary()), pa.array([parity(h, SKETCH) for h in cut_], pa.binary())
             size, fp = pa.array(np.diff(bounds).astype(np.int32)), pa.array(signed(set_fingerprints(hashes, bounds)))
-            columns = [*(batch.column(c) for c in ("doc_id", "t0", "t1")), *own, size, fp, bits, prefix]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t0", "t1", "w0", "w1", "n", "fp", "bits", "prefix"])
+            columns = [*(batch.column(c) for c in ("doc_id", "t0", "t1")), *own, size, fp, bits, sketch, prefix]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t0", "t1", "w0", "w1", "n", "fp", "bits", "sketch", "prefix"])
 
-    rows = docs.mapInArrow(run, "doc_id long, t0 long, t1 long, w0 long, w1 long, n int, fp long, bits binary, prefix array<long>")
+    rows = docs.mapInArrow(run, "doc_id long, t0 long, t1 long, w0 long, w1 long, n int, fp long, bits binary, sketch binary, prefix array<long>")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t0", "t1")).alias("best")
-    sets = _settled(rows).groupBy("w0", "w1", "n").agg(best, *(F.first(c).alias(c) for c in ("fp", "bits", "prefix")))
+    sets = _settled(rows).groupBy("w0", "w1", "n").agg(best, *(F.first(c).alias(c) for c in ("fp", "bits", "sketch", "prefix")))
     return _settled(sets.withColumn("id", F.monotonically_increasing_id()))
 
 
@@ -186,7 +193,10 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
 
 
 def _bucket_pairs(rows: DataFrame) -> DataFrame:
-    """(src, dst) of ids that share a key, differ in part and can be alike. rows: key, id, n, pos, part."""
+    """(src, dst) of ids that share a key, differ in part and can be alike. rows: key, id, n, pos, part, and perhaps
+    sketch: then pairs whose parities differ in too many bits are left out here, before anything is written of them.
+    """
+    names = ["key", "id", "n", "pos", "part", *(["sketch"] if "sketch" in rows.columns else [])]
 
     def run(batches):
         kept: list[list[np.ndarray]] = []
@@ -200,13 +210,16 @@ def _bucket_pairs(rows: DataFrame) -> DataFrame:
             kept, count = [[c[end:] for c in columns]], len(keys) - end
             if not end:
                 return
-            keys, ids, n, pos, part = (c[:end] for c in columns)
+            keys, ids, n, pos, part, *sketch = (c[:end] for c in columns)
             head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
             size = np.diff(np.append(head, end))
             left = np.repeat(head + size, size) - np.arange(end)
             at, lag, found, waiting = np.arange(end), 1, [], 0
             while len(at := at[left[at] > lag]) or found:
                 hit = at[(part[at] != part[at + lag]) & _possible(n[at], n[at + lag], pos[at], pos[at + lag])]
+                if sketch:
+                    apart = np.bitwise_count(sketch[0][hit] ^ sketch[0][hit + lag]).sum(axis=1, dtype=np.int64)
+                    hit = hit[9 * apart <= n[hit].astype(np.int64) + n[hit + lag]]
                 found.append((ids[hit], ids[hit + lag]))
                 waiting += len(hit)
                 lag += 1
@@ -217,14 +230,15 @@ def _bucket_pairs(rows: DataFrame) -> DataFrame:
                     found, waiting = [], 0
 
         for batch in batches:
-            kept.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "n", "pos", "part")])
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in names[:5]]
+            kept.append(own + [raw(batch.column(c))[0].view(np.uint64).reshape(-1, SKETCH // 64) for c in names[5:]])
             count += batch.num_rows
             if count > 500_000:
                 yield from flush(False)
         if count:
             yield from flush(True)
 
-    rows = rows.select("key", "id", "n", "pos", "part")
+    rows = rows.select(*names)
     # Dealt by a hash of the key: a deal by the key itself is left out after a join on it, whose readers may split keys.
     return rows.repartition(F.xxhash64("key")).sortWithinPartitions("key").mapInArrow(run, "src long, dst long").distinct()
 
@@ -261,31 +275,48 @@ def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("src_part", "src") != F.coalesce("dst_part", "dst")).select("src", "dst")
 
 
+def _centred(rows: DataFrame, most: int) -> DataFrame:
+    """(src, dst): each row with `most` rows of its bucket, chosen by the hash of their ids, of other classes."""
+    order = Window.partitionBy("key").orderBy(F.xxhash64("id"))
+    centres = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    centres = centres.select(F.col("key").alias("c_key"), F.col("id").alias("c_id"), F.col("n").alias("c_n"), F.col("pos").alias("c_pos"), F.col("part").alias("c_part"))
+    need = F.expr("(4 * (n + c_n) + 8) div 9")
+    can = (F.least("n", "c_n") >= need) & (F.least("pos", "c_pos") + 1 + F.least(F.expr("n - pos - 1"), F.expr("c_n - c_pos - 1")) >= need)
+    met = rows.join(centres, (F.col("key") == F.col("c_key")) & (F.col("part") != F.col("c_part")) & can)
+    return met.select(F.least("id", "c_id").alias("src"), F.greatest("id", "c_id").alias("dst")).distinct()
+
+
+def _classed(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """rows with the class of their id as part."""
+    parts = connected_components(linked).withColumnRenamed("node", "id")
+    return rows.drop("part").join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+
+
 def links(sets: DataFrame, docs: DataFrame, width: int, parts: DataFrame | None = None, star: int = STAR, block: int = BLOCK) -> DataFrame:
     """(src, dst) of ids with alike sets; each pair of alike sets is one of them or joined by a chain of them and of parts.
 
-    parts: (node, component) of sets that are known to be of one class, if any.
+    parts: (node, component) of sets that are known to be of one class, if any. The members of a large bucket that are
+    alike are brought into one class first, by comparing each with few others of the largest bucket that it is in; a
+    tight group gives hardly any pairs after that. All pairs that are left between classes are compared then.
     """
     entries = sets.where("n > 0").select("id", "n", F.posexplode("prefix").alias("pos", "key")).withColumn("part", F.col("id"))
     across = (lambda pairs: _across(pairs, parts)) if parts is not None else (lambda pairs: pairs)
-    large = cut(entries.groupBy("key").count().where(F.col("count") > star).select("key"))
+    large = cut(entries.groupBy("key").count().where(F.col("count") > star))
     if large.isEmpty():
         return verified(across(_bucket_pairs(entries)), sets, docs, width)
     large = F.broadcast(large) if large.count() <= MARKED else large
     small = entries.join(large, "key", "left_anti")
     rows = cut(entries.join(large, "key"))
-    # A tight group is one class after this, and gives no more pairs below.
-    centre = rows.groupBy("key").agg(F.min(F.struct("id", "n", "pos")).alias("c"))
-    need = F.expr("(4 * (n + c.n) + 8) div 9")
-    can = (F.least("n", "c.n") >= need) & (F.least("pos", "c.pos") + 1 + F.least(F.expr("n - pos - 1"), F.expr("c.n - c.pos - 1")) >= need)
-    first = rows.join(centre, "key").where((F.col("id") != F.col("c.id")) & can).select(F.col("c.id").alias("src"), F.col("id").alias("dst"))
-    near = verified(across(_bucket_pairs(small).unionByName(first).distinct()), sets, docs, width)
+    home = rows.groupBy("id").agg(F.max(F.struct("count", "key", "n", "pos")).alias("h")).select("id", "h.key", "h.n", "h.pos", F.col("id").alias("part"))
+    near = verified(across(_bucket_pairs(small).unionByName(_centred(home, CENTRES[0])).distinct()), sets, docs, width)
     known = near if parts is None else near.unionByName(parts.select(F.col("component").alias("src"), F.col("node").alias("dst")).where("src != dst"))
-    joined = connected_components(known).withColumnRenamed("node", "id")
-    rows = rows.drop("part").join(joined, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    home = cut(_classed(home, known))
+    merged = home.groupBy("key").agg(F.count_distinct("part").alias("parts"), F.count("id").alias("members")).where("parts < members and parts > 1").select("key")
+    second = verified(_centred(home.join(merged, "key", "left_semi"), CENTRES[1]), sets, docs, width)
+    rows = _classed(rows.drop("count"), known.unionByName(second))
     open_ = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
-    rest = cut(rows.join(open_, "key"))
-    return near.unionByName(verified(_bucket_pairs(_dealt(rest, block)), sets, docs, width))
+    rest = cut(rows.join(open_, "key").join(sets.select("id", "sketch"), "id"))
+    return near.unionByName(second).unionByName(verified(_bucket_pairs(_dealt(rest, block)), sets, docs, width))
 
 
 def row_hashes(docs: DataFrame) -> tuple[Column, Column]:
