@@ -72,14 +72,15 @@ def soft_mean_shift(rows: DataFrame, bandwidth: float = 0.5, iterations: int = 1
     return drop_small(out.withColumn("cluster", F.col("cluster").cast("long")), least, "cluster"), modes
 
 
-def mean_shift(rows: DataFrame, bandwidth: float = 0.5, least: int = 50, iterations: int = 50, max_seeds: int = 512, key: str = "lin", embedding: str = "embedding", foreground: str | None = None) -> DataFrame:
+def mean_shift(rows: DataFrame, bandwidth: float = 0.5, least: int = 50, iterations: int = 50, max_seeds: int | None = None, key: str = "lin", embedding: str = "embedding", foreground: str | None = None) -> DataFrame:
     """Flat-kernel mean shift from binned seeds; rows get cluster, small clusters 0, the rest compact ids.
 
-    Seeds are the fullest bins of width `bandwidth` (at most max_seeds, a documented bound).
+    Every bin of width `bandwidth` is a seed, or the max_seeds fullest if that is given. The driver holds a row a bin.
     """
     fg = rows.where(foreground) if foreground else rows
     bins = fg.select(F.transform(F.col(embedding).cast("array<double>"), lambda v: F.rint(v / bandwidth)).alias("b")).groupBy("b").count()
-    seeds = bins.orderBy(F.desc("count"), "b").limit(max_seeds).collect()
+    bins = bins.orderBy(F.desc("count"), "b")
+    seeds = (bins if max_seeds is None else bins.limit(max_seeds)).collect()
     if not seeds:
         return rows.withColumn("cluster", F.lit(0).cast("long"))
     modes = np.array([r["b"] for r in seeds], float) * bandwidth

@@ -66,9 +66,11 @@ def component_labels(rows: DataFrame, by: list[str], dims: int = 3, connectivity
     parts = connected_components(edges)
     marked = fg.join(parts, fg[lin] == parts["node"], "left").select(*by, label, lin, F.coalesce("component", lin).alias("root"))
     roots = marked.select(*dict.fromkeys([*by, label]), "root").distinct()
-    ranked = roots.withColumn("component", F.row_number().over(Window.partitionBy(*by).orderBy(label, "root")).cast("long")) if by else None
-    if ranked is None:
-        ranked = numbered(roots, [label, "root"], "component").withColumn("component", F.col("component") + 1)
+    # One order over all of by, less each one's first place: a sample with very many components is not one task's.
+    ranked = numbered(roots, list(dict.fromkeys([*by, label, "root"])), "place")
+    if by:
+        ranked = ranked.join(ranked.groupBy(*by).agg(F.min("place").alias("first")), by)
+    ranked = ranked.withColumn("component", F.col("place") - (F.col("first") if by else F.lit(0)) + 1)
     ids = marked.join(ranked.select(*by, "root", "component"), [*by, "root"]).select(F.col(lin), "component")
     return rows.join(ids, lin, "left").withColumn("component", F.coalesce("component", F.lit(0)).cast("long"))
 

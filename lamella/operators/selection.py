@@ -135,7 +135,7 @@ def central_slice(rows: DataFrame, depth: int) -> DataFrame:
 
 
 def fuse_labels(neuron: DataFrame, cleft: DataFrame, mito: DataFrame, on: list[str], label: str = "label") -> DataFrame:
-    """One label a voxel: mitochondria over clefts over neurons, with class offsets; missing-data ids are ignored."""
+    """One label a voxel: mitochondria over clefts over cells, with class offsets; missing-data ids are ignored."""
     c = has_data(cleft, label).select(*on, (F.col(label) + CLEFT_OFFSET).cast("long").alias("_c"))
     m = has_data(mito, label).select(*on, (F.col(label) + MITO_OFFSET).cast("long").alias("_m"))
     joined = neuron.join(c, on, "left").join(m, on, "left")

@@ -42,6 +42,7 @@ class Info:
 
 def scaled(rows: DataFrame, value: str = "value") -> DataFrame:
     """intensity: the value min-max scaled over the volume; a constant volume stays as it is."""
+    rows = rows.withColumn(value, F.col(value).cast("double"))
     ends = rows.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))  # one row
     out = rows.join(F.broadcast(ends), how="cross")
     return out.select(*ON, minmax(F.col(value), F.col("_lo"), F.col("_hi")).alias("intensity"))

@@ -46,6 +46,10 @@ class Format(ABC):
     def shape(self, path: str, key: str | None = None) -> tuple[int, ...]:
         return tuple(self.metadata(path, key)["shape"])
 
+    def dtype(self, path: str, key: str | None = None) -> np.dtype:
+        """The type of the values that load gives."""
+        return np.dtype(self.metadata(path, key)["dtype"])
+
     def validate(self, path: str) -> bool:
         try:
             self.metadata(path)
@@ -181,6 +185,10 @@ class Nifti(Format):
         out = np.frombuffer(data, np.dtype(h["order"] + h["dtype"]), count=int(np.prod(h["shape"])), offset=h["offset"]).reshape(h["shape"], order="F")
         return out if h["slope"] in (0.0, 1.0) and h["inter"] == 0.0 or np.isnan(h["slope"]) else out * h["slope"] + h["inter"]
 
+    def dtype(self, path, key=None):
+        h = self._header(self._bytes(path))
+        return np.dtype(h["dtype"]) if h["slope"] in (0.0, 1.0) and h["inter"] == 0.0 or np.isnan(h["slope"]) else np.dtype("f8")
+
     def load_with_affine(self, path: str) -> tuple[np.ndarray, np.ndarray]:
         return self.load(path), self._header(self._bytes(path))["affine"]
 

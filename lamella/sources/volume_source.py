@@ -8,11 +8,15 @@
 The options z0 and z1 (half-open) prune slabs before anything is read; they are options and not pushed filters,
 since a session keeps a pushed reader for later scans of the same relation. Executors open the path themselves: it
 has to be on storage that all of them mount.
+
+The value's type follows the file's: whole numbers are long, unsigned 64-bit ones decimal(20,0), so that ids keep all
+their digits; all else is double. Writing keeps whole numbers whole in the same way.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,22 @@ from pyspark.sql.datasource import (
 
 from lamella.sources.formats import format_of
 
-SCHEMA = "z int, y int, x int, value double"
+
+
+def value_type(path: str, key: str | None = None) -> pa.DataType:
+    """The type of a file's values as Spark reads them, from its header."""
+    dtype = format_of(path).dtype(path, key)
+    if dtype == np.uint64:
+        return pa.decimal128(20, 0)
+    return pa.int64() if dtype.kind in "iub" else pa.float64()
+
+
+def whole(values: list) -> np.ndarray:
+    """Values of a column as an array: whole numbers as int64, or uint64 where one needs it; all else as float64."""
+    if all(isinstance(v, int) or isinstance(v, Decimal) and v == v.to_integral_value() for v in values):
+        numbers = [int(v) for v in values]
+        return np.array(numbers, np.uint64 if numbers and max(numbers) >= 1 << 63 else np.int64)
+    return np.array(values, np.float64)
 
 
 @dataclass
@@ -43,6 +62,7 @@ class VolumeReader(DataSourceReader):
         shape = format_of(self.path).shape(self.path, self.key)
         self.shape = tuple(shape) if len(shape) == 3 else (1, *shape) if len(shape) == 2 else tuple(shape)
         self.flat = len(shape) == 2
+        self.type = value_type(self.path, self.key)
         self.low = max(0, int(options.get("z0", "0")))
         self.high = min(self.shape[0], int(options.get("z1", str(self.shape[0]))))
 
@@ -58,7 +78,12 @@ class VolumeReader(DataSourceReader):
         else:
             data = format_of(self.path).load_slab(self.path, (slice(partition.first, partition.last), slice(None), slice(None)), self.key)
         z, y, x = (c.ravel().astype(np.int32) for c in np.indices(data.shape))
-        yield pa.RecordBatch.from_arrays([pa.array(z + np.int32(partition.first)), pa.array(y), pa.array(x), pa.array(np.ascontiguousarray(data).ravel().astype(np.float64))], names=["z", "y", "x", "value"])
+        flat = np.ascontiguousarray(data).ravel()
+        if pa.types.is_decimal(self.type):
+            values = pa.array(flat.astype(np.uint64)).cast(self.type)
+        else:
+            values = pa.array(flat.astype(self.type.to_pandas_dtype()))
+        yield pa.RecordBatch.from_arrays([pa.array(z + np.int32(partition.first)), pa.array(y), pa.array(x), values], names=["z", "y", "x", "value"])
 
 
 @dataclass
@@ -81,8 +106,7 @@ class VolumeWriter(DataSourceWriter):
         own = [(r["z"], r["y"], r["x"], r["value"]) for r in rows]
         Path(self.path).mkdir(parents=True, exist_ok=True)
         name = f"{self.path}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:8]}.npz"
-        table = np.array(own, float).reshape(-1, 4)
-        np.savez_compressed(name, at=table[:, :3].astype(np.int32), value=table[:, 3])
+        np.savez_compressed(name, at=np.array([r[:3] for r in own], np.int32).reshape(-1, 3), value=whole([r[3] for r in own]))
         return Written(name)
 
     def commit(self, messages):
@@ -107,7 +131,8 @@ class VolumeSource(DataSource):
         return "volume"
 
     def schema(self):
-        return SCHEMA
+        kind = value_type(self.options["path"], self.options.get("key"))
+        return "z int, y int, x int, value " + ("decimal(20,0)" if pa.types.is_decimal(kind) else "long" if pa.types.is_integer(kind) else "double")
 
     def reader(self, schema):
         return VolumeReader(self.options)

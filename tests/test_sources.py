@@ -88,3 +88,17 @@ def test_streaming_contingency(spark, tmp_path):
     q = streaming_contingency(stream, "p", "g", "t").writeStream.format("memory").queryName("cont").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r["nij"] for r in spark.table("cont").collect()) == [1, 2]
+
+
+def test_large_ids_keep_their_digits(spark, tmp_path):
+    ids = np.array([[[864691135341200001, 864691135341200002], [0, 2**53 + 1]]], np.int64)
+    wide = np.array([[[2**64 - 1, 2**63], [2**64 - 2, 5]]], np.uint64)
+    for name, data, kind in (("a", ids, "bigint"), ("b", wide, "decimal(20,0)")):
+        formats.save_volume(data, str(tmp_path / f"{name}.npy"))
+        rows = volume_source.read_volume(spark, str(tmp_path / f"{name}.npy"))
+        assert dict(rows.dtypes)["value"] == kind
+        assert [int(r["value"]) for r in rows.orderBy("z", "y", "x").collect()] == data.ravel().tolist()
+        rows.write.format("volume").mode("overwrite").save(str(tmp_path / f"out-{name}"))
+        parts = [np.load(p) for p in (tmp_path / f"out-{name}").glob("part-*.npz")]
+        assert {int(v) for p in parts for v in p["value"]} == set(data.ravel().tolist())
+        assert all(p["value"].dtype.kind in "iu" for p in parts)
