@@ -424,16 +424,16 @@ def splat_points(spark, sf_dir):
     return rounded(browser.Volume("a", v, (depth(v), HEIGHT, WIDTH)).splat_points(2, 3))
 
 
-@query("\n SELECT lin, ROUND(EXP(-((z-1.0)**2 + (y-50.0)**2 + (x-25.0)**2)/(2*0.25*0.25)),6)+0.0 AS w FROM v WHERE z < 2")
+@query("\n SELECT lin, ROUND(EXP(-((z%2-1.0)**2 + (y-50.0)**2 + (x-25.0)**2)/(2*0.25*0.25)),6)+0.0 AS w FROM v")
 def gaussian_weight(spark, sf_dir):
-    w = fn.gaussian_weight([F.col("z"), F.col("y"), F.col("x")], [2, 100, 50])
-    return rounded(voxels(spark, sf_dir).where("z < 2").select("lin", w.alias("w")))
+    w = fn.gaussian_weight([F.col("z") % 2, F.col("y"), F.col("x")], [2, 100, 50])
+    return rounded(voxels(spark, sf_dir).select("lin", w.alias("w")))
 
 
-@query("\n SELECT lin, CAST((x*100+y)*1 AS BIGINT) + 0*z AS x_fastest, CAST((z*100+y)*50+x AS BIGINT) AS again FROM v WHERE z = 0")
+@query("\n SELECT lin, CAST((x*100+y)*4096 + z AS BIGINT) AS x_fastest, CAST((z*100+y)*50+x AS BIGINT) AS again FROM v")
 def index_orders(spark, sf_dir):
     z, y, x = F.col("z"), F.col("y"), F.col("x")
-    return voxels(spark, sf_dir).where("z = 0").select("lin", fn.x_fastest_index(z, y, x, HEIGHT, 1).alias("x_fastest"), fn.linear_index(z, y, x, HEIGHT, WIDTH).alias("again"))
+    return voxels(spark, sf_dir).select("lin", fn.x_fastest_index(z, y, x, HEIGHT, 4096).alias("x_fastest"), fn.linear_index(z, y, x, HEIGHT, WIDTH).alias("again"))
 
 
 @query("SELECT p_partkey, p_size*p_size::DOUBLE AS mse, p_size::DOUBLE AS l1, CASE WHEN p_size < 10 THEN 0.5*p_size*p_size/10.0 ELSE p_size-5.0 END::DOUBLE AS smooth, CAST(ROUND_EVEN(p_size/2.0,0) AS BIGINT) AS bin, ROUND(1/(1+EXP(-(p_size-25)/10.0)),6) AS sig FROM part")
@@ -492,14 +492,14 @@ def center_crop_pad(spark, sf_dir):
     return stencil.spatial_pad(cropped, {"y": 64, "x": 32}, {"y": 68, "x": 40}).select("lin", "y", "x")
 
 
-@query("\n SELECT lin, CAST(t AS INT) AS x FROM v, (SELECT t, ABS(t-5) AS s0 FROM (SELECT UNNEST(RANGE(60)) AS t)) WHERE z = 0 AND (CASE WHEN s0 > 49 THEN 98-s0 ELSE s0 END) = x")
+@query("\n SELECT lin, CAST(t AS INT) AS x FROM v, (SELECT t, ABS(t-5) AS s0 FROM (SELECT UNNEST(RANGE(60)) AS t)) WHERE (CASE WHEN s0 > 49 THEN 98-s0 ELSE s0 END) = x")
 def reflect_pad(spark, sf_dir):
-    return stencil.reflect_pad(voxels(spark, sf_dir).where("z = 0"), "x", WIDTH, 5, 5).select("lin", "x")
+    return stencil.reflect_pad(voxels(spark, sf_dir), "x", WIDTH, 5, 5).select("lin", "x")
 
 
-@query("\n SELECT lin, CAST(t AS INT) AS x FROM v, (SELECT UNNEST(RANGE(75)) AS t) WHERE z = 0 AND (t*50)//75 = x")
+@query("\n SELECT lin, CAST(t AS INT) AS x FROM v, (SELECT UNNEST(RANGE(75)) AS t) WHERE (t*50)//75 = x")
 def resize_nearest(spark, sf_dir):
-    return stencil.resize_nearest(voxels(spark, sf_dir).where("z = 0"), {"x": WIDTH}, {"x": 75}).select("lin", "x")
+    return stencil.resize_nearest(voxels(spark, sf_dir), {"x": WIDTH}, {"x": 75}).select("lin", "x")
 
 
 @query(_ENDS + ", n AS (SELECT lin, z, y, x, (intensity-lo)/(hi-lo) AS i FROM v, e) SELECT lin, ROUND(LEAST(GREATEST(i*(CASE WHEN y >= 10 AND y < 13 AND z = 0 THEN 1.4 ELSE 1 END)*(CASE WHEN x >= 7 AND x < 8 AND z = 1 THEN 0.6 ELSE 1 END),0),1),6) AS i FROM n")
@@ -556,19 +556,19 @@ def patch_extract(spark, sf_dir):
 
 
 def patch_predictions(spark, sf_dir):
-    v = voxels(spark, sf_dir).where("z = 1").withColumn("z", F.lit(0))
-    cut = tiling.extract_patches(v, STARTS, PATCH)
+    v = voxels(spark, sf_dir)
+    cut = tiling.extract_patches(v, STARTS | {"z": list(range(depth(v)))}, PATCH).withColumn("patch_idx", F.pmod("patch_idx", F.lit(18)))
     return cut.withColumn("value", (F.col("lin") * 13 + F.col("patch_idx") * 7) % 101 / 101.0)
 
 
-@query(_CUT + ", q AS (SELECT y, x, ((lin*13+patch_idx*7) % 101)/101.0 AS value, EXP(-((0-0.5)**2 + (dy-16.0)**2 + (dx-16.0)**2 - 0.25)/(2*0.125*0.125)) AS w FROM p WHERE z = 1) SELECT y, x, ROUND(SUM(value*w)/(SUM(w)+1e-8),6)::DOUBLE AS value FROM q GROUP BY ALL")
+@query(_CUT + ", q AS (SELECT z, y, x, ((lin*13+patch_idx*7) % 101)/101.0 AS value, EXP(-((0-0.5)**2 + (dy-16.0)**2 + (dx-16.0)**2 - 0.25)/(2*0.125*0.125)) AS w FROM p) SELECT z, y, x, ROUND(SUM(value*w)/(SUM(w)+1e-8),6)::DOUBLE AS value FROM q GROUP BY ALL")
 def gaussian_blend(spark, sf_dir):
-    return rounded(tiling.blend_patches(patch_predictions(spark, sf_dir), PATCH).select("y", "x", "value"))
+    return rounded(tiling.blend_patches(patch_predictions(spark, sf_dir), PATCH).select("z", "y", "x", "value"))
 
 
-@query(_CUT + " SELECT y, x, ROUND(MAX(((lin*13+patch_idx*7) % 101)/101.0),6)::DOUBLE AS value FROM p WHERE z = 1 GROUP BY ALL")
+@query(_CUT + " SELECT z, y, x, ROUND(MAX(((lin*13+patch_idx*7) % 101)/101.0),6)::DOUBLE AS value FROM p GROUP BY ALL")
 def max_blend(spark, sf_dir):
-    return rounded(tiling.blend_patches(patch_predictions(spark, sf_dir), PATCH, mode="max").select("y", "x", "value"))
+    return rounded(tiling.blend_patches(patch_predictions(spark, sf_dir), PATCH, mode="max").select("z", "y", "x", "value"))
 
 
 def toy_model(block):
@@ -578,11 +578,11 @@ def toy_model(block):
     return np.stack((block / 2e5, 1 - block / 2e5))
 
 
-@query(_CUT + ", q AS (SELECT y, x, intensity/2e5 AS a, 1-intensity/2e5 AS b FROM v WHERE z = 0), r AS (SELECT y, x, EXP(a)/(EXP(a)+EXP(b)) AS p FROM q) SELECT y, x, CAST(CASE WHEN p >= 1-p THEN 0 ELSE 1 END AS INT) AS class_id FROM r")
+@query(_CUT + ", q AS (SELECT z, y, x, intensity/2e5 AS a, 1-intensity/2e5 AS b FROM v), r AS (SELECT z, y, x, EXP(a)/(EXP(a)+EXP(b)) AS p FROM q) SELECT z, y, x, CAST(CASE WHEN p >= 1-p THEN 0 ELSE 1 END AS INT) AS class_id FROM r")
 def sliding_window_argmax(spark, sf_dir):
-    v = voxels(spark, sf_dir).where("z = 0")
-    probs = tiling.sliding_window(v, {"z": 1, "y": HEIGHT, "x": WIDTH}, PATCH, toy_model, 2, mode="max")
-    return tiling.argmax_class(probs).select("y", "x", "class_id")
+    v = voxels(spark, sf_dir)
+    probs = tiling.sliding_window(v, {"z": depth(v), "y": HEIGHT, "x": WIDTH}, PATCH, toy_model, 2, mode="max")
+    return tiling.argmax_class(probs).select("z", "y", "x", "class_id")
 
 
 # ---- graphs --------------------------------------------------------------------------------------------------
@@ -622,9 +622,11 @@ def cc_3d_26(spark, sf_dir):
 
 @query()
 def stitch_labels(spark, sf_dir):
-    v = voxels(spark, sf_dir).where("z = 0").withColumn("label", F.when(F.col("label") > 0, F.col("label") + 10 * F.expr("x div 25")).otherwise(0))
+    v = voxels(spark, sf_dir)
+    sections = depth(v)
+    v = v.withColumn("label", F.when(F.col("label") > 0, F.col("label") + 10 * F.expr("x div 25") + 100 * F.col("z")).otherwise(0))
     rows = v.select("z", "y", "x", "lin", "label", F.array((F.col("gt") * 1.0).cast("float"), F.lit(0.0).cast("float")).alias("embedding"))
-    return tiling.stitch(rows, tiling.window_grid(spark, (1, HEIGHT, WIDTH), (1, 32, 32)), PATCH, spatial_dims=2).select("lin", "label")
+    return tiling.stitch(rows, tiling.window_grid(spark, (sections, HEIGHT, WIDTH), (1, 32, 32)), PATCH, spatial_dims=2).select("lin", "label")
 
 
 # ---- embeddings and clusters ---------------------------------------------------------------------------------
@@ -676,13 +678,13 @@ def hough_labels(spark, sf_dir):
 
 @query()
 def soft_meanshift(spark, sf_dir):
-    got, _ = clustering.soft_mean_shift(vectors(spark, sf_dir), bandwidth=0.6, iterations=4, least=5, max_seeds=64, foreground="label > 0")
+    got, _ = clustering.soft_mean_shift(vectors(spark, sf_dir), bandwidth=0.6, least=5, foreground="label > 0")
     return got.select("lin", "cluster")
 
 
 @query()
 def meanshift(spark, sf_dir):
-    return clustering.mean_shift(vectors(spark, sf_dir), bandwidth=0.9, least=5, iterations=5, max_seeds=64).select("lin", "cluster")
+    return clustering.mean_shift(vectors(spark, sf_dir), bandwidth=0.9, least=5).select("lin", "cluster")
 
 
 @query()
@@ -693,38 +695,38 @@ def pca_rgb(spark, sf_dir):
 # ---- geometry ------------------------------------------------------------------------------------------------
 
 SHAPE = {"y": HEIGHT, "x": WIDTH}
-#: Instances of the geometry queries: the blocks of one section.
-_BLOCKS = "\n, s AS (SELECT *, (y//8)*7 + (x//8) + 1 AS inst FROM v WHERE z = 0 AND label > 0), a AS (SELECT y, x, CASE WHEN label > 0 THEN (y//8)*7 + (x//8) + 1 ELSE 0 END AS inst FROM v WHERE z = 0), d AS (SELECT s.lin, s.inst, MIN((s.y-a.y)**2 + (s.x-a.x)**2) AS d2 FROM s JOIN a ON a.inst <> s.inst AND a.y BETWEEN s.y-9 AND s.y+9 AND a.x BETWEEN s.x-9 AND s.x+9 GROUP BY ALL)"
+#: Instances of the geometry queries: the blocks of each section.
+_BLOCKS = "\n, s AS (SELECT *, (y//8)*7 + (x//8) + 1 AS inst FROM v WHERE label > 0), a AS (SELECT z, y, x, CASE WHEN label > 0 THEN (y//8)*7 + (x//8) + 1 ELSE 0 END AS inst FROM v), d AS (SELECT s.lin, s.z, s.inst, MIN((s.y-a.y)**2 + (s.x-a.x)**2) AS d2 FROM s JOIN a ON a.z = s.z AND a.inst <> s.inst AND a.y BETWEEN s.y-9 AND s.y+9 AND a.x BETWEEN s.x-9 AND s.x+9 GROUP BY ALL)"
 
 
-def blocks_of_section(spark, sf_dir):
-    v = voxels(spark, sf_dir).where("z = 0")
+def blocks_of_sections(spark, sf_dir):
+    v = voxels(spark, sf_dir)
     return v.withColumn("label", F.when(F.col("label") > 0, F.expr("(y div 8) * 7 + (x div 8) + 1")).otherwise(0).cast("long"))
 
 
-@query(_BLOCKS + " SELECT lin, ROUND(SQRT(d2),6) AS dt, ROUND(SQRT(d2)/MAX(SQRT(d2)) OVER (PARTITION BY inst),6) AS dt_norm FROM d")
+@query(_BLOCKS + " SELECT lin, ROUND(SQRT(d2),6) AS dt, ROUND(SQRT(d2)/MAX(SQRT(d2)) OVER (PARTITION BY z, inst),6) AS dt_norm FROM d")
 def edt_small(spark, sf_dir):
-    return rounded(geometry.distance_transform(blocks_of_section(spark, sf_dir), BY, SHAPE).select("lin", "dt", "dt_norm"))
+    return rounded(geometry.distance_transform(blocks_of_sections(spark, sf_dir), BY, SHAPE).select("lin", "dt", "dt_norm"))
 
 
-@query(_BLOCKS + ", n AS (SELECT lin, SQRT(d2)/MAX(SQRT(d2)) OVER (PARTITION BY inst) AS t FROM d) SELECT v.lin, ROUND(1+COALESCE(t,0)*9,6)::DOUBLE AS weight FROM v LEFT JOIN n ON n.lin = v.lin WHERE z = 0")
+@query(_BLOCKS + ", n AS (SELECT lin, SQRT(d2)/MAX(SQRT(d2)) OVER (PARTITION BY z, inst) AS t FROM d) SELECT v.lin, ROUND(1+COALESCE(t,0)*9,6)::DOUBLE AS weight FROM v LEFT JOIN n ON n.lin = v.lin")
 def skeleton_weight(spark, sf_dir):
-    return rounded(geometry.skeleton_depth_weight(blocks_of_section(spark, sf_dir), BY, SHAPE).select("lin", "weight"))
+    return rounded(geometry.skeleton_depth_weight(blocks_of_sections(spark, sf_dir), BY, SHAPE).select("lin", "weight"))
 
 
 @query()
 def skeletons(spark, sf_dir):
-    return geometry.skeletons(blocks_of_section(spark, sf_dir), BY, SHAPE).select("lin", "label")
+    return geometry.skeletons(blocks_of_sections(spark, sf_dir), BY, SHAPE).select("lin", "label")
 
 
 @query()
 def skeleton_targets(spark, sf_dir):
-    return rounded(geometry.skeleton_targets(blocks_of_section(spark, sf_dir), BY, SHAPE).select("lin", "ny", "nx", "sy", "sx", "dt_norm"))
+    return rounded(geometry.skeleton_targets(blocks_of_sections(spark, sf_dir), BY, SHAPE).select("lin", "ny", "nx", "sy", "sx", "dt_norm"))
 
 
 @query()
 def structure_tensor(spark, sf_dir):
-    t = geometry.structure_tensor(blocks_of_section(spark, sf_dir), BY, SHAPE, sigma=2.0)
+    t = geometry.structure_tensor(blocks_of_sections(spark, sf_dir), BY, SHAPE, sigma=2.0)
     return rounded(t.select("lin", *[F.col("tensor")[k].alias(f"t{k}") for k in range(4)]))
 
 
@@ -762,7 +764,7 @@ def geometry_loss(spark, sf_dir):
 
 @query()
 def skeleton_embedding_loss(spark, sf_dir):
-    b = blocks_of_section(spark, sf_dir)
+    b = blocks_of_sections(spark, sf_dir)
     t = geometry.skeleton_targets(b, BY, SHAPE)
     rows = t.withColumns({"oy": F.col("ny") - F.col("y"), "ox": F.col("nx") - F.col("x"), "dt_at": F.col("dt_norm")})
     return rounded(losses.skeleton_embedding_loss(rows.withColumnsRenamed({"gy": "gy", "gx": "gx"}), BY))
@@ -783,9 +785,9 @@ def indicator_volume(spark, sf_dir):
     return prompts.indicator_volume(point_prompts(spark, sf_dir), BY, 3)
 
 
-@query("\n, o AS (SELECT UNNEST([-1,0,0,0,1]) AS dy, UNNEST([0,-1,0,1,0]) AS dx) SELECT DISTINCT sample_id, CAST(y+dy AS INT) AS y, CAST(x+dx AS INT) AS x FROM v, o WHERE lin % 97 = 0 AND y+dy BETWEEN 0 AND 99 AND x+dx BETWEEN 0 AND 49")
+@query("\n, o AS (SELECT UNNEST([-1,0,0,0,1]) AS dy, UNNEST([0,-1,0,1,0]) AS dx) SELECT DISTINCT sample_id, CAST(y+dy AS INT) AS y, CAST(x+dx AS INT) AS x FROM v, o WHERE pred <> label AND y+dy BETWEEN 0 AND 99 AND x+dx BETWEEN 0 AND 49")
 def disk_splat(spark, sf_dir):
-    points = voxels(spark, sf_dir).where("lin % 97 = 0").select("sample_id", "y", "x")
+    points = voxels(spark, sf_dir).where("pred <> label").select("sample_id", "y", "x")
     return prompts.splat(points, 1, HEIGHT, WIDTH)
 
 
