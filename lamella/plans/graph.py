@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.session import cut
+from lamella.session import cut, settled
 
 
 #: Edges up to which the least neighbours (at most two rows of 16 bytes an edge) are broadcast.
@@ -56,7 +56,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         small = mark[0] <= BROADCAST_EDGES
         now = _large_star(now, small)
-        now = cut(_small_star(now if small else cut(now), small))
+        now = settled(_small_star(now if small else cut(now), small))
         before, mark = mark, _mark(now)
         if mark == before:
             break

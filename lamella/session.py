@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -43,3 +44,11 @@ def cut(df):
     """Cut the lineage of df with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settled(df):
+    """cut(df); the driver then lets go of shuffles and checkpoints that nothing needs any more, to free their disk."""
+    df = cut(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
