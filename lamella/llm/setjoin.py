@@ -12,8 +12,6 @@ shingle. Rows are told apart by their text and doc_id, not by doc_id alone.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lamella.llm.common import mixed, raw, run_hashes, signed, slices, span_hashes, word_bounds
 from lamella.plans.graph import connected_components
-from lamella.session import cut
+from lamella.session import cut, settled
 
 #: One text in SAMPLED counts for the order of shingles; the FREQUENT most frequent of them come last.
 SAMPLED = 8
@@ -38,14 +36,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """cut(df); the driver then lets go of shuffles and checkpoints that nothing needs any more, to free their disk."""
-    df = cut(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
-
-
 def shingles(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashed shingles of each text in ascending order, text after text, and n + 1 bounds."""
     flat, bounds = raw(column)
@@ -176,8 +166,8 @@ def distinct_sets(docs: DataFrame, width: int) -> DataFrame:
 
     rows = docs.mapInArrow(run, "doc_id long, t0 long, t1 long, w0 long, w1 long, n int, fp long, bits binary, sketch binary, prefix array<long>")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t0", "t1")).alias("best")
-    sets = _settled(rows).groupBy("w0", "w1", "n").agg(best, *(F.first(c).alias(c) for c in ("fp", "bits", "sketch", "prefix")))
-    return _settled(sets.withColumn("id", F.monotonically_increasing_id()))
+    sets = settled(rows).groupBy("w0", "w1", "n").agg(best, *(F.first(c).alias(c) for c in ("fp", "bits", "sketch", "prefix")))
+    return settled(sets.withColumn("id", F.monotonically_increasing_id()))
 
 
 def _dealt(rows: DataFrame, block: int) -> DataFrame:
@@ -259,13 +249,13 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int) ->
 
     known = cut(pairs).join(sets.select(F.col("id").alias("src"), "n", F.col("bits").alias("x")), "src")
     known = known.join(sets.select(F.col("id").alias("dst"), F.col("n").alias("m"), F.col("bits").alias("y")), "dst")
-    pairs = _settled(known.select("src", "dst", "n", "m", "x", "y").mapInArrow(near, "src long, dst long"))
+    pairs = settled(known.select("src", "dst", "n", "m", "x", "y").mapInArrow(near, "src long, dst long"))
     ends = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
     one = sets.join(ends, "id", "left_semi").select("id", "best.t0", "best.t1")
-    texts = _settled(docs.join(one, ["t0", "t1"]).groupBy("id").agg(F.first("text").alias("text")))
+    texts = settled(docs.join(one, ["t0", "t1"]).groupBy("id").agg(F.first("text").alias("text")))
     both = pairs.join(texts.select(F.col("id").alias("src"), F.col("text").alias("a")), "src")
     both = both.join(texts.select(F.col("id").alias("dst"), F.col("text").alias("b")), "dst")
-    return _settled(both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long"))
+    return settled(both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long"))
 
 
 def _across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -301,21 +291,21 @@ def links(sets: DataFrame, docs: DataFrame, width: int, parts: DataFrame | None
     """
     entries = sets.where("n > 0").select("id", "n", F.posexplode("prefix").alias("pos", "key")).withColumn("part", F.col("id"))
     across = (lambda pairs: _across(pairs, parts)) if parts is not None else (lambda pairs: pairs)
-    large = cut(entries.groupBy("key").count().where(F.col("count") > star))
+    large = settled(entries.groupBy("key").count().where(F.col("count") > star))
     if large.isEmpty():
         return verified(across(_bucket_pairs(entries)), sets, docs, width)
     large = F.broadcast(large) if large.count() <= MARKED else large
     small = entries.join(large, "key", "left_anti")
-    rows = cut(entries.join(large, "key"))
+    rows = settled(entries.join(large, "key"))
     home = rows.groupBy("id").agg(F.max(F.struct("count", "key", "n", "pos")).alias("h")).select("id", "h.key", "h.n", "h.pos", F.col("id").alias("part"))
     near = verified(across(_bucket_pairs(small).unionByName(_centred(home, CENTRES[0])).distinct()), sets, docs, width)
     known = near if parts is None else near.unionByName(parts.select(F.col("component").alias("src"), F.col("node").alias("dst")).where("src != dst"))
-    home = cut(_classed(home, known))
+    home = settled(_classed(home, known))
     merged = home.groupBy("key").agg(F.count_distinct("part").alias("parts"), F.count("id").alias("members")).where("parts < members and parts > 1").select("key")
     second = verified(_centred(home.join(merged, "key", "left_semi"), CENTRES[1]), sets, docs, width)
     rows = _classed(rows.drop("count"), known.unionByName(second))
     open_ = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("key")
-    rest = cut(rows.join(open_, "key").join(sets.select("id", "sketch"), "id"))
+    rest = settled(rows.join(open_, "key").join(sets.select("id", "sketch"), "id"))
     return near.unionByName(second).unionByName(verified(_bucket_pairs(_dealt(rest, block)), sets, docs, width))
 
 
