@@ -5,12 +5,13 @@ q-grams with the place where it occurs, and all on k + 1 neighbouring diagonals
 Shared q-grams are counted in bands of 2 * k + 1 diagonals, each overlapping the next by half, so that some band
 holds them all. Bands that reach the bound are verified by alignment of the whole item within the band.
 
-Texts are compared in lower case (A-Z) with every run of white space as one space, as UTF-8 bytes; k is a share
-of the item's bytes. The benchmark is taken in blocks of bounded size, each sent to all tasks; the documents are
-read once a block and nothing else moves.
+Texts are compared in lower case (A-Z) with every run of white space as one space, character by character (code
+points); k is a share of the item's characters. The benchmark is taken in blocks of bounded size, each sent to all
+tasks; the documents are read once a block and nothing else moves. The plan holds every block, so a benchmark has to
+fit the driver. Items that are equal after normalisation are searched for once a block.
 
-Null or empty items and texts match nothing; items shorter than q + 1 bytes after normalisation are compared for
-equality of their bytes. Repeated rows give repeated matches. Extra columns are ignored by matches() and kept by
+Null or empty items and texts match nothing; items shorter than q characters after normalisation are looked for as
+they are. Repeated documents and repeated items give repeated matches. Extra columns are ignored by matches() and kept by
 clean(); null doc_ids are matched like any other.
 """
 
@@ -28,6 +29,8 @@ from lamella.llm.common import SPACE, raw, slices
 
 Q = 8
 EDITS = 0.1
+#: Odd factor of the q-grams' polynomial.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of benchmark text that one pass over the documents takes along.
 BLOCK_BYTES = 8 << 20
 FILTER_BITS = 22
@@ -49,30 +52,56 @@ def normalised(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _LOWER[flat[at]], at
 
 
-def grams(low: np.ndarray, q: int = Q) -> np.ndarray:
-    """The q bytes from each place on as one number (q is at most 8)."""
-    n = max(len(low) - q + 1, 0)
+def characters(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One number for each UTF-8 character (its bytes side by side), and the places of their first bytes."""
+    if not len(low) or low.max() < 128:
+        return low, np.arange(len(low))
+    at = np.flatnonzero((low & 0xC0) != 0x80)
+    size = np.diff(np.append(at, len(low)))
+    out = low[at].astype(np.uint32)
+    for k in (1, 2, 3):
+        more = np.flatnonzero(size > k)
+        out[more] |= low[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+    return out, at
+
+
+def grams(chars: np.ndarray, q: int = Q) -> np.ndarray:
+    """A 64-bit hash of the q characters from each place on; alignment verifies what equal hashes suggest."""
+    n = max(len(chars) - q + 1, 0)
+    out = chars.astype(np.uint64)
     if q == 8 and n:
-        two = (low[:-1].astype(np.uint16) << np.uint16(8)) | low[1:]
-        four = (two[:-2].astype(np.uint32) << np.uint32(16)) | two[2:]
-        return (four[:-4].astype(np.uint64) << np.uint64(32)) | four[4:]
-    out = np.zeros(n, np.uint64)
+        factor = _BASE
+        for step in (1, 2, 4):
+            out = out[:-step] * factor + out[step:]
+            factor = np.multiply(factor, factor, dtype=np.uint64) if step < 4 else factor
+        return out
+    total = np.zeros(n, np.uint64)
     for k in range(q):
-        out = (out << np.uint64(8)) | low[k : k + n].astype(np.uint64)
-    return out
+        total = total * _BASE + out[k : k + n]
+    return total
 
 
 def _filter_hash(g: np.ndarray) -> np.ndarray:
     return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
+def find(item: np.ndarray, text: np.ndarray) -> int:
+    """The first place of item in text, -1 if there is none."""
+    text = text if text.dtype == item.dtype else text.astype(item.dtype)
+    wide, data, part = item.itemsize, text.tobytes(), item.tobytes()
+    at = data.find(part)
+    while at % wide and at >= 0:
+        at = data.find(part, at + 1)
+    return at // wide if at >= 0 else -1
+
+
 def aligned(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best alignment of the whole item with a part of text, on diagonals low to high.
 
     A path starts anywhere on the band's top row; None if it takes more than `most` edits.
     """
     a, b = max(low, 0), max(high + len(item), 0)
-    exact = text[a:b].tobytes().find(item.tobytes())
+    exact = find(item, text[a:b]) if item.itemsize >= text.itemsize else find(item.astype(text.dtype), text[a:b])
     if exact >= 0:
         return 0, a + exact, a + exact + len(item)
     width, far = high - low + 1, np.int32(1 << 20)
@@ -108,13 +137,13 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], edits: float = EDITS, q: int = Q):
         self.q = q
-        self.ids, self.texts = [], []
+        owners: dict[bytes, list[int]] = {}
         for item_id, data in items:
-            low = normalised(np.frombuffer(data, np.uint8))[0]
-            trimmed = np.frombuffer(low.tobytes().strip(), np.uint8)
-            if len(trimmed):
-                self.ids.append(item_id)
-                self.texts.append(trimmed)
+            trimmed = normalised(np.frombuffer(data, np.uint8))[0].tobytes().strip()
+            if trimmed:
+                owners.setdefault(trimmed, []).append(item_id)
+        self.ids, self.bytes = list(owners.values()), list(owners)
+        self.texts = [characters(np.frombuffer(t, np.uint8))[0] for t in owners]
         # The lemma needs m + 1 - q - k * q > 0; shorter items get fewer edits.
         self.most = [max(0, min(int(len(t) * edits), (len(t) - q) // q)) for t in self.texts]
         parts = [(grams(t, q), np.full(max(len(t) - q + 1, 0), j), np.arange(max(len(t) - q + 1, 0))) for j, t in enumerate(self.texts) if len(t) >= q]
@@ -164,14 +193,15 @@ class Index:
         return out[:3, head[counts >= least[head]]].T
 
     def scan(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
-        """(row, item_id, start, end, edits) over a column; start and end in bytes of the text as it is.
+        """(row, item_id, start, end, edits) over a column; start and end in bytes of the text as it is, edits in characters.
 
         Of overlapping finds of one item the one with the fewest edits stays.
         """
         flat, bounds = raw(column)
-        low, origin = normalised(flat)
+        plain, origin = normalised(flat)
+        low, at = characters(plain)
         g = grams(low, self.q)
-        cuts = np.searchsorted(origin, bounds)
+        cuts = np.searchsorted(origin[at], bounds)
         text_at, item, place = self._hits(g, np.flatnonzero(self.bitmap[_filter_hash(g)]))
         row = np.searchsorted(cuts, text_at, "right") - 1
         inside = text_at + self.q <= cuts[row + 1]
@@ -188,14 +218,16 @@ class Index:
                 got = aligned(self.texts[j], low[cuts[r] : cuts[r + 1]], band * span, (band + 2) * span - 1, self.most[j])
                 if got:
                     found.append((r, j, *got))
+        data = plain.tobytes() if self.short else b""
         for j in self.short:
-            data, find = low.tobytes(), self.texts[j].tobytes()
-            at = data.find(find)
-            while at >= 0:
-                r = int(np.searchsorted(cuts, at, "right")) - 1
-                if at + len(find) <= cuts[r + 1]:
-                    found.append((r, j, 0, at - int(cuts[r]), at - int(cuts[r]) + len(find)))
-                at = data.find(find, at + 1)
+            byte = data.find(self.bytes[j])
+            while byte >= 0:
+                place = int(np.searchsorted(at, byte))
+                r = int(np.searchsorted(cuts, place, "right")) - 1
+                if place + len(self.texts[j]) <= cuts[r + 1]:
+                    found.append((r, j, 0, place - int(cuts[r]), place - int(cuts[r]) + len(self.texts[j])))
+                byte = data.find(self.bytes[j], byte + 1)
+        last = np.append(at[1:], len(plain)) - 1  # the last byte of each character
         taken: list[tuple[int, int]] = []
         before = None
         for r, j, edits, start, end in sorted(found):
@@ -204,11 +236,12 @@ class Index:
             if all(end <= a or start >= b for a, b in taken):
                 taken.append((start, end))
                 a, b, base = int(cuts[r]), int(cuts[r + 1]), int(bounds[r])
-                yield r, self.ids[j], int(origin[a + start]) - base, int(origin[min(a + end, b) - 1]) + 1 - base, edits
+                for item_id in self.ids[j]:
+                    yield r, item_id, int(origin[at[a + start]]) - base, int(origin[last[min(a + end, b) - 1]]) + 1 - base, edits
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, bytes]]]:
-    """The items with a text, in blocks of about block_bytes, one block on the driver at a time."""
+    """The items with a text, in blocks of about block_bytes."""
     items, size = [], 0
     rows = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     for row in rows.toLocalIterator():
