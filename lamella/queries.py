@@ -140,7 +140,15 @@ def contingency_lineitem(spark, sf_dir):
     return metrics.contingency(li, [], "l_returnflag", "l_linestatus").withColumnsRenamed({"pred": "l_returnflag", "gt": "l_linestatus"})
 
 
-@query()
+_SEMANTIC = VOXELS_SQL + ", w AS (SELECT sample_id, cls AS pred, CAST(gt % 3 AS INT) AS gt FROM v)" + _CONT.replace("FROM v WHERE", "FROM w WHERE") + " SELECT sample_id, ari AS sem_ari, acc AS sem_acc FROM ari JOIN (SELECT sample_id, AVG((pred = gt)::INT) AS acc FROM w GROUP BY ALL) USING (sample_id)"
+_EVALUATION = (
+    f"WITH s AS ({_SEMANTIC}), i AS ({VOXELS_SQL}{_CLASS} SELECT sample_id, AVG((i+1e-7)/(p+t-i+1e-7)) AS sem_iou FROM pc GROUP BY ALL), "
+    + f"k AS ({VOXELS_SQL}{_CONT}{_AMI} SELECT * FROM ari JOIN ami USING (sample_id) JOIN voi USING (sample_id) JOIN ted USING (sample_id)) "
+    + "SELECT sample_id, ROUND(sem_acc,6) AS sem_acc, ROUND(sem_iou,6) AS sem_iou, ROUND(sem_ari,6)+0.0 AS sem_ari, ROUND(ari,6)+0.0 AS ari, ROUND(ami,6)+0.0 AS ami, ROUND(voi_split,6)+0.0 AS voi_split, ROUND(voi_merge,6)+0.0 AS voi_merge, ROUND(voi_split+voi_merge,6)+0.0 AS voi_total, ted::DOUBLE AS ted FROM s JOIN i USING (sample_id) JOIN k USING (sample_id)"
+)
+
+
+@query(_EVALUATION)
 def evaluation_bundle(spark, sf_dir):
     return rounded(metrics.evaluation(classed(spark, sf_dir), BY, 3))
 
@@ -571,6 +579,14 @@ def max_blend(spark, sf_dir):
     return rounded(tiling.blend_patches(patch_predictions(spark, sf_dir), PATCH, mode="max").select("z", "y", "x", "value"))
 
 
+@query(_CUT + " SELECT z, y, x, ROUND(((lin*13+patch_idx*7) % 101)/101.0,6)::DOUBLE AS value, CAST(patch_idx AS INT) AS source FROM p QUALIFY ROW_NUMBER() OVER (PARTITION BY z, y, x ORDER BY (lin*13+patch_idx*7) % 101 DESC, patch_idx) = 1")
+def best_patch_embedding(spark, sf_dir):
+    """The maximum blend of an embedding: that of the patch with the largest probability."""
+    cut = patch_predictions(spark, sf_dir).withColumn("embedding", F.array(F.col("patch_idx").cast("double"), F.col("value")))
+    best = tiling.best_embedding(cut, "value", "embedding")
+    return rounded(best.select("z", "y", "x", F.col("embedding")[1].alias("value"), F.col("embedding")[0].cast("int").alias("source")))
+
+
 def toy_model(block):
     """Two scores a voxel: above or below the patch's own value of one."""
     import numpy as np
@@ -588,13 +604,13 @@ def sliding_window_argmax(spark, sf_dir):
 # ---- graphs --------------------------------------------------------------------------------------------------
 
 
-def _cc_sql(offsets: list[tuple[int, int, int]], by: str) -> str:
-    """Components by recursive reachability; the fixture's components are small."""
+def _cc_sql(offsets: list[tuple[int, int, int]], by: str, where: str = "true") -> str:
+    """Components by what is reached from voxels without a smaller neighbour, among those that `where` keeps."""
     steps = ", ".join(f"({z},{y},{x})" for z, y, x in [*offsets, *[(-z, -y, -x) for z, y, x in offsets]])
     return (
-        VOXELS_SQL.replace("WITH", "WITH RECURSIVE", 1)
-        + f""", o(dz, dy, dx) AS (VALUES {steps}), e AS (SELECT a.lin AS a, b.lin AS b FROM v a, o, v b WHERE b.lin = a.lin + dz*5000 + dy*50 + dx AND b.x = a.x + dx AND b.y = a.y + dy AND a.label = b.label AND a.label > 0),
- r AS (SELECT lin AS root, lin FROM v WHERE label > 0 UNION SELECT r.root, e.b FROM r JOIN e ON r.lin = e.a), m AS (SELECT lin, MIN(root) AS root FROM r GROUP BY ALL),
+        VOXELS_SQL.replace("WITH", "WITH RECURSIVE", 1).replace("FROM v2)", f"FROM v2 WHERE {where})")
+        + f""", o(dz, dy, dx) AS (VALUES {steps}), e AS MATERIALIZED (SELECT a.lin AS a, b.lin AS b FROM v a, o, v b WHERE b.lin = a.lin + dz*5000 + dy*50 + dx AND b.x = a.x + dx AND b.y = a.y + dy AND a.label = b.label AND a.label > 0),
+ r AS (SELECT lin AS root, lin FROM v WHERE label > 0 AND lin NOT IN (SELECT a FROM e WHERE b < a) UNION SELECT r.root, e.b FROM r JOIN e ON r.lin = e.a), m AS (SELECT lin, MIN(root) AS root FROM r GROUP BY ALL),
  k AS (SELECT v.lin, DENSE_RANK() OVER (PARTITION BY {by} ORDER BY label, root) AS component FROM v JOIN m ON v.lin = m.lin)
  SELECT v.lin, CAST(COALESCE(component, 0) AS BIGINT) AS component FROM v LEFT JOIN k ON v.lin = k.lin"""
     )
@@ -615,11 +631,23 @@ def cc_3d_6(spark, sf_dir):
     return relabel.component_labels(voxels(spark, sf_dir).withColumn("volume", F.lit(0)), ["volume"], 3, 6).select("lin", "component")
 
 
-@query()
+@query(_cc_sql(relabel.half_offsets(3, 18), "0"))
+def cc_3d_18(spark, sf_dir):
+    return relabel.component_labels(voxels(spark, sf_dir).withColumn("volume", F.lit(0)), ["volume"], 3, 18).select("lin", "component")
+
+
+@query(_cc_sql(relabel.half_offsets(3, 26), "0"))
 def cc_3d_26(spark, sf_dir):
     return relabel.component_labels(voxels(spark, sf_dir).withColumn("volume", F.lit(0)), ["volume"], 3, 26).select("lin", "component")
 
 
+@query(_cc_sql(relabel.half_offsets(2, 4), "sample_id", "y BETWEEN 10 AND 69 AND x BETWEEN 5 AND 40").replace("AS component FROM v LEFT", "AS label FROM v LEFT"))
+def crop_and_relabel(spark, sf_dir):
+    """Random-crop semantics: a label that the crop cuts apart becomes several."""
+    cut = stencil.crop(voxels(spark, sf_dir), {"y": 10, "x": 5}, {"y": 60, "x": 36})
+    return relabel.relabel_after_crop(cut, BY, 2, 4).select("lin", "label")
+
+
 @query()
 def stitch_labels(spark, sf_dir):
     v = voxels(spark, sf_dir)
@@ -770,7 +798,12 @@ def skeleton_embedding_loss(spark, sf_dir):
     return rounded(losses.skeleton_embedding_loss(rows.withColumnsRenamed({"gy": "gy", "gx": "gx"}), BY))
 
 
-@query()
+_COMPOSITE = f"WITH s AS ({ORACLE_SQL['semantic_loss_sigmoid']}), g AS ({ORACLE_SQL['geometry_loss']}) " + " UNION ALL ".join(
+    f"SELECT sample_id, 'train/{part}/{name}' AS key, {name}::DOUBLE AS value FROM {part[0]}" for part, names in {"sem": ("ce", "iou", "dice"), "geo": ("dir", "raw", "loss")}.items() for name in names
+)
+
+
+@query(_COMPOSITE)
 def composite_loss_log(spark, sf_dir):
     return rounded(losses.composite({"train/sem": losses.semantic_loss(logit_rows(spark, sf_dir), BY, 3), "train/geo": geometry_loss(spark, sf_dir)}, BY))
 
@@ -802,3 +835,77 @@ def class_softmax(spark, sf_dir):
     w = Window.partitionBy("lin")
     e = F.exp(F.col("z") - F.max("z").over(w))
     return rounded(cells.withColumn("e", e).select("lin", "c", (F.col("e") / F.sum("e").over(w)).alias("p")))
+
+
+_SKELETON = """\n, f AS (SELECT sample_id, label, y + (lin%5-2)/2.0 AS py, x + (lin%3-1)/2.0 AS px, (lin%5-2)/2.0 AS oy, (lin%3-1)/2.0 AS ox, (y//8)*8+4 AS ny, (x//8)*8+4 AS nx, y%4-1.5 AS gy, x%4-1.5 AS gx, (lin%11)/10.0 AS d FROM v WHERE label > 0),
+ per AS (SELECT sample_id, AVG((py-ny)**2 + (px-nx)**2) AS pull, AVG(1 - (oy*gy+ox*gx)/(GREATEST(SQRT(oy*oy+ox*ox),1e-8)*GREATEST(SQRT(gy*gy+gx*gx),1e-8))) AS penalty, AVG(1-d) AS benefit FROM f GROUP BY ALL),
+ m AS (SELECT sample_id, label, AVG(py) AS my, AVG(px) AS mx FROM f GROUP BY ALL), q AS (SELECT a.sample_id, AVG(GREATEST(20 - SQRT((a.my-b.my)**2 + (a.mx-b.mx)**2), 0)**2) AS push FROM m a JOIN m b ON a.sample_id = b.sample_id AND a.label < b.label GROUP BY ALL)
+ SELECT sample_id, ROUND(pull,6) AS pull, ROUND(penalty,6) AS penalty, ROUND(benefit,6) AS benefit, ROUND(push,6) AS push, ROUND(pull+push+penalty+5*benefit,6) AS loss FROM per JOIN q USING (sample_id)"""
+
+
+@query(_SKELETON)
+def skeleton_loss_terms(spark, sf_dir):
+    """The skeleton embedding loss of given skeleton places and gradients."""
+    v = voxels(spark, sf_dir)
+    given = {"oy": "(lin%5-2)/2.0D", "ox": "(lin%3-1)/2.0D", "ny": "(y div 8)*8+4", "nx": "(x div 8)*8+4", "gy": "y%4-1.5D", "gx": "x%4-1.5D", "dt_at": "(lin%11)/10.0D"}
+    return rounded(losses.skeleton_embedding_loss(v.withColumns({n: F.expr(e) for n, e in given.items()}), BY))
+
+
+# ---- targets and parsers -------------------------------------------------------------------------------------
+
+
+@query("\n, k AS (SELECT lin, CASE WHEN lin % 7 = 0 THEN -100 ELSE label END AS target FROM v) SELECT lin, target FROM k WHERE target <> -100")
+def known_targets(spark, sf_dir):
+    v = voxels(spark, sf_dir).withColumn("target", F.when(F.col("lin") % 7 == 0, -100).otherwise(F.col("label")).cast("long"))
+    return selection.known_targets(v, "target").select("lin", "target")
+
+
+@query("\n SELECT lin, CAST(COALESCE(CASE WHEN lin % 5 > 0 THEN cls END, (label > 0)::INT) AS INT) AS semantic_label, (label > 0)::INT AS own FROM v")
+def prepared_targets(spark, sf_dir):
+    v = selection.prepared_targets(voxels(spark, sf_dir)).withColumnRenamed("semantic_label", "own")
+    v = v.withColumn("given", F.when(F.col("lin") % 5 > 0, F.col("cls")))
+    return selection.prepared_targets(v, "given").select("lin", "semantic_label", "own")
+
+
+@query("\n SELECT lin, z FROM v WHERE ABS(z - 1) <= 1")
+def depth_band(spark, sf_dir):
+    return selection.depth_band(voxels(spark, sf_dir), 1, 1).select("lin", "z")
+
+
+@query("\n SELECT lin, CAST(c AS INT) AS c, (GREATEST(cls-1, 0) = c)::INT::DOUBLE AS sigmoid, CASE WHEN cls >= 1 THEN (cls-1 = c)::INT::DOUBLE END AS softmax FROM v, (SELECT UNNEST([0,1,2]) AS c)")
+def one_hot(spark, sf_dir):
+    """Class 0 stands for a negative label: class 0 under sigmoid, unknown under softmax."""
+    label = F.col("cls") - 1
+    rows = voxels(spark, sf_dir).select("lin", fn.one_hot(label, 3, "softmax").alias("m"), F.posexplode(fn.one_hot(label, 3)).alias("c", "sigmoid"))
+    return rows.select("lin", "c", "sigmoid", F.col("m")[F.col("c")].alias("softmax"))
+
+
+@query("\n, r AS (SELECT lin, intensity / 5e5 AS u FROM v) SELECT lin, ROUND(LEAST(GREATEST(u*1.3-0.1, 0), 1),6)::DOUBLE AS defect, ROUND(POW((u-0.001)/(0.9-0.001+1e-7), 1.5)*(0.9-0.001)+0.001,6)::DOUBLE AS contrast FROM r WHERE u >= 0.001")
+def intensity_changes(spark, sf_dir):
+    u = F.col("intensity") / 5e5
+    rows = voxels(spark, sf_dir).where(u >= 0.001)
+    return rounded(rows.select("lin", stencil.intensity_defect(u, 1.3, -0.1).alias("defect"), stencil.adjust_contrast(u, 1.5, 0.001, 0.9).alias("contrast")))
+
+
+@query("\n SELECT 'pred' AS volume, lin, pred AS label FROM v UNION ALL SELECT 'gt' AS volume, lin, gt AS label FROM v")
+def bag_of_volumes(spark, sf_dir):
+    v = voxels(spark, sf_dir)
+    return v.select(F.lit("pred").alias("volume"), "lin", F.col("pred").alias("label")).unionByName(v.select(F.lit("gt").alias("volume"), "lin", F.col("gt").alias("label")))
+
+
+@query("\n, k AS (SELECT cls, pred, DENSE_RANK() OVER (ORDER BY cls, pred) AS r FROM (SELECT DISTINCT cls, pred FROM v WHERE cls > 0 AND pred > 0)) SELECT lin, CAST(COALESCE(r, 0) AS BIGINT) AS final_id FROM v LEFT JOIN k ON k.cls = v.cls AND k.pred = v.pred")
+def per_class_ids(spark, sf_dir):
+    return clustering.per_class_ids(voxels(spark, sf_dir), "cls", "pred").select("lin", "final_id")
+
+
+_TEXTS = "WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'a,1,2' WHEN 1 THEN '1,2' ELSE p_size || ', ' || p_partkey || ',0.5' END AS s, CASE p_partkey % 3 WHEN 0 THEN 'x,' || p_size WHEN 2 THEN p_size || ', ' || p_partkey END AS i FROM part), l AS (SELECT p_partkey, [TRY_CAST(TRIM(p) AS DOUBLE) FOR p IN string_split(s, ',')] AS s, [TRY_CAST(TRIM(p) AS BIGINT) FOR p IN string_split(i, ',')] AS i FROM t)"
+
+
+@query(_TEXTS + " SELECT p_partkey, CASE WHEN len(s) = 3 AND s[2] IS NOT NULL AND s[1] IS NOT NULL AND s[3] IS NOT NULL THEN s[2] END AS y, CAST(CASE WHEN i IS NULL OR list_count(i) < len(i) THEN 0 ELSE len(i) END AS INT) AS n_ids, CAST(COALESCE(CASE WHEN list_count(i) = len(i) THEN i[2] END, 0) AS BIGINT) AS id FROM l")
+def parsed_parameters(spark, sf_dir):
+    """Spacing and id lists from text parameters; odd ones give null and no ids."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    spacing = F.when(k % 4 == 0, "a,1,2").when(k % 4 == 1, "1,2").otherwise(F.concat(size, F.lit(", "), k.cast("string"), F.lit(",0.5")))
+    ids = F.when(k % 3 == 0, F.concat(F.lit("x,"), size)).when(k % 3 == 2, F.concat(size, F.lit(", "), k.cast("string")))
+    parsed = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", fn.parse_spacing(spacing)[1].alias("y"), fn.parse_ids(ids).alias("ids"))
+    return parsed.select("p_partkey", "y", F.size("ids").alias("n_ids"), F.coalesce(F.try_element_at("ids", F.lit(2)), F.lit(0)).cast("long").alias("id"))
