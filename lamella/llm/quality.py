@@ -2,7 +2,8 @@
 
 P(grade <= k) = logistic(threshold_k - score): one score, a sum of weights of the hashed words that a text has and
 of a few shape features, shared by all grades, and ordered thresholds. The expected grade and the tail probability
-P(grade >= k) select documents. Grades from `labels`: 0 toxic, 1 of low quality, 2 good.
+P(grade >= k) select documents. Grades from `labels`: 0 toxic, 1 of low quality, 2 good. The words are the WORDS ones
+that go most with a grade in the sample, whatever its size; the less sure that is, the more their weight is drawn to zero.
 
 Training uses a bounded, hash-chosen sample of at most SAMPLE labelled documents. Scoring reads the whole text and
 sends nothing anywhere. Null text is an empty text. Every row gives a row, repeated rows and null ids too; several
@@ -25,8 +26,12 @@ GRADES = 3
 SHAPES = 8
 #: Bytes of a longer word's head, which is a feature beside the word.
 HEAD = 5
-#: A bucket is used from this z-score on of its association with a grade.
-LEAST_Z = 5.0
+#: The words and heads that go most with a grade: so many are used at every size of the sample.
+WORDS = 1024
+#: Weights of words are drawn to zero the more, the further the z-score of their association is below this.
+STRONG_Z = 5.0
+#: How steeply.
+POWER = 12
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MARK = np.zeros(256, bool)
@@ -82,19 +87,22 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Model:
     """weights by bucket, shape weights and thresholds; fitted by Adam on the ordinal log-likelihood."""
 
-    def __init__(self, doc: np.ndarray, bucket: np.ndarray, shapes: np.ndarray, grade: np.ndarray, rounds: int = 500, ridge: float = 1e-4, seen: int = 4):
+    def __init__(self, doc: np.ndarray, bucket: np.ndarray, shapes: np.ndarray, grade: np.ndarray, rounds: int = 500, ridge: float = 1e-4, seen: int = 3):
         n = len(grade)
-        # Only buckets that go with a grade: by the z-score of a grade's share among the texts that have the bucket.
+        # The buckets that go most with a grade: by the z-score of a grade's share among the texts that have the bucket.
         total = np.bincount(bucket, minlength=BUCKETS).astype(float)
-        telling = np.zeros(BUCKETS, bool)
+        telling = np.zeros(BUCKETS)
         for k in range(GRADES):
             share = (grade == k).mean()
             got = np.bincount(bucket, (grade[doc] == k).astype(float), BUCKETS)
             z = (got - total * share) / np.sqrt(np.maximum(total * share * (1 - share), 1e-9))
-            telling |= (total >= seen) & (np.abs(z) > LEAST_Z)
-        keep = telling[bucket]
+            telling = np.maximum(telling, np.where(total >= seen, np.abs(z), 0.0))
+        keep = np.zeros(BUCKETS, bool)
+        keep[np.argsort(-telling, kind="stable")[:WORDS]] = True
+        keep = (keep & (telling > 0))[bucket]
         doc, bucket = doc[keep], bucket[keep]
         names, at = np.unique(bucket, return_inverse=True)
+        pull = np.maximum(1.0, (STRONG_Z / np.maximum(telling[names], 0.1)) ** POWER) * ridge
         k = GRADES - 1
         size = len(names)
         share = np.bincount(grade, minlength=GRADES) / n
@@ -118,7 +126,7 @@ class Model:
             for j in range(k):
                 g_theta[j] = -d_up[grade == j].sum() / n + d_low[grade == j + 1].sum() / n
             g_raw = np.concatenate(([g_theta.sum()], [g_theta[j:].sum() * np.exp(raw_theta[j]) for j in range(1, k)]))
-            g = np.concatenate((np.bincount(at, gs[doc], size) + ridge * w, shapes.T @ gs + ridge * u, g_raw))
+            g = np.concatenate((np.bincount(at, gs[doc], size) + pull * w, shapes.T @ gs + ridge * u, g_raw))
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             p = p - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         self.weights = np.zeros(BUCKETS, np.float32)
