@@ -2,9 +2,9 @@
 
 Candidates are the base matches of each kind and looser look-alikes (addresses with odd domains, dotted numbers,
 long digit groups, credentials). Regex, gazetteer and context labelers vote yes, no or abstain. The counts of vote
-patterns over all documents, which are a fixed number of rows, go to the driver; expectation-maximisation there
-estimates each labeler's reliability for each kind, and a logistic span classifier is trained on the resulting
-probabilities. The classifier then adds look-alikes to the base spans; base spans always stay.
+patterns and span shapes over all documents, of which there is a fixed number whatever the input, go to the driver;
+expectation-maximisation there estimates each labeler's reliability for each kind, and a logistic span classifier,
+which sees the votes and the span's own shape, length and digits, is trained on the resulting probabilities. The classifier then adds look-alikes to the base spans; base spans always stay.
 
 Null text is an empty text. Every row gives a row, repeated rows and null ids too. Extra columns are ignored. If
 no candidate exists anywhere, nothing is added.
@@ -47,6 +47,7 @@ CUES = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "anruf", "móvil"),
     "secret": ("token", "password", "secret", "key", "credential"),
 }
+VOTES, SHAPES = 5, 6
 INTERESTING = re.compile(r"[0-9@=:]|[\[(](?i:at)[\])]|AKIA")
 
 
@@ -102,23 +103,34 @@ def votes(kind: str, text: str, start: int, end: int, base: bool) -> tuple[int,
     return int(base), check, known, cue, bounds
 
 
+def shape(span: str) -> tuple[int, ...]:
+    """What the classifier sees of the span itself: class of the first and of the last character (digit, letter,
+    other), whether it holds a space, a dash, a dot, and its letters (none, one case, both)."""
+    ends = [0 if c.isdigit() else 1 if c.isalpha() else 2 for c in (span[0], span[-1])]
+    case = (span != span.lower()) + (span != span.upper())
+    return *ends, int(" " in span), int("-" in span), int("." in span), case
+
+
 def code(kind: str, text: str, start: int, end: int, base: bool) -> int:
-    """Kind, votes and the buckets of length and share of digits, as one number."""
+    """Kind, votes, the span's shape and the buckets of its length and share of digits, as one number."""
     out = KINDS.index(kind)
     for v in votes(kind, text, start, end, base):
         out = out * 3 + v
+    for v in shape(text[start:end]):
+        out = out * 3 + v
     share = len(only_digits(text[start:end])) / (end - start)
     return (out * 4 + min((end - start) // 12, 3)) * 3 + int(share * 2.99)
 
 
-def decode(number: int) -> tuple[int, list[int], int, int]:
+def decode(number: int) -> tuple[int, list[int], list[int], int, int]:
+    """Kind, votes, shape, length, share of digits."""
     number, share = divmod(number, 3)
     number, length = divmod(number, 4)
     v = []
-    for _ in range(5):
+    for _ in range(VOTES + SHAPES):
         number, x = divmod(number, 3)
         v.append(x)
-    return number, v[::-1], length, share
+    return number, v[: SHAPES - 1 : -1], v[SHAPES - 1 :: -1], length, share
 
 
 def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, str, int, int]]]:
@@ -142,10 +154,10 @@ def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, s
     return base, out
 
 
-def fit(counts: dict[int, int], rounds: int = 60) -> set[int]:
-    """Codes of look-alikes that the span classifier takes, from the counts of all candidates' codes."""
+def chances(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
+    """The span classifier's probability of each code, from the counts of all candidates' codes."""
     if not counts:
-        return set()
+        return {}
     rows = [(k, *decode(k)) for k in sorted(counts)]
     weight = np.array([counts[k] for k in sorted(counts)], float)
     kind = np.array([r[1] for r in rows])
@@ -169,10 +181,12 @@ def fit(counts: dict[int, int], rounds: int = 60) -> set[int]:
                     odds[hit] += np.log(is_1 / is_0)
             p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         post[at] = p
-    x = np.zeros((len(rows), len(KINDS) * 18))
-    for i, (_, k, v, length, share) in enumerate(rows):
+    width = 18 + 3 * SHAPES
+    x = np.zeros((len(rows), len(KINDS) * width))
+    for i, (_, k, v, form, length, share) in enumerate(rows):
         places = [0, *(1 + 2 * j + value for j, value in enumerate(v) if value != 2), 11 + length, 15 + share]
-        x[i, [k * 18 + q for q in places]] = 1
+        places += [18 + 3 * j + value for j, value in enumerate(form)]
+        x[i, [k * width + q for q in places]] = 1
     theta, w = np.zeros(x.shape[1]), weight / weight.sum()
     w = 0.5 * w + 0.5 / len(w)
     for _ in range(400):
@@ -183,7 +197,12 @@ def fit(counts: dict[int, int], rounds: int = 60) -> set[int]:
         if np.abs(step).max() < 1e-6:
             break
     p = 1 / (1 + np.exp(-x @ theta))
-    return {r[0] for r, q in zip(rows, p, strict=True) if q >= 0.5}
+    return {r[0]: float(q) for r, q in zip(rows, p, strict=True)}
+
+
+def fit(counts: dict[int, int], rounds: int = 60) -> set[int]:
+    """Codes of look-alikes that the span classifier takes, from the counts of all candidates' codes."""
+    return {c for c, p in chances(counts, rounds).items() if p >= 0.5}
 
 
 def learn(docs: DataFrame) -> set[int]:
