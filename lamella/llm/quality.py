@@ -7,7 +7,7 @@ that go most with a grade in the sample, whatever its size; the less sure that i
 
 Training uses a bounded, hash-chosen sample of at most SAMPLE labelled documents. Scoring reads the whole text and
 sends nothing anywhere. Null text is an empty text. Every row gives a row, repeated rows and null ids too; several
-labels of one document count by the lowest grade. Without labels every document is kept with grade 2. Extra
+labels of one document count by the lowest grade, and of several texts under one id one is learned from. Without labels every document is kept with grade 2. Extra
 columns are ignored by score() and kept by select().
 """
 
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     # At most about 2 * sample ids of eight bytes: the bound of the broadcast.
     picked = graded.where(place < min(1.0, sample / total)).limit(2 * sample)
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").limit(2 * sample)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -165,8 +165,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
             data = [bucket[cuts[k] : cuts[k + 1]].astype(np.int32).tobytes() for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(data, pa.binary()), pa.array([x.tobytes() for x in shapes], pa.binary())], names=["doc_id", "grade", "words", "shapes"])
 
-    rows = texts.mapInArrow(run, "doc_id long, grade int, words binary, shapes binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["words"])))
+    # Features, not texts, are sent on, and one row an id, however many rows share it.
+    found = texts.mapInArrow(run, "doc_id long, grade int, words binary, shapes binary")
+    rows = found.groupBy("doc_id").agg(F.min(F.struct("words", "shapes", "grade")).alias("f")).select("doc_id", "f.*").collect()
+    rows.sort(key=lambda r: r["doc_id"])
     if not rows:
         return None
     words = [np.frombuffer(r["words"], np.int32).astype(np.int64) for r in rows]
