@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.plans.graph import connected_components
 from lamella.plans.rank import numbered
+from lamella.session import cut
+
+#: Side of the blocks in which components are found locally, by dimensions (a block holds 65,536 or 32,768 places).
+BLOCK = {2: 256, 3: 32}
 
 
 def label_table(rows: DataFrame, label: str = "label", by: list[str] | None = None, start: int = 1) -> DataFrame:
@@ -47,24 +53,86 @@ def half_offsets(dims: int, connectivity: int) -> list[tuple[int, int, int]]:
     return [o for o in every if 0 < sum(map(abs, o)) <= limit and o > (0, 0, 0)]
 
 
+def local_roots(places: np.ndarray, labels: np.ndarray, ids: np.ndarray, offsets: list[tuple[int, int, int]]) -> np.ndarray:
+    """For each voxel of a block the least id in its component of equal labels."""
+    order = np.argsort(ids, kind="stable")
+    low = places.min(0) - 1
+    size = places.max(0) - low + 2
+    step = np.array([size[1] * size[2], size[2], 1])
+    name = np.unique(labels, return_inverse=True)[1].ravel()
+    key = (name * int(size.prod()) + (places - low) @ step)[order]
+    # Distinct places in the order of their keys; each stands for its voxel with the least id.
+    spots, first, spot = np.unique(key, return_index=True, return_inverse=True)
+    a, b = [], []
+    for offset in offsets:
+        to = spots + int(np.dot(offset, step))
+        at = np.minimum(np.searchsorted(spots, to), len(spots) - 1)
+        hit = np.flatnonzero(spots[at] == to)
+        a.append(hit)
+        b.append(at[hit])
+    a, b = np.concatenate(a), np.concatenate(b)
+    root = first.copy()  # places in id order: the least one is the least id
+    owner = np.empty(len(ids), np.int64)
+    owner[first] = np.arange(len(first))
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        for end in (a, b):
+            np.minimum.at(new, owner[root[end]], least)
+            np.minimum.at(new, end, least)
+        while (new[owner[new]] != new).any():
+            new = new[owner[new]]
+        if (new == root).all():
+            break
+        root = new
+    out = np.empty_like(ids)
+    out[order] = ids[order][root[spot.ravel()]]
+    return out
+
+
 def component_labels(rows: DataFrame, by: list[str], dims: int = 3, connectivity: int | None = None, label: str = "label", lin: str = "lin") -> DataFrame:
     """Connected components of equal positive labels; rows get `component` (0 for background).
 
     Components count from 1 within each of `by`, by label and then by their first voxel. lin numbers the voxels
-    uniquely over all samples. In two dimensions sections are separate.
+    uniquely over all samples. In two dimensions sections are separate. Blocks of at most BLOCK voxels a side find
+    their components each for itself; components over blocks are those of the graph of the blocks' components, so
+    that its edges grow with the blocks' faces and not with the voxels.
     """
     if dims not in (2, 3):
         raise ValueError("spatial_dims must be 2 or 3")
     offsets = half_offsets(dims, connectivity or (4 if dims == 2 else 6))
-    fg = rows.where(F.col(label) > 0).select(*dict.fromkeys([*by, "z", "y", "x", label, lin]))
+    axes, side = ("yx" if dims == 2 else "zyx"), BLOCK[dims]
+    blocks = {f"_b{a}": F.floor(F.col(a) / side).cast("long") for a in axes} | ({"_bz": F.col("z").cast("long")} if dims == 2 else {})
+    kept = list(dict.fromkeys([*by, "z", "y", "x", label, lin]))
+    fg = rows.where(F.col(label) > 0).select(*kept).withColumns(blocks).withColumn("_root", F.col(lin))
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        places = pdf[["z", "y", "x"]].to_numpy(np.int64)
+        return pdf.assign(_root=local_roots(places, pdf[label].to_numpy(), pdf[lin].to_numpy(), offsets))
+
+    local = cut(fg.groupBy(*dict.fromkeys([*by, *blocks])).applyInPandas(within, fg.schema))
+    # Only voxels whose neighbour lies in another block meet, and only their blocks' roots become edges.
     shifts = F.array(*[F.struct(F.lit(z).alias("dz"), F.lit(y).alias("dy"), F.lit(x).alias("dx")) for z, y, x in offsets])
+
+    def leaves(o):
+        out = F.lit(False)
+        for a in axes:
+            out = out | (F.floor((F.col(a) + o[f"d{a}"]) / side) != F.col(f"_b{a}"))
+        return out
+
+    def at_edge():
+        out = F.lit(False)
+        for a in axes:
+            out = out | (F.pmod(F.col(a), F.lit(side)) == 0) | (F.pmod(F.col(a), F.lit(side)) == side - 1)
+        return out
+
     keys = list(dict.fromkeys([*by, "z", "y", "x", label]))
-    moved = fg.withColumn("o", F.explode(shifts)).select(
-        *[F.col(k) if k not in "zyx" or (k in by and k != "z") else (F.col(k) + F.col(f"o.d{k}")).cast(fg.schema[k].dataType).alias(k) for k in keys], F.col(lin).alias("src")
+    moved = local.where(at_edge()).withColumn("o", F.explode(F.filter(shifts, leaves))).select(
+        *[(F.col(k) + F.col(f"o.d{k}")).cast(fg.schema[k].dataType).alias(k) if k in axes else F.col(k) for k in keys], F.col("_root").alias("src")
     )
-    edges = moved.join(fg.withColumnRenamed(lin, "dst"), keys).select("src", "dst")
-    parts = connected_components(edges)
-    marked = fg.join(parts, fg[lin] == parts["node"], "left").select(*by, label, lin, F.coalesce("component", lin).alias("root"))
+    met = local.where(at_edge()).select(*keys, F.col("_root").alias("dst"))
+    parts = connected_components(moved.join(met, keys).select("src", "dst").distinct())
+    marked = local.join(parts, local["_root"] == parts["node"], "left").select(*dict.fromkeys([*by, label]), lin, F.coalesce("component", "_root").alias("root"))
     roots = marked.select(*dict.fromkeys([*by, label]), "root").distinct()
     # One order over all of by, less each one's first place: a sample with very many components is not one task's.
     ranked = numbered(roots, list(dict.fromkeys([*by, label, "root"])), "place")
