@@ -171,15 +171,21 @@ def _simple(block: np.ndarray) -> bool:
 
 
 def skeletonize(mask: np.ndarray, iterations: int = 50) -> np.ndarray:
-    """Topology-preserving thinning: border voxels that are simple and no end points go, subfield by subfield."""
+    """Topology-preserving thinning: border voxels that are simple and no end points go, subfield by subfield.
+
+    Subfields count from the mask's own first voxels, so that the margin around it changes nothing.
+    """
+    if not mask.any():
+        return mask.astype(bool)
     out = np.pad(mask.astype(bool), 1)
+    low = np.argwhere(out).min(0) - 1
     fields = list(product((0, 1), repeat=mask.ndim))
     cache: dict[bytes, bool] = {}
     for _ in range(iterations):
         changed = False
         for field in fields:
             places = np.argwhere(out)
-            places = places[((places % 2) == np.array(field)).all(1)]
+            places = places[((places - low) % 2 == np.array(field)).all(1)]
             blocks = [(tuple(p), out[tuple(slice(v - 1, v + 2) for v in p)]) for p in places]
             going = []
             for p, block in blocks:
@@ -243,19 +249,24 @@ def skeleton_targets(rows: DataFrame, by: list[str], shape: dict[str, int], iter
 def pca_rgb(rows: DataFrame, embedding: str = "embedding", key: str = "lin") -> DataFrame:
     """(key, r, g, b): the three main components of the centred vectors, each scaled to [0, 1] over all rows.
 
-    The covariance is a sum over rows of fixed size; signs are set so that the largest loading is positive.
+    The covariance is a sum over rows of fixed size; signs are set so that the largest loading is positive. No rows
+    give no rows; null vectors are left out.
     """
-    vectors = rows.select(key, F.col(embedding).cast("array<double>").alias("e"))
+    vectors = rows.select(key, F.col(embedding).cast("array<double>").alias("e")).where("e is not null")
 
     def moments(batches):
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["e"].to_numpy())
-                yield pd.DataFrame({"n": [len(x)], "s": [x.sum(0)], "q": [(x.T @ x).ravel()]})
-
-    parts = vectors.mapInPandas(moments, "n long, s array<double>, q array<double>")
-    folded = parts.rdd.map(lambda r: (r["n"], np.array(r["s"]), np.array(r["q"]))).treeReduce(lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True)))
-    n, s, q = folded
+                yield pd.DataFrame({"v": [np.concatenate(([len(x)], x.sum(0), (x.T @ x).ravel()))]})
+
+    parts = vectors.mapInPandas(moments, "v array<double>")
+    folded = parts.select(F.posexplode("v").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()
+    if not folded:
+        return vectors.select(key, *[F.lit(None).cast("double").alias(c) for c in "rgb"])
+    sums = np.array([r["v"] for r in folded])
+    d = int(round((np.sqrt(4 * len(sums) - 3) - 1) / 2))  # 1 + d + d * d sums
+    n, s, q = sums[0], sums[1 : d + 1], sums[d + 1 :]
     mean = s / n
     cov = q.reshape(len(s), -1) / n - np.outer(mean, mean)
     values, axes = np.linalg.eigh(cov)

@@ -27,12 +27,14 @@ def get_session(app: str = "lamella", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables that driver and executors share.
 
-    It is the one the cluster names in spark.checkpoint.dir. Where that is unset (tests, local mode) a
-    temporary folder is made and set, which is right for a single machine only.
+    It is the one the cluster names in spark.checkpoint.dir. Where that is unset in local mode (tests) a temporary
+    folder is made and set; on a cluster that is an error, as its machines share no such folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     context = spark.sparkContext
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lamella-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     if context.getCheckpointDir() is None:
