@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import ann, bwt_dedup, decontaminate, html_wrap, langid, packing, pii, quality, simhash, substring_dedup
+from lamella.llm import ann, bwt_dedup, decontaminate, html_wrap, langid, packing, pii, quality, runs, simhash, substring_dedup, topk
 from lamella.llm.common import table
 
 
@@ -51,7 +51,15 @@ def op10_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200)
 
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_packing, op3_substring_dedup, op4_decontaminate, op5_pii, op6_quality, op7_html, op8_ann, op9_simhash, op10_bwt_dedup)}
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(topk.whole(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.collapse(runs.rewritten(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_langid, op2_packing, op3_substring_dedup, op4_decontaminate, op5_pii, op6_quality, op7_html, op8_ann, op9_simhash, op10_bwt_dedup, op12_topk, op13_runs)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": r"""
@@ -65,4 +73,11 @@ k AS (SELECT a.doc_id, string_agg(word, ' ' ORDER BY a.j) AS kept FROM a LEFT JO
 n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN k ON k.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id""",
+    "op12_topk": """
+WITH v AS (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+ WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, c.row AS row, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+ FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id, row) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5""",
 }
