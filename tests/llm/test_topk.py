@@ -58,7 +58,8 @@ def test_products_beyond_doubles(spark):
 
 def test_both_ways_of_pruning_lose_nothing():
     rng = np.random.default_rng(3)
-    x = np.rint(rng.standard_normal((3000, 5)) * 100 * np.exp(rng.normal(0, 0.03, 3000))[:, None])
+    x = rng.standard_normal((3000, 5))
+    x = np.rint(x / np.linalg.norm(x, axis=1)[:, None] * rng.uniform(270, 300, 3000)[:, None])
     q = np.rint(np.concatenate((x[:40] * 2, rng.standard_normal((40, 5)) * 300)))
     bucket, ids = topk.Bucket(np.arange(3000), x), np.arange(80) + 10_000
     scores = q @ x.T
