@@ -1,6 +1,7 @@
 """Distance transforms, direction fields, structure tensors and skeletons of instances.
 
-An instance's voxels are one group of an Arrow function: it needs the whole instance, in its bounding box.
+No instance has to fit a task: distances go line by line (`lines`), tensors, thinning and the search for the nearest
+skeleton voxel block by block with halos (`blocks`).
 """
 
 from __future__ import annotations
@@ -12,54 +13,48 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.operators import lines
 from lamella.operators.aggregates import spatial_centroids
+from lamella.operators.blocks import SIDE, Dense, block_columns, with_halos
+from lamella.session import cut, settled
 
 
-def squared_edt(inside: np.ndarray) -> np.ndarray:
-    """Squared distance to the nearest voxel outside, axis by axis (lower envelope by direct minimum); inf if there is none."""
-    out = np.where(inside, np.inf, 0.0)
-    for axis in range(inside.ndim):
-        n = inside.shape[axis]
-        gap = (np.arange(n)[:, None] - np.arange(n)[None, :]) ** 2.0
-        lines = np.moveaxis(out, axis, -1).reshape(-1, n)
-        best = np.empty_like(lines)
-        for a in range(0, len(lines), 256):
-            best[a : a + 256] = (lines[a : a + 256, None, :] + gap[None]).min(-1)
-        out = np.moveaxis(best.reshape(np.moveaxis(out, axis, -1).shape), -1, axis)
-    return out
+def _foreground(rows: DataFrame, by: list[str], label: str, axes: str, *more: str) -> DataFrame:
+    return rows.where(F.col(label) > 0).select(*dict.fromkeys([*by, label, *axes, "lin", *more]))
+
 
+def _line_keys(by: list[str], axes: str, axis: str) -> list[str]:
+    return list(dict.fromkeys([*by, *(a for a in axes if a != axis)]))
 
-def _boxed(pdf: pd.DataFrame, axes: str, shape: dict[str, int], margin: int = 1):
-    """Mask of an instance in its bounding box with a margin, cut at the volume, and the voxels' places in it."""
-    low = {a: max(int(pdf[a].min()) - margin, 0) for a in axes}
-    high = {a: min(int(pdf[a].max()) + margin, shape[a] - 1) for a in axes}
-    mask = np.zeros([high[a] - low[a] + 1 for a in axes], bool)
-    at = tuple(pdf[a].to_numpy() - low[a] for a in axes)
-    mask[at] = True
-    return mask, at
 
+def squared_distances(rows: DataFrame, by: list[str], shape: dict[str, int], label: str = "label", axes: str = "yx", name: str = "d2") -> DataFrame:
+    """Instance voxels with the squared distance to the nearest voxel that isn't of the instance; lines.FAR if there is none.
 
-def _per_instance(rows: DataFrame, by: list[str], label: str, axes: str, columns: str, fn) -> DataFrame:
-    fg = rows.where(F.col(label) > 0).select(*dict.fromkeys([*by, label, *axes, "lin"]))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fg.schema.fields)
-    return fg.groupBy(*by, label).applyInPandas(fn, f"{kinds}, {columns}")
+    Separable: a lower envelope along each axis in turn. Voxels of a group (by) are distinct; what has no row is background.
+    """
+    out = _foreground(rows, by, label, axes).withColumn(name, F.lit(lines.FAR))
+    for axis in reversed(axes):
+        out = lines.along(out, _line_keys(by, axes, axis), axis, lines.distance_pass(axis, shape[axis], label, name), f"{name} double")
+    return out
 
 
 def distance_transform(rows: DataFrame, by: list[str], shape: dict[str, int], label: str = "label", axes: str = "yx") -> DataFrame:
     """dt: distance to the nearest voxel that isn't of the instance; dt_norm: by the instance's maximum.
 
-    The volume's edge is no background. An instance that fills the volume has null dt.
+    The volume's edge is no background. An instance that fills the volume has null dt and zero dt_norm.
     """
+    keys = list(dict.fromkeys([*by, label]))
+    out = squared_distances(rows, by, shape, label, axes).withColumn("dt", F.when(F.col("d2") < lines.FAR / 2, F.sqrt("d2"))).drop("d2")
+    top = out.groupBy(*keys).agg(F.max("dt").alias("_top"))
+    return out.join(top, keys).withColumn("dt_norm", F.when(F.col("_top") > 0, F.col("dt") / F.col("_top")).otherwise(F.lit(0.0))).drop("_top")
 
-    def run(pdf):
-        mask, at = _boxed(pdf, axes, shape)
-        dt = np.sqrt(squared_edt(mask))[at]
-        known = np.isfinite(dt).all()
-        top = dt.max() if known else 0.0
-        return pdf.assign(dt=dt if known else np.nan, dt_norm=dt / top if known and top > 0 else 0.0)
 
-    out = _per_instance(rows, by, label, axes, "dt double, dt_norm double", run)
-    return out.withColumn("dt", F.when(~F.isnan("dt"), F.col("dt")))
+def distance_gradient(distances: DataFrame, by: list[str], shape: dict[str, int], label: str = "label", axes: str = "yx") -> DataFrame:
+    """distances with g<axis>: central differences of dt, one-sided at the volume's edge; dt is zero outside the instance."""
+    out = distances.withColumn("_f", F.coalesce("dt", F.lit(0.0)))
+    for axis in axes:
+        out = lines.along(out, _line_keys(by, axes, axis), axis, lines.gradient_pass(axis, shape[axis], label, "_f", f"g{axis}"), f"g{axis} double")
+    return out.drop("_f")
 
 
 def skeleton_depth_weight(rows: DataFrame, by: list[str], shape: dict[str, int], weight: float = 10.0, label: str = "label", axes: str = "yx") -> DataFrame:
@@ -77,11 +72,6 @@ def centroid_direction(rows: DataFrame, by: list[str], label: str = "label", axe
     return out.withColumns({f"d{a}": F.coalesce(F.when(size > 0, g / size), F.lit(0.0)) for a, g in gap.items()}).drop("cz", "cy", "cx")
 
 
-def gradient(field: np.ndarray) -> list[np.ndarray]:
-    """Central differences, one-sided at the ends, along each axis of more than one voxel."""
-    return [np.gradient(field, axis=k) if n > 1 else np.zeros_like(field) for k, n in enumerate(field.shape)]
-
-
 def gaussian_kernel(sigma: float, order: int = 0) -> np.ndarray:
     """Sampled Gaussian (or its derivative) cut off at four sigma."""
     r = int(4.0 * sigma + 0.5)
@@ -107,143 +97,233 @@ def gaussian_filter(field: np.ndarray, sigma: float, orders: tuple[int, ...]) ->
     return field
 
 
-def structure_tensor(rows: DataFrame, by: list[str], shape: dict[str, int], sigma: float = 5.0, label: str = "label", axes: str = "yx") -> DataFrame:
+def structure_tensor(rows: DataFrame, by: list[str], shape: dict[str, int], sigma: float = 5.0, label: str = "label", axes: str = "yx", side: int | None = None) -> DataFrame:
     """tensor: S * S numbers, row by row in x, y(, z) order, of the smoothed gradient of each instance's distance transform.
 
     Gradients and products are smoothed inside the mask and divided by the smoothed mask; towards the medial axis
-    the tensor turns isotropic with the squared normalised distance.
+    the tensor turns isotropic with the squared normalised distance. A block has a halo of both filters' radii, so the
+    result is that of filters over the whole volume; the volume's edge reflects.
     """
-    s = len(axes)
-    inner = max(1.0, sigma / 3.0)
-
-    def run(pdf):
-        mask, at = _boxed(pdf, axes, shape, margin=int(4 * sigma))
-        m = mask.astype(float)
-        dt = np.sqrt(squared_edt(mask))
-        dt = np.where(np.isfinite(dt), dt, 0.0)
-        top = dt.max()
-        grads = [gaussian_filter(dt * m, inner, tuple(int(k == j) for k in range(s))) * m for j in reversed(range(s))]
+    s, inner = len(axes), max(1.0, sigma / 3.0)
+    radius = len(gaussian_kernel(sigma)) // 2
+    halo, side = radius + len(gaussian_kernel(inner)) // 2, side or SIDE[len(axes)]
+    kept = list(dict.fromkeys([*by, label, *axes, "lin"]))
+    fields = with_halos(distance_transform(rows, by, shape, label, axes).select(*kept, F.coalesce("dt", F.lit(0.0)).alias("_dt"), "dt_norm"), axes, side, halo)
+    full = np.array([shape[a] for a in axes])
+
+    def of_instance(places: np.ndarray, dt: np.ndarray, norm: np.ndarray, core: np.ndarray) -> np.ndarray:
+        low = np.maximum(places.min(0) - radius, 0)
+        high = np.minimum(places.max(0) + radius + 1, full)
+        at = tuple((places - low).T)
+        m, d = np.zeros(high - low), np.zeros(high - low)
+        m[at], d[at] = 1.0, dt
+        grads = [gaussian_filter(d, inner, tuple(int(k == j) for k in range(s))) * m for j in reversed(range(s))]
         weight = np.maximum(gaussian_filter(m, sigma, (0,) * s), 1e-10)
-        t = np.zeros((s, s, *mask.shape))
-        for i, j in product(range(s), repeat=2):
-            t[i, j] = gaussian_filter(grads[i] * grads[j] * m, sigma, (0,) * s) / weight
-        w = (dt / top) ** 2 if top > 0 else np.zeros_like(dt)
-        trace = sum(t[i, i] for i in range(s)) / s
+        at, w = tuple(a[core] for a in at), norm[core] ** 2
+        t = np.zeros((int(core.sum()), s, s))
         for i, j in product(range(s), repeat=2):
-            t[i, j] = (1 - w) * t[i, j] + (w * trace if i == j else 0.0)
-        flat = t.reshape(s * s, *mask.shape)[(slice(None), *at)].T
-        return pdf.assign(tensor=list(flat))
-
-    return _per_instance(rows, by, label, axes, "tensor array<double>", run)
-
-
-def _simple(block: np.ndarray) -> bool:
-    """Whether the centre of a 3-wide block can go without changing the topology: one foreground piece (full
-    neighbourhood) and one background piece that touches it by a face (in two dimensions by an edge)."""
-    centre = (1,) * block.ndim
-    fg = block.copy()
-    fg[centre] = False
-    if not fg.any():
-        return False
-
-    def pieces(cells: set, full: bool) -> list[set]:
-        cells, out = set(cells), []
-        while cells:
-            todo, own = [cells.pop()], set()
-            while todo:
-                c = todo.pop()
-                own.add(c)
-                for d in product((-1, 0, 1), repeat=block.ndim):
-                    if any(d) and (full or sum(map(abs, d)) == 1):
-                        n = tuple(a + b for a, b in zip(c, d, strict=True))
-                        if n in cells:
-                            cells.remove(n)
-                            todo.append(n)
-            out.append(own)
-        return out
-
-    if len(pieces(set(map(tuple, np.argwhere(fg))), True)) != 1:
-        return False
-    near = 2 if block.ndim == 3 else block.ndim
-    empty = {tuple(c) for c in np.argwhere(~block) if sum(abs(int(v) - 1) for v in c) <= near}
-    touching = [p for p in pieces(empty, False) if any(sum(abs(v - 1) for v in c) == 1 for c in p)]
-    return len(touching) == 1
+            t[:, i, j] = (gaussian_filter(grads[i] * grads[j], sigma, (0,) * s) / weight)[at] if i <= j else t[:, j, i]
+        trace = np.trace(t, axis1=1, axis2=2) / s
+        t *= (1 - w)[:, None, None]
+        t[:, range(s), range(s)] += (w * trace)[:, None]
+        return t.reshape(len(t), s * s)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in pdf.groupby(label, sort=False):
+            core = own["core"].to_numpy()
+            if core.any():
+                got = of_instance(own[list(axes)].to_numpy(np.int64), own["_dt"].to_numpy(), own["dt_norm"].to_numpy(), core)
+                out.append(own.loc[core, kept].assign(tensor=list(got)))
+        return pd.concat(out) if out else pdf[kept].iloc[:0].assign(tensor=pd.Series([], dtype=object))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields.select(*kept).schema.fields)
+    return fields.groupBy(*dict.fromkeys([*by, *block_columns(axes)])).applyInPandas(run, f"{kinds}, tensor array<double>")
+
+
+def _neighbours(dims: int) -> tuple[list[tuple[int, ...]], list[int], list[int], int, int]:
+    """Offsets of the neighbours (a bit each), which ones touch each of them fully and by faces, bits near enough to
+    count as background, and bits of the faces."""
+    around = [o for o in product((-1, 0, 1), repeat=dims) if any(o)]
+
+    def touching(a, most):
+        return sum(1 << k for k, b in enumerate(around) if a != b and max(abs(p - q) for p, q in zip(a, b, strict=True)) <= 1 and sum(abs(p - q) for p, q in zip(a, b, strict=True)) <= most)
+
+    near = sum(1 << k for k, o in enumerate(around) if sum(map(abs, o)) <= 2)
+    faces = sum(1 << k for k, o in enumerate(around) if sum(map(abs, o)) == 1)
+    return around, [touching(a, dims) for a in around], [touching(a, 1) for a in around], near, faces
+
+
+def _reached(seed: np.ndarray, allowed: np.ndarray, touching: list[int]) -> np.ndarray:
+    """Bits of allowed that are connected with the seed's."""
+    reach = seed & allowed
+    while True:
+        grown = reach.copy()
+        for k, bits in enumerate(touching):
+            grown |= np.where(reach >> k & 1, bits, 0)
+        grown &= allowed
+        if (grown == reach).all():
+            return reach
+        reach = grown
+
+
+def simple(keys: np.ndarray, dims: int) -> np.ndarray:
+    """Whether a voxel can go without changing the topology, by its neighbourhood (a bit for each instance voxel around).
+
+    One foreground piece (full neighbourhood) and one background piece that touches it by a face; the background
+    connects by faces within the neighbours at most two steps away.
+    """
+    _, full, by_face, near, faces = _neighbours(dims)
+    empty = ~keys & near
+    touch = empty & faces
+    one = _reached(keys & -keys, keys, full) == keys
+    return (keys != 0) & (touch != 0) & one & (touch & ~_reached(touch & -touch, empty, by_face) == 0)
 
 
-def skeletonize(mask: np.ndarray, iterations: int = 50) -> np.ndarray:
-    """Topology-preserving thinning: border voxels that are simple and no end points go, subfield by subfield.
+def peel(label: np.ndarray, parity: np.ndarray, rounds: int) -> bool:
+    """Thin the instances of a padded array in place: border voxels that are simple and no end points go, one subfield
+    after another (2 ** dims of them a round; parity names a voxel's). Says whether the last round changed nothing.
 
-    Subfields count from the mask's own first voxels, so that the margin around it changes nothing.
+    Voxels of a subfield are no neighbours of each other, so they go at the same time.
     """
+    dims = label.ndim
+    around, *_, faces = _neighbours(dims)
+    strides = np.array([int(np.prod(label.shape[k + 1 :])) for k in range(dims)])
+    steps = [int(np.dot(o, strides)) for o in around]
+    flat, kind = label.ravel(), parity.ravel()
+    alive = np.flatnonzero(flat)
+    for _ in range(rounds):
+        still = True
+        for field in range(1 << dims):
+            alive = alive[flat[alive] > 0]
+            at = alive[kind[alive] == field]
+            keys = np.zeros(len(at), np.int64)
+            for k, step in enumerate(steps):
+                keys |= (flat[at + step] == flat[at]).astype(np.int64) << k
+            border = (~keys & faces != 0) & (keys & (keys - 1) != 0)  # two neighbours or more
+            shapes, of = np.unique(keys[border], return_inverse=True)
+            gone = at[border][simple(shapes, dims)[of.ravel()]] if len(shapes) else at[:0]
+            flat[gone] = 0
+            still &= not len(gone)
+        if still:
+            return True
+    return False
+
+
+def skeletonize(mask: np.ndarray, iterations: int = 50) -> np.ndarray:
+    """Thinning of one array. Subfields count from the mask's own first voxels, so that a margin around it changes nothing."""
     if not mask.any():
         return mask.astype(bool)
-    out = np.pad(mask.astype(bool), 1)
+    out = np.pad(mask.astype(np.int64), 1)
     low = np.argwhere(out).min(0) - 1
-    fields = list(product((0, 1), repeat=mask.ndim))
-    cache: dict[bytes, bool] = {}
-    for _ in range(iterations):
-        changed = False
-        for field in fields:
-            places = np.argwhere(out)
-            places = places[((places - low) % 2 == np.array(field)).all(1)]
-            blocks = [(tuple(p), out[tuple(slice(v - 1, v + 2) for v in p)]) for p in places]
-            going = []
-            for p, block in blocks:
-                n = int(block.sum()) - 1
-                faces = sum(not block[tuple(1 + (s if k == a else 0) for k in range(block.ndim))] for a in range(block.ndim) for s in (-1, 1))
-                if n <= 1 or not faces:
-                    continue
-                key = np.packbits(block).tobytes()
-                if key not in cache:
-                    cache[key] = _simple(block)
-                if cache[key]:
-                    going.append(p)
-            for p in going:
-                out[p] = False
-            changed |= bool(going)
-        if not changed:
-            break
-    return out[(slice(1, -1),) * mask.ndim]
+    peel(out, _parity(np.indices(out.shape).reshape(out.ndim, -1).T - low).reshape(out.shape), iterations)
+    return out[(slice(1, -1),) * mask.ndim] > 0
+
+
+def _parity(places: np.ndarray) -> np.ndarray:
+    """The subfield of places counted from one before an instance's first."""
+    return (places % 2) @ (1 << np.arange(places.shape[1])[::-1])
+
 
+#: Subfields whose removals an exchange of halos allows for.
+HALO = 16
 
-def skeletons(rows: DataFrame, by: list[str], shape: dict[str, int], iterations: int = 50, label: str = "label", axes: str = "yx") -> DataFrame:
-    """Voxels of each instance's skeleton; an empty skeleton is the whole instance."""
 
-    def run(pdf):
-        mask, at = _boxed(pdf, axes, shape, margin=0)
-        on = skeletonize(mask, iterations)[at]
-        return pdf[on] if on.any() else pdf
+def skeletons(rows: DataFrame, by: list[str], shape: dict[str, int], iterations: int = 50, label: str = "label", axes: str = "yx", side: int | None = None) -> DataFrame:
+    """Voxels of each instance's skeleton, by thinning to a fixed point (`iterations` rounds at most).
+
+    A round has 2 ** dimensions subfields and each one looks one voxel further, so blocks with a halo of HALO voxels thin
+    for HALO subfields on their own; then the voxels that are left are dealt anew. The result is that of the whole volume.
+    """
+    dims, side, halo = len(axes), side or SIDE[len(axes)], HALO
+    rounds = max(1, halo >> dims)
+    keys = list(dict.fromkeys([*by, label]))
+    fg = _foreground(rows, by, label, axes)
+    first = fg.groupBy(*keys).agg(*[(F.min(a) - 1).alias(f"_low{a}") for a in axes])
+    now = fg.join(first, keys)
+    parity = sum(((F.pmod(F.col(a) - F.col(f"_low{a}"), F.lit(2)) * (1 << (dims - 1 - k))) for k, a in enumerate(axes)), F.lit(0))
+    now = cut(now.withColumn("_p", parity.cast("int")).drop(*[f"_low{a}" for a in axes]))
+    schema, columns, blocks = now.schema, now.columns, block_columns(axes)
+
+    def thinning(rounds: int):
+        def thin(pdf: pd.DataFrame) -> pd.DataFrame:
+            core = pdf["core"].to_numpy()
+            if not core.any():
+                return pdf[columns].iloc[:0]
+            box = Dense(pdf[list(axes)].to_numpy(np.int64), pdf[blocks].to_numpy(np.int64)[0], side, halo)
+            _, names = np.unique(pdf[label].to_numpy(), return_inverse=True)
+            labels = np.pad(box.array(names.ravel().astype(np.int64) + 1), 1)
+            peel(labels, np.pad(box.array(pdf["_p"].to_numpy(np.int64)), 1), rounds)
+            return pdf.loc[core & (labels[tuple(a + 1 for a in box.at)] > 0), columns]
+
+        return thin
+
+    left, count = iterations, now.count()
+    while left > 0 and count:
+        n = min(rounds, left)
+        now = settled(with_halos(now, axes, side, halo).groupBy(*dict.fromkeys([*by, *blocks])).applyInPandas(thinning(n), schema))
+        before, count, left = count, now.count(), left - n
+        if before == count:
+            break
+    return now.drop("_p")
 
-    fg = rows.where(F.col(label) > 0).select(*dict.fromkeys([*by, label, *axes, "lin"]))
-    return fg.groupBy(*by, label).applyInPandas(run, fg.schema)
+
+def nearest_sites(voxels: DataFrame, sites: DataFrame, by: list[str], label: str, axes: str, reach: int = 8, side: int | None = None) -> DataFrame:
+    """voxels with n<axis>, the nearest site of the same instance, the first in raster order on ties. Every instance has one.
+
+    A voxel looks at the sites of its block and a halo of `reach` around it; a site nearer than the reach is the nearest.
+    Voxels that have none look again with a reach four times as large, in blocks that grow with it.
+    """
+    kept = voxels.columns
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in voxels.schema.fields)
+    schema = ", ".join([kinds, *(f"n{a} double" for a in axes), "_known boolean"])
+    keys = list(dict.fromkeys([*by, label]))
+    side, todo, done = side or SIDE[len(axes)] // 4, voxels, None
+    def within(reach: int):
+        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            near, known = np.full((len(left), len(axes)), np.nan), np.zeros(len(left), bool)
+            own = {k: v[list(axes)].to_numpy(np.int64) for k, v in right.groupby(label)}
+            for name, at in left.groupby(label).indices.items():
+                if name not in own:
+                    continue
+                places, targets = left[list(axes)].to_numpy(np.int64)[at], own[name]
+                targets = targets[np.lexsort(targets.T[::-1])]
+                for a in range(0, len(at), 256):
+                    d = ((places[a : a + 256, None, :] - targets[None]) ** 2).sum(-1)
+                    best = d.argmin(1)
+                    ok = d[np.arange(len(best)), best] <= reach * reach
+                    near[at[a : a + 256][ok]], known[at[a : a + 256][ok]] = targets[best[ok]], True
+            return left[kept].assign(**{f"n{a}": near[:, k] for k, a in enumerate(axes)}, _known=known)
+
+        return meet
+
+    on = list(dict.fromkeys([*by, *block_columns(axes)]))
+    while True:
+        block = max(side, reach)
+        cells = with_halos(todo, axes, block, 0).groupBy(*on)
+        around = with_halos(sites.select(*dict.fromkeys([*keys, *axes])), axes, block, reach).groupBy(*on)
+        got = cut(cells.cogroup(around).applyInPandas(within(reach), schema))
+        found = got.where("_known").drop("_known")
+        done = found if done is None else done.unionByName(found)
+        todo = got.where("not _known").select(*kept)
+        if not todo.limit(1).count():
+            return done
+        reach *= 4
 
 
 def skeleton_targets(rows: DataFrame, by: list[str], shape: dict[str, int], iterations: int = 50, label: str = "label", axes: str = "yx") -> DataFrame:
-    """For each instance voxel: the nearest skeleton voxel n<axis>, the unit direction to it s<axis>, dt_norm and its
-    gradient g<axis>. Instances under two voxels have zero directions. First skeleton voxel in raster order on ties."""
+    """For each instance voxel: the nearest skeleton voxel n<axis>, the unit direction to it s<axis>, dt_norm and the
+    gradient g<axis> of the distance. First skeleton voxel in raster order on ties; instances of one voxel have zeros."""
+    keys = list(dict.fromkeys([*by, label]))
+    fields = cut(distance_gradient(distance_transform(rows, by, shape, label, axes), by, shape, label, axes))
+    out = nearest_sites(fields, skeletons(rows, by, shape, iterations, label, axes), by, label, axes)
+    single = fields.groupBy(*keys).count().where("count = 1").select(*keys, F.lit(True).alias("_one"))
+    out = out.join(single, keys, "left")
+    gap = {a: F.col(f"n{a}") - F.col(a) for a in axes}
+    size = F.sqrt(sum((g * g for g in gap.values()), F.lit(0.0)))
+    out = out.withColumns({f"s{a}": F.when(size > 0, g / size).otherwise(F.lit(0.0)) for a, g in gap.items()})
     names = [*(f"n{a}" for a in axes), *(f"s{a}" for a in axes), "dt_norm", *(f"g{a}" for a in axes)]
-
-    def run(pdf):
-        mask, at = _boxed(pdf, axes, shape)
-        dt = np.sqrt(squared_edt(mask))
-        dt = np.where(np.isfinite(dt), dt, 0.0)
-        dt = dt / dt.max() if dt.max() > 0 else dt
-        sk = skeletonize(mask, iterations)
-        sk = sk if sk.any() else mask
-        targets, own = np.argwhere(sk), np.stack(at, 1)
-        near = np.empty_like(own)
-        for a in range(0, len(own), 512):
-            d = ((own[a : a + 512, None, :] - targets[None]) ** 2).sum(-1)
-            near[a : a + 512] = targets[d.argmin(1)]
-        gap = (near - own).astype(float)
-        size = np.sqrt((gap**2).sum(1, keepdims=True))
-        unit = np.where(size > 0, gap / np.maximum(size, 1e-12), 0.0) if len(own) > 1 else np.zeros_like(gap)
-        out = {f"n{a}": pdf[a].to_numpy() + gap[:, k] for k, a in enumerate(axes)}
-        out |= {f"s{a}": unit[:, k] for k, a in enumerate(axes)}
-        out |= {"dt_norm": dt[at]} | {f"g{a}": g[at] for a, g in zip(axes, gradient(dt * mask), strict=True)}
-        return pdf.assign(**out)
-
-    return _per_instance(rows, by, label, axes, ", ".join(f"{n} double" for n in names), run)
+    return out.select(*dict.fromkeys([*keys, *axes, "lin"]), *[F.when(F.col("_one"), F.lit(0.0)).otherwise(F.col(n)).alias(n) for n in names])
 
 
 def pca_rgb(rows: DataFrame, embedding: str = "embedding", key: str = "lin") -> DataFrame:

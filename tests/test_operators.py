@@ -127,11 +127,12 @@ def brute_edt(mask):
     return {tuple(p): np.sqrt(((outside - p) ** 2).sum(1).min()) for p in inside}
 
 
-def test_edt_and_skeleton():
+def test_edt_and_skeleton(spark):
     rng = np.random.default_rng(0)
     mask = rng.random((9, 11)) < 0.8
-    got = np.sqrt(geometry.squared_edt(mask))
-    assert all(got[p] == pytest.approx(d) for p, d in brute_edt(mask).items())
+    rows = spark.createDataFrame([(0, int(y), int(x), int(mask[y, x]), int(y * 11 + x)) for y, x in np.ndindex(9, 11)], "z int, y int, x int, label long, lin long")
+    got = {(r["y"], r["x"]): r["dt"] for r in geometry.distance_transform(rows, ["z"], {"y": 9, "x": 11}).collect()}
+    assert got == pytest.approx(brute_edt(mask))
     bar = np.zeros((7, 21), bool)
     bar[1:6, 1:20] = True
     thin = geometry.skeletonize(bar)
