@@ -1,11 +1,18 @@
-"""Patch grids, overlaps, extraction, blending and stitching."""
+"""Patch grids, overlaps, extraction, sliding-window prediction, blending and stitching.
+
+The patches along an axis are arithmetic: starts are multiples of the stride, the last one at the end of the axis. Which
+of them cover a place is a range of numbers, so neither grids nor covers are listed anywhere, for one volume or a table
+of volumes of different shapes.
+"""
 
 from __future__ import annotations
 
 import math
-from itertools import product
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.functions.scalar import gaussian_weight, lp_distance
@@ -19,76 +26,102 @@ AXES = "zyx"
 def window_starts(size: int, patch: int, stride: int | None = None, cover: str = "full") -> list[int]:
     """Starts along one axis. cover='reference' leaves a tail that the stride doesn't reach; 'full' adds a last patch at the end."""
     stride = stride or max(1, patch // 2)
-    padded = max(size, patch)
-    n = max(1, (padded - patch + stride) // stride)
-    starts = [min(i * stride, padded - patch) for i in range(n)]
-    if cover == "full" and starts[-1] + patch < padded:
-        starts.append(padded - patch)
-    return starts
+    room = max(size, patch) - patch
+    return [*range(0, room + 1, stride), *([room] if cover == "full" and room % stride else [])]
+
+
+def overlap_stride(patch: int, overlap: float = 0.25) -> int:
+    return max(1, int(patch * (1 - overlap)))
 
 
 def overlap_starts(size: int, patch: int, overlap: float = 0.25) -> list[int]:
     """Starts with a share of overlap; the last patch is moved back to end at the edge."""
-    if size <= patch:
-        return [0]
-    stride = max(1, int(patch * (1 - overlap)))
-    n = math.ceil((size - patch) / stride) + 1
-    return [min(i * stride, size - patch) for i in range(n)]
+    return window_starts(size, patch, overlap_stride(patch, overlap))
+
+
+class Windows:
+    """The patches along one axis of `size` places (a number or a column): start(k) for k from 0 to count - 1."""
+
+    def __init__(self, size, patch: int, stride: int | None = None, cover: str = "full"):
+        self.patch, self.stride = patch, stride or max(1, patch // 2)
+        size = size if isinstance(size, Column) else F.lit(size)
+        self.room = F.greatest(size, F.lit(patch)).cast("long") - patch
+        regular = F.floor(self.room / self.stride) + 1
+        self.tail = (self.room % self.stride != 0) if cover == "full" else F.lit(False)
+        self.regular, self.count = regular, regular + self.tail.cast("long")
+
+    def start(self, k: Column) -> Column:
+        return F.least(k * self.stride, self.room)
+
+    def every(self) -> Column:
+        return F.sequence(F.lit(0).cast("long"), self.count - 1)
+
+    def covering(self, first: Column, last: Column) -> Column:
+        """Numbers of the patches that hold a place from first to last (both included, within the axis)."""
+        low = F.greatest(F.floor((first - self.patch) / self.stride) + 1, F.lit(0)).cast("long")
+        high = F.when(self.tail & (self.room <= last), self.regular).otherwise(F.least(F.floor(last / self.stride), self.regular - 1)).cast("long")
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<long>"))
+
+
+def _grid(volumes: DataFrame, by: list[str], windows: dict[str, Windows], inside: bool) -> DataFrame:
+    out = volumes.select(*by, *[f"n{a}" for a in AXES])
+    for a in AXES:
+        out = out.withColumn(f"_k{a}", F.explode(windows[a].every()))
+    index = F.col("_kz")
+    for a in "yx":
+        index = index * windows[a].count + F.col(f"_k{a}")
+    starts = {a: windows[a].start(F.col(f"_k{a}")) for a in AXES}
+    ends = {a: F.least(s + windows[a].patch, F.col(f"n{a}")) if inside else s + windows[a].patch for a, s in starts.items()}
+    return out.select(*by, index.cast("long").alias("patch_idx"), *[s.cast("int").alias(f"{a}0") for a, s in starts.items()], *[e.cast("int").alias(f"{a}1") for a, e in ends.items()])
 
 
-def _grid(spark: SparkSession, starts: list[list[int]], patch: tuple[int, ...], shape: tuple[int, ...] | None) -> DataFrame:
-    rows = []
-    for k, corner in enumerate(product(*starts)):
-        stop = [c + p if shape is None else min(c + p, s) for c, p, s in zip(corner, patch, shape or patch, strict=True)]
-        rows.append((k, *corner, *stop))
-    return spark.createDataFrame(rows, "patch_idx int, z0 int, y0 int, x0 int, z1 int, y1 int, x1 int")
+def window_grid(volumes: DataFrame, patch: dict[str, int], stride: dict[str, int] | None = None, cover: str = "full", by: list[str] | None = None) -> DataFrame:
+    """(by, patch_idx, z0, y0, x0, z1, y1, x1) of the sliding windows of each volume (by, nz, ny, nx), in raster order."""
+    return _grid(volumes, by or [], {a: Windows(F.col(f"n{a}"), patch[a], (stride or {}).get(a), cover) for a in AXES}, False)
 
 
-def window_grid(spark, shape, patch, stride=None, cover="full") -> DataFrame:
-    stride = stride or (None, None, None)
-    return _grid(spark, [window_starts(n, p, s, cover) for n, p, s in zip(shape, patch, stride, strict=True)], patch, None)
+def overlap_grid(volumes: DataFrame, patch: dict[str, int], overlap: float = 0.25, by: list[str] | None = None) -> DataFrame:
+    """The same with a share of overlap; patches end at the volume's edge."""
+    return _grid(volumes, by or [], {a: Windows(F.col(f"n{a}"), patch[a], overlap_stride(patch[a], overlap)) for a in AXES}, True)
 
 
-def overlap_grid(spark, shape, patch, overlap=0.25) -> DataFrame:
-    return _grid(spark, [overlap_starts(n, p, overlap) for n, p in zip(shape, patch, strict=True)], patch, shape)
+def volume_shapes(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, nz, ny, nx): how far the voxels of each volume reach."""
+    return rows.groupBy(*(by or [])).agg(*[(F.max(a) + 1).alias(f"n{a}") for a in AXES])
 
 
-def patch_overlaps(patches: DataFrame, cell: dict[str, int]) -> DataFrame:
-    """Pairs i < j of patches whose boxes meet, with the intersection.
+def patch_overlaps(patches: DataFrame, cell: dict[str, int], by: list[str] | None = None) -> DataFrame:
+    """Pairs i < j of a volume's patches whose boxes meet, with the intersection.
 
     Boxes are put into the grid cells they cover and met there by equality; `cell` is about a patch's size, so a
     box covers a few cells and a cell holds a few boxes.
     """
-    cover = [F.sequence(F.floor(F.col(f"{a}0") / cell[a]), F.floor((F.col(f"{a}1") - 1) / cell[a])) for a in AXES]
+    by = by or []
     p = patches
-    for a, c in zip(AXES, cover, strict=True):
-        p = p.withColumn(f"c{a}", F.explode(c))
-    i = p.select(F.col("patch_idx").alias("i"), *[F.col(f"{a}{e}").alias(f"i{a}{e}") for a in AXES for e in "01"], *[f"c{a}" for a in AXES])
-    j = p.select(F.col("patch_idx").alias("j"), *[F.col(f"{a}{e}").alias(f"j{a}{e}") for a in AXES for e in "01"], *[f"c{a}" for a in AXES])
+    for a in AXES:
+        p = p.withColumn(f"c{a}", F.explode(F.sequence(F.floor(F.col(f"{a}0") / cell[a]), F.floor((F.col(f"{a}1") - 1) / cell[a]))))
+    i = p.select(*by, F.col("patch_idx").alias("i"), *[F.col(f"{a}{e}").alias(f"i{a}{e}") for a in AXES for e in "01"], *[f"c{a}" for a in AXES])
+    j = p.select(*by, F.col("patch_idx").alias("j"), *[F.col(f"{a}{e}").alias(f"j{a}{e}") for a in AXES for e in "01"], *[f"c{a}" for a in AXES])
     lo = {a: F.greatest(f"i{a}0", f"j{a}0") for a in AXES}
     hi = {a: F.least(f"i{a}1", f"j{a}1") for a in AXES}
-    met = i.join(j, [f"c{a}" for a in AXES]).where("i < j")
+    met = i.join(j, [*by, *[f"c{a}" for a in AXES]]).where("i < j")
     for a in AXES:
         met = met.where((lo[a] < hi[a]) & (F.col(f"c{a}") == F.floor(lo[a] / cell[a])))  # a pair counts in one cell only
-    return met.select("i", "j", *[lo[a].alias(f"{a}0") for a in AXES], *[hi[a].alias(f"{a}1") for a in AXES])
-
+    return met.select(*by, "i", "j", *[lo[a].alias(f"{a}0") for a in AXES], *[hi[a].alias(f"{a}1") for a in AXES])
 
-def _covers(place, size: int):
-    return lambda o: (place >= o["s"]) & (place < o["s"] + size)
 
-
-def extract_patches(rows: DataFrame, starts: dict[str, list[int]], patch: dict[str, int]) -> DataFrame:
+def extract_patches(rows: DataFrame, shape: dict[str, int], patch: dict[str, int], stride: dict[str, int] | None = None, cover: str = "full") -> DataFrame:
     """Each voxel once for every patch that holds it: patch_idx, and places d<axis> in the patch.
 
-    The covering starts come from each axis alone, so this is an explode without a join.
+    The covering patches of each axis are a range of numbers, so this is an explode by arithmetic.
     """
-    out = rows
+    out, index = rows, F.lit(0).cast("long")
     for a in AXES:
-        options = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).alias("s")) for k, s in enumerate(starts[a])])
-        out = out.withColumn(f"_{a}", F.explode(F.filter(options, _covers(F.col(a), patch[a]))))
-    ny, nx = len(starts["y"]), len(starts["x"])
-    out = out.withColumn("patch_idx", ((F.col("_z.k") * ny + F.col("_y.k")) * nx + F.col("_x.k")).cast("int"))
-    return out.withColumns({f"d{a}": (F.col(a) - F.col(f"_{a}.s")).cast("int") for a in AXES}).drop("_z", "_y", "_x")
+        windows = Windows(shape[a], patch[a], (stride or {}).get(a), cover)
+        out = out.withColumn(f"_{a}", F.explode(windows.covering(F.col(a), F.col(a))))
+        out = out.withColumn(f"d{a}", (F.col(a) - windows.start(F.col(f"_{a}"))).cast("int"))
+        index = index * windows.count + F.col(f"_{a}")
+    return out.withColumn("patch_idx", index).drop("_z", "_y", "_x")
 
 
 def blend_patches(predictions: DataFrame, patch: dict[str, int], value: str = "value", keys: list[str] | None = None, mode: str = "gaussian") -> DataFrame:
@@ -105,32 +138,124 @@ def best_embedding(predictions: DataFrame, prob: str, embedding: str) -> DataFra
     return predictions.groupBy(*AXES).agg(F.max(prob).alias(prob), F.max_by(embedding, F.struct(F.col(prob), -F.col("patch_idx"))).alias(embedding))
 
 
-def sliding_window(rows: DataFrame, shape: dict[str, int], patch: dict[str, int], model, classes: int, stride: dict[str, int] | None = None, mode: str = "gaussian", cover: str = "full", value: str = "intensity") -> DataFrame:
-    """Run `model` on every patch and blend: (z, y, x, class_id, prob).
+def patch_weight(sizes: list[int], sigma_scale: float = 0.125) -> np.ndarray:
+    """The centre weight as an array: highest at half the size, where it is 1."""
+    sigma = max(min(sizes) * sigma_scale, 1e-12)
+    squares = sum(np.meshgrid(*[(np.arange(s) - s / 2) ** 2 for s in sizes], indexing="ij"))
+    return np.exp(-(squares - squares.min()) / (2 * sigma * sigma))
 
-    model takes a float array (d, h, w) and returns (classes, d, h, w) scores; softmax follows. Patches are groups
-    of an Arrow function, so a task holds one patch at a time.
-    """
-    import numpy as np
 
-    starts = {a: window_starts(shape[a], patch[a], (stride or {}).get(a), cover) for a in AXES}
-    sizes = [patch[a] for a in AXES]
+def predict_patches(rows: DataFrame, by: list[str], shape: dict[str, int], patch: dict[str, int], model: Callable, stride: dict[str, int] | None = None, cover: str = "full", mode: str = "gaussian", chunk: dict[str, int] | None = None, value: str = "intensity", sigma_scale: float = 0.125) -> DataFrame:
+    """Run `model` on every patch and blend its heads: (by, z, y, x, semantic, instance), arrays for each voxel.
 
-    def run(pdf):
-        import pandas as pd
+    model takes a float array (d, h, w) and returns scores (classes, d, h, w), or a dict: 'semantic' (or 'logits') and,
+    if it has a second head, 'instance' (channels, d, h, w); a softmax over the classes follows. 'gaussian' blends both
+    heads by the centre weight; 'max' takes each class's largest probability and the embedding of the patch with the
+    largest probability (of equals the first patch). A volume smaller than the patch is reflected; voxels without a
+    row are 0. instance is null with one head.
 
+    Voxels travel as chunks (an array each): a chunk is sent to the patches that meet it, a patch is assembled from its
+    chunks, and its prediction goes back as an array a chunk, where the overlapping patches are summed. So the rows shuffled
+    are chunks times patches that meet them; work a voxel depends on the overlap alone.
+    """
+    sizes = [patch[a] for a in AXES]
+    cells = [(chunk or {}).get(a, min(64, patch[a])) for a in AXES]
+    bounds = [max(shape[a], 1) for a in AXES]
+    windows = {a: Windows(shape[a], patch[a], (stride or {}).get(a), cover) for a in AXES}
+    steps, rooms = [windows[a].stride for a in AXES], [max(shape[a], patch[a]) - patch[a] for a in AXES]
+    at = sum(((F.col(a) % c).cast("int") * math.prod(cells[k + 1 :]) for k, (a, c) in enumerate(zip(AXES, cells, strict=True))), F.lit(0))
+    places = [f"c{a}" for a in AXES]
+    chunks = rows.select(*by, *[F.floor(F.col(a) / c).cast("int").alias(f"c{a}") for a, c in zip(AXES, cells, strict=True)], F.struct(at.alias("i"), F.col(value).cast("double").alias("v")).alias("_v"))
+    chunks = chunks.groupBy(*by, *places).agg(F.collect_list("_v").alias("_v")).select(*by, *places, F.col("_v.i").alias("i"), F.col("_v.v").alias("v"))
+    sent = chunks
+    for a, c in zip(AXES, cells, strict=True):
+        first = F.col(f"c{a}") * c
+        sent = sent.withColumn(f"k{a}", F.explode(windows[a].covering(first, F.least(first + c, F.lit(shape[a])) - 1).cast("array<int>")))
+
+    def corner(k) -> list[int]:
+        return [min(int(n) * s, r) for n, s, r in zip(k, steps, rooms, strict=True)]
+
+    def meets(start: list[int], cell) -> tuple[tuple[slice, ...], tuple[slice, ...]] | None:
+        """Where a patch and a chunk overlap, in the patch's and in the chunk's own places."""
+        low = [max(s, int(c) * n) for s, c, n in zip(start, cell, cells, strict=True)]
+        high = [min(s + p, (int(c) + 1) * n, b) for s, p, c, n, b in zip(start, sizes, cell, cells, bounds, strict=True)]
+        if any(a >= b for a, b in zip(low, high, strict=True)):
+            return None
+        return tuple(slice(a - s, b - s) for a, b, s in zip(low, high, start, strict=True)), tuple(slice(a - int(c) * n, b - int(c) * n) for a, b, c, n in zip(low, high, cell, cells, strict=True))
+
+    keys = [*by, *places, "kz", "ky", "kx"]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    of_by = "".join(f"{b} {kinds[b]}, " for b in by)
+
+    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+        start = corner(pdf[["kz", "ky", "kx"]].iloc[0])
         block = np.zeros(sizes)
-        at = tuple(pdf[f"d{a}"].to_numpy() for a in AXES)
-        block[at] = pdf[value].to_numpy()
-        scores = np.asarray(model(block), float)
+        for cell, i, v in zip(pdf[places].to_numpy(), pdf["i"], pdf["v"], strict=True):
+            whole = np.zeros(cells)
+            whole.ravel()[np.asarray(i)] = v
+            own, theirs = meets(start, cell)
+            block[own] = whole[theirs]
+        inside = [min(b - s, p) for b, s, p in zip(bounds, start, sizes, strict=True)]
+        if inside != sizes:
+            block = np.pad(block[tuple(slice(0, n) for n in inside)], [(0, p - n) for p, n in zip(sizes, inside, strict=True)], mode="reflect")
+        got = model(block)
+        heads = got if isinstance(got, dict) else {"semantic": got}
+        scores = np.asarray(heads.get("semantic", heads.get("logits")), float)
         scores = np.exp(scores - scores.max(axis=0, keepdims=True))
         prob = scores / scores.sum(axis=0, keepdims=True)
-        parts = [pdf[["z", "y", "x", "dz", "dy", "dx"]].assign(class_id=c, prob=prob[c][at]) for c in range(classes)]
-        return pd.concat(parts)
+        second = np.asarray(heads["instance"], float) if heads.get("instance") is not None else None
+        out = pdf[keys].copy()
+        cuts = [(slice(None), *meets(start, cell)[0]) for cell in pdf[places].to_numpy()]
+        out["sem"] = [np.ascontiguousarray(prob[c]).tobytes() for c in cuts]
+        out["ins"] = [None if second is None else np.ascontiguousarray(second[c]).tobytes() for c in cuts]
+        return out
+
+    weight = patch_weight(sizes, sigma_scale)
+
+    def blend(pdf: pd.DataFrame) -> pd.DataFrame:
+        cell = pdf[places].to_numpy()[0]
+        total = embed = None
+        weights = np.zeros(cells)
+        pdf = pdf.sort_values(["kz", "ky", "kx"])
+        for k, sem, ins in zip(pdf[["kz", "ky", "kx"]].to_numpy(), pdf["sem"], pdf["ins"], strict=True):
+            own, theirs = meets(corner(k), cell)
+            span = [s.stop - s.start for s in own]
+            prob = np.frombuffer(sem).reshape(-1, *span)
+            vec = None if ins is None else np.frombuffer(ins).reshape(-1, *span)
+            if total is None:
+                total = np.zeros((len(prob), *cells))
+                embed = None if vec is None else np.zeros((len(vec), *cells))
+            here = (slice(None), *theirs)
+            if mode == "max":
+                better = prob.max(0) > total[here].max(0)
+                total[here] = np.maximum(total[here], prob)
+                if vec is not None:
+                    embed[here] = np.where(better, vec, embed[here])
+            else:
+                w = weight[own]
+                total[here] += prob * w
+                weights[theirs] += w
+                if vec is not None:
+                    embed[here] += vec * w
+        if mode != "max":
+            total /= weights + 1e-8
+            embed = None if embed is None else embed / (weights + 1e-8)
+        spots = np.indices(cells).reshape(3, -1).T + cell * np.array(cells)
+        ok = (spots < bounds).all(1)
+        out = {b: [pdf[b].iloc[0]] * int(ok.sum()) for b in by} | {a: spots[ok, n].astype(np.int32) for n, a in enumerate(AXES)}
+        out["semantic"] = list(total.reshape(len(total), -1).T[ok])
+        out["instance"] = [None] * int(ok.sum()) if embed is None else list(embed.reshape(len(embed), -1).T[ok])
+        return pd.DataFrame(out)
+
+    of_places = ", ".join(f"{n} int" for n in [*places, "kz", "ky", "kx"])
+    parts = sent.groupBy(*by, "kz", "ky", "kx").applyInPandas(apply, f"{of_by}{of_places}, sem binary, ins binary")
+    return parts.groupBy(*by, *places).applyInPandas(blend, f"{of_by}z int, y int, x int, semantic array<double>, instance array<double>")
 
-    schema = "z int, y int, x int, dz int, dy int, dx int, class_id int, prob double"
-    got = extract_patches(rows.select(*AXES, value), starts, patch).groupBy("patch_idx").applyInPandas(run, schema)
-    return blend_patches(got, patch, "prob", ["class_id"], mode)
+
+def sliding_window(rows: DataFrame, shape: dict[str, int], patch: dict[str, int], model, classes: int, stride: dict[str, int] | None = None, mode: str = "gaussian", cover: str = "full", value: str = "intensity") -> DataFrame:
+    """The first head of predict_patches, a row a class: (z, y, x, class_id, prob)."""
+    got = predict_patches(rows, [], shape, patch, model, stride, cover, mode, value=value)
+    return got.select(*AXES, F.posexplode(F.slice("semantic", 1, classes)).alias("class_id", "prob"))
 
 
 def argmax_class(probabilities: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from lamella.plans.views import HEIGHT, VOXELS_SQL, WIDTH, voxels
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 BY = ["sample_id"]
+SHAPE = {"y": HEIGHT, "x": WIDTH}
 
 
 def query(sql: str | None = None):
@@ -535,24 +536,41 @@ def bilinear_lookup(spark, sf_dir):
 
 # ---- tiling --------------------------------------------------------------------------------------------------
 
-STARTS = {"z": [0], "y": tiling.window_starts(HEIGHT, 32), "x": tiling.window_starts(WIDTH, 32)}
 PATCH = {"z": 1, "y": 32, "x": 32}
 _GRID = "\n, sy AS (SELECT UNNEST([0,16,32,48,64,68]) AS y0, UNNEST([0,1,2,3,4,5]) AS ky), sx AS (SELECT UNNEST([0,16,18]) AS x0, UNNEST([0,1,2]) AS kx), g AS (SELECT CAST(ky*3+kx AS INT) AS patch_idx, 0 AS z0, y0, x0, 1 AS z1, y0+32 AS y1, x0+32 AS x1 FROM sy, sx)"
+#: Volumes of many shapes: what the voxels of a section and label leave, counted from their first ones.
+_VOLUMES = "\n, n AS (SELECT sample_id, pred, CAST(1 AS BIGINT) AS nz, CAST(MAX(y)-MIN(y)+1+pred*7+sample_id%11 AS BIGINT) AS ny, CAST(MAX(x)-MIN(x)+1+pred*5 AS BIGINT) AS nx FROM v GROUP BY sample_id, pred)"
+
+
+def _starts_sql(axis: str, patch: int, stride: int) -> str:
+    return f"SELECT sample_id, pred, n{axis}, UNNEST(list_sort(list_distinct(list_append(range(0, GREATEST(n{axis},{patch})-{patch}+1, {stride}), GREATEST(n{axis},{patch})-{patch})))) AS s FROM n"
+
+
+def _grid_sql(patch: int, stride: int, inside: bool) -> str:
+    """Grids of _VOLUMES: a start and its number along y and x."""
+    axes = ", ".join(f"a{a} AS ({_starts_sql(a, patch, stride)}), k{a} AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sample_id, pred ORDER BY s) - 1 AS k, COUNT(*) OVER (PARTITION BY sample_id, pred) AS m FROM a{a})" for a in "yx")
+    end = {a: f"LEAST(k{a}.s+{patch}, n{a})" if inside else f"k{a}.s+{patch}" for a in "yx"}
+    return f"{_VOLUMES}, {axes}, g AS (SELECT ky.sample_id, ky.pred, CAST(ky.k*kx.m+kx.k AS BIGINT) AS patch_idx, 0 AS z0, CAST(ky.s AS INT) AS y0, CAST(kx.s AS INT) AS x0, 1 AS z1, CAST({end['y']} AS INT) AS y1, CAST({end['x']} AS INT) AS x1 FROM ky JOIN kx USING (sample_id, pred))"
 
 
-@query(_GRID + " SELECT * FROM g")
+def volumes(spark, sf_dir):
+    extent = voxels(spark, sf_dir).groupBy("sample_id", "pred").agg(*[(F.max(a) - F.min(a) + 1).alias(f"n{a}") for a in "yx"])
+    return extent.select("sample_id", "pred", F.lit(1).alias("nz"), F.expr("ny + pred*7 + sample_id%11").alias("ny"), F.expr("nx + pred*5").alias("nx"))
+
+
+@query(_grid_sql(32, 16, False) + " SELECT * FROM g")
 def window_grid(spark, sf_dir):
-    return tiling.window_grid(spark, (1, HEIGHT, WIDTH), (1, 32, 32))
+    return tiling.window_grid(volumes(spark, sf_dir), PATCH, by=["sample_id", "pred"])
 
 
-@query("WITH sy AS (SELECT UNNEST([0,24,48,68]) AS y0, UNNEST([0,1,2,3]) AS ky), sx AS (SELECT UNNEST([0,18]) AS x0, UNNEST([0,1]) AS kx) SELECT CAST(ky*2+kx AS INT) AS patch_idx, 0 AS z0, y0, x0, 1 AS z1, y0+32 AS y1, x0+32 AS x1 FROM sy, sx")
+@query(_grid_sql(32, 24, True) + " SELECT * FROM g")
 def overlap_patch_grid(spark, sf_dir):
-    return tiling.overlap_grid(spark, (1, HEIGHT, WIDTH), (1, 32, 32))
+    return tiling.overlap_grid(volumes(spark, sf_dir), PATCH, by=["sample_id", "pred"])
 
 
-@query(_GRID + " SELECT a.patch_idx AS i, b.patch_idx AS j, 0 AS z0, GREATEST(a.y0,b.y0) AS y0, GREATEST(a.x0,b.x0) AS x0, 1 AS z1, LEAST(a.y1,b.y1) AS y1, LEAST(a.x1,b.x1) AS x1 FROM g a JOIN g b ON a.patch_idx < b.patch_idx AND GREATEST(a.y0,b.y0) < LEAST(a.y1,b.y1) AND GREATEST(a.x0,b.x0) < LEAST(a.x1,b.x1)")
+@query(_grid_sql(32, 24, True) + " SELECT a.sample_id, a.pred, a.patch_idx AS i, b.patch_idx AS j, 0 AS z0, GREATEST(a.y0,b.y0) AS y0, GREATEST(a.x0,b.x0) AS x0, 1 AS z1, LEAST(a.y1,b.y1) AS y1, LEAST(a.x1,b.x1) AS x1 FROM g a JOIN g b ON a.sample_id = b.sample_id AND a.pred = b.pred AND a.patch_idx < b.patch_idx AND GREATEST(a.y0,b.y0) < LEAST(a.y1,b.y1) AND GREATEST(a.x0,b.x0) < LEAST(a.x1,b.x1)")
 def patch_overlaps(spark, sf_dir):
-    return tiling.patch_overlaps(tiling.window_grid(spark, (1, HEIGHT, WIDTH), (1, 32, 32)), PATCH).select("i", "j", "z0", "y0", "x0", "z1", "y1", "x1")
+    return tiling.patch_overlaps(overlap_patch_grid(spark, sf_dir), PATCH, ["sample_id", "pred"])
 
 
 _CUT = _GRID + ", p AS (SELECT v.*, patch_idx, CAST(y-y0 AS INT) AS dy, CAST(x-x0 AS INT) AS dx FROM v JOIN g ON y >= y0 AND y < y1 AND x >= x0 AND x < x1)"
@@ -560,12 +578,13 @@ _CUT = _GRID + ", p AS (SELECT v.*, patch_idx, CAST(y-y0 AS INT) AS dy, CAST(x-x
 
 @query(_CUT + " SELECT lin, patch_idx, dy, dx FROM p")
 def patch_extract(spark, sf_dir):
-    return tiling.extract_patches(voxels(spark, sf_dir), STARTS | {"z": list(range(depth(voxels(spark, sf_dir))))}, PATCH).select("lin", F.pmod("patch_idx", F.lit(18)).cast("int").alias("patch_idx"), "dy", "dx")
+    v = voxels(spark, sf_dir)
+    return tiling.extract_patches(v, {"z": depth(v), **SHAPE}, PATCH).select("lin", F.pmod("patch_idx", F.lit(18)).cast("int").alias("patch_idx"), "dy", "dx")
 
 
 def patch_predictions(spark, sf_dir):
     v = voxels(spark, sf_dir)
-    cut = tiling.extract_patches(v, STARTS | {"z": list(range(depth(v)))}, PATCH).withColumn("patch_idx", F.pmod("patch_idx", F.lit(18)))
+    cut = tiling.extract_patches(v, {"z": depth(v), **SHAPE}, PATCH).withColumn("patch_idx", F.pmod("patch_idx", F.lit(18)))
     return cut.withColumn("value", (F.col("lin") * 13 + F.col("patch_idx") * 7) % 101 / 101.0)
 
 
@@ -601,6 +620,34 @@ def sliding_window_argmax(spark, sf_dir):
     return tiling.argmax_class(probs).select("z", "y", "x", "class_id")
 
 
+def two_heads(block):
+    """Scores by the voxel's value and its place in the patch, and an embedding of value and place."""
+    import numpy as np
+
+    _, y, x = np.indices(block.shape)
+    return {"semantic": np.stack((block / 2e5, 1 - block / 2e5 + (y % 3) / 4)), "instance": np.stack((block / 1e5, y / 32 - x / 16))}
+
+
+_HEADS = _CUT + """, q AS (SELECT z, y, x, patch_idx, intensity/2e5 AS a, 1-intensity/2e5+(dy%3)/4.0 AS b, intensity/1e5 AS e0, dy/32.0-dx/16.0 AS e1, EXP(-((0-0.5)**2 + (dy-16.0)**2 + (dx-16.0)**2 - 0.25)/(2*4.0*4.0)) AS w FROM p),
+ r AS (SELECT *, EXP(a-GREATEST(a,b))/(EXP(a-GREATEST(a,b))+EXP(b-GREATEST(a,b))) AS p0 FROM q)"""
+
+
+@query(_HEADS.replace("2*4.0*4.0", "2*0.125*0.125") + " SELECT z AS sample_id, y, x, ROUND(SUM(p0*w)/(SUM(w)+1e-8),6)::DOUBLE+0.0 AS p0, ROUND(SUM((1-p0)*w)/(SUM(w)+1e-8),6)::DOUBLE+0.0 AS p1, ROUND(SUM(e0*w)/(SUM(w)+1e-8),6)::DOUBLE+0.0 AS e0, ROUND(SUM(e1*w)/(SUM(w)+1e-8),6)::DOUBLE+0.0 AS e1 FROM r GROUP BY ALL")
+def two_head_blend(spark, sf_dir):
+    """Both heads of a model blended by the centre weight, every section a volume of its own."""
+    v = voxels(spark, sf_dir).withColumn("z", F.lit(0))
+    got = tiling.predict_patches(v, BY, {"z": 1, **SHAPE}, PATCH, two_heads, chunk={"y": 16, "x": 24})
+    return rounded(got.select("sample_id", "y", "x", *[F.col("semantic")[k].alias(f"p{k}") for k in (0, 1)], *[F.col("instance")[k].alias(f"e{k}") for k in (0, 1)]))
+
+
+@query(_HEADS + ", s AS (SELECT *, GREATEST(p0, 1-p0) AS top FROM r) SELECT z AS sample_id, y, x, ROUND(MAX(p0),6)::DOUBLE AS p0, ROUND(MAX(1-p0),6)::DOUBLE AS p1, ROUND(ARG_MAX(e1, top),6)::DOUBLE+0.0 AS e1 FROM (SELECT * FROM s ORDER BY patch_idx) GROUP BY z, y, x")
+def two_head_max(spark, sf_dir):
+    """The maximum blend: each class's largest probability and the embedding of the surest patch."""
+    v = voxels(spark, sf_dir).withColumn("z", F.lit(0))
+    got = tiling.predict_patches(v, BY, {"z": 1, **SHAPE}, PATCH, two_heads, mode="max")
+    return rounded(got.select("sample_id", "y", "x", F.col("semantic")[0].alias("p0"), F.col("semantic")[1].alias("p1"), F.col("instance")[1].alias("e1")))
+
+
 # ---- graphs --------------------------------------------------------------------------------------------------
 
 
@@ -651,10 +698,9 @@ def crop_and_relabel(spark, sf_dir):
 @query()
 def stitch_labels(spark, sf_dir):
     v = voxels(spark, sf_dir)
-    sections = depth(v)
     v = v.withColumn("label", F.when(F.col("label") > 0, F.col("label") + 10 * F.expr("x div 25") + 100 * F.col("z")).otherwise(0))
     rows = v.select("z", "y", "x", "lin", "label", F.array((F.col("gt") * 1.0).cast("float"), F.lit(0.0).cast("float")).alias("embedding"))
-    return tiling.stitch(rows, tiling.window_grid(spark, (sections, HEIGHT, WIDTH), (1, 32, 32)), PATCH, spatial_dims=2).select("lin", "label")
+    return tiling.stitch(rows, tiling.window_grid(tiling.volume_shapes(v), PATCH), PATCH, spatial_dims=2).select("lin", "label")
 
 
 # ---- embeddings and clusters ---------------------------------------------------------------------------------
@@ -722,7 +768,6 @@ def pca_rgb(spark, sf_dir):
 
 # ---- geometry ------------------------------------------------------------------------------------------------
 
-SHAPE = {"y": HEIGHT, "x": WIDTH}
 #: Instances of the geometry queries: the blocks of each section.
 _BLOCKS = "\n, s AS (SELECT *, (y//8)*7 + (x//8) + 1 AS inst FROM v WHERE label > 0), a AS (SELECT z, y, x, CASE WHEN label > 0 THEN (y//8)*7 + (x//8) + 1 ELSE 0 END AS inst FROM v), d AS (SELECT s.lin, s.z, s.inst, MIN((s.y-a.y)**2 + (s.x-a.x)**2) AS d2 FROM s JOIN a ON a.z = s.z AND a.inst <> s.inst AND a.y BETWEEN s.y-9 AND s.y+9 AND a.x BETWEEN s.x-9 AND s.x+9 GROUP BY ALL)"
 
@@ -758,6 +803,49 @@ def structure_tensor(spark, sf_dir):
     return rounded(t.select("lin", *[F.col("tensor")[k].alias(f"t{k}") for k in range(4)]))
 
 
+def volume_blocks(spark, sf_dir):
+    """All sections as one volume, its instances the blocks through all of them, and the volume's shape."""
+    b = blocks_of_sections(spark, sf_dir).withColumn("sample_id", F.lit(0))
+    return b, {"z": depth(b), **SHAPE}
+
+
+_BLOCKS_3D = _BLOCKS.replace("(s.x-a.x)**2)", "(s.x-a.x)**2 + (s.z-a.z)**2)").replace("a.z = s.z AND", "a.z BETWEEN s.z-9 AND s.z+9 AND")
+
+
+@query(_BLOCKS_3D + " SELECT lin, ROUND(SQRT(d2),6) AS dt, ROUND(SQRT(d2)/MAX(SQRT(d2)) OVER (PARTITION BY inst),6) AS dt_norm FROM d")
+def edt_3d(spark, sf_dir):
+    rows, shape = volume_blocks(spark, sf_dir)
+    return rounded(geometry.distance_transform(rows, BY, shape, axes="zyx").select("lin", "dt", "dt_norm"))
+
+
+@query(_BLOCKS + """, t AS (SELECT s.*, SQRT(d2) AS dt FROM s JOIN d ON d.lin = s.lin), g AS (SELECT t.lin, t.y, t.x, t.dt, COALESCE(u.dt,0) AS u, COALESCE(w.dt,0) AS w, COALESCE(l.dt,0) AS l, COALESCE(r.dt,0) AS r FROM t
+ LEFT JOIN t AS u ON u.lin = t.lin-50 AND u.z = t.z AND u.inst = t.inst LEFT JOIN t AS w ON w.lin = t.lin+50 AND w.z = t.z AND w.inst = t.inst LEFT JOIN t AS l ON l.lin = t.lin-1 AND l.inst = t.inst LEFT JOIN t AS r ON r.lin = t.lin+1 AND r.inst = t.inst)
+ SELECT lin, ROUND(CASE WHEN y = 0 THEN w-dt WHEN y = 99 THEN dt-u ELSE (w-u)/2 END,6)+0.0 AS gy, ROUND(CASE WHEN x = 0 THEN r-dt WHEN x = 49 THEN dt-l ELSE (r-l)/2 END,6)+0.0 AS gx FROM g""")
+def edt_gradient(spark, sf_dir):
+    rows = blocks_of_sections(spark, sf_dir)
+    return rounded(geometry.distance_gradient(geometry.distance_transform(rows, BY, SHAPE), BY, SHAPE).select("lin", "gy", "gx"))
+
+
+@query()
+def skeletons_3d(spark, sf_dir):
+    rows, shape = volume_blocks(spark, sf_dir)
+    return geometry.skeletons(rows, BY, shape, axes="zyx").select("lin", "label")
+
+
+@query()
+def skeleton_targets_3d(spark, sf_dir):
+    rows, shape = volume_blocks(spark, sf_dir)
+    got = geometry.skeleton_targets(rows, BY, shape, axes="zyx")
+    return rounded(got.select("lin", *[f"{k}{a}" for k in "nsg" for a in "zyx"], "dt_norm"))
+
+
+@query()
+def structure_tensor_3d(spark, sf_dir):
+    rows, shape = volume_blocks(spark, sf_dir)
+    t = geometry.structure_tensor(rows, BY, shape, sigma=2.0, axes="zyx")
+    return rounded(t.select("lin", *[F.col("tensor")[k].alias(f"t{k}") for k in range(9)]))
+
+
 # ---- losses and prompts --------------------------------------------------------------------------------------
 
 _LOGIT = "\n, l AS (SELECT sample_id, lin, cls AS t, c, ((lin*(c+3)*7) % 13 - 6)/3.0 AS z, (cls = c)::INT AS y FROM v, (SELECT UNNEST([0,1,2]) AS c))"
