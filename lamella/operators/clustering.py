@@ -3,52 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.functions.scalar import lp_distance
+from lamella.operators import meanshift
 from lamella.operators.relabel import drop_small, relabel_sequential
 from lamella.session import cut
 
 
-def _collected(rows: DataFrame, embedding: str, n: int, seed: int, key: str) -> np.ndarray:
-    """At most n vectors, the first by a hash of the key: deterministic seeds."""
-    got = rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n).select(embedding).collect()
-    return np.array([r[0] for r in got], float) if got else np.zeros((0, 1))
-
-
-def _shift(rows: DataFrame, embedding: str, modes: np.ndarray, kernel) -> np.ndarray:
-    """New modes: weighted means over all rows; each task sends one sum a mode."""
-
-    def run(batches):
-        total, weight = np.zeros_like(modes), np.zeros(len(modes))
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack(pdf["e"].to_numpy()).astype(float)
-                w = kernel(((x[:, None, :] - modes[None]) ** 2).sum(-1))
-                total += w.T @ x
-                weight += w.sum(0)
-        import pandas as pd
-
-        yield pd.DataFrame({"mode": range(len(modes)), "w": weight, "s": list(total)})
-
-    parts = rows.select(F.col(embedding).cast("array<double>").alias("e")).mapInPandas(run, "mode int, w double, s array<double>")
-    sums, weights = np.zeros_like(modes), np.zeros(len(modes))
-    for r in parts.collect():  # tasks times modes
-        sums[r["mode"]] += r["s"]
-        weights[r["mode"]] += r["w"]
-    return np.where(weights[:, None] > 1e-12, sums / np.maximum(weights, 1e-12)[:, None], modes)
-
-
-def merge_modes(modes: np.ndarray, distance: float) -> np.ndarray:
-    """Keep a mode if no kept one of lower index is closer than the distance."""
-    kept: list[np.ndarray] = []
-    for m in modes:
-        if all(np.linalg.norm(m - k) >= distance for k in kept):
-            kept.append(m)
-    return np.array(kept)
-
-
 def assign_modes(rows: DataFrame, modes: np.ndarray, bandwidth: float, temperature: float, embedding: str = "embedding") -> DataFrame:
     """cluster (from 1) and its softmax share: the modes are a bounded literal, so this is one pass without shuffle."""
     table = F.array(*[F.array(*[F.lit(float(v)) for v in m]) for m in modes])
@@ -58,42 +22,36 @@ def assign_modes(rows: DataFrame, modes: np.ndarray, bandwidth: float, temperatu
     return rows.withColumns({"cluster": F.array_position("_l", F.col("_m")).cast("long"), "share": 1 / total}).drop("_l", "_m")
 
 
-def soft_mean_shift(rows: DataFrame, bandwidth: float = 0.5, iterations: int = 10, temperature: float = 1.0, least: int = 50, max_seeds: int = 256, seed: int = 0, key: str = "lin", embedding: str = "embedding", foreground: str | None = None) -> tuple[DataFrame, np.ndarray]:
-    """(rows with cluster and share, modes). Background gets 0; clusters under `least` rows too, ids stay as they are."""
+def soft_mean_shift(rows: DataFrame, bandwidth: float = 0.5, iterations: int = 10, temperature: float = 1.0, least: int = 50, max_seeds: int = 256, seed: int = 0, key: str = "lin", embedding: str = "embedding", foreground: str | None = None, by: list[str] | None = None) -> tuple[DataFrame, pd.DataFrame]:
+    """(rows with cluster and share, modes): each group (by) for itself, all in the same passes.
+
+    Background gets 0; clusters under `least` rows too, ids stay as they are.
+    """
+    by = by or []
     fg = rows.where(foreground) if foreground else rows
-    modes = _collected(fg, embedding, max_seeds, seed, key)
-    if not len(modes):
-        return rows.withColumns({"cluster": F.lit(0).cast("long"), "share": F.lit(0.0)}), modes
-    for _ in range(iterations):
-        modes = merge_modes(_shift(fg, embedding, modes, lambda d: np.exp(-d / (2 * bandwidth**2))), 0.5 * bandwidth)
-    out = assign_modes(rows, modes, bandwidth, temperature, embedding)
+    modes = meanshift.soft_modes(fg, by, bandwidth, iterations, max_seeds, seed, key, embedding, meanshift.HELD)
+    out = meanshift.soft_assigned(rows, modes, by, bandwidth, temperature, embedding)
     if foreground:
         out = out.withColumns({c: F.when(F.expr(foreground), F.col(c)).otherwise(F.lit(0)) for c in ("cluster", "share")})
-    return drop_small(out.withColumn("cluster", F.col("cluster").cast("long")), least, "cluster"), modes
-
+    return drop_small(out.withColumn("cluster", F.col("cluster").cast("long")), least, "cluster", by), modes
 
-def mean_shift(rows: DataFrame, bandwidth: float = 0.5, least: int = 50, iterations: int = 50, max_seeds: int | None = None, key: str = "lin", embedding: str = "embedding", foreground: str | None = None) -> DataFrame:
-    """Flat-kernel mean shift from binned seeds; rows get cluster, small clusters 0, the rest compact ids.
 
-    Every bin of width `bandwidth` is a seed, or the max_seeds fullest if that is given. The driver holds a row a bin.
-    """
+def mean_shift(rows: DataFrame, bandwidth: float = 0.5, least: int = 50, iterations: int = 300, embedding: str = "embedding", foreground: str | None = None, by: list[str] | None = None, held: int | None = None) -> DataFrame:
+    """Flat-kernel mean shift from binned seeds (meanshift.flat_clusters); rows get cluster, small clusters 0, the rest
+    compact ids within their group."""
     fg = rows.where(foreground) if foreground else rows
-    bins = fg.select(F.transform(F.col(embedding).cast("array<double>"), lambda v: F.rint(v / bandwidth)).alias("b")).groupBy("b").count()
-    bins = bins.orderBy(F.desc("count"), "b")
-    seeds = (bins if max_seeds is None else bins.limit(max_seeds)).collect()
-    if not seeds:
-        return rows.withColumn("cluster", F.lit(0).cast("long"))
-    modes = np.array([r["b"] for r in seeds], float) * bandwidth
-    for _ in range(iterations):
-        new = _shift(fg, embedding, modes, lambda d: (d <= bandwidth**2).astype(float))
-        done = np.abs(new - modes).max() < 1e-3 * bandwidth
-        modes = new
-        if done:
-            break
-    out = assign_modes(rows, merge_modes(modes, bandwidth), bandwidth, 1.0, embedding).drop("share")
+    out = meanshift.flat_clusters(fg, bandwidth, by, iterations, embedding, held)
     if foreground:
-        out = out.withColumn("cluster", F.when(F.expr(foreground), F.col("cluster")).otherwise(F.lit(0)).cast("long"))
-    return drop_small(out, least, "cluster", compact=True)
+        out = out.unionByName(rows.where(~F.coalesce(F.expr(foreground), F.lit(False))).withColumn("cluster", F.lit(0).cast("long")))
+    return drop_small(out, least, "cluster", by, compact=True)
+
+
+def per_class_clusters(rows: DataFrame, cls: str = "class_id", classes: list[int] | None = None, name: str = "final_id", **options) -> DataFrame:
+    """Instances of every class above 0 (or of the given ones): soft mean shift within each class, all classes in one run
+    of passes; ids count from 1 by class, then by cluster. Other rows get 0."""
+    wanted = f"{cls} > 0" if classes is None else f"{cls} in ({', '.join(map(str, classes))})"
+    got, _ = soft_mean_shift(rows, foreground=wanted, by=[cls], **options)
+    return per_class_ids(got, cls, "cluster").withColumnRenamed("final_id", name).drop("share")
 
 
 def nearest_by_array(rows: DataFrame, centres: DataFrame, by: list[str], point: list[str], name: str = "nearest") -> DataFrame:

@@ -761,6 +761,26 @@ def meanshift(spark, sf_dir):
     return clustering.mean_shift(vectors(spark, sf_dir), bandwidth=0.9, least=5).select("lin", "cluster")
 
 
+#: Voxels whose vectors lie in tight groups ten apart, one for each label of the ground truth.
+TIGHT = "array(gt*10.0D, (lin%7)*0.01D, (lin%11)*0.01D)"
+
+
+@query("\n, k AS (SELECT pred, gt, COUNT(*) AS n FROM v WHERE pred > 0 GROUP BY ALL), r AS (SELECT pred, gt, ROW_NUMBER() OVER (PARTITION BY pred ORDER BY n DESC, gt DESC) AS c FROM k WHERE n >= 40) SELECT lin, CAST(COALESCE(c, 0) AS BIGINT) AS cluster FROM v LEFT JOIN r ON r.pred = v.pred AND r.gt = v.gt")
+def meanshift_groups(spark, sf_dir):
+    """Flat-kernel mean shift of every predicted label for itself: clusters by size, then by the greater centre."""
+    v = voxels(spark, sf_dir).withColumn("embedding", F.expr(TIGHT))
+    return clustering.mean_shift(v, bandwidth=1.0, least=40, foreground="pred > 0", by=["pred"]).select("lin", "cluster")
+
+
+@query("\n, k AS (SELECT cls, gt, MIN(lin) AS least, COUNT(*) AS n FROM v WHERE cls > 0 GROUP BY ALL) SELECT v.lin, v.cls, COALESCE(least, -1) AS least FROM v LEFT JOIN k ON k.cls = v.cls AND k.gt = v.gt AND n >= 50")
+def per_class_clusters(spark, sf_dir):
+    """Instances by class, each named by its first voxel, as the order of ids follows the seeds."""
+    v = voxels(spark, sf_dir).withColumn("embedding", F.expr(TIGHT))
+    got = clustering.per_class_clusters(v, "cls").select("lin", "cls", "final_id")
+    named = got.where("final_id > 0").groupBy("final_id").agg(F.min("lin").alias("least"))
+    return got.join(named, "final_id", "left").select("lin", "cls", F.coalesce("least", F.lit(-1)).cast("long").alias("least"))
+
+
 @query()
 def pca_rgb(spark, sf_dir):
     return rounded(geometry.pca_rgb(vectors(spark, sf_dir)), 4)
