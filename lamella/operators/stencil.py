@@ -139,11 +139,26 @@ def elastic_deform(rows: DataFrame, displacement: DataFrame, shape: tuple[int, i
     return joined.select(*by, F.col("ty").cast("int").alias("y"), F.col("tx").cast("int").alias("x"), *columns)
 
 
-def bilinear_lookup(points: DataFrame, field: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """points(by, id, py, px) -> sampled value of field(by, y, x, value), bilinear, zero outside."""
-    fy, fx = F.floor("py").cast("int"), F.floor("px").cast("int")
-    wy, wx = F.col("py") - fy, F.col("px") - fx
-    corners = F.array(*[F.struct((fy + dy).alias("y"), (fx + dx).alias("x"), ((wy if dy else 1 - wy) * (wx if dx else 1 - wx)).alias("w")) for dy in (0, 1) for dx in (0, 1)])
-    exploded = points.select(*by, "id", F.explode(corners).alias("c")).select(*by, "id", "c.*")
-    joined = exploded.join(field.select(*by, "y", "x", F.col(value).alias("_v")), [*by, "y", "x"], "left")
+def linear_lookup(points: DataFrame, field: DataFrame, by: list[str], value: str = "value", axes: str = "yx") -> DataFrame:
+    """points(by, id, p<axis>) -> sampled value of field(by, places, value): linear along each axis, zero where there is no row."""
+    corners = [()]
+    for _ in axes:
+        corners = [(*c, d) for c in corners for d in (0, 1)]
+    low = {a: F.floor(f"p{a}").cast("int") for a in axes}
+    part = {a: F.col(f"p{a}") - low[a] for a in axes}
+
+    def corner(c):
+        weight = F.lit(1.0)
+        for a, d in zip(axes, c, strict=True):
+            weight = weight * (part[a] if d else 1 - part[a])
+        return F.struct(*[(low[a] + d).alias(a) for a, d in zip(axes, c, strict=True)], weight.alias("w"))
+
+    exploded = points.select(*by, "id", F.explode(F.array(*map(corner, corners))).alias("c")).select(*by, "id", "c.*")
+    exploded = exploded.where("w > 0 or w is null")
+    joined = exploded.join(field.select(*by, *axes, F.col(value).alias("_v")), [*by, *axes], "left")
     return joined.groupBy(*by, "id").agg(F.sum(F.col("w") * F.coalesce("_v", F.lit(0.0))).alias(value))
+
+
+def bilinear_lookup(points: DataFrame, field: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """linear_lookup in two dimensions."""
+    return linear_lookup(points, field, by, value)

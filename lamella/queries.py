@@ -876,17 +876,17 @@ def logit_rows(spark, sf_dir):
     return voxels(spark, sf_dir).select("sample_id", "lin", F.col("cls").alias("target"), z.alias("logits"))
 
 
-@query(_LOGIT + ", p AS (SELECT *, 1/(1+EXP(-z)) AS p, GREATEST(z,0)-z*y+LN(1+EXP(-ABS(z))) AS b FROM l), s AS (SELECT sample_id, c, SUM(b) AS b, SUM(p*y) AS i, SUM(p) AS p, SUM(y) AS y, COUNT(*) AS n FROM p GROUP BY ALL) SELECT sample_id, ROUND(SUM(b)/MAX(n)/3,6) AS ce, ROUND(1-AVG((i+1e-5)/(p+y-i+1e-5)),6) AS iou, ROUND(1-AVG((2*i+1e-5)/(p+y+1e-5)),6) AS dice FROM s GROUP BY ALL")
+@query(_LOGIT + ", p AS (SELECT *, 1/(1+EXP(-z)) AS p, GREATEST(z,0)-z*y+LN(1+EXP(-ABS(z))) AS b FROM l), s AS (SELECT sample_id, c, SUM(b) AS b, SUM(p*y) AS i, SUM(p) AS p, SUM(y) AS y, COUNT(*) AS n FROM p GROUP BY ALL) SELECT sample_id, ROUND(SUM(b)/MAX(n)/3,6) AS ce, ROUND(1-AVG((i+1e-5)/(p+y-i+1e-5)),6) AS iou, ROUND(1-AVG((2*i+1e-5)/(p+y+1e-5)),6) AS dice, ROUND(SUM(b)/MAX(n)/3+1-AVG((i+1e-5)/(p+y-i+1e-5))+1-AVG((2*i+1e-5)/(p+y+1e-5)),6) AS loss FROM s GROUP BY ALL")
 def semantic_loss_sigmoid(spark, sf_dir):
     return rounded(losses.semantic_loss(logit_rows(spark, sf_dir), BY, 3))
 
 
-@query(_LOGIT + ", q AS (SELECT *, EXP(z)/SUM(EXP(z)) OVER (PARTITION BY lin) AS p FROM l), s AS (SELECT sample_id, c, SUM(CASE WHEN y = 1 THEN -LN(p) ELSE 0 END) AS b, SUM(p*y) AS i, SUM(p) AS p, SUM(y) AS y, COUNT(*) AS n FROM q GROUP BY ALL) SELECT sample_id, ROUND(SUM(b)/MAX(n),6) AS ce, ROUND(1-AVG((i+1e-5)/(p+y-i+1e-5)),6) AS iou, ROUND(1-AVG((2*i+1e-5)/(p+y+1e-5)),6) AS dice FROM s GROUP BY ALL")
+@query(_LOGIT + ", q AS (SELECT *, EXP(z)/SUM(EXP(z)) OVER (PARTITION BY lin) AS p FROM l), s AS (SELECT sample_id, c, SUM(CASE WHEN y = 1 THEN -LN(p) ELSE 0 END) AS b, SUM(p*y) AS i, SUM(p) AS p, SUM(y) AS y, COUNT(*) AS n FROM q GROUP BY ALL) SELECT sample_id, ROUND(SUM(b)/MAX(n),6) AS ce, ROUND(1-AVG((i+1e-5)/(p+y-i+1e-5)),6) AS iou, ROUND(1-AVG((2*i+1e-5)/(p+y+1e-5)),6) AS dice, ROUND(SUM(b)/MAX(n)+1-AVG((i+1e-5)/(p+y-i+1e-5))+1-AVG((2*i+1e-5)/(p+y+1e-5)),6) AS loss FROM s GROUP BY ALL")
 def semantic_loss_softmax(spark, sf_dir):
     return rounded(losses.semantic_loss(logit_rows(spark, sf_dir), BY, 3, mode="softmax"))
 
 
-@query(_MEAN + ", w AS (SELECT lin, label, i, x, (1+lin%3)::DOUBLE AS w FROM u WHERE label > 0), c AS (SELECT label, i, SUM(x*w)/(SUM(w)+1e-8) AS m FROM w GROUP BY ALL), d AS (SELECT lin, w.label, w, SQRT(SUM((x-m)**2)) AS d FROM w JOIN c ON w.label = c.label AND w.i = c.i GROUP BY ALL), pl AS (SELECT AVG(h) AS p FROM (SELECT label, SUM(GREATEST(d-0.5,0)**2*w)/(SUM(w)+1e-8) AS h FROM d GROUP BY ALL)), pr AS (SELECT SQRT(SUM((a.m-b.m)**2)) AS d FROM c a JOIN c b ON a.i = b.i AND a.label < b.label GROUP BY a.label, b.label), ps AS (SELECT AVG(GREATEST(3.0-d,0)**2) AS q FROM pr), rg AS (SELECT AVG(n) AS r FROM (SELECT label, SQRT(SUM(m*m)) AS n FROM c GROUP BY ALL)) SELECT ROUND(p,6) AS pull, ROUND(q,6) AS push, ROUND(r,6) AS norm FROM pl, ps, rg")
+@query(_MEAN + ", w AS (SELECT lin, label, i, x, (1+lin%3)::DOUBLE AS w FROM u WHERE label > 0), c AS (SELECT label, i, SUM(x*w)/(SUM(w)+1e-8) AS m FROM w GROUP BY ALL), d AS (SELECT lin, w.label, w, SQRT(SUM((x-m)**2)) AS d FROM w JOIN c ON w.label = c.label AND w.i = c.i GROUP BY ALL), pl AS (SELECT AVG(h) AS p FROM (SELECT label, AVG(GREATEST(d-0.5,0)**2*w) AS h FROM d GROUP BY ALL)), pr AS (SELECT SQRT(SUM((a.m-b.m)**2)) AS d FROM c a JOIN c b ON a.i = b.i AND a.label < b.label GROUP BY a.label, b.label), ps AS (SELECT AVG(GREATEST(3.0-d,0)**2) AS q FROM pr), rg AS (SELECT AVG(n) AS r FROM (SELECT label, SQRT(SUM(m*m)) AS n FROM c GROUP BY ALL)) SELECT ROUND(p,6) AS pull, ROUND(q,6) AS push, ROUND(r,6) AS norm, ROUND(p+q+0.001*r,6) AS loss FROM pl, ps, rg")
 def instance_loss(spark, sf_dir):
     e = vectors(spark, sf_dir).withColumn("weight", (1 + F.col("lin") % 3).cast("double"))
     return rounded(losses.instance_loss(e, BY).drop("sample_id"))
@@ -902,12 +902,48 @@ def geometry_loss(spark, sf_dir):
 def skeleton_embedding_loss(spark, sf_dir):
     b = blocks_of_sections(spark, sf_dir)
     t = geometry.skeleton_targets(b, BY, SHAPE)
-    rows = t.withColumns({"oy": F.col("ny") - F.col("y"), "ox": F.col("nx") - F.col("x"), "dt_at": F.col("dt_norm")})
-    return rounded(losses.skeleton_embedding_loss(rows.withColumnsRenamed({"gy": "gy", "gx": "gx"}), BY))
+    rows = t.withColumns({"oy": F.col("ny") - F.col("y"), "ox": F.col("nx") - F.col("x")})
+    return rounded(losses.skeleton_embedding_loss(rows, BY, field=t))
+
+
+_INSTANCES = """\n, e AS (SELECT sample_id, cls, label, (lin%5)/2.0+label AS e0, (lin%7)/3.0-label*0.5 AS e1, 1.0+lin%3 AS w FROM v WHERE label > 0),
+ c AS (SELECT {g}, label, SUM(e0*w)/(SUM(w)+1e-8) AS c0, SUM(e1*w)/(SUM(w)+1e-8) AS c1 FROM e GROUP BY ALL),
+ d AS (SELECT {g}, label, AVG(GREATEST(SQRT((e0-c0)**2+(e1-c1)**2)-0.5,0)**2*w) AS h FROM e JOIN c USING ({g}, label) GROUP BY ALL),
+ pl AS (SELECT {g}, AVG(h) AS pull FROM d GROUP BY ALL), nm AS (SELECT {g}, AVG(SQRT(c0*c0+c1*c1)) AS norm FROM c GROUP BY ALL),
+ pr AS (SELECT {g}, AVG(GREATEST(3.0-SQRT((a.c0-b.c0)**2+(a.c1-b.c1)**2),0)**2) AS push FROM c a JOIN c b USING ({g}) WHERE a.label < b.label GROUP BY ALL),
+ il AS (SELECT {g}, pull, COALESCE(push, 0) AS push, norm, pull+COALESCE(push, 0)+0.001*norm AS loss FROM pl JOIN nm USING ({g}) LEFT JOIN pr USING ({g}))"""
+
+
+def instance_rows(spark, sf_dir):
+    e = F.array(F.expr("(lin%5)/2.0D + label"), F.expr("(lin%7)/3.0D - label*0.5D"))
+    return voxels(spark, sf_dir).withColumns({"embedding": e, "weight": F.expr("1.0D + lin%3")})
+
+
+@query(_INSTANCES.format(g="sample_id") + " SELECT sample_id, ROUND(pull,6)::DOUBLE AS pull, ROUND(push,6)::DOUBLE AS push, ROUND(norm,6)::DOUBLE AS norm, ROUND(loss,6)::DOUBLE AS loss FROM il")
+def instance_loss_sections(spark, sf_dir):
+    return rounded(losses.instance_loss(instance_rows(spark, sf_dir), BY))
+
+
+@query(_INSTANCES.format(g="sample_id, cls") + ", k AS (SELECT cls, AVG(pull) AS pull, AVG(push) AS push, AVG(norm) AS norm, AVG(loss) AS loss FROM il WHERE cls > 0 GROUP BY ALL) SELECT ROUND(AVG(pull),6)::DOUBLE AS pull, ROUND(AVG(push),6)::DOUBLE AS push, ROUND(AVG(norm),6)::DOUBLE AS norm, ROUND(AVG(loss),6)::DOUBLE AS loss FROM k")
+def instance_loss_classes(spark, sf_dir):
+    """The instance loss of every class, averaged over the classes."""
+    return rounded(losses.instance_loss_by_class(instance_rows(spark, sf_dir), BY, "cls"))
+
+
+_COMBINED = f"WITH s AS ({ORACLE_SQL['semantic_loss_sigmoid']}), i AS ({ORACLE_SQL['instance_loss_sections']}), g AS ({ORACLE_SQL['geometry_loss']}), " + "k AS (" + " UNION ALL ".join(
+    f"SELECT sample_id, '{prefix}{'' if name == 'loss' else '/' + name}' AS key, {name}::DOUBLE AS value FROM {table}" for table, prefix, names in (("s", "loss_sem", ("ce", "iou", "dice", "loss")), ("i", "loss_ins", ("pull", "push", "norm", "loss")), ("g", "loss_geom", ("dir", "raw", "loss"))) for name in names
+) + ") SELECT * FROM k UNION ALL SELECT sample_id, 'loss' AS key, ROUND(s.loss+0.5*i.loss+0.25*g.loss,4)::DOUBLE AS value FROM s JOIN i USING (sample_id) JOIN g USING (sample_id)"
+
+
+@query(_COMBINED)
+def combined_loss(spark, sf_dir):
+    """All branches with their parts, and the weighted total (to four places, as its parts are rounded)."""
+    got = losses.combined_loss(semantic_loss_sigmoid(spark, sf_dir), instance_loss_sections(spark, sf_dir), BY, geometry_loss(spark, sf_dir), (1.0, 0.5, 0.25))
+    return got.withColumn("value", F.when(F.col("key") == "loss", F.round("value", 4)).otherwise(F.col("value")))
 
 
 _COMPOSITE = f"WITH s AS ({ORACLE_SQL['semantic_loss_sigmoid']}), g AS ({ORACLE_SQL['geometry_loss']}) " + " UNION ALL ".join(
-    f"SELECT sample_id, 'train/{part}/{name}' AS key, {name}::DOUBLE AS value FROM {part[0]}" for part, names in {"sem": ("ce", "iou", "dice"), "geo": ("dir", "raw", "loss")}.items() for name in names
+    f"SELECT sample_id, 'train/{part}/{name}' AS key, {name}::DOUBLE AS value FROM {part[0]}" for part, names in {"sem": ("ce", "iou", "dice", "loss"), "geo": ("dir", "raw", "loss")}.items() for name in names
 )
 
 
@@ -959,6 +995,23 @@ def skeleton_loss_terms(spark, sf_dir):
     return rounded(losses.skeleton_embedding_loss(v.withColumns({n: F.expr(e) for n, e in given.items()}), BY))
 
 
+_SAMPLED = _BLOCKS + """, n AS (SELECT s.z, s.y, s.x, SQRT(d2)/MAX(SQRT(d2)) OVER (PARTITION BY d.z, d.inst) AS t FROM d JOIN s ON s.lin = d.lin),
+ f AS (SELECT lin, z AS sample_id, inst, y, x, (lin%5-2)/2.0 AS oy, (lin%3-1)/2.0 AS ox, (y//8)*8+4 AS ny, (x//8)*8+4 AS nx, y%4-1.5 AS gy, x%4-1.5 AS gx FROM s),
+ l AS (SELECT f.lin, SUM((1-ABS(f.y+oy-n.y))*(1-ABS(f.x+ox-n.x))*t) AS dt FROM f JOIN n ON n.z = f.sample_id AND ABS(f.y+oy-n.y) < 1 AND ABS(f.x+ox-n.x) < 1 GROUP BY ALL),
+ per AS (SELECT sample_id, AVG((y+oy-ny)**2 + (x+ox-nx)**2) AS pull, AVG(1 - (oy*gy+ox*gx)/(GREATEST(SQRT(oy*oy+ox*ox),1e-5)*GREATEST(SQRT(gy*gy+gx*gx),1e-5))) AS penalty, AVG(1-COALESCE(dt, 0)) AS benefit FROM f LEFT JOIN l ON l.lin = f.lin GROUP BY ALL),
+ m AS (SELECT sample_id, inst, AVG(y+oy) AS my, AVG(x+ox) AS mx FROM f GROUP BY ALL), q AS (SELECT a.sample_id, AVG(GREATEST(20 - SQRT((a.my-b.my)**2 + (a.mx-b.mx)**2), 0)**2) AS push FROM m a JOIN m b ON a.sample_id = b.sample_id AND a.inst < b.inst GROUP BY ALL)
+ SELECT sample_id, ROUND(pull,6) AS pull, ROUND(penalty,6) AS penalty, ROUND(benefit,6) AS benefit, ROUND(push,6) AS push, ROUND(pull+push+penalty+5*benefit,6) AS loss FROM per JOIN q USING (sample_id)"""
+
+
+@query(_SAMPLED)
+def skeleton_loss_sampled(spark, sf_dir):
+    """The skeleton embedding loss of given offsets, the normalised distance taken where they land."""
+    b = blocks_of_sections(spark, sf_dir)
+    field = geometry.distance_transform(b, BY, SHAPE)
+    given = {"oy": "(lin%5-2)/2.0D", "ox": "(lin%3-1)/2.0D", "ny": "(y div 8)*8+4", "nx": "(x div 8)*8+4", "gy": "y%4-1.5D", "gx": "x%4-1.5D"}
+    return rounded(losses.skeleton_embedding_loss(b.withColumns({n: F.expr(e) for n, e in given.items()}), BY, field=field))
+
+
 # ---- targets and parsers -------------------------------------------------------------------------------------
 
 
