@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.plans.rank import running_total
+
 
 def instance_sizes(rows: DataFrame, label: str = "label", by: list[str] | None = None) -> DataFrame:
     return rows.groupBy(*(by or []), label).agg(F.count(F.lit(1)).alias("size"))
@@ -67,8 +69,7 @@ def dominant(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 def rank_percentiles(rows: DataFrame, value: str, shares: list[float], by: list[str]) -> DataFrame:
     """sorted[floor(n * share)] of each group: exact, on counted distinct values."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    run = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumns({"upto": F.sum("n").over(run), "total": F.sum("n").over(Window.partitionBy(*by))})
+    placed = running_total(counts, by, value, "n")
     out = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("total") * s), F.col("total") - 1), F.col(value))).alias(f"p{round(s * 100):02d}") for s in shares]
     return placed.groupBy(*by).agg(*out)
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamella.plans.rank import numbered_within
 from lamella.session import cut, settled
 
 #: Numbers (modes times dimensions) that the driver holds; beyond that modes are a table.
@@ -253,14 +254,8 @@ def _outranked(vectors: Vectors, modes: DataFrame, others: DataFrame, count: int
 
 def _ranked(kept: DataFrame, by: list[str]) -> DataFrame:
     """kept with cluster: its place in the order within its group, from 1."""
-    from lamella.plans.rank import numbered
-
     rows = kept.select(*by, "n", "x", (-F.col("n")).alias("_n"), F.transform("x", lambda v: -v).alias("_x"))
-    rows = numbered(rows, [*by, "_n", "_x"], "_place")
-    if by:
-        first = rows.groupBy(*by).agg(F.min("_place").alias("_first"))
-        rows = rows.join(first, by)
-    return rows.select(*by, (F.col("_place") - (F.col("_first") if by else F.lit(0)) + 1).alias("cluster"), "n", "x")
+    return numbered_within(rows, by, ["_n", "_x"], "_place").select(*by, (F.col("_place") + 1).alias("cluster"), "n", "x")
 
 
 def nearest_modes(rows: DataFrame, modes, by: list[str], reach: float, embedding: str = "embedding") -> DataFrame:

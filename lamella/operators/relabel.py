@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamella.plans.graph import connected_components
-from lamella.plans.rank import numbered
+from lamella.plans.rank import numbered, numbered_within
 from lamella.session import cut
 
 #: Side of the blocks in which components are found locally, by dimensions (a block holds 65,536 or 32,768 places).
@@ -18,9 +20,7 @@ BLOCK = {2: 256, 3: 32}
 def label_table(rows: DataFrame, label: str = "label", by: list[str] | None = None, start: int = 1) -> DataFrame:
     """(by, label, new) for the positive labels: new counts from start in ascending order."""
     distinct = rows.where(F.col(label) > 0).select(*(by or []), label).distinct()
-    if by:
-        return distinct.withColumn("new", (F.row_number().over(Window.partitionBy(*by).orderBy(label)) - 1 + start).cast("long"))
-    return numbered(distinct, [label], "new").withColumn("new", (F.col("new") + start).cast("long"))
+    return numbered_within(distinct, by or [], [label], "new").withColumn("new", (F.col("new") + start).cast("long"))
 
 
 def relabel_sequential(rows: DataFrame, label: str = "label", start: int = 1, by: list[str] | None = None) -> DataFrame:
@@ -96,21 +96,30 @@ def component_labels(rows: DataFrame, by: list[str], dims: int = 3, connectivity
     Components count from 1 within each of `by`, by label and then by their first voxel. lin numbers the voxels
     uniquely over all samples. In two dimensions sections are separate. Blocks of at most BLOCK voxels a side find
     their components each for itself; components over blocks are those of the graph of the blocks' components, so
-    that its edges grow with the blocks' faces and not with the voxels.
+    that its edges grow with the blocks' faces and not with the voxels. Voxels are read twice and each time dealt to their
+    blocks; only voxels at faces and one for each local component are written and joined.
     """
     if dims not in (2, 3):
         raise ValueError("spatial_dims must be 2 or 3")
     offsets = half_offsets(dims, connectivity or (4 if dims == 2 else 6))
     axes, side = ("yx" if dims == 2 else "zyx"), BLOCK[dims]
     blocks = {f"_b{a}": F.floor(F.col(a) / side).cast("long") for a in axes} | ({"_bz": F.col("z").cast("long")} if dims == 2 else {})
+    of_block = list(dict.fromkeys([*by, *blocks]))
     kept = list(dict.fromkeys([*by, "z", "y", "x", label, lin]))
-    fg = rows.where(F.col(label) > 0).select(*kept).withColumns(blocks).withColumn("_root", F.col(lin))
+    placed = rows.select(*kept).withColumns(blocks).withColumns({"_root": F.col(lin), "_edge": F.lit(False)})
+
+    def roots_of(places: np.ndarray, labels: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        return local_roots(places, labels, ids, offsets) if len(ids) else ids
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The voxels that leave a block: those at its faces, and each local component's first one."""
         places = pdf[["z", "y", "x"]].to_numpy(np.int64)
-        return pdf.assign(_root=local_roots(places, pdf[label].to_numpy(), pdf[lin].to_numpy(), offsets))
+        root = roots_of(places, pdf[label].to_numpy(), pdf[lin].to_numpy())
+        at = places[:, -len(axes) :] % side
+        edge = ((at == 0) | (at == side - 1)).any(1)
+        return pdf.assign(_root=root, _edge=edge)[edge | (root == pdf[lin].to_numpy())]
 
-    local = cut(fg.groupBy(*dict.fromkeys([*by, *blocks])).applyInPandas(within, fg.schema))
+    border = cut(placed.where(F.col(label) > 0).groupBy(*of_block).applyInPandas(within, placed.schema))
     # Only voxels whose neighbour lies in another block meet, and only their blocks' roots become edges.
     shifts = F.array(*[F.struct(F.lit(z).alias("dz"), F.lit(y).alias("dy"), F.lit(x).alias("dx")) for z, y, x in offsets])
 
@@ -120,27 +129,37 @@ def component_labels(rows: DataFrame, by: list[str], dims: int = 3, connectivity
             out = out | (F.floor((F.col(a) + o[f"d{a}"]) / side) != F.col(f"_b{a}"))
         return out
 
-    def at_edge():
-        out = F.lit(False)
-        for a in axes:
-            out = out | (F.pmod(F.col(a), F.lit(side)) == 0) | (F.pmod(F.col(a), F.lit(side)) == side - 1)
-        return out
-
     keys = list(dict.fromkeys([*by, "z", "y", "x", label]))
-    moved = local.where(at_edge()).withColumn("o", F.explode(F.filter(shifts, leaves))).select(
-        *[(F.col(k) + F.col(f"o.d{k}")).cast(fg.schema[k].dataType).alias(k) if k in axes else F.col(k) for k in keys], F.col("_root").alias("src")
+    moved = border.where("_edge").withColumn("o", F.explode(F.filter(shifts, leaves))).select(
+        *[(F.col(k) + F.col(f"o.d{k}")).cast(placed.schema[k].dataType).alias(k) if k in axes else F.col(k) for k in keys], F.col("_root").alias("src")
     )
-    met = local.where(at_edge()).select(*keys, F.col("_root").alias("dst"))
+    met = border.where("_edge").select(*keys, F.col("_root").alias("dst"))
     parts = connected_components(moved.join(met, keys).select("src", "dst").distinct())
-    marked = local.join(parts, local["_root"] == parts["node"], "left").select(*dict.fromkeys([*by, label]), lin, F.coalesce("component", "_root").alias("root"))
-    roots = marked.select(*dict.fromkeys([*by, label]), "root").distinct()
+    first = border.where(F.col("_root") == F.col(lin)).select(*dict.fromkeys([*of_block, label]), "_root")
+    joined = first.join(parts, first["_root"] == parts["node"], "left").withColumn("root", F.coalesce("component", "_root")).drop("node", "component")
     # One order over all of by, less each one's first place: a sample with very many components is not one task's.
-    ranked = numbered(roots, list(dict.fromkeys([*by, label, "root"])), "place")
-    if by:
-        ranked = ranked.join(ranked.groupBy(*by).agg(F.min("place").alias("first")), by)
-    ranked = ranked.withColumn("component", F.col("place") - (F.col("first") if by else F.lit(0)) + 1)
-    ids = marked.join(ranked.select(*by, "root", "component"), [*by, "root"]).select(F.col(lin), "component")
-    return rows.join(ids, lin, "left").withColumn("component", F.coalesce("component", F.lit(0)).cast("long"))
+    names = numbered_within(joined.select(*dict.fromkeys([*by, label]), "root").distinct(), by, [label, "root"], "component")
+    names = joined.join(names.select(*by, "root", (F.col("component") + 1).alias("component")), [*by, "root"]).select(*of_block, "_root", "component")
+    # The voxels go to their blocks once more, where the local components are found again and named.
+    whole = rows.withColumns({f"_in{n}": (F.col(n) if n in by else blocks[n]) for n in of_block})
+    whole = whole.select(*[F.col(c).alias(f"_c{k}") for k, c in enumerate(rows.columns)], *[f"_in{n}" for n in of_block])
+    at = {c: f"_c{k}" for k, c in enumerate(rows.columns)}
+    schema = T.StructType([T.StructField(at[f.name], f.dataType) for f in rows.schema.fields] + [T.StructField("component", T.LongType())])
+
+    def named(left: pa.Table, right: pa.Table) -> pa.Table:
+        labels = np.nan_to_num(left[at[label]].to_numpy().astype(float)) > 0
+        out = np.zeros(len(labels), np.int64)
+        if labels.any():
+            own = left.filter(pa.array(labels))
+            columns = {c: own[at[c]].to_numpy() for c in ("z", "y", "x", label, lin)}
+            root = roots_of(np.stack([columns[c] for c in "zyx"], 1).astype(np.int64), columns[label], columns[lin])
+            known = right["_root"].to_numpy()
+            order = np.argsort(known, kind="stable")
+            out[labels] = right["component"].to_numpy()[order][np.searchsorted(known[order], root)]
+        return left.select(list(at.values())).append_column("component", pa.array(out))
+
+    got = whole.groupBy(*[f"_in{n}" for n in of_block]).cogroup(names.groupBy(*of_block)).applyInArrow(named, schema)
+    return got.select(*[F.col(n).alias(c) for c, n in at.items()], "component")
 
 
 def relabel_after_crop(rows: DataFrame, by: list[str], spatial_dims: int = 3, connectivity: int | None = None, label: str = "label") -> DataFrame:

@@ -12,13 +12,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.functions.scalar import gaussian_weight, lp_distance
 from lamella.operators.aggregates import instance_means
 from lamella.operators.relabel import component_labels, drop_small, relabel_sequential
 from lamella.plans.graph import connected_components
+from lamella.plans.rank import numbered_within
 
 AXES = "zyx"
 
@@ -290,4 +291,4 @@ def stitch(rows: DataFrame, patches: DataFrame, cell: dict[str, int], merge_thre
 
 def every_nth(rows: DataFrame, n: int, order: list[str], by: list[str]) -> DataFrame:
     """Every n-th row in raster order of each group."""
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).where(F.col("_k") % n == 0).drop("_k")
+    return numbered_within(rows, by, order, "_k").where(F.col("_k") % n == 0).drop("_k")
