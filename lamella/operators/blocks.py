@@ -15,19 +15,19 @@ SIDE = {2: 256, 3: 48}
 
 
 def with_halos(rows: DataFrame, axes: str, side: int, halo: int) -> DataFrame:
-    """Each row once for its own block (core) and once for each block whose halo holds it: b<axis>, core."""
+    """Each row once for its own block (core) and once for each block whose halo holds it: _blk<axis>, _core."""
     out = rows
     for a in axes:
         own = F.floor(F.col(a) / side).cast("long")
-        out = out.withColumn(f"b{a}", F.explode(F.sequence(F.greatest(F.floor((F.col(a) - halo) / side), F.lit(0)), F.floor((F.col(a) + halo) / side)).cast("array<long>")) if halo else own)
+        out = out.withColumn(f"_blk{a}", F.explode(F.sequence(F.greatest(F.floor((F.col(a) - halo) / side), F.lit(0)), F.floor((F.col(a) + halo) / side)).cast("array<long>")) if halo else own)
     core = F.lit(True)
     for a in axes:
-        core = core & (F.col(f"b{a}") == F.floor(F.col(a) / side))
-    return out.withColumn("core", core)
+        core = core & (F.col(f"_blk{a}") == F.floor(F.col(a) / side))
+    return out.withColumn("_core", core)
 
 
 def block_columns(axes: str) -> list[str]:
-    return [f"b{a}" for a in axes]
+    return [f"_blk{a}" for a in axes]
 
 
 class Dense:

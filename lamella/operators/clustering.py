@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lamella.functions.scalar import lp_distance
 from lamella.operators import meanshift
+from lamella.operators.geometry import nearest_sites
 from lamella.operators.relabel import drop_small, relabel_sequential
+from lamella.plans.rank import numbered_within
 from lamella.session import cut
 
 
@@ -74,25 +76,37 @@ def hough_votes(rows: DataFrame, by: list[str], bin_size: float = 2.0, axes: str
 
 
 def hough_labels(rows: DataFrame, by: list[str], bin_size: float = 2.0, sigma: float = 2.0, threshold: float = 0.3, min_votes: float = 50, axes: str = "yx", mode: str = "count") -> DataFrame:
-    """label: 1 + the order of the nearest peak of the smoothed votes; 0 without peaks. rows are the foreground."""
-    from pyspark.sql import Window
+    """label: 1 + the order of the nearest peak of the smoothed votes; 0 without peaks. rows are the foreground.
 
-    from lamella.operators.stencil import box_smooth
-
-    names = [f"b{a}" for a in axes]
+    Votes are smoothed by a box of 2 * int(3 sigma) + 1 bins within the range of the group's bins; every bin that reaches
+    the threshold (a share of the highest, and min_votes) is a peak. Peaks count in the order of x, then y(, then z); of
+    equally near ones the first counts. Sparse throughout: a vote spreads to the bins of its box one axis after another, and
+    the nearest peak of each occupied bin is looked for in blocks around it, farther and farther.
+    """
+    names, order = [f"b{a}" for a in axes], axes[::-1]
+    binned = rows.withColumns({f"b{a}": F.rint((F.col(a) + F.col(f"o{a}")) / bin_size).cast("int") for a in axes})
     votes = cut(hough_votes(rows, by, bin_size, axes, mode))
     ends = votes.groupBy(*by).agg(*[f(n).alias(f"{n}_{k}") for n in names for f, k in ((F.min, "lo"), (F.max, "hi"))])
-    dense = ends
-    for n in names:
-        dense = dense.withColumn(n, F.explode(F.sequence(F.col(f"{n}_lo"), F.col(f"{n}_hi"))))
-    dense = dense.select(*by, *names).join(votes, [*by, *names], "left").fillna(0, ["votes"])
     radius = int(3 * sigma)
-    smooth = box_smooth(dense, "votes", radius, by, names, "smooth") if radius else dense.withColumn("smooth", F.col("votes").cast("double"))
-    top = F.max("smooth").over(Window.partitionBy(*by))
-    peaks = smooth.withColumn("_m", top).where((F.col("smooth") >= F.greatest(F.col("_m") * threshold, F.lit(float(min_votes)))) & (F.col("smooth") > 0))
-    peaks = peaks.withColumn("id", F.row_number().over(Window.partitionBy(*by).orderBy(*names)).cast("long")).select(*by, "id", *names)
-    binned = rows.withColumns({f"b{a}": F.rint((F.col(a) + F.col(f"o{a}")) / bin_size).cast("int") for a in axes})
-    return nearest_by_array(binned, peaks, by, names, "label").withColumn("label", F.coalesce("label", F.lit(0)).cast("long")).drop("label_d", *names)
+    smooth = votes.join(ends, by) if by else votes.crossJoin(F.broadcast(ends))  # one row
+    for n in names if radius else ():
+        near = F.sequence(F.greatest(F.col(n) - radius, f"{n}_lo"), F.least(F.col(n) + radius, f"{n}_hi"))
+        bounds = [f"{m}_{k}" for m in names for k in ("lo", "hi")]
+        smooth = smooth.withColumn("_n", F.explode(near)).drop(n).withColumnRenamed("_n", n).groupBy(*by, *names, *bounds).agg(F.sum("votes").alias("votes"))
+    smooth = cut(smooth.select(*by, *names, *[(F.col(f"b{a}") - F.col(f"b{a}_lo")).alias(f"_s{a}") for a in axes], (F.col("votes") / F.lit(float((2 * radius + 1) ** len(axes)))).alias("smooth")))
+    top = smooth.groupBy(*by).agg(F.max("smooth").alias("_m"))
+    peaks = smooth.join(top, by) if by else smooth.crossJoin(F.broadcast(top))  # one row
+    peaks = peaks.where((F.col("smooth") >= F.greatest(F.col("_m") * threshold, F.lit(float(min_votes)))) & (F.col("smooth") > 0))
+    peaks = cut(numbered_within(peaks.select(*by, *[f"_s{a}" for a in axes]), by, [f"_s{a}" for a in order], "_id"))
+    # places among bins, counted from the group's first ones
+    sites = peaks.select(*by, *[F.col(f"_s{a}").alias(a) for a in axes], F.lit(1).alias("_l"))
+    bins = votes.join(ends, by) if by else votes.crossJoin(F.broadcast(ends))  # one row
+    bins = bins.select(*by, *names, *[(F.col(f"b{a}") - F.col(f"b{a}_lo")).alias(a) for a in axes], F.lit(1).alias("_l"))
+    some = sites.select(*by, "_l").distinct()
+    near = nearest_sites(bins.join(some, [*by, "_l"], "left_semi"), sites, by, "_l", order)
+    near = near.select(*by, *names, *[F.col(f"n{a}").cast("int").alias(f"_s{a}") for a in axes]).join(peaks, [*by, *[f"_s{a}" for a in axes]])
+    got = binned.drop("label").join(near.select(*by, *names, (F.col("_id") + 1).alias("label")), [*by, *names], "left")
+    return got.withColumn("label", F.coalesce("label", F.lit(0)).cast("long")).drop(*names)
 
 
 def per_class_ids(rows: DataFrame, cls: str = "class_id", cluster: str = "cluster") -> DataFrame:

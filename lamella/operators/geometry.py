@@ -131,7 +131,7 @@ def structure_tensor(rows: DataFrame, by: list[str], shape: dict[str, int], sigm
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, own in pdf.groupby(label, sort=False):
-            core = own["core"].to_numpy()
+            core = own["_core"].to_numpy()
             if core.any():
                 got = of_instance(own[list(axes)].to_numpy(np.int64), own["_dt"].to_numpy(), own["dt_norm"].to_numpy(), core)
                 out.append(own.loc[core, kept].assign(tensor=list(got)))
@@ -247,7 +247,7 @@ def skeletons(rows: DataFrame, by: list[str], shape: dict[str, int], iterations:
 
     def thinning(rounds: int):
         def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-            core = pdf["core"].to_numpy()
+            core = pdf["_core"].to_numpy()
             if not core.any():
                 return pdf[columns].iloc[:0]
             box = Dense(pdf[list(axes)].to_numpy(np.int64), pdf[blocks].to_numpy(np.int64)[0], side, halo)
@@ -298,10 +298,11 @@ def nearest_sites(voxels: DataFrame, sites: DataFrame, by: list[str], label: str
         return meet
 
     on = list(dict.fromkeys([*by, *block_columns(axes)]))
+    sites = sites.select(*[F.col(c).alias(c) for c in dict.fromkeys([*keys, *axes])])  # columns of its own, if both come from the same rows
     while True:
         block = max(side, reach)
         cells = with_halos(todo, axes, block, 0).groupBy(*on)
-        around = with_halos(sites.select(*dict.fromkeys([*keys, *axes])), axes, block, reach).groupBy(*on)
+        around = with_halos(sites, axes, block, reach).groupBy(*on)
         got = cut(cells.cogroup(around).applyInPandas(within(reach), schema))
         found = got.where("_known").drop("_known")
         done = found if done is None else done.unionByName(found)

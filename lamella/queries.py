@@ -744,10 +744,16 @@ def hough_votes(spark, sf_dir):
     return clustering.hough_votes(v, BY)
 
 
-@query()
+_HOUGH = """\n, f AS (SELECT sample_id, lin, CAST((y//32)*8+4 AS INT) AS by_, CAST((x//25)*6+3 AS INT) AS bx_ FROM v WHERE label > 0), c AS (SELECT sample_id, by_, bx_, COUNT(*) AS n FROM f GROUP BY ALL),
+ e AS (SELECT sample_id, MIN(by_) AS y0, MAX(by_) AS y1, MIN(bx_) AS x0, MAX(bx_) AS x1 FROM c GROUP BY ALL), g AS (SELECT sample_id, UNNEST(range(y0, y1+1)) AS gy, x0, x1 FROM e), h AS (SELECT sample_id, gy, UNNEST(range(x0, x1+1)) AS gx FROM g),
+ s AS (SELECT h.sample_id, gy, gx, SUM(n)/49.0 AS s FROM h JOIN c ON c.sample_id = h.sample_id AND ABS(by_-gy) <= 3 AND ABS(bx_-gx) <= 3 GROUP BY ALL), p0 AS (SELECT * FROM s QUALIFY s >= GREATEST(MAX(s) OVER (PARTITION BY sample_id)*0.9, 1)), p AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sample_id ORDER BY gx, gy) AS id FROM p0),
+ k AS (SELECT c.sample_id, by_, bx_, ARG_MIN(id, ((by_-gy)**2+(bx_-gx)**2)*100000+id) AS id FROM c JOIN p ON p.sample_id = c.sample_id GROUP BY ALL) SELECT lin, CAST(COALESCE(id, 0) AS BIGINT) AS label FROM f LEFT JOIN k USING (sample_id, by_, bx_)"""
+
+
+@query(_HOUGH)
 def hough_labels(spark, sf_dir):
-    v = voxels(spark, sf_dir).where("label > 0").withColumns({"oy": F.expr("(y div 32) * 32 + 16 - y"), "ox": F.expr("(x div 25) * 25 + 12 - x")})
-    return clustering.hough_labels(v, BY, threshold=0.9, min_votes=1).select("lin", "label")
+    v = voxels(spark, sf_dir).where("label > 0").withColumns({"oy": F.expr("(y div 32) * 16 + 8 - y"), "ox": F.expr("(x div 25) * 12 + 6 - x")})
+    return clustering.hough_labels(v, BY, sigma=1.0, threshold=0.9, min_votes=1).select("lin", "label")
 
 
 @query()
