@@ -40,6 +40,11 @@ class Info:
         return r["z"] / ((r["x"] + r["y"]) / 2)
 
 
+def whole_ids(rows: DataFrame, name: str = "label") -> DataFrame:
+    """Ids as long; unsigned 64-bit ones stay decimal(20,0), as some don't fit (2**64 - 1 marks voxels without data)."""
+    return rows if dict(rows.dtypes)[name].startswith("decimal") else rows.withColumn(name, F.col(name).cast("long"))
+
+
 def scaled(rows: DataFrame, value: str = "value") -> DataFrame:
     """intensity: the value min-max scaled over the volume; a constant volume stays as it is."""
     rows = rows.withColumn(value, F.col(value).cast("double"))
@@ -86,7 +91,7 @@ class Snemi3D(VolumeDataset):
         base = self.info.data_files["test" if split == "test" else "train"]
         out = scaled(read_volume(spark, self._file(f"{base}_inputs")))
         labels = self._labels(spark, f"{base}_labels")
-        return out.join(labels.withColumn("label", F.col("label").cast("long")), ON, "left") if labels is not None else out
+        return out.join(whole_ids(labels), ON, "left") if labels is not None else out
 
 
 class Cremi3D(VolumeDataset):
@@ -139,7 +144,7 @@ class Microns(VolumeDataset):
             if extra is None and needed:
                 raise FileNotFoundError(f"{base} in {self.root}")
             if extra is not None:
-                out = out.join(extra.withColumn(name, F.col(name).cast("long")), ON, "left")
+                out = out.join(whole_ids(extra, name), ON, "left")
         return out
 
 
@@ -172,7 +177,7 @@ class MitoEM2(VolumeDataset):
         for image, label in self.cases(split):
             one = scaled(read_volume(spark, image)).withColumn("case", F.lit(Path(image).name.replace("_0000.nii.gz", "")))
             if label:
-                one = one.join(read_volume(spark, label).select(*ON, F.col("value").cast("long").alias("label")), ON, "left")
+                one = one.join(whole_ids(read_volume(spark, label).select(*ON, F.col("value").alias("label"))), ON, "left")
             out = one if out is None else out.unionByName(one, allowMissingColumns=True)
         if out is None:
             raise FileNotFoundError(f"no case for {split} in {self.root}")

@@ -6,7 +6,6 @@ with load, load_slab, save, metadata, shape and validate; other formats register
 
 from __future__ import annotations
 
-import gzip
 import struct
 import zlib
 from abc import ABC, abstractmethod
@@ -14,6 +13,8 @@ from pathlib import Path
 
 import numpy as np
 
+from lamella.sources.streams import Bytes, blocked
+
 #: First existing extension wins when a folder holds a volume in several formats (fixed order).
 PRIORITY = (".h5", ".hdf5", ".hdf", ".tiff", ".tif", ".nrrd", ".nhdr", ".npy", ".npz")
 KEYS = ("main", "data", "raw", "volume", "image", "label")
@@ -23,6 +24,8 @@ class Format(ABC):
     """A file format. Extensions are lower case and may be double (.nii.gz)."""
 
     extensions: tuple[str, ...] = ()
+    #: The axis along which the file is laid out, so that a range of it is one range of bytes.
+    slow_axis = 0
 
     def check(self, path: str) -> Path:
         p = Path(path)
@@ -98,7 +101,12 @@ class Nrrd(Format):
     extensions = (".nrrd", ".nhdr")
 
     def header(self, path: str) -> tuple[dict, int]:
-        data = self.check(path).read_bytes()
+        data = b""
+        with self.check(path).open("rb") as f:
+            while b"\n\n" not in data and (piece := f.read(4096)):
+                data += piece
+                if not data.startswith(b"NRRD"):
+                    break
         end = data.find(b"\n\n")
         if not data.startswith(b"NRRD") or end < 0:
             raise ValueError(f"not an NRRD file: {path}")
@@ -109,26 +117,41 @@ class Nrrd(Format):
                 fields[name.strip().lower()] = value.lstrip("=").strip()
         return fields, end + 2
 
-    def load(self, path, key=None, index_order: str = "C"):
+    def _body(self, path: str) -> tuple[Bytes, np.dtype, list[int]]:
+        """The data, its type and its shape, slowest axis first."""
         fields, at = self.header(path)
-        if "data file" in fields or "datafile" in fields:
-            body = (Path(path).parent / (fields.get("data file") or fields["datafile"])).read_bytes()
-        else:
-            body = Path(path).read_bytes()[at:]
-        if fields.get("encoding", "raw").lower() in ("gzip", "gz"):
-            body = zlib.decompress(body, 47)
+        file = fields.get("data file") or fields.get("datafile")
+        packed = fields.get("encoding", "raw").lower() in ("gzip", "gz")
+        body = Bytes(Path(path).parent / file, 0, packed) if file else Bytes(path, at, packed)
         code = next(c for c, names in _NRRD_TYPES.items() if fields["type"].lower() in names.split(", "))
         order = ">" if fields.get("endian", "little") == "big" else "<"
-        sizes = [int(v) for v in fields["sizes"].split()]
-        out = np.frombuffer(body, np.dtype(order + code), count=int(np.prod(sizes))).reshape(sizes[::-1])
+        return body, np.dtype(order + code), [int(v) for v in fields["sizes"].split()][::-1]
+
+    def dtype(self, path, key=None):
+        return self._body(path)[1]
+
+    def load(self, path, key=None, index_order: str = "C"):
+        body, dtype, shape = self._body(path)
+        out = np.frombuffer(body.read(0, dtype.itemsize * int(np.prod(shape))), dtype).reshape(shape)
         return out if index_order == "C" else out.T
 
+    def load_slab(self, path, slices, key=None):
+        """Reads (and of a blocked file inflates) only what holds the range along the first axis."""
+        return self.slab(path, slices)[0]
+
+    def slab(self, path: str, slices: tuple[slice, ...]) -> tuple[np.ndarray, Bytes]:
+        body, dtype, shape = self._body(path)
+        first, last, _ = slices[0].indices(shape[0])
+        row = dtype.itemsize * int(np.prod(shape[1:]))
+        data = np.frombuffer(body.read(first * row, last * row), dtype).reshape(-1, *shape[1:])
+        return data[(slice(None, None, slices[0].step), *slices[1:])], body
+
     def save(self, data, path, key="main", spacing: tuple[float, ...] | None = None):
         names = {c: n.split(", ")[-1] for c, n in _NRRD_TYPES.items()}
         lines = ["NRRD0004", f"type: {names[data.dtype.str[1:]]}", f"dimension: {data.ndim}", "sizes: " + " ".join(map(str, data.shape[::-1])), "encoding: gzip", "endian: little"]
         if spacing:
             lines.append("spacings: " + " ".join(map(str, spacing[::-1])))
-        body = gzip.compress(np.ascontiguousarray(data, data.dtype.newbyteorder("<")).tobytes(), 9)
+        body = blocked(np.ascontiguousarray(data, data.dtype.newbyteorder("<")).tobytes(), 9)
         Path(path).write_bytes("\n".join(lines).encode() + b"\n\n" + body)
 
     def metadata(self, path, key=None):
@@ -159,9 +182,11 @@ class Nifti(Format):
 
     extensions = (".nii.gz", ".nii")
 
-    def _bytes(self, path: str) -> bytes:
-        data = self.check(path).read_bytes()
-        return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    slow_axis = -1
+
+    def _open(self, path: str) -> tuple[Bytes, dict]:
+        body = Bytes(self.check(path))
+        return body, self._header(body.read(0, 352))
 
     def _header(self, data: bytes) -> dict:
         order = "<" if struct.unpack("<i", data[:4])[0] == 348 else ">"
@@ -179,18 +204,33 @@ class Nifti(Format):
             affine[:3, :3] = np.diag(zooms[1:4])
         return {"order": order, "shape": list(dim[1 : 1 + dim[0]]), "dtype": _NIFTI_TYPES[code], "zooms": list(zooms[1 : 1 + dim[0]]), "offset": int(offset), "affine": affine, "slope": slope, "inter": inter, "qform": qform}
 
+    @staticmethod
+    def _scaled(h: dict) -> bool:
+        return not (h["slope"] in (0.0, 1.0) and h["inter"] == 0.0 or np.isnan(h["slope"]))
+
+    def slab(self, path: str, slices: tuple[slice, ...]) -> tuple[np.ndarray, Bytes]:
+        """Reads (and of a blocked file inflates) only what holds the range along the last axis."""
+        body, h = self._open(path)
+        dtype, shape = np.dtype(h["order"] + h["dtype"]), h["shape"]
+        slices = (*slices, *[slice(None)] * (len(shape) - len(slices)))
+        first, last, _ = slices[-1].indices(shape[-1])
+        layer = dtype.itemsize * int(np.prod(shape[:-1]))
+        data = np.frombuffer(body.read(h["offset"] + first * layer, h["offset"] + last * layer), dtype)
+        out = data.reshape([*shape[:-1], -1], order="F")[(*slices[:-1], slice(None, None, slices[-1].step))]
+        return (out * h["slope"] + h["inter"] if self._scaled(h) else out), body
+
     def load(self, path, key=None):
-        data = self._bytes(path)
-        h = self._header(data)
-        out = np.frombuffer(data, np.dtype(h["order"] + h["dtype"]), count=int(np.prod(h["shape"])), offset=h["offset"]).reshape(h["shape"], order="F")
-        return out if h["slope"] in (0.0, 1.0) and h["inter"] == 0.0 or np.isnan(h["slope"]) else out * h["slope"] + h["inter"]
+        return self.slab(path, ())[0]
+
+    def load_slab(self, path, slices, key=None):
+        return self.slab(path, slices)[0]
 
     def dtype(self, path, key=None):
-        h = self._header(self._bytes(path))
-        return np.dtype(h["dtype"]) if h["slope"] in (0.0, 1.0) and h["inter"] == 0.0 or np.isnan(h["slope"]) else np.dtype("f8")
+        h = self._open(path)[1]
+        return np.dtype("f8") if self._scaled(h) else np.dtype(h["dtype"])
 
     def load_with_affine(self, path: str) -> tuple[np.ndarray, np.ndarray]:
-        return self.load(path), self._header(self._bytes(path))["affine"]
+        return self.load(path), self._open(path)[1]["affine"]
 
     def save(self, data, path, key="main", affine: np.ndarray | None = None):
         code = {v: k for k, v in _NIFTI_TYPES.items()}[data.dtype.str[1:]]
@@ -206,10 +246,10 @@ class Nifti(Format):
         struct.pack_into("<12f", header, 280, *affine[:3].ravel())
         header[344:348] = b"n+1\0"
         out = bytes(header) + np.asfortranarray(data).tobytes(order="F")
-        Path(path).write_bytes(gzip.compress(out) if str(path).endswith(".gz") else out)
+        Path(path).write_bytes(blocked(out) if str(path).endswith(".gz") else out)
 
     def metadata(self, path, key=None):
-        h = self._header(self._bytes(path))
+        h = self._open(path)[1]
         return {"shape": h["shape"], "dtype": str(np.dtype(h["dtype"])), "spacing": h["zooms"], "affine": h["affine"].tolist()}
 
 

@@ -5,7 +5,9 @@
     spark.read.format("volume").option("slab", 16).load(path)      # z, y, x, value
     df.write.format("volume").option("shape", "4,8,8").mode("overwrite").save(folder)
 
-The options z0 and z1 (half-open) prune slabs before anything is read; they are options and not pushed filters,
+A slab is a range of the axis along which the file is laid out (the first one; of NIfTI the last), so that it is one range
+of bytes, and of a blocked gzip file only the members that hold it are inflated. The options z0 and z1 (half-open) keep a
+range of the first axis, where that is the file's axis before anything is read; they are options and not pushed filters,
 since a session keeps a pushed reader for later scans of the same relation. Executors open the path themselves: it
 has to be on storage that all of them mount.
 
@@ -65,10 +67,11 @@ class VolumeReader(DataSourceReader):
         self.type = value_type(self.path, self.key)
         self.low = max(0, int(options.get("z0", "0")))
         self.high = min(self.shape[0], int(options.get("z1", str(self.shape[0]))))
+        self.axis = 0 if self.flat else format_of(self.path).slow_axis % 3
 
     def partitions(self):
-        starts = range(self.low, self.high, self.slab)
-        return [Slab(a, min(a + self.slab, self.high)) for a in starts] or [Slab(0, 0)]
+        low, high = (self.low, self.high) if self.axis == 0 else (0, self.shape[self.axis] if self.low < self.high else 0)
+        return [Slab(a, min(a + self.slab, high)) for a in range(low, high, self.slab)] or [Slab(0, 0)]
 
     def read(self, partition: Slab):
         if partition.first >= partition.last:
@@ -76,14 +79,18 @@ class VolumeReader(DataSourceReader):
         if self.flat:
             data = format_of(self.path).load(self.path, self.key)[None]
         else:
-            data = format_of(self.path).load_slab(self.path, (slice(partition.first, partition.last), slice(None), slice(None)), self.key)
+            ranges = [slice(self.low, self.high), slice(None), slice(None)]
+            ranges[self.axis] = slice(partition.first, partition.last)
+            data = format_of(self.path).load_slab(self.path, tuple(ranges), self.key)
+        base = [self.low, 0, 0]
+        base[self.axis] = partition.first
         z, y, x = (c.ravel().astype(np.int32) for c in np.indices(data.shape))
         flat = np.ascontiguousarray(data).ravel()
         if pa.types.is_decimal(self.type):
             values = pa.array(flat.astype(np.uint64)).cast(self.type)
         else:
             values = pa.array(flat.astype(self.type.to_pandas_dtype()))
-        yield pa.RecordBatch.from_arrays([pa.array(z + np.int32(partition.first)), pa.array(y), pa.array(x), values], names=["z", "y", "x", "value"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c + np.int32(b)) for c, b in zip((z, y, x), base, strict=True)), values], names=["z", "y", "x", "value"])
 
 
 @dataclass
