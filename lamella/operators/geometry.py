@@ -81,9 +81,11 @@ def gaussian_kernel(sigma: float, order: int = 0) -> np.ndarray:
     return k if order == 0 else -x / sigma**2 * k
 
 
-def gaussian_filter(field: np.ndarray, sigma: float, orders: tuple[int, ...]) -> np.ndarray:
-    """Separable filter with half-sample reflection at the edges; orders gives the derivative along each axis."""
+def gaussian_filter(field: np.ndarray, sigma: float, orders: tuple[int | None, ...]) -> np.ndarray:
+    """Separable filter with half-sample reflection at the edges; orders gives the derivative along each axis (None: no filter)."""
     for axis, order in enumerate(orders):
+        if order is None:
+            continue
         if field.shape[axis] == 1:
             field = field if order == 0 else np.zeros_like(field)
             continue

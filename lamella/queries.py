@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamella.functions import scalar as fn
-from lamella.operators import aggregates, browser, clustering, geometry, losses, metrics, prompts, relabel, selection, stencil, tiling
+from lamella.operators import aggregates, augment, browser, clustering, geometry, losses, metrics, prompts, relabel, selection, stencil, tiling
 from lamella.plans.views import HEIGHT, VOXELS_SQL, WIDTH, voxels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -534,6 +534,26 @@ def bilinear_lookup(spark, sf_dir):
     return rounded(stencil.bilinear_lookup(points, v.withColumn("label", F.col("label").cast("double")), BY, "label"))
 
 
+@query("\n, t AS (SELECT UNNEST(range(70)) AS ty), u AS (SELECT UNNEST(range(80)) AS tx), s AS (SELECT ty, LEAST(GREATEST((ty+0.5)*100/70.0-0.5, 0), 99) AS py FROM t), r AS (SELECT tx, LEAST(GREATEST((tx+0.5)*50/80.0-0.5, 0), 49) AS px FROM u) SELECT sample_id, CAST(ty AS INT) AS y, CAST(tx AS INT) AS x, ROUND(SUM((1-ABS(v.y-py))*(1-ABS(v.x-px))*(intensity/9.7e5)),6)::DOUBLE AS intensity FROM v JOIN s ON ABS(v.y-py) < 1 JOIN r ON ABS(v.x-px) < 1 GROUP BY ALL")
+def resize_bilinear(spark, sf_dir):
+    """Sections of another size: shorter along y, longer along x."""
+    v = voxels(spark, sf_dir).drop("z").withColumn("intensity", F.col("intensity") / 9.7e5)
+    return rounded(augment.resize_linear(v, BY, SHAPE, {"y": 70, "x": 80}).select("sample_id", "y", "x", "intensity"))
+
+
+@query()
+def augmented_sections(spark, sf_dir):
+    """The training chain: scaled, flipped, turned, with noise and contrast, each section by draws of its own."""
+    chain = augment.Chain(BY, SHAPE, seed=11).scale().flip("y").flip("x").rot90().noise().contrast()
+    return rounded(chain.apply(voxels(spark, sf_dir)).select("sample_id", "lin", "y", "x", "intensity", "label"))
+
+
+@query()
+def elastic_sections(spark, sf_dir):
+    """Sections warped by smooth random fields, half of them."""
+    return augment.elastic(voxels(spark, sf_dir), BY, (HEIGHT, WIDTH), ["label", "lin"], sigma=4.0, alpha=40.0).select("sample_id", "y", "x", "label", "lin")
+
+
 # ---- tiling --------------------------------------------------------------------------------------------------
 
 PATCH = {"z": 1, "y": 32, "x": 32}
@@ -1047,11 +1067,10 @@ def one_hot(spark, sf_dir):
     return rows.select("lin", "c", "sigmoid", F.col("m")[F.col("c")].alias("softmax"))
 
 
-@query("\n, r AS (SELECT lin, intensity / 5e5 AS u FROM v) SELECT lin, ROUND(LEAST(GREATEST(u*1.3-0.1, 0), 1),6)::DOUBLE AS defect, ROUND(POW((u-0.001)/(0.9-0.001+1e-7), 1.5)*(0.9-0.001)+0.001,6)::DOUBLE AS contrast FROM r WHERE u >= 0.001")
+@query("\n, r AS (SELECT lin, intensity / 5e5 AS u FROM v) SELECT lin, ROUND(LEAST(GREATEST(u*1.3-0.1, 0), 1),6)::DOUBLE AS defect, ROUND(POW((u-0.001)/(0.9-0.001+1e-7), 1.5)*(0.9-0.001)+0.001,6)::DOUBLE AS contrast FROM (SELECT lin, GREATEST(u, 0.001) AS u FROM r)")
 def intensity_changes(spark, sf_dir):
-    u = F.col("intensity") / 5e5
-    rows = voxels(spark, sf_dir).where(u >= 0.001)
-    return rounded(rows.select("lin", stencil.intensity_defect(u, 1.3, -0.1).alias("defect"), stencil.adjust_contrast(u, 1.5, 0.001, 0.9).alias("contrast")))
+    u = F.greatest(F.col("intensity") / 5e5, F.lit(0.001))
+    return rounded(voxels(spark, sf_dir).select("lin", stencil.intensity_defect(u, 1.3, -0.1).alias("defect"), stencil.adjust_contrast(u, 1.5, 0.001, 0.9).alias("contrast")))
 
 
 @query("\n SELECT 'pred' AS volume, lin, pred AS label FROM v UNION ALL SELECT 'gt' AS volume, lin, gt AS label FROM v")
