@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +32,17 @@ def downsample_choice(shape: tuple[int, int, int], most_xy: int = 512, most_voxe
     return min(k, 16)
 
 
+def png_bytes(image: np.ndarray) -> bytes:
+    """An RGBA image (rows, cols, 4) as PNG: rows without a filter, in one stream."""
+    rows, cols, _ = image.shape
+
+    def part(name: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+    lines = np.concatenate((np.zeros((rows, 1), np.uint8), image.reshape(rows, cols * 4)), axis=1)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">2I5B", cols, rows, 8, 6, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines.tobytes(), 1)) + part(b"IEND", b"")
+
+
 @dataclass(frozen=True)
 class Volume:
     """A registered volume: voxel rows with z, y, x, intensity and, if it has a segmentation, label."""
@@ -50,18 +65,40 @@ class Volume:
     def labels(self) -> DataFrame:
         return palette(self.rows.where(F.col(self.label) > 0), self.label)
 
-    def slice(self, axis: str, index: int, opacity: float = 0.5, selected: list[int] | None = None, overlay: bool = True) -> DataFrame:
-        """(row, col, r, g, b): gray bytes with the labels' colours over them; labels that aren't selected are dimmed."""
+    def slice(self, axis: str, index: int, opacity: float = 0.5, selected: list[int] | None = None, overlay: bool = True, client: bool = False) -> DataFrame:
+        """(row, col, r, g, b): gray bytes with the labels' colours over them; labels that aren't selected are dimmed.
+
+        client: as a viewer draws it, where the x slice has y downwards and z to the right, so that it lies beside the z
+        slice, and colours are rounded and not cut.
+        """
         sizes = dict(zip("zyx", self.shape, strict=True))
         first, second = [a for a in "zyx" if a != axis]
+        if client and axis == "x":
+            first, second = second, first
+        rounding = "round" if client else "trunc"
         cut = self._bytes(slice_axis(self.rows, axis, index, sizes[axis]))
         if not (overlay and self.label):
             return cut.select(F.col(first).alias("row"), F.col(second).alias("col"), *[F.col("u8").alias(c) for c in "rgb"])
         joined = cut.join(palette(self.rows, self.label), self.label)
         alpha = F.lit(opacity) if not selected else F.when(F.col(self.label).isin(selected), opacity).otherwise(opacity * 0.15)
-        mixed = [F.when(F.col(self.label) > 0, blend(F.col("u8").cast("double"), F.col(c).cast("double"), alpha)).otherwise(F.col("u8")).alias(c) for c in "rgb"]
+        mixed = [F.when(F.col(self.label) > 0, blend(F.col("u8").cast("double"), F.col(c).cast("double"), alpha, rounding)).otherwise(F.col("u8")).alias(c) for c in "rgb"]
         return joined.select(F.col(first).alias("row"), F.col(second).alias("col"), *mixed)
 
+    def slice_png(self, axis: str, index: int, **options) -> DataFrame:
+        """(rows, cols, png): the slice as the bytes of an RGBA image. One image is one task's; its pixels are all it gets."""
+        sizes = dict(zip("zyx", self.shape, strict=True))
+        first, second = [sizes[a] for a in "zyx" if a != axis]
+        if options.get("client") and axis == "x":
+            first, second = second, first
+
+        def encode(pdf: pd.DataFrame) -> pd.DataFrame:
+            image = np.zeros((first, second, 4), np.uint8)
+            image[..., 3] = 255
+            image[pdf["row"].to_numpy(), pdf["col"].to_numpy(), :3] = pdf[list("rgb")].to_numpy()
+            return pd.DataFrame({"rows": [first], "cols": [second], "png": [png_bytes(image)]})
+
+        return self.slice(axis, index, **options).groupBy().applyInPandas(encode, "rows int, cols int, png binary")
+
     def chunk(self, k: int) -> DataFrame:
         return self._bytes(downsample(self.rows, k)).select("z", "y", "x", "u8")
 

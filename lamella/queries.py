@@ -398,6 +398,13 @@ def overlay_blend(spark, sf_dir):
     return browser.Volume("a", v, (depth(v), HEIGHT, WIDTH)).slice("z", 1, 0.5, [1, 3])
 
 
+@query(_ENDS + ", s AS (SELECT z, y, label, TRUNC((intensity-lo)/(hi-lo)*255) AS u8, CASE WHEN label IN (2, 5) THEN 0.4 ELSE 0.06 END AS a FROM v, e WHERE x = 20) SELECT y AS row, z AS col, " + ", ".join(f"CAST(CASE WHEN label > 0 THEN FLOOR(LEAST(GREATEST((1-a)*u8 + a*{_pal(k)},0),255)+0.5) ELSE u8 END AS INT) AS {c}" for k, c in enumerate("rgb")) + " FROM s")
+def client_slice(spark, sf_dir):
+    """The x slice as a viewer draws it, beside the z slice."""
+    v = voxels(spark, sf_dir)
+    return browser.Volume("a", v, (depth(v), HEIGHT, WIDTH)).slice("x", 20, 0.4, [2, 5], client=True)
+
+
 @query("\n SELECT CAST(z//4 AS INT) AS z, CAST(y//4 AS INT) AS y, CAST(x//4 AS INT) AS x, " + ", ".join(f"{_pal(k)} AS {c}" for k, c in enumerate("rgb")) + ", CAST(CASE WHEN label > 0 THEN 255 ELSE 0 END AS INT) AS a FROM v WHERE z%4=0 AND y%4=0 AND x%4=0")
 def seg_chunk(spark, sf_dir):
     v = voxels(spark, sf_dir)

@@ -94,8 +94,16 @@ class Snemi3D(VolumeDataset):
         return out.join(whole_ids(labels), ON, "left") if labels is not None else out
 
 
+#: Datasets of a CREMI sample in one file, and the names such files have (fixed values).
+CREMI_KEYS = {"raw": ("volumes/raw", "raw"), "neuron": ("volumes/labels/neuron_ids", "neuron_ids"), "cleft": ("volumes/labels/clefts", "clefts"), "mito": ("volumes/labels/mitochondria", "mitochondria")}
+CREMI_FILES = ("sample_{}_20160501", "sample_{}+_20160601", "sample_{}_padded_20160501", "sample_{}", "{}/sample")
+
+
 class Cremi3D(VolumeDataset):
-    """Volumes one behind the other, with neuron, cleft and mitochondria ids fused by offsets; test is the validation tail."""
+    """Volumes one behind the other, with neuron, cleft and mitochondria ids fused by offsets; test is the validation tail.
+
+    A sample is one file with a dataset for each of them, or a file for each (sample_A_raw, sample_A_neuron, ...).
+    """
 
     info = Info("CREMI", {"x": 4, "y": 4, "z": 40}, ("background", "neuron", "cleft", "mitochondria"))
 
@@ -103,20 +111,40 @@ class Cremi3D(VolumeDataset):
         super().__init__(root)
         self.names, self.train_share = names, train_share
 
+    def sample(self, name: str) -> dict[str, tuple[str, str | None]]:
+        """The path and dataset of each part that the sample has; empty without an image."""
+        for base in CREMI_FILES:
+            try:
+                path = self._file(base.format(name))
+            except FileNotFoundError:
+                continue
+            there = format_of(path).datasets(path)
+            found = {part: next(((path, k) for k in keys if k in there), None) for part, keys in CREMI_KEYS.items()}
+            if found["raw"]:
+                return {part: at for part, at in found.items() if at}
+        out: dict[str, tuple[str, str | None]] = {}
+        for part, files in {"raw": ("raw",), "neuron": ("neuron", "neuron_ids"), "cleft": ("cleft", "clefts"), "mito": ("mito", "mitochondria")}.items():
+            for file in files:
+                try:
+                    out[part] = (self._file(f"sample_{name}_{file}"), None)
+                    break
+                except FileNotFoundError:
+                    continue
+        return out if "raw" in out else {}
+
     def rows(self, spark, split):
         parts, depths = [], []
         for name in self.names:
-            try:
-                raw = self._file(f"sample_{name}_raw")
-            except FileNotFoundError:
+            at = self.sample(name)
+            if not at:
                 continue
-            rows = scaled(read_volume(spark, raw))
+            path, key = at["raw"]
+            rows = scaled(read_volume(spark, path, key))
             none = spark.createDataFrame([], "z int, y int, x int, label decimal(20,0)")
-            layers = [self._labels(spark, f"sample_{name}_{kind}") for kind in ("neuron", "cleft", "mito")]
-            neuron, cleft, mito = (none if x is None else x for x in layers)
+            neuron, cleft, mito = (read_volume(spark, *at[part]).select(*ON, F.col("value").cast("decimal(20,0)").alias("label")) if part in at else none for part in ("neuron", "cleft", "mito"))
             fused = fuse_labels(rows.join(neuron, ON, "left"), cleft, mito, ON)
             parts.append(fused)
-            depths.append(int(format_of(raw).shape(raw)[0]))
+            depths.append(int(format_of(path).shape(path, key)[0]))
         if not parts:
             raise FileNotFoundError(f"no sample in {self.root}")
         out, edge = stack_depth(parts, depths), int(sum(depths) * self.train_share)

@@ -39,6 +39,10 @@ class Format(ABC):
     def load_slab(self, path: str, slices: tuple[slice, ...], key: str | None = None) -> np.ndarray:
         return self.load(path, key)[slices]
 
+    def datasets(self, path: str) -> list[str]:
+        """The keys of a file that holds several arrays."""
+        return []
+
     def save(self, data: np.ndarray, path: str, key: str = "main") -> None:
         raise NotImplementedError(f"{type(self).__name__} does not write")
 
@@ -81,6 +85,10 @@ class Npy(Format):
 class Npz(Format):
     extensions = (".npz",)
 
+    def datasets(self, path):
+        with np.load(self.check(path)) as z:
+            return sorted(z.files)
+
     def load(self, path, key=None):
         with np.load(self.check(path)) as z:
             return z[key if key in z.files else z.files[0]]

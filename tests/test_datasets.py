@@ -44,6 +44,20 @@ def test_cremi_fuses_and_stacks(spark, tmp_path):
     assert {(r["z"], r["label"]) for r in d.rows(spark, "valid").collect()} == {(2, 7), (2, 2_000_003), (3, 7)}
 
 
+def test_cremi_in_one_file(spark, tmp_path):
+    ids = np.full((2, 2, 2), 9, "u8")
+    none = np.full((2, 2, 2), 2**64 - 1, "u8")
+    none[1, 1, 1] = 4
+    np.savez(tmp_path / "sample_A.npz", **{"volumes/raw": np.arange(8.0).reshape(2, 2, 2), "volumes/labels/neuron_ids": ids, "volumes/labels/clefts": none})
+    (tmp_path / "B").mkdir()
+    np.savez(tmp_path / "B" / "sample.npz", **{"raw": np.zeros((2, 2, 2)), "neuron_ids": ids})
+    d = datasets.Cremi3D(str(tmp_path), train_share=0.5)
+    assert d.sample("A")["cleft"][1] == "volumes/labels/clefts" and d.sample("C") == {}
+    got = {(r["z"], r["y"], r["x"]): (r["label"], r["intensity"]) for r in d.rows(spark, "train").collect()}
+    assert len(got) == 8 and got[1, 1, 1] == (1_000_004, 1.0) and got[0, 0, 0] == (9, 0.0)
+    assert {r["label"] for r in d.rows(spark, "valid").collect()} == {9}
+
+
 def test_mitoem(spark, tmp_path):
     for k in range(3):
         save_volume(np.full((4, 3, 2), k, "i2"), str(tmp_path / f"imagesTr/c{k}_0000.nii.gz"))
