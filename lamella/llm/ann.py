@@ -4,7 +4,7 @@ A bounded sample's neighbour graph is cut into balanced partitions by recursive
 graph's slow eigenvector, each half gets half of the nodes, swaps then lower the edges cut). A small classifier
 learns a vector's partition. It gives every vector its place in the index and every query its most probable
 partitions; their members are ranked by exact distance. How many partitions a query visits is set on vectors that
-the classifier was not fitted on, which have to find their neighbours in the sample at RECALL.
+the classifier was not fitted on, which have to find their neighbours in the sample at RECALL (over all levels).
 
 Partitions grow in number with the vectors: there is one for PER_PARTITION of them. Where that is more than MOST, the
 partitions of a level are cut again in the same way, each with a graph and classifier of its own that a task fits on a
@@ -266,6 +266,7 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, sample: int = SAMP
     parts = max(1, round(total / per_partition))
     levels = max(1, math.ceil(math.log(parts, most) - 1e-9))
     branch = math.ceil(parts ** (1 / levels) - 1e-9)
+    recall = recall ** (1 / levels)  # each level loses its part
     index = rows
     asked = rows.where(is_query).groupBy("vec_id", "part").agg(F.min("x").alias("x"))
     for level in range(levels):

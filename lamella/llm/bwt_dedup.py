@@ -159,10 +159,9 @@ class Batch:
         self.cuts = np.searchsorted(self.group, np.arange(groups + 1))
 
     def keys(self):
-        for g in range(self.groups):
+        for g in np.flatnonzero(np.diff(self.cuts)).tolist():  # the groups that the batch has anything for
             a, b = int(self.cuts[g]), int(self.cuts[g + 1])
-            if a < b:
-                yield g, self.anchor[a:b], self.context[a:b], self.times[a:b] > 1
+            yield g, self.anchor[a:b], self.context[a:b], self.times[a:b] > 1
 
     def marks(self, replies: pa.Table) -> np.ndarray:
         """The meeting's marks of each pair."""
@@ -196,13 +195,18 @@ class Batch:
         window = np.where(at <= (self.last[head] - self.first[head])[string], self.first[head][string] + at, -1)[order]
         weight = np.where(marks[sent] & TWICE, 2, 1).astype(np.uint8)[string][order]
         groups = self.group[sent][string][order]
-        for g in np.unique(groups).tolist():
-            of = groups == g
-            own_names = np.unique(self.anchor[sent][self.group[sent] == g])
-            transform = previous[of]
+        # Suffixes by group, in their order; the contexts stand by group already.
+        by = np.argsort(groups, kind="stable")
+        previous, weight, window, groups = previous[by], weight[by], window[by], groups[by]
+        starts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
+        of_sent = self.group[sent]
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(groups)], strict=True):
+            g = int(groups[a])
+            own_names = np.unique(self.anchor[sent[np.searchsorted(of_sent, g) : np.searchsorted(of_sent, g, "right")]])
+            transform = previous[a:b].copy()
             named = transform >= 257
             transform[named] = 257 + np.searchsorted(own_names, names[transform[named] - 257])
-            yield g, transform, weight[of], own_names, window[of]
+            yield g, transform, weight[a:b], own_names, window[a:b]
 
 
 TWICE, SENDS = np.uint8(1), np.uint8(2)

@@ -10,7 +10,8 @@ in any script. Texts are turned into features where they are read; the driver ge
 sampled text has and their counts. Families come from FAMILIES; a language that is not listed is a family of its own.
 
 Null text, or text without a letter: `und` with score 0. Without any labelled text everything is `und`. Every row
-gives a row, repeated rows and null ids too; extra columns are ignored.
+gives a row, repeated rows and null ids too; extra columns are ignored. Of families or languages with the same votes the
+first name wins.
 """
 
 from __future__ import annotations

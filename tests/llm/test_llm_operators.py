@@ -460,3 +460,25 @@ def test_partition_is_balanced():
     x = rng.standard_normal((600, 4))
     part = ann.partition(ann._graph(x, 8), 5)
     assert set(np.bincount(part, minlength=5)) == {120}
+
+
+def test_three_levels_of_partitions(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((60, 8)) * 4
+    x = centres[rng.integers(0, 60, 9000)] + rng.standard_normal((9000, 8))
+    got = ann.search(vectors(spark, x), F.col("vec_id") % 100 == 0, sample=900, per_partition=110, chunk=400, most=5).collect()
+    found = collections.defaultdict(set)
+    for r in got:
+        found[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, 9000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(found[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits / 900 >= 0.9  # 82 partitions in three levels of five at most
+
+
+def test_equal_votes_go_to_the_first_name():
+    model = langid.Model(np.zeros((4, 1 << langid.BITS), np.float32), ["de", "en", "fr", "it"])
+    names, score = model.predict(np.zeros((2, model.weights.shape[1])))
+    assert names == ["de", "de"] and (score > 0).all()
