@@ -56,16 +56,23 @@ def per_class_clusters(rows: DataFrame, cls: str = "class_id", classes: list[int
     return per_class_ids(got, cls, "cluster").withColumnRenamed("final_id", name).drop("share")
 
 
-def nearest_by_array(rows: DataFrame, centres: DataFrame, by: list[str], point: list[str], name: str = "nearest") -> DataFrame:
-    """Nearest centre of the same group (by), Euclidean, the smaller id on ties. centres: by, id, point columns.
+def nearest_centres(rows: DataFrame, centres: DataFrame, by: list[str] | None = None, embedding: str = "embedding", name: str = "nearest", held: int | None = None) -> DataFrame:
+    """rows with the label of the nearest centre (by, label, mean) of their group and the distance `<name>_d`; the smaller
+    label of equals, null for a group without centres or a null vector.
 
-    A group's centres are packed into one array, so each row is read once and no pairs are made; a group has few.
+    Centres up to meanshift.HELD numbers (checked) go along with one pass; more are met in grid cells of growing size.
     """
-    packed = centres.groupBy(*by).agg(F.collect_list(F.struct("id", *point)).alias("_c"))
-    joined = rows.join(packed, by, "left")
-    d = lambda c: sum(((F.col(p) - c[p]) * (F.col(p) - c[p]) for p in point), F.lit(0.0))
-    best = F.array_min(F.transform("_c", lambda c: F.struct(d(c).alias("d2"), c["id"].alias("id"))))
-    return joined.withColumn("_b", best).withColumns({name: F.col("_b.id"), f"{name}_d": F.sqrt("_b.d2")}).drop("_c", "_b")
+    by = by or []
+    modes = cut(centres.select(*by, F.col("label").cast("long").alias("cluster"), F.col("mean").cast("array<double>").alias("x")).where("x is not null"))
+    size, spread = modes.agg(F.sum(F.size("x")), F.avg(F.aggregate("x", F.lit(0.0), lambda s, v: s + F.abs(v)))).first()
+    few = (size or 0) <= (meanshift.HELD if held is None else held)
+    got = meanshift.nearest_modes(rows, modes.toPandas().sort_values("cluster") if few else modes, by, max(spread or 1.0, 1e-9) / 8, embedding, None)
+    found = modes.select(*by, F.col("cluster").alias("_c"), F.col("x").alias("_x")).withColumnsRenamed({b: f"_{b}" for b in by})
+    on = F.col("cluster") == F.col("_c")
+    for b in by:
+        on = on & (F.col(b) == F.col(f"_{b}"))
+    out = got.join(found, on, "left").withColumn(f"{name}_d", lp_distance(F.col(embedding).cast("array<double>"), F.col("_x")))
+    return out.withColumnRenamed("cluster", name).drop("_c", "_x", *[f"_{b}" for b in by])
 
 
 def hough_votes(rows: DataFrame, by: list[str], bin_size: float = 2.0, axes: str = "yx", mode: str = "count") -> DataFrame:

@@ -258,8 +258,9 @@ def _ranked(kept: DataFrame, by: list[str]) -> DataFrame:
     return numbered_within(rows, by, ["_n", "_x"], "_place").select(*by, (F.col("_place") + 1).alias("cluster"), "n", "x")
 
 
-def nearest_modes(rows: DataFrame, modes, by: list[str], reach: float, embedding: str = "embedding") -> DataFrame:
-    """rows with the nearest mode's number (`cluster`, the smaller of equals; 0 in a group without modes or for a null vector).
+def nearest_modes(rows: DataFrame, modes, by: list[str], reach: float, embedding: str = "embedding", none: int | None = 0) -> DataFrame:
+    """rows with the nearest mode's number (`cluster`, the first of equals, which is the smaller one where modes are in order;
+    `none` in a group without modes or for a null vector).
 
     Held modes (a pandas table) go along with one pass. A table of modes is met in cells; vectors that none of the modes
     is within the reach of look again with a reach four times as large.
@@ -271,15 +272,16 @@ def nearest_modes(rows: DataFrame, modes, by: list[str], reach: float, embedding
 
         def run(batches):
             for pdf in batches:
-                out = np.zeros(len(pdf), np.int64)
+                out, hit = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), bool)
                 known = pdf[embedding].notna().to_numpy()
                 for g, at in pdf.groupby(by).indices.items() if by else [((), np.arange(len(pdf)))]:
                     own = held.get(g if isinstance(g, tuple) else (g,))
                     at = at[known[at]]
+                    hit[at] = own is not None and len(own[0]) > 0
                     for a in _steps(len(at), own[1].size) if own is not None and len(own[0]) else ():
                         spot = at[a : a + _step(own[1].size)]
                         out[spot] = own[0][_squared(_matrix(pdf[embedding].iloc[spot]), own[1]).argmin(1)]
-                yield pdf.assign(cluster=out)
+                yield pdf.assign(cluster=pd.Series(out, index=pdf.index, dtype="Int64").where(hit, pd.NA if none is None else none))
 
         return rows.mapInPandas(run, f"{kinds}, cluster long")
     # modes stand for the vectors, and the rows visit them
@@ -305,8 +307,8 @@ def nearest_modes(rows: DataFrame, modes, by: list[str], reach: float, embedding
         found = got if found is None else found.unionByName(got)
         todo, reach = cut(todo.join(got, "mode", "left_anti")), reach * 4
     if found is None:
-        return rows.withColumn("cluster", F.lit(0).cast("long"))
-    return marked.join(found, "mode", "left").withColumn("cluster", F.coalesce("cluster", F.lit(0).cast("long"))).select(*names, "cluster")
+        return rows.withColumn("cluster", F.lit(none).cast("long"))
+    return marked.join(found, "mode", "left").withColumn("cluster", F.coalesce("cluster", F.lit(none).cast("long"))).select(*names, "cluster")
 
 
 def flat_clusters(rows: DataFrame, bandwidth: float, by: list[str] | None = None, iterations: int = 300, embedding: str = "embedding", held: int | None = None) -> DataFrame:

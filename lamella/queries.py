@@ -749,9 +749,8 @@ def embedding_pull_push(spark, sf_dir):
 @query(_MEAN + ", d AS (SELECT lin, m.label AS nearest, SQRT(SUM((x-m)**2)) AS d FROM u JOIN m ON u.i = m.i GROUP BY ALL) SELECT lin, nearest, ROUND(ROUND(d,9),6) AS d FROM d QUALIFY ROW_NUMBER() OVER (PARTITION BY lin ORDER BY ROUND(d,9), nearest) = 1")
 def nearest_centroid(spark, sf_dir):
     e = vectors(spark, sf_dir)
-    means = aggregates.instance_means(e).agg(F.collect_list(F.struct("label", "mean")).alias("c"))
-    near = F.array_min(F.transform("c", lambda c: F.struct(F.round(fn.lp_distance(F.col("embedding"), c["mean"]), 9).alias("d"), c["label"].alias("label"))))
-    return rounded(e.join(F.broadcast(means), how="cross").withColumn("n", near).select("lin", F.col("n.label").alias("nearest"), F.col("n.d").alias("d")))
+    got = clustering.nearest_centres(e, aggregates.instance_means(e))
+    return rounded(got.select("lin", "nearest", F.round("nearest_d", 9).alias("d")))
 
 
 @query(_MEAN + ", w AS (SELECT label, i, SUM(x*(1+lin%3))/(SUM(1+lin%3)+1e-8) AS m FROM u WHERE label > 0 GROUP BY ALL) SELECT label, ROUND(SQRT(SUM(m*m)),6) AS norm FROM w GROUP BY ALL")

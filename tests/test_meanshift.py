@@ -98,3 +98,18 @@ def test_classes_in_one_run_equal_classes_alone(spark):
     ids = {r["lin"]: r["final_id"] for r in clustering.per_class_clusters(rows, "g", **options).collect()}
     pairs = sorted({(groups[k], got[k]["cluster"]) for k in range(300) if groups[k] > 0 and got[k]["cluster"] > 0})
     assert all(ids[k] == (pairs.index((groups[k], got[k]["cluster"])) + 1 if (groups[k], got[k]["cluster"]) in pairs else 0) for k in range(300))
+
+
+@pytest.mark.parametrize("held", [1 << 20, 0])
+def test_nearest_centres(spark, held):
+    x, c = spread(1, 200, 3), spread(2, 30, 3)
+    rows = frame(spark, x, np.arange(200) % 3).unionByName(spark.createDataFrame([(900, 1, None)], "lin long, g int, embedding array<double>"))
+    centres = spark.createDataFrame([(k % 2, 50 - k, v.tolist()) for k, v in enumerate(c)] + [(0, 51, c[0].tolist())], "g int, label int, mean array<double>")
+    got = {r["lin"]: r for r in clustering.nearest_centres(rows, centres, ["g"], held=held).collect()}
+    for k in range(200):
+        own = [(((x[k] - c[j]) ** 2).sum(), 50 - j) for j in range(30) if j % 2 == k % 3]
+        if k % 3 == 2:
+            assert got[k]["nearest"] is None and got[k]["nearest_d"] is None
+        else:
+            assert got[k]["nearest"] == min(own)[1] and got[k]["nearest_d"] == pytest.approx(min(own)[0] ** 0.5)
+    assert got[900]["nearest"] is None and len(got) == 201
