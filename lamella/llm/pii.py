@@ -154,6 +154,10 @@ def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, s
     return base, out
 
 
+#: Codes whose features are a matrix at a time.
+BLOCK = 4096
+
+
 def chances(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
     """The span classifier's probability of each code, from the counts of all candidates' codes."""
     if not counts:
@@ -182,21 +186,35 @@ def chances(counts: dict[int, int], rounds: int = 60) -> dict[int, float]:
             p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         post[at] = p
     width = 18 + 3 * SHAPES
-    x = np.zeros((len(rows), len(KINDS) * width))
-    for i, (_, k, v, form, length, share) in enumerate(rows):
-        places = [0, *(1 + 2 * j + value for j, value in enumerate(v) if value != 2), 11 + length, 15 + share]
-        places += [18 + 3 * j + value for j, value in enumerate(form)]
-        x[i, [k * width + q for q in places]] = 1
-    theta, w = np.zeros(x.shape[1]), weight / weight.sum()
+    size = len(KINDS) * width
+    places = []
+    for _, k, v, form, length, share in rows:
+        own = [0, *(1 + 2 * j + value for j, value in enumerate(v) if value != 2), 11 + length, 15 + share]
+        own += [18 + 3 * j + value for j, value in enumerate(form)]
+        places.append([k * width + q for q in own])
+
+    def features():
+        """Blocks of rows as zeros and ones: of very many codes there is never the whole matrix."""
+        for a in range(0, len(rows), BLOCK):
+            some = places[a : a + BLOCK]
+            x = np.zeros((len(some), size))
+            x[np.repeat(np.arange(len(some)), [len(q) for q in some]), np.concatenate(some)] = 1
+            yield slice(a, a + len(some)), x
+
+    kept = list(features()) if len(rows) <= BLOCK else None
+    theta, w = np.zeros(size), weight / weight.sum()
     w = 0.5 * w + 0.5 / len(w)
     for _ in range(400):
-        p = 1 / (1 + np.exp(-x @ theta))
-        h = (x * (w * np.maximum(p * (1 - p), 1e-3))[:, None]).T @ x + 1e-4 * np.eye(x.shape[1])
-        step = np.linalg.solve(h, x.T @ (w * (post - p)) - 1e-4 * theta)
+        h, pull = 1e-4 * np.eye(size), -1e-4 * theta
+        for at, x in kept or features():
+            p = 1 / (1 + np.exp(-x @ theta))
+            h += (x * (w[at] * np.maximum(p * (1 - p), 1e-3))[:, None]).T @ x
+            pull += x.T @ (w[at] * (post[at] - p))
+        step = np.linalg.solve(h, pull)
         theta += step
         if np.abs(step).max() < 1e-6:
             break
-    p = 1 / (1 + np.exp(-x @ theta))
+    p = np.concatenate([1 / (1 + np.exp(-x @ theta)) for _, x in kept or features()])
     return {r[0]: float(q) for r, q in zip(rows, p, strict=True)}
 
 
@@ -219,7 +237,8 @@ def learn(docs: DataFrame) -> set[int]:
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["code", "n"])
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "code long, n long")
-    return fit({r["code"]: r["n"] for r in counted.groupBy("code").agg(F.sum("n").alias("n")).collect()})  # a fixed number of codes
+    table = counted.groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most as many rows as there are codes, about 3 million
+    return fit(dict(zip(table["code"].to_pylist(), table["n"].to_pylist(), strict=True)))
 
 
 def joined(spans) -> str:

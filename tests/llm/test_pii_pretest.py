@@ -29,3 +29,15 @@ def test_classifier_sees_the_span():
     no = of("9|key=aaa-aaaa")
     got = pii.chances({sure: 500, no: 500, weak[0]: 10, weak[1]: 10})
     assert got[weak[0]] > got[weak[1]]
+
+
+def test_chances_by_blocks_of_codes(monkeypatch):
+    texts = ["mail a (at) b.de or c@d", "call 030 1234567 now", "10.0.0.999 and 1.2.3.4", "4111 1111 1111 1112", "tel +49 30 123", "x@y", "id 12 34 56 78 90"] * 3
+    counts: dict[int, int] = {}
+    for k, text in enumerate(texts):
+        for c, *_ in pii.candidates(text)[1]:
+            counts[c] = counts.get(c, 0) + 1 + k % 2
+    whole = pii.chances(counts)
+    monkeypatch.setattr(pii, "BLOCK", 2)
+    parts = pii.chances(counts)
+    assert len(counts) > 3 and parts.keys() == whole.keys() and all(abs(parts[c] - whole[c]) < 1e-9 for c in whole)
