@@ -722,7 +722,16 @@ def crop_and_relabel(spark, sf_dir):
     return relabel.relabel_after_crop(cut, BY, 2, 4).select("lin", "label")
 
 
-@query()
+_STITCH = VOXELS_SQL.replace("WITH", "WITH RECURSIVE", 1) + _GRID.lstrip("\n") + """, s AS (SELECT z, y, x, lin, gt, CASE WHEN label > 0 THEN label + 10*(x//25) + 100*z ELSE 0 END AS id FROM v),
+ o AS (SELECT a.patch_idx AS i, b.patch_idx AS j, GREATEST(a.y0,b.y0) AS y0, GREATEST(a.x0,b.x0) AS x0, LEAST(a.y1,b.y1) AS y1, LEAST(a.x1,b.x1) AS x1 FROM g a JOIN g b ON a.patch_idx < b.patch_idx AND GREATEST(a.y0,b.y0) < LEAST(a.y1,b.y1) AND GREATEST(a.x0,b.x0) < LEAST(a.x1,b.x1)),
+ m AS (SELECT z, i, j, id, AVG(gt) AS m FROM s JOIN o ON y >= y0 AND y < y1 AND x >= x0 AND x < x1 WHERE id > 0 GROUP BY ALL),
+ e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM m a JOIN m b ON a.z = b.z AND a.i = b.i AND a.j = b.j AND a.id < b.id AND ABS(a.m-b.m) < 0.5), w AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ r AS (SELECT DISTINCT id AS root, id FROM s WHERE id > 0 UNION SELECT r.root, w.b FROM r JOIN w ON r.id = w.a), c AS (SELECT id, MIN(root) AS root FROM r GROUP BY ALL),
+ d AS (SELECT root, DENSE_RANK() OVER (ORDER BY root) AS new FROM s JOIN c ON c.id = s.id GROUP BY root HAVING COUNT(*) >= 50)
+ SELECT lin, CAST(COALESCE(new, 0) AS BIGINT) AS label FROM s LEFT JOIN c ON c.id = s.id LEFT JOIN d ON d.root = c.root"""
+
+
+@query(_STITCH)
 def stitch_labels(spark, sf_dir):
     v = voxels(spark, sf_dir)
     v = v.withColumn("label", F.when(F.col("label") > 0, F.col("label") + 10 * F.expr("x div 25") + 100 * F.col("z")).otherwise(0))
