@@ -113,13 +113,12 @@ class Volume:
     def label_at(self, axis: str, index: int, row: int, col: int) -> DataFrame:
         return label_at(self.rows, axis, index, row, col, self.shape, self.label)
 
-    def splat_points(self, label: int, stride: int = 1, mode: str = "surface") -> DataFrame:
-        """(px, py, pz) of every stride-th voxel of a label in raster order, in units of the volume's longest side."""
+    def splat_points(self, label: int, stride: int = 1, mode: str = "surface", unit: float | None = None) -> DataFrame:
+        """(px, py, pz) of every stride-th voxel of a label in raster order, in units of `unit` or else of the volume's longest side."""
         rows = surface(self.rows, self.shape, [], self.label) if mode == "surface" else self.rows.withColumn("surface", F.lit(True))
         kept = every_nth(rows.where(F.col("surface") & (F.col(self.label) == label)), stride, ["z", "y", "x"], [self.label])
-        nz, ny, nx = self.shape
-        longest = max(n * s for n, s in zip(self.shape, self.spacing, strict=True))
-        sz, sy, sx = (s / longest for s in self.spacing)
+        unit = unit or max(n * s for n, s in zip(self.shape, self.spacing, strict=True))
+        sz, sy, sx = (s / unit for s in self.spacing)
         return kept.select(((F.col("x") + 0.5) * sx).alias("px"), ((F.col("y") + 0.5) * sy).alias("py"), ((F.col("z") + 0.5) * sz).alias("pz"))
 
 
