@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,8 +145,8 @@ def fuse_labels(neuron: DataFrame, cleft: DataFrame, mito: DataFrame, on: list[s
 
 
 def split_by_depth(rows: DataFrame, depth: int, train_share: float) -> DataFrame:
-    """split: 'train' below int(depth * share), 'valid' above."""
-    return rows.withColumn("split", F.when(F.col("z") < int(depth * train_share), "train").otherwise("valid"))
+    """split: 'train' below the whole part of depth * share, 'valid' above. The share is taken as the decimal number it is written as."""
+    return rows.withColumn("split", F.when(F.col("z") < int(depth * Decimal(str(train_share))), "train").otherwise("valid"))
 
 
 def repeat_rows(rows: DataFrame, factor: int, index: str = "idx", length: int | None = None) -> DataFrame:
