@@ -5,7 +5,7 @@ in the others one after another. Where the sequences of two pages match, they ar
 differ make a slot, texts that are the same stay as template. Where they do not, runs of a repeated piece become a
 repeated group first; what still has no partner becomes optional. A sequence that stays longer than MOST items
 becomes a repeated group of optional items. There is no choice between alternatives anywhere: the result is a
-union-free regular expression, and every sample page is a word of it.
+union-free regular expression, and every page of the host is a word of it.
 
 The expression is judged once as a whole. Its region is the article: the elements that say so, or where a host has
 none the innermost element that holds nearly all of the varying text that is no link. In the region a slot is main
@@ -14,8 +14,8 @@ menu, form, notice, advert or the like by its kind or marks; marks are overruled
 varying text. Paragraphs, headings, lists and tables of an article that says so are never template. Pages are matched with the expression of their host, and the text of its main slots is their text. A
 page that has nothing in the region is its own host.
 
-Wrappers are learned from at most SAMPLE pages a host, chosen by hash among different pages; every page is
-extracted whole. The wrappers are broadcast if they are small, by their measured size, and joined by host otherwise.
+Wrappers are learned from all different pages of a host, and every page is extracted whole. The wrappers are broadcast
+if they are small, by their measured size, and joined by host otherwise.
 
 Null or empty html gives empty text. A null or odd url makes the host empty. Every row gives a row, repeated rows
 and null ids too; extra columns are ignored. Elements nested deeper than DEPTH count as part of the one at that depth.
@@ -31,16 +31,15 @@ import zlib
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm.common import slices
 
-SAMPLE = 8
 #: Bytes of wrappers that are broadcast at most.
 BROADCAST_BYTES = 8 << 20
-SALTS = 256
+#: Shares that a host's pages are dealt in.
+SALTS = 64
 #: Items of a sequence, of a repeated group, and levels of a tree.
 MOST, PERIOD, DEPTH = 64, 8, 100
 #: Pages on which a text has to be the same to be template, and the share of the text that makes a region.
@@ -483,56 +482,62 @@ def extract(page: str, wrapper: Wrapper | None) -> str:
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(host, samples, wrapper) learned from at most `sample` different pages of each host."""
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, samples, wrapper) learned from all different pages of each host.
 
-    def pick(batches):
-        kept: dict[str, dict[int, str]] = {}
-        salt = TaskContext.get().partitionId() % SALTS
-
-        def rows():
-            out = [(h, salt, k, s) for h, own in kept.items() for k, s in sorted(own.items())]
-            kept.clear()
-            h, salts, k, s = zip(*out, strict=True) if out else ((), (), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(salts, pa.int32()), pa.array(k, pa.int64()), pa.array(s, pa.string())], names=["host", "salt", "place", "page"])
+    Pages are dealt by host and salt (of the page's own checksum) and sorted by checksum: copies meet and count once, and a
+    task holds one expression, whatever a host's size. The expressions of a host's salts are merged in their order. So the
+    result depends on the pages alone, not on their partitioning.
+    """
 
+    def pages_of(batches):
         for batch in slices(batches, "html"):
+            rows = []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                if not page:
-                    continue
-                own = kept.setdefault(host or "", {})
-                data = page.encode()
-                place = zlib.crc32(data) << 31 | zlib.adler32(data) >> 1
-                if place in own or len(own) == sample and place > max(own):
-                    continue
-                own[place] = json.dumps(concrete(tree(page)), separators=(",", ":"))
-                if len(own) > sample:
-                    del own[max(own)]
-            if sum(map(len, kept.values())) > 2000:
-                yield rows()
-        yield rows()
-
-    def least(key, table):
-        rows = sorted({(r["place"], r["page"]) for r in table.to_pylist()})[:sample]
-        return pa.table([[key[0].as_py()] * len(rows), [r[0] for r in rows], [r[1] for r in rows]], names=["host", "place", "page"])
-
-    def learn(key, table):
-        rows = sorted({(r["place"], r["page"]) for r in table.to_pylist()})[:sample]
-        wrapper = json.dumps(infer([json.loads(page) for _, page in rows]), separators=(",", ":"))
-        return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([len(rows)], pa.int32()), pa.array([wrapper], pa.string())], names=["host", "samples", "wrapper"])
-
-    picked = pages.select("host", "html").mapInArrow(pick, "host string, salt int, place long, page string")
-    salted = picked.groupBy("host", "salt").applyInArrow(least, "host string, place long, page string")
-    return salted.groupBy("host").applyInArrow(learn, "host string, samples int, wrapper string")
-
-
-def main_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+                if page:
+                    data = page.encode()
+                    place = zlib.crc32(data) << 31 | zlib.adler32(data) >> 1
+                    rows.append((host or "", zlib.crc32(b"%d" % place) % SALTS, place, json.dumps(concrete(tree(page)), separators=(",", ":"))))
+            if rows:
+                h, salts, k, s = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.string()), pa.array(salts, pa.int32()), pa.array(k, pa.int64()), pa.array(s, pa.string())], names=["host", "salt", "place", "page"])
+
+    def learn(batches):
+        """Each run of a host and salt as one expression and the number of its different pages."""
+        of, last, items, n = None, None, [], 0
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([of[0]], pa.string()), pa.array([of[1]], pa.int32()), pa.array([n], pa.int64()), pa.array([json.dumps(items, separators=(",", ":"))], pa.string())], names=["host", "salt", "n", "wrapper"])
+
+        for batch in slices(batches, "page"):
+            for host, salt, place, page in zip(*(batch.column(c).to_pylist() for c in ("host", "salt", "place", "page")), strict=True):
+                if (host, salt) != of:
+                    if of:
+                        yield row()
+                    of, last, items, n = (host, salt), None, [], 0
+                if (place, page) != last:  # a copy comes right after its like
+                    items, last, n = align(items, json.loads(page)) if n else json.loads(page), (place, page), n + 1
+        if of:
+            yield row()
+
+    def merged(key, table):
+        rows = sorted(table.to_pylist(), key=lambda r: r["salt"])  # SALTS of them at most
+        wrapper = json.dumps(infer([json.loads(r["wrapper"]) for r in rows]), separators=(",", ":"))
+        return pa.table([pa.array([key[0].as_py()], pa.string()), pa.array([sum(r["n"] for r in rows)], pa.int64()), pa.array([wrapper], pa.string())], names=["host", "samples", "wrapper"])
+
+    shown = pages.select("host", "html").mapInArrow(pages_of, "host string, salt int, place long, page string")
+    dealt = shown.repartition("host", "salt").sortWithinPartitions("host", "salt", "place", "page")
+    parts = dealt.mapInArrow(learn, "host string, salt int, n long, wrapper string")
+    return parts.groupBy("host").applyInArrow(merged, "host string, samples long, wrapper string")
+
+
+def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages."""
     from lamella.session import cut
 
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     pages = pages.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)))
-    learned = cut(wrappers(pages, sample))
+    learned = cut(wrappers(pages))
     size = learned.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
     joined = pages.join(F.broadcast(learned) if size <= BROADCAST_BYTES else learned, "host", "left")
 

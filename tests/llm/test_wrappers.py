@@ -4,8 +4,10 @@ import json
 import random
 import re
 import time
+import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lamella.llm import html_wrap
 
@@ -85,3 +87,25 @@ def test_very_long_and_deep_pages():
     deep = "<div>" * 20_000 + "deep text" + "</div>" * 20_000
     assert html_wrap.extract(deep, learned([deep])) == "deep text"
     assert time.time() - began < 60
+
+
+def test_every_page_of_a_host_counts(spark):
+    """A line that is the same on the pages of the smallest checksums, and on no other, is no template."""
+    def page(k, line):
+        return f"<article><h1>T {k}</h1><div>{line}</div><p>Own words {k}</p></article>"
+
+    def place(p):
+        return zlib.crc32(p.encode()) << 31 | zlib.adler32(p.encode()) >> 1
+
+    pages = [page(k, "Read this") for k in range(400)]
+    first = set(sorted(pages, key=place)[:30])
+    pages = [p if p in first else page(k, f"Read that {k}") for k, p in enumerate(pages)]
+    rows = [(k, "http://a.example/", p) for k, p in enumerate(pages)] + [(1000 + k, "http://a.example/", p) for k, p in enumerate(pages[:50])]
+    found = []
+    for n in (1, 7):
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)
+        found.append({r["page_id"]: r["text"] for r in html_wrap.main_text(frame).collect()})
+        learned = html_wrap.wrappers(frame.withColumn("host", F.lit("a.example"))).collect()
+        assert [r["samples"] for r in learned] == [len(set(pages))]
+    assert found[0] == found[1]
+    assert all(found[0][k].split("\n\n") == [f"T {k}", "Read this" if p in first else f"Read that {k}", f"Own words {k}"] for k, p in enumerate(pages))
