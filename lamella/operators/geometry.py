@@ -10,12 +10,13 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.operators import lines
 from lamella.operators.aggregates import spatial_centroids
-from lamella.operators.blocks import SIDE, Dense, block_columns, with_halos
+from lamella.operators.blocks import SIDE, Dense, block_columns, block_sides, with_halos
 from lamella.session import cut, settled
 
 
@@ -24,29 +25,69 @@ def _foreground(rows: DataFrame, by: list[str], label: str, axes: str, *more: st
 
 
 def _line_keys(by: list[str], axes: str, axis: str) -> list[str]:
-    return list(dict.fromkeys([*by, *(a for a in axes if a != axis)]))
-
-
-def squared_distances(rows: DataFrame, by: list[str], shape: dict[str, int], label: str = "label", axes: str = "yx", name: str = "d2") -> DataFrame:
-    """Instance voxels with the squared distance to the nearest voxel that isn't of the instance; lines.FAR if there is none.
-
-    Separable: a lower envelope along each axis in turn. Voxels of a group (by) are distinct; what has no row is background.
-    """
-    out = _foreground(rows, by, label, axes).withColumn(name, F.lit(lines.FAR))
-    for axis in reversed(axes):
-        out = lines.along(out, _line_keys(by, axes, axis), axis, lines.distance_pass(axis, shape[axis], label, name), f"{name} double")
-    return out
+    return list(dict.fromkeys([*by, *(a for a in axes if a not in axis)]))
+
+
+def _distances(rows: DataFrame, by: list[str], shape: dict[str, int], label: str, axes: str, gradient: bool) -> DataFrame:
+    """Instance voxels with dt, dt_norm and, if wanted, g<axis>, in as few passes as planes allow."""
+    groups = lines.planes(axes, shape)
+    whole = len(groups) == 1  # then a group's instances are in a task, and so is their maximum
+
+    def squares(group: str, last: bool):
+        def fn(table: pa.Table, first: np.ndarray) -> dict[str, np.ndarray]:
+            for axis in reversed(group):
+                d2 = lines.turned(table, first, group, axis, lines.distance_pass(axis, shape[axis], label, "d2"), [label, "d2"])["d2"]
+                table = table.set_column(table.schema.get_field_index("d2"), "d2", pa.array(d2))
+            if not last:
+                return {"d2": d2}
+            near = d2 < lines.FAR / 2
+            dt = np.where(near, np.sqrt(d2), 0.0)
+            out = {"dt": np.where(near, dt, np.nan)}
+            if gradient:
+                out |= slopes(group)(table.append_column("_f", pa.array(dt)), first)
+            if whole:
+                new = np.zeros(len(dt), np.int64)
+                new[first] = 1
+                of = pd.DataFrame({"plane": np.cumsum(new), "label": table[label].to_numpy(), "dt": dt})
+                top = of.groupby(["plane", "label"], sort=False)["dt"].transform("max").to_numpy()
+                out["dt_norm"] = np.divide(dt, top, out=np.zeros(len(dt)), where=top > 0)
+            return out
+
+        return fn
+
+    def slopes(group: str):
+        def fn(table: pa.Table, first: np.ndarray) -> dict[str, np.ndarray]:
+            out = {}
+            for axis in group:
+                out |= lines.turned(table, first, group, axis, lines.gradient_pass(axis, shape[axis], label, "_f", f"g{axis}"), [label, "_f"])
+            return out
+
+        return fn
+
+    out = _foreground(rows, by, label, axes).withColumn("d2", F.lit(lines.FAR))
+    for group in groups[:-1]:
+        out = lines.along(out, _line_keys(by, axes, group), group, squares(group, False), "d2 double")
+    names = ["dt", *(f"g{a}" for a in groups[-1] if gradient), *(["dt_norm"] if whole else [])]
+    out = lines.along(out, _line_keys(by, axes, groups[-1]), groups[-1], squares(groups[-1], True), ", ".join(f"{n} double" for n in names)).drop("d2")
+    if gradient and not whole:
+        out = out.withColumn("_f", F.coalesce("dt", F.lit(0.0)))
+        for group in groups[:-1]:
+            out = lines.along(out, _line_keys(by, axes, group), group, slopes(group), ", ".join(f"g{a} double" for a in group))
+        out = out.drop("_f")
+    if whole:
+        return out
+    keys = list(dict.fromkeys([*by, label]))
+    top = out.groupBy(*keys).agg(F.max("dt").alias("_top"))
+    return out.join(top, keys).withColumn("dt_norm", F.when(F.col("_top") > 0, F.col("dt") / F.col("_top")).otherwise(F.lit(0.0))).drop("_top")
 
 
 def distance_transform(rows: DataFrame, by: list[str], shape: dict[str, int], label: str = "label", axes: str = "yx") -> DataFrame:
     """dt: distance to the nearest voxel that isn't of the instance; dt_norm: by the instance's maximum.
 
+    Separable: a lower envelope along each axis in turn. Voxels of a group (by) are distinct; what has no row is background.
     The volume's edge is no background. An instance that fills the volume has null dt and zero dt_norm.
     """
-    keys = list(dict.fromkeys([*by, label]))
-    out = squared_distances(rows, by, shape, label, axes).withColumn("dt", F.when(F.col("d2") < lines.FAR / 2, F.sqrt("d2"))).drop("d2")
-    top = out.groupBy(*keys).agg(F.max("dt").alias("_top"))
-    return out.join(top, keys).withColumn("dt_norm", F.when(F.col("_top") > 0, F.col("dt") / F.col("_top")).otherwise(F.lit(0.0))).drop("_top")
+    return _distances(rows, by, shape, label, axes, False)
 
 
 def distance_gradient(distances: DataFrame, by: list[str], shape: dict[str, int], label: str = "label", axes: str = "yx") -> DataFrame:
@@ -227,24 +268,27 @@ def _parity(places: np.ndarray) -> np.ndarray:
     return (places % 2) @ (1 << np.arange(places.shape[1])[::-1])
 
 
-#: Subfields whose removals an exchange of halos allows for.
-HALO = 16
+#: Subfields whose removals an exchange of halos allows for, by dimensions.
+HALO = {2: 16, 3: 32}
+#: Places of a block with its halo at most, by dimensions: for thinning, and for the search for sites within a reach of 8.
+THINNED, SEARCHED = {2: 1 << 17, 3: 5 << 17}, {2: 1 << 16, 3: 3 << 16}
 
 
 def skeletons(rows: DataFrame, by: list[str], shape: dict[str, int], iterations: int = 50, label: str = "label", axes: str = "yx", side: int | None = None) -> DataFrame:
     """Voxels of each instance's skeleton, by thinning to a fixed point (`iterations` rounds at most).
 
     A round has 2 ** dimensions subfields and each one looks one voxel further, so blocks with a halo of HALO voxels thin
-    for HALO subfields on their own; then the voxels that are left are dealt anew. The result is that of the whole volume.
+    for HALO subfields on their own; then the voxels that are left are dealt anew, until a round takes no voxel of any block
+    (_gone: those that the last round took). A volume that is one block is thinned at once. The result is that of the whole volume.
     """
-    dims, side, halo = len(axes), side or SIDE[len(axes)], HALO
-    rounds = max(1, halo >> dims)
+    dims, halo = len(axes), HALO[len(axes)]
+    sides = block_sides(axes, shape, halo, THINNED[dims]) if side is None else dict.fromkeys(axes, side)
     keys = list(dict.fromkeys([*by, label]))
     fg = _foreground(rows, by, label, axes)
     first = fg.groupBy(*keys).agg(*[(F.min(a) - 1).alias(f"_low{a}") for a in axes])
     now = fg.join(first, keys)
     parity = sum(((F.pmod(F.col(a) - F.col(f"_low{a}"), F.lit(2)) * (1 << (dims - 1 - k))) for k, a in enumerate(axes)), F.lit(0))
-    now = cut(now.withColumn("_p", parity.cast("int")).drop(*[f"_low{a}" for a in axes]))
+    now = now.withColumn("_p", parity.cast("int")).drop(*[f"_low{a}" for a in axes]).withColumn("_gone", F.lit(False))
     schema, columns, blocks = now.schema, now.columns, block_columns(axes)
 
     def thinning(rounds: int):
@@ -252,49 +296,68 @@ def skeletons(rows: DataFrame, by: list[str], shape: dict[str, int], iterations:
             core = pdf["_core"].to_numpy()
             if not core.any():
                 return pdf[columns].iloc[:0]
-            box = Dense(pdf[list(axes)].to_numpy(np.int64), pdf[blocks].to_numpy(np.int64)[0], side, halo)
+            box = Dense(pdf[list(axes)].to_numpy(np.int64))
             _, names = np.unique(pdf[label].to_numpy(), return_inverse=True)
-            labels = np.pad(box.array(names.ravel().astype(np.int64) + 1), 1)
-            peel(labels, np.pad(box.array(pdf["_p"].to_numpy(np.int64)), 1), rounds)
-            return pdf.loc[core & (labels[tuple(a + 1 for a in box.at)] > 0), columns]
+            labels = np.pad(box.array(names.ravel().astype(np.int32) + 1), 1)
+            parity, at = np.pad(box.array(pdf["_p"].to_numpy(np.int8)), 1), tuple(a + 1 for a in box.at)
+            still = peel(labels, parity, rounds - 1)
+            before = core & (labels[at] > 0)
+            if not still:
+                peel(labels, parity, 1)
+            return pdf.loc[before, columns].assign(_gone=labels[at][before] == 0)
 
         return thin
 
-    left, count = iterations, now.count()
-    while left > 0 and count:
-        n = min(rounds, left)
-        now = settled(with_halos(now, axes, side, halo).groupBy(*dict.fromkeys([*by, *blocks])).applyInPandas(thinning(n), schema))
-        before, count, left = count, now.count(), left - n
-        if before == count:
+    left = iterations
+    while left > 0:
+        n = min(max(1, halo >> dims), left) if sides else left
+        now = settled(with_halos(now, axes, sides, halo).groupBy(*dict.fromkeys([*by, *blocks])).applyInPandas(thinning(n), schema))
+        left -= n
+        changed = left > 0 and now.where("_gone").limit(1).count()
+        now = now.where("not _gone")
+        if not changed:
             break
-    return now.drop("_p")
+    return now.where("not _gone").drop("_p", "_gone")
 
 
-def nearest_sites(voxels: DataFrame, sites: DataFrame, by: list[str], label: str, axes: str, reach: int = 8, side: int | None = None) -> DataFrame:
+def nearest_sites(voxels: DataFrame, sites: DataFrame, by: list[str], label: str, axes: str, reach: int = 8, side: int | None = None, shape: dict[str, int] | None = None) -> DataFrame:
     """voxels with n<axis>, the nearest site of the same instance, the first in raster order on ties. Every instance has one.
 
     A voxel looks at the sites of its block and a halo of `reach` around it; a site nearer than the reach is the nearest.
-    Voxels that have none look again with a reach four times as large, in blocks that grow with it.
+    Voxels that have none look again with a reach four times as large, in blocks that grow with it. In a block, voxels
+    look cell by cell at the sites within the reach of their cell. With the volume's shape, short axes are not cut.
     """
     kept = voxels.columns
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in voxels.schema.fields)
     schema = ", ".join([kinds, *(f"n{a} double" for a in axes), "_known boolean"])
     keys = list(dict.fromkeys([*by, label]))
-    side, todo, done = side or SIDE[len(axes)] // 4, voxels, None
+    dims, done, todo = len(axes), None, voxels
+
     def within(reach: int):
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             near, known = np.full((len(left), len(axes)), np.nan), np.zeros(len(left), bool)
-            own = {k: v[list(axes)].to_numpy(np.int64) for k, v in right.groupby(label)}
+            spots, all_targets = left[list(axes)].to_numpy(np.int64), right[list(axes)].to_numpy(np.int64)
+            own = right.groupby(label).indices
             for name, at in left.groupby(label).indices.items():
                 if name not in own:
                     continue
-                places, targets = left[list(axes)].to_numpy(np.int64)[at], own[name]
+                targets = all_targets[own[name]]
                 targets = targets[np.lexsort(targets.T[::-1])]
-                for a in range(0, len(at), 256):
-                    d = ((places[a : a + 256, None, :] - targets[None]) ** 2).sum(-1)
-                    best = d.argmin(1)
-                    ok = d[np.arange(len(best)), best] <= reach * reach
-                    near[at[a : a + 256][ok]], known[at[a : a + 256][ok]] = targets[best[ok]], True
+                cell = spots[at] // (4 * reach)
+                order = np.lexsort(cell.T)
+                ends = np.append(np.flatnonzero((cell[order][1:] != cell[order][:-1]).any(1)) + 1, len(at))
+                for start, end in zip(np.append(0, ends[:-1]), ends, strict=True):
+                    some = at[order[start:end]]
+                    places = spots[some]
+                    around = targets[((targets >= places.min(0) - reach) & (targets <= places.max(0) + reach)).all(1)]
+                    if not len(around):
+                        continue
+                    step = max(1, (1 << 20) // len(around))
+                    for a in range(0, len(some), step):
+                        d = sum((places[a : a + step, k, None] - around[None, :, k]) ** 2 for k in range(dims))
+                        best = d.argmin(1)
+                        ok = d[np.arange(len(best)), best] <= reach * reach
+                        near[some[a : a + step][ok]], known[some[a : a + step][ok]] = around[best[ok]], True
             return left[kept].assign(**{f"n{a}": near[:, k] for k, a in enumerate(axes)}, _known=known)
 
         return meet
@@ -302,7 +365,10 @@ def nearest_sites(voxels: DataFrame, sites: DataFrame, by: list[str], label: str
     on = list(dict.fromkeys([*by, *block_columns(axes)]))
     sites = sites.select(*[F.col(c).alias(c) for c in dict.fromkeys([*keys, *axes])])  # columns of its own, if both come from the same rows
     while True:
-        block = max(side, reach)
+        if shape is not None and side is None:
+            block = block_sides(axes, shape, reach, SEARCHED[dims] * max(1, reach // 8) ** dims)
+        else:
+            block = max(side or SIDE[dims] // 4, reach)
         cells = with_halos(todo, axes, block, 0).groupBy(*on)
         around = with_halos(sites, axes, block, reach).groupBy(*on)
         got = cut(cells.cogroup(around).applyInPandas(within(reach), schema))
@@ -318,8 +384,8 @@ def skeleton_targets(rows: DataFrame, by: list[str], shape: dict[str, int], iter
     """For each instance voxel: the nearest skeleton voxel n<axis>, the unit direction to it s<axis>, dt_norm and the
     gradient g<axis> of the distance. First skeleton voxel in raster order on ties; instances of one voxel have zeros."""
     keys = list(dict.fromkeys([*by, label]))
-    fields = cut(distance_gradient(distance_transform(rows, by, shape, label, axes), by, shape, label, axes))
-    out = nearest_sites(fields, skeletons(rows, by, shape, iterations, label, axes), by, label, axes)
+    fields = cut(_distances(rows, by, shape, label, axes, True))
+    out = nearest_sites(fields, skeletons(rows, by, shape, iterations, label, axes), by, label, axes, shape=shape)
     single = fields.groupBy(*keys).count().where("count = 1").select(*keys, F.lit(True).alias("_one"))
     out = out.join(single, keys, "left")
     gap = {a: F.col(f"n{a}") - F.col(a) for a in axes}

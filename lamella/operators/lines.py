@@ -1,11 +1,13 @@
 """Passes along the lines of a volume: every line of voxels is a stream of its own, whatever instances it crosses.
 
 Rows that share all coordinates but one form a line. Lines are dealt by hash and sorted by their free axis; a task takes
-whole lines, many at once, so a step holds a batch and the longest line (a side of the volume), never an instance.
+whole lines, many at once, so a step holds a batch and the longest line (a side of the volume), never an instance. Axes
+whose sides span at most PLANE places together are dealt as one (planes), and their passes follow one another in a task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +19,8 @@ from pyspark.sql import DataFrame
 FAR = float(1 << 50)
 #: Rows that one step takes together.
 STEP_ROWS = 1 << 17
+#: Places of a plane at most.
+PLANE = 1 << 18
 
 
 def changes(table: pa.Table, columns: list[str]) -> np.ndarray:
@@ -32,8 +36,20 @@ def changes(table: pa.Table, columns: list[str]) -> np.ndarray:
     return out
 
 
+def planes(axes: str, shape: dict[str, int], most: int | None = None) -> list[str]:
+    """The axes in groups that are dealt together, the last ones first: as many as span PLANE places at most."""
+    out: list[str] = []
+    for a in reversed(axes):
+        if out and math.prod(shape[b] for b in out[-1] + a) <= (PLANE if most is None else most):
+            out[-1] = a + out[-1]
+        else:
+            out.append(a)
+    return out
+
+
 def along(rows: DataFrame, line: list[str], axis: str, fn: Callable[[pa.Table, np.ndarray], dict[str, np.ndarray]], added: str) -> DataFrame:
     """rows with the columns that fn gives for whole lines. fn gets a table of lines, each sorted by axis, and their first rows.
+    axis may name several axes: a line is then a plane (or box), sorted by them.
 
     added names the columns of fn with their types, as in a schema; columns of that name are replaced.
     """
@@ -68,7 +84,31 @@ def along(rows: DataFrame, line: list[str], axis: str, fn: Callable[[pa.Table, n
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    return rows.repartition(*line).sortWithinPartitions(*line, axis).mapInArrow(run, schema)
+    return rows.repartition(*line).sortWithinPartitions(*line, *axis).mapInArrow(run, schema)
+
+
+def turned(table: pa.Table, first: np.ndarray, axes: str, axis: str, step: Callable, columns: list[str]) -> dict[str, np.ndarray]:
+    """What step gives for the lines along one axis of planes that start at the rows `first`, in the planes' own order."""
+    if axis == axes[-1]:
+        order = None
+    else:
+        of = np.zeros(table.num_rows, np.int64)
+        of[first] = 1
+        order = np.lexsort((table[axis].to_numpy(), *[table[a].to_numpy() for a in axes if a != axis], np.cumsum(of)))
+    of = np.zeros(table.num_rows, bool)
+    of[first] = True  # planes keep their places in every order
+    part = table.select(list(dict.fromkeys([*axes, *columns])))
+    if order is not None:
+        part = part.take(pa.array(order))
+    new = of | changes(part, [a for a in axes if a != axis])
+    got = step(part, np.flatnonzero(new))
+    if order is None:
+        return got
+    out = {}
+    for name, values in got.items():
+        out[name] = np.empty_like(values)
+        out[name][order] = values
+    return out
 
 
 def runs(table: pa.Table, first: np.ndarray, axis: str, label: str) -> np.ndarray:
