@@ -11,7 +11,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -188,13 +188,22 @@ def predict_patches(rows: DataFrame, by: list[str], shape: dict[str, int], patch
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     of_by = "".join(f"{b} {kinds[b]}, " for b in by)
 
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = corner(pdf[["kz", "ky", "kx"]].iloc[0])
+    def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of a column of lists, and where each list starts in them."""
+        column = column.combine_chunks()
+        return column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+
+    def numbers(table: pa.Table, names: list[str]) -> np.ndarray:
+        return np.stack([table[n].to_numpy() for n in names], 1)
+
+    def apply(table: pa.Table) -> pa.Table:
+        start, own_cells = corner([table[k][0].as_py() for k in ("kz", "ky", "kx")]), numbers(table, places)
+        met = [meets(start, cell) for cell in own_cells]
+        (i, ends), (v, _) = lists(table["i"]), lists(table["v"])
         block = np.zeros(sizes)
-        for cell, i, v in zip(pdf[places].to_numpy(), pdf["i"], pdf["v"], strict=True):
+        for k, (own, theirs) in enumerate(met):
             whole = np.zeros(cells)
-            whole.ravel()[np.asarray(i)] = v
-            own, theirs = meets(start, cell)
+            whole.ravel()[i[ends[k] : ends[k + 1]]] = v[ends[k] : ends[k + 1]]
             block[own] = whole[theirs]
         inside = [min(b - s, p) for b, s, p in zip(bounds, start, sizes, strict=True)]
         if inside != sizes:
@@ -205,24 +214,24 @@ def predict_patches(rows: DataFrame, by: list[str], shape: dict[str, int], patch
         scores = np.exp(scores - scores.max(axis=0, keepdims=True))
         prob = scores / scores.sum(axis=0, keepdims=True)
         second = np.asarray(heads["instance"], float) if heads.get("instance") is not None else None
-        out = pdf[keys].copy()
-        cuts = [(slice(None), *meets(start, cell)[0]) for cell in pdf[places].to_numpy()]
-        out["sem"] = [np.ascontiguousarray(prob[c]).tobytes() for c in cuts]
-        out["ins"] = [None if second is None else np.ascontiguousarray(second[c]).tobytes() for c in cuts]
-        return out
+        cuts = [(slice(None), *own) for own, _ in met]
+        sem = pa.array([prob[c].tobytes() for c in cuts], pa.binary())
+        ins = pa.array([None if second is None else second[c].tobytes() for c in cuts], pa.binary())
+        return table.select(keys).append_column("sem", sem).append_column("ins", ins)
 
     weight = patch_weight(sizes, sigma_scale)
+    within = np.indices(cells).reshape(3, -1).T
 
-    def blend(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell = pdf[places].to_numpy()[0]
+    def blend(table: pa.Table) -> pa.Table:
+        cell, at = numbers(table.slice(0, 1), places)[0], numbers(table, ["kz", "ky", "kx"])
+        sems, inss = table["sem"].combine_chunks(), table["ins"].combine_chunks()
         total = embed = None
         weights = np.zeros(cells)
-        pdf = pdf.sort_values(["kz", "ky", "kx"])
-        for k, sem, ins in zip(pdf[["kz", "ky", "kx"]].to_numpy(), pdf["sem"], pdf["ins"], strict=True):
-            own, theirs = meets(corner(k), cell)
+        for k in np.lexsort(at.T[::-1]).tolist():
+            own, theirs = meets(corner(at[k]), cell)
             span = [s.stop - s.start for s in own]
-            prob = np.frombuffer(sem).reshape(-1, *span)
-            vec = None if ins is None else np.frombuffer(ins).reshape(-1, *span)
+            prob = np.frombuffer(sems[k].as_buffer()).reshape(-1, *span)
+            vec = np.frombuffer(inss[k].as_buffer()).reshape(-1, *span) if inss[k].is_valid else None
             if total is None:
                 total = np.zeros((len(prob), *cells))
                 embed = None if vec is None else np.zeros((len(vec), *cells))
@@ -241,16 +250,23 @@ def predict_patches(rows: DataFrame, by: list[str], shape: dict[str, int], patch
         if mode != "max":
             total /= weights + 1e-8
             embed = None if embed is None else embed / (weights + 1e-8)
-        spots = np.indices(cells).reshape(3, -1).T + cell * np.array(cells)
+        spots = within + cell * np.array(cells)
         ok = (spots < bounds).all(1)
-        out = {b: [pdf[b].iloc[0]] * int(ok.sum()) for b in by} | {a: spots[ok, n].astype(np.int32) for n, a in enumerate(AXES)}
-        out["semantic"] = list(total.reshape(len(total), -1).T[ok])
-        out["instance"] = [None] * int(ok.sum()) if embed is None else list(embed.reshape(len(embed), -1).T[ok])
-        return pd.DataFrame(out)
+        n = int(ok.sum())
+
+        def arrays(field: np.ndarray) -> pa.Array:
+            values = field.reshape(len(field), -1).T[ok]
+            return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(field), pa.int32()), pa.array(values.ravel()))
+
+        first = pa.array(np.zeros(n, np.int64))
+        out = {b: table[b].take(first) for b in by} | {a: pa.array(spots[ok, k].astype(np.int32)) for k, a in enumerate(AXES)}
+        out["semantic"] = arrays(total)
+        out["instance"] = pa.nulls(n, pa.list_(pa.float64())) if embed is None else arrays(embed)
+        return pa.table(out)
 
     of_places = ", ".join(f"{n} int" for n in [*places, "kz", "ky", "kx"])
-    parts = sent.groupBy(*by, "kz", "ky", "kx").applyInPandas(apply, f"{of_by}{of_places}, sem binary, ins binary")
-    return parts.groupBy(*by, *places).applyInPandas(blend, f"{of_by}z int, y int, x int, semantic array<double>, instance array<double>")
+    parts = sent.groupBy(*by, "kz", "ky", "kx").applyInArrow(apply, f"{of_by}{of_places}, sem binary, ins binary")
+    return parts.groupBy(*by, *places).applyInArrow(blend, f"{of_by}z int, y int, x int, semantic array<double>, instance array<double>")
 
 
 def sliding_window(rows: DataFrame, shape: dict[str, int], patch: dict[str, int], model, classes: int, stride: dict[str, int] | None = None, mode: str = "gaussian", cover: str = "full", value: str = "intensity") -> DataFrame:

@@ -88,3 +88,15 @@ def test_grids_of_a_table_of_volumes(spark):
             own = [r for r in rows if r["sample_id"] == v["sample_id"]]
             assert [(r["z0"], r["y0"], r["x0"]) for r in own] == list(product(*[starts(v[f"n{a}"], patch[a]) for a in "zyx"]))
             assert [r["patch_idx"] for r in own] == list(range(len(own)))
+
+
+def test_patches_travel_as_arrow_and_keep_their_keys(spark):
+    """No group is turned into pandas rows, and a volume without a name keeps its own."""
+    df = spark.createDataFrame([(s, f"n{s}", 0, y, x, float(y + 10 * x)) for s in (None, 3) for y in range(5) for x in range(6)], "sample_id long, name string, z int, y int, x int, intensity double")
+    shape, patch = {"z": 1, "y": 5, "x": 6}, {"z": 1, "y": 4, "x": 4}
+    got = tiling.predict_patches(df, ["sample_id", "name"], shape, patch, made(), chunk={"y": 2, "x": 4})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and plan.count("FlatMapGroupsInArrow") == 2
+    rows = {(r["sample_id"], r["name"], r["y"], r["x"]): (r["semantic"], r["instance"]) for r in got.collect()}
+    assert len(rows) == 60 and {k[:2] for k in rows} == {(None, "nNone"), (3, "n3")}
+    assert all(v == rows[3, "n3", *k[2:]] for k, v in rows.items())
