@@ -131,13 +131,15 @@ def skeleton_embedding_loss(rows: DataFrame, by: list[str], delta: float = 20.0,
     no row), or from a column dt_at of rows; push between the instances' mean landing places.
     """
     fg = rows.where("label > 0").withColumns({f"p{a}": F.col(a) + F.col(f"o{a}") for a in axes})
-    if field is not None:
-        landed = fg.select(*by, F.col(key).alias("id"), *[f"p{a}" for a in axes])
-        at = linear_lookup(landed, field, by, value, axes).select(*by, F.col("id").alias(key), F.col(value).alias("dt_at"))
-        fg = fg.drop("dt_at").join(at, [*by, key])
     pull = reduce(lambda a, b: a + b, [F.pow(F.col(f"p{a}") - F.col(f"n{a}"), 2) for a in axes])
     penalty = 1 - cosine(F.array(*[f"o{a}" for a in axes]), F.array(*[f"g{a}" for a in axes]), 1e-5)
-    per = fg.groupBy(*by).agg(F.avg(pull).alias("pull"), F.avg(penalty).alias("penalty"), F.avg(1 - F.col("dt_at")).alias("benefit"))
+    own = [F.avg(pull).alias("pull"), F.avg(penalty).alias("penalty")]
+    if field is None:
+        per = fg.groupBy(*by).agg(*own, F.avg(1 - F.col("dt_at")).alias("benefit"))
+    else:  # the samples are averaged for themselves; voxels need not meet them again
+        landed = fg.select(*by, F.col(key).alias("id"), *[f"p{a}" for a in axes])
+        benefit = linear_lookup(landed, field, by, value, axes).groupBy(*by).agg(F.avg(1 - F.col(value)).alias("benefit"))
+        per = fg.groupBy(*by).agg(*own).join(benefit, by)
     means = fg.groupBy(*by, "label").agg(F.array(*[F.avg(f"p{a}") for a in axes]).alias("mean"))
     out = per.join(push_term(means, by, delta / 2), by, "left").withColumn("push", F.coalesce("push", F.lit(0.0)))
     a, b, c, d = weights

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lamella.operators import blocks, geometry, lines
+from lamella.operators import blocks, geometry, lines, losses
 
 
 def test_sides_leave_short_axes_whole():
@@ -41,3 +41,19 @@ def test_small_blocks_and_lines_change_nothing(spark, monkeypatch, shape):
     monkeypatch.setattr(geometry, "SEARCHED", {2: 20 * 7, 3: 20 * 30})
     cut = got()
     assert len(calls) > 2 and cut == whole
+
+
+def test_loss_averages_samples_without_a_join_by_voxel(spark):
+    """Where offsets land is sampled and averaged for itself, so the plan joins voxels with the field only."""
+    rows, sizes, axes = rows_of(spark, (20, 6))
+    t = geometry.skeleton_targets(rows, ["sample_id"], sizes, axes=axes)
+    given = t.withColumns({"oy": (t["ny"] - t["y"]) / 2, "ox": (t["nx"] - t["x"]) / 2})
+    got = losses.skeleton_embedding_loss(given, ["sample_id"], field=t)
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "lin#" in line]
+    assert not joins
+    field, want = {(r["y"], r["x"]): r["dt_norm"] for r in t.collect()}, []
+    for r in given.collect():
+        y, x = r["y"] + r["oy"], r["x"] + r["ox"]
+        y0, x0 = int(np.floor(y)), int(np.floor(x))
+        want.append(1 - sum((1 - abs(y - a)) * (1 - abs(x - b)) * field.get((a, b), 0.0) for a in (y0, y0 + 1) for b in (x0, x0 + 1)))
+    assert got.first()["benefit"] == pytest.approx(np.mean(want))
