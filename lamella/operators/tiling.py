@@ -150,10 +150,10 @@ def predict_patches(rows: DataFrame, by: list[str], shape: dict[str, int], patch
     """Run `model` on every patch and blend its heads: (by, z, y, x, semantic, instance), arrays for each voxel.
 
     model takes a float array (d, h, w) and returns scores (classes, d, h, w), or a dict: 'semantic' (or 'logits') and,
-    if it has a second head, 'instance' (channels, d, h, w); a softmax over the classes follows. 'gaussian' blends both
-    heads by the centre weight; 'max' takes each class's largest probability and the embedding of the patch with the
-    largest probability (of equals the first patch). A volume smaller than the patch is reflected; voxels without a
-    row are 0. instance is null with one head.
+    if it has a second head, 'instance' (channels, d, h, w); a softmax over the classes follows, unless the first head is
+    'probability', which is taken as it is. 'gaussian' blends both heads by the centre weight; 'max' takes each class's
+    largest probability and the embedding of the patch with the largest probability (of equals the first patch). A volume
+    smaller than the patch is reflected; voxels without a row are 0. instance is null with one head.
 
     Voxels travel as chunks (an array each): a chunk is sent to the patches that meet it, a patch is assembled from its
     chunks, and its prediction goes back as an array a chunk, where the overlapping patches are summed. So the rows shuffled
@@ -210,9 +210,12 @@ def predict_patches(rows: DataFrame, by: list[str], shape: dict[str, int], patch
             block = np.pad(block[tuple(slice(0, n) for n in inside)], [(0, p - n) for p, n in zip(sizes, inside, strict=True)], mode="reflect")
         got = model(block)
         heads = got if isinstance(got, dict) else {"semantic": got}
-        scores = np.asarray(heads.get("semantic", heads.get("logits")), float)
-        scores = np.exp(scores - scores.max(axis=0, keepdims=True))
-        prob = scores / scores.sum(axis=0, keepdims=True)
+        if heads.get("probability") is not None:
+            prob = np.asarray(heads["probability"], float)
+        else:
+            scores = np.asarray(heads.get("semantic", heads.get("logits")), float)
+            scores = np.exp(scores - scores.max(axis=0, keepdims=True))
+            prob = scores / scores.sum(axis=0, keepdims=True)
         second = np.asarray(heads["instance"], float) if heads.get("instance") is not None else None
         cuts = [(slice(None), *own) for own, _ in met]
         sem = pa.array([prob[c].tobytes() for c in cuts], pa.binary())
